@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from junctura.llm import quality
+from junctura.llm import quality, toxicity
 from junctura.session import shipping
 
 
 def queries() -> dict:
-    found = [quality.op9_quality_classifier]
+    found = [toxicity.op6_toxicity, quality.op9_quality_classifier]
     return {q.__name__: shipping(q) for q in found}
 
 
