@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from junctura.llm import quality, toxicity
+from junctura.llm import neardup, quality, toxicity
 from junctura.session import shipping
 
 
 def queries() -> dict:
-    found = [toxicity.op6_toxicity, quality.op9_quality_classifier]
+    found = [neardup.op2_near_duplicates, toxicity.op6_toxicity, quality.op9_quality_classifier]
     return {q.__name__: shipping(q) for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_near_duplicates": neardup.reference_sql()}
