@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from junctura.llm import neardup, quality, toxicity
+from junctura.llm import bpe, neardup, quality, toxicity
 from junctura.session import shipping
 
 
 def queries() -> dict:
-    found = [neardup.op2_near_duplicates, toxicity.op6_toxicity, quality.op9_quality_classifier]
+    found = [neardup.op2_near_duplicates, bpe.op3_bpe, toxicity.op6_toxicity, quality.op9_quality_classifier]
     return {q.__name__: shipping(q) for q in found}
 
 
