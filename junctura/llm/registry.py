@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from junctura.llm import bpe, neardup, quality, toxicity
+from junctura.llm import bpe, media, mixing, neardup, quality, sharding, toxicity
 from junctura.session import shipping
 
 
 def queries() -> dict:
-    found = [neardup.op2_near_duplicates, bpe.op3_bpe, toxicity.op6_toxicity, quality.op9_quality_classifier]
+    found = [sharding.op1_kd_shards, neardup.op2_near_duplicates, bpe.op3_bpe, toxicity.op6_toxicity, mixing.op8_mixing, quality.op9_quality_classifier, media.op10_media]
     return {q.__name__: shipping(q) for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": neardup.reference_sql()}
+    return {"op2_near_duplicates": neardup.reference_sql(), "op8_mixing": mixing.reference_sql()}
