@@ -6,8 +6,8 @@ with Newton steps on the logistic loss, and are kept as complete binary trees in
 scoring walks all rows of a batch one level at a time.
 
 Defined cases: a null text counts as empty; empty texts get a score like any other; extra columns
-pass through `score_quality` untouched unless they bear an output's name, in which case the output
-replaces them; without any labelled row every score is 0.5; repeated rows are scored one by one.
+pass through `with_score` untouched unless one bears the output's name, in which case the output
+replaces it; without any labelled row every score is 0.5; repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -189,22 +189,22 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_pe
     return grow(x, y, weight / max(weight.mean(), 1e-9) if len(y) else weight)
 
 
-def score_quality(documents: DataFrame, trees: Trees) -> DataFrame:
-    """``documents`` with `score` (0 to 1, higher is better) beside its columns."""
-    kept = documents.select([c for c in documents.columns if c != "score"])
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+def with_score(documents: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
+    """``documents`` with ``name`` (0 to 1, higher is better) beside its columns."""
+    kept = documents.select([c for c in documents.columns if c != name])
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
     shared = documents.sparkSession.sparkContext.broadcast(trees)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in blocks.pieces(batch, "text"):
                 s = shared.value.score(statistics(*blocks.bytes_of(piece.column("text"))))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(s)], [*piece.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(s)], [*piece.schema.names, name])
 
     return kept.mapInArrow(scored, schema)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = score_quality(documents.select("doc_id", "text"), fit(documents, labels))
+    scored = with_score(documents.select("doc_id", "text"), fit(documents, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -263,23 +263,24 @@ EVIDENCE = T.ArrayType(T.StructType([T.StructField("example", T.LongType()), T.S
 _EVIDENCE = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
 
-def score_toxicity(documents: DataFrame, model: Neighbours, evidence: int = 3) -> DataFrame:
-    """``documents`` with `score` (0 to 1, higher is likelier toxic) and `evidence`, the nearest examples."""
-    kept = documents.select([c for c in documents.columns if c not in ("score", "evidence")])
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE)])
+def with_score(documents: DataFrame, model: Neighbours, name: str = "score", evidence: str | None = None, shown: int = 3) -> DataFrame:
+    """``documents`` with ``name`` (0 to 1, higher is likelier toxic) and, if a name is given, the nearest examples."""
+    kept = documents.select([c for c in documents.columns if c not in (name, evidence)])
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType()), *([T.StructField(evidence, EVIDENCE)] if evidence else [])])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value.index()
         for batch in batches:
             for piece in blocks.pieces(batch, "text"):
-                scores, shown = shared.value.judge(*blocks.bytes_of(piece.column("text")), index, evidence)
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores), pa.array(shown, _EVIDENCE)], [*piece.schema.names, "score", "evidence"])
+                scores, near = shared.value.judge(*blocks.bytes_of(piece.column("text")), index, shown if evidence else 0)
+                more = [(evidence, pa.array(near, _EVIDENCE))] if evidence else []
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores), *(v for _, v in more)], [*piece.schema.names, name, *(n for n, _ in more)])
 
     return kept.mapInArrow(scored, schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = score_toxicity(documents.select("doc_id", "text"), fit(documents, labels))
+    scored = with_score(documents.select("doc_id", "text"), fit(documents, labels), evidence="evidence")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
