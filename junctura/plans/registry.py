@@ -6,12 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from junctura.operators import arrivals, volumes
+from junctura.plans import arrival_sql
+from junctura.session import shipping
+from junctura.sources.derived import Tables
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+REPORTS = (
+    volumes.approach_volume, volumes.turning_movement_counts, volumes.bike_volume, volumes.approach_speed, volumes.timing_and_actuations, volumes.ramp_metering,
+    arrivals.approach_delay, arrivals.arrival_on_red, arrivals.arrivals_on_green, arrivals.yellow_red_actuations, arrivals.red_light_monitor, arrivals.wait_time, arrivals.split_failure,
+)
+
+
+def _over_tables(operator: Callable) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return operator(Tables(spark, folder))
+
+    return shipping(query)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f"report_{r.__name__}": _over_tables(r) for r in REPORTS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(arrival_sql.SQL)
