@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -92,7 +92,9 @@ def runs(inside: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None)
 
 
 def row_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.searchsorted(offsets, starts, "right") - 1
+    """The row of each of the ascending places ``starts``."""
+    begin = np.searchsorted(starts, offsets)
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(begin))
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -111,12 +113,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row_of(starts, offsets), starts, ends
 
 
-def hash_of(word: bytes) -> int:
-    """What `hashes` gives for one word."""
-    data = np.frombuffer(word, np.uint8)
-    return int(hashes(data, np.array([0]), np.array([len(data)]))[0])
-
-
 def counted(values: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
     """Offsets by row of values whose rows ascend."""
     return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_rows))]).astype(np.int64)

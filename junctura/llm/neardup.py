@@ -75,8 +75,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
             total[has] = total[has] * base + h[first[has] + k]
         full = np.concatenate([full, blocks.mix(total + per_row[short].astype(np.uint64) * _STEP[0])])
         owners = np.concatenate([owners, short])
-    order = np.lexsort((full, owners))
-    full, owners = full[order], owners[order]
+        order = np.argsort(owners, kind="stable")
+        full, owners = full[order], owners[order]
+    part = blocks.counted(full, owners, n)
+    for a, b in zip(part[:-1].tolist(), part[1:].tolist(), strict=True):
+        full[a:b].sort()
     new = np.ones(len(full), bool)
     new[1:] = (full[1:] != full[:-1]) | (owners[1:] != owners[:-1])
     return full[new], blocks.counted(full, owners[new], n)
@@ -218,6 +221,33 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+#: Bits of the filter that keeps texts out of a join, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def only_members(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose doc_id may be among ``ids`` (id): all that are, and few others.
+
+    A bit for each hashed id is set in a table of fixed size, which is broadcast; with far more ids
+    than bits it lets more rows through, but never drops one of the ids.
+    """
+    word, bit = F.shiftright(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)), 5), F.pmod(F.xxhash64("id"), F.lit(32)).cast("int")
+    set_ = ids.groupBy(word.cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), bit)).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS >> 5, np.uint32)
+    table[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint32)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+    names = texts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot = batch.column("_spot").to_numpy()
+            keep = shared.value[spot >> 5] >> (spot & 31).astype(np.uint32) & 1
+            yield batch.select(names).filter(pa.array(keep.astype(bool)))
+
+    spotted = texts.withColumn("_spot", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.lit(FILTER_BITS)))
+    return spotted.mapInArrow(run, texts.schema)
+
+
 _EDGE = ["a", "b"]
 
 
@@ -282,7 +312,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, par
     dealt = stored(dealt, "dealt")
 
     def with_texts(wanted: DataFrame) -> DataFrame:
-        return texts.join(wanted, texts.doc_id == wanted.id).drop("doc_id")
+        near = only_members(texts, wanted.select("id"))
+        return near.join(wanted, near.doc_id == wanted.id).drop("doc_id")
 
     def by_group(df: DataFrame, *keys: str) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions(*keys, "id")
