@@ -57,7 +57,7 @@ def ramp_metering(tables: Tables, demand: int = 1, passage: int = 2, queue: int
     occupied = queue_occupancy(tables.between(ON, OFF).where(F.col("param") == queue), minutes)
     rows = hits.unionByName(greens, allowMissingColumns=True).unionByName(occupied, allowMissingColumns=True)
     out = rows.groupBy("signal_id", "bin").agg(F.count("demand").alias("demand_volume"), F.count("passage").alias("passage_volume"), F.coalesce(seconds(F.sum("green")) / F.count("green"), F.lit(0.0)).alias("avg_green_seconds"), F.sum("inside").alias("inside"))
-    return out.select("signal_id", timestamp(F.col("bin")).alias("time_bin"), (F.col("passage_volume") * (3600.0 / (minutes * 60))).alias("metering_rate"), "avg_green_seconds", "demand_volume", "passage_volume", F.least(F.col("inside") * 100.0 / (minutes * MINUTE), F.lit(100.0)).alias("queue_occupancy_pct"))
+    return out.select("signal_id", timestamp(F.col("bin")).alias("time_bin"), (F.col("passage_volume") * (3600.0 / (minutes * 60))).alias("metering_rate"), "avg_green_seconds", "demand_volume", "passage_volume", F.when(F.col("inside").isNotNull(), F.least(F.col("inside") * 100.0 / (minutes * MINUTE), F.lit(100.0))).alias("queue_occupancy_pct"))
 
 
 def occupied_intervals(rows: DataFrame, keys: list[str], end: int = END) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.operators import arrivals, volumes
-from junctura.plans import arrival_sql
+from junctura.operators import arrivals, cycles, preemption, volumes
+from junctura.plans import arrival_sql, cycle_sql
 from junctura.session import shipping
 from junctura.sources.derived import Tables
 
@@ -16,6 +16,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 REPORTS = (
     volumes.approach_volume, volumes.turning_movement_counts, volumes.bike_volume, volumes.approach_speed, volumes.timing_and_actuations, volumes.ramp_metering,
     arrivals.approach_delay, arrivals.arrival_on_red, arrivals.arrivals_on_green, arrivals.yellow_red_actuations, arrivals.red_light_monitor, arrivals.wait_time, arrivals.split_failure,
+    cycles.purdue_diagram, cycles.split_monitor, cycles.phase_termination, cycles.phase_skips, cycles.time_space_diagram, cycles.time_space_diagram_average,
+    cycles.green_time_utilization, cycles.link_pivot, cycles.transit_signal_priority, cycles.ped_delay,
+    preemption.preempt_service, preemption.preempt_service_request, preemption.preemption, preemption.preempt_detail,
 )
 
 
@@ -31,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(arrival_sql.SQL)
+    return arrival_sql.SQL | cycle_sql.SQL
