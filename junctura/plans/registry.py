@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.operators import arrivals, cycles, preemption, volumes
-from junctura.plans import arrival_sql, cycle_sql
+from junctura.operators import analytics, arrivals, cycles, leftturn, preemption, volumes
+from junctura.plans import analytics_sql, arrival_sql, cycle_sql
 from junctura.session import shipping
 from junctura.sources.derived import Tables
 
@@ -19,6 +19,7 @@ REPORTS = (
     cycles.purdue_diagram, cycles.split_monitor, cycles.phase_termination, cycles.phase_skips, cycles.time_space_diagram, cycles.time_space_diagram_average,
     cycles.green_time_utilization, cycles.link_pivot, cycles.transit_signal_priority, cycles.ped_delay,
     preemption.preempt_service, preemption.preempt_service_request, preemption.preemption, preemption.preempt_detail,
+    leftturn.left_turn_gap, leftturn.left_turn_volume_report, leftturn.left_turn_gap_data_check_report,
 )
 
 
@@ -30,8 +31,9 @@ def _over_tables(operator: Callable) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f"report_{r.__name__}": _over_tables(r) for r in REPORTS}
+    found = {f"report_{r.__name__.removesuffix('_report')}": r for r in REPORTS} | {f"analytics_{a.__name__}": a for a in analytics.ALL}
+    return {name: _over_tables(operator) for name, operator in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return arrival_sql.SQL | cycle_sql.SQL
+    return arrival_sql.SQL | cycle_sql.SQL | analytics_sql.SQL
