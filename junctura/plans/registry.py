@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.operators import analytics, arrivals, cycles, leftturn, preemption, volumes
-from junctura.plans import analytics_sql, arrival_sql, cycle_sql
+from junctura.operators import aggregates, analytics, arrivals, cycles, leftturn, preemption, volumes
+from junctura.plans import aggregate_sql, analytics_sql, arrival_sql, cycle_sql
 from junctura.session import shipping
 from junctura.sources.derived import Tables
 
@@ -31,9 +31,9 @@ def _over_tables(operator: Callable) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = {f"report_{r.__name__.removesuffix('_report')}": r for r in REPORTS} | {f"analytics_{a.__name__}": a for a in analytics.ALL}
+    found = {f"report_{r.__name__.removesuffix('_report')}": r for r in REPORTS} | {f"analytics_{a.__name__}": a for a in analytics.ALL} | {f"agg_{a.__name__}": a for a in aggregates.ALL}
     return {name: _over_tables(operator) for name, operator in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return arrival_sql.SQL | cycle_sql.SQL | analytics_sql.SQL
+    return arrival_sql.SQL | cycle_sql.SQL | analytics_sql.SQL | aggregate_sql.SQL
