@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.operators import aggregates, analytics, arrivals, cycles, leftturn, preemption, volumes
-from junctura.plans import aggregate_sql, analytics_sql, arrival_sql, cycle_sql
+from junctura.operators import aggregates, analytics, arrivals, config, cycles, leftturn, preemption, quality, volumes
+from junctura.plans import aggregate_sql, analytics_sql, arrival_sql, cycle_sql, quality_sql
 from junctura.session import shipping
+from junctura.sources import lake
 from junctura.sources.derived import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +33,12 @@ def _over_tables(operator: Callable) -> Query:
 
 def queries() -> dict[str, Query]:
     found = {f"report_{r.__name__.removesuffix('_report')}": r for r in REPORTS} | {f"analytics_{a.__name__}": a for a in analytics.ALL} | {f"agg_{a.__name__}": a for a in aggregates.ALL}
+    found |= {f"watchdog_{c.__name__}": c for c in (*quality.CHECKS, quality.suppressed_alerts)}
+    found |= {"quality_validation_summary": quality.validation_summary, "quality_latest_status": quality.latest_status}
+    found |= {f"config_{c.__name__}": c for c in (config.approaches_as_of, config.signal_tree_flat, config.channels_for_phase)}
+    found |= {f"lake_{c.__name__}": c for c in (lake.events_query, lake.clock_correction)}
     return {name: _over_tables(operator) for name, operator in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return arrival_sql.SQL | cycle_sql.SQL | analytics_sql.SQL | aggregate_sql.SQL
+    return arrival_sql.SQL | cycle_sql.SQL | analytics_sql.SQL | aggregate_sql.SQL | quality_sql.SQL
