@@ -62,6 +62,11 @@ def bin_of_hour(t: Column, minutes: int) -> Column:
     return hour + F.floor((t - hour) / (minutes * MINUTE)) * (minutes * MINUTE)
 
 
+def settled(value: Column) -> Column:
+    """A mean or deviation of doubles to six digits, so that the order of summing does not show."""
+    return F.round(value, 6)
+
+
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.functions.temporal import MINUTE, SECOND, along, bin_of, following, last, seconds, share, split_over_bins, timestamp
+from junctura.functions.temporal import MINUTE, SECOND, along, bin_of, following, last, seconds, settled, share, split_over_bins, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, OFF, ON, PED_CALL, PHASE_END, RED, WALK, YELLOW
 from junctura.operators.volumes import occupied_intervals
 from junctura.sources.derived import Tables
@@ -71,10 +71,10 @@ def arrival_on_red_hourly(tables: Tables) -> DataFrame:
 def coordination_quality_hourly(tables: Tables, tolerance: float = 2.0) -> DataFrame:
     """Cycles of the coordinated phase that end in the hour, against the hour's own mean length."""
     rows = tables.phase_events(GREEN).where("phase = 2").withColumn("length", seconds(F.col("t") - F.lag("t").over(along(["signal_id"], ("t",))))).where("length is not null").withColumn("bin", _bin(HOUR))
-    means = rows.groupBy("signal_id", "bin").agg(F.avg("length").alias("mean"))
+    means = rows.groupBy("signal_id", "bin").agg(settled(F.avg("length")).alias("mean"))
     rows = rows.join(means, ["signal_id", "bin"]).withColumn("error", F.abs(F.col("length") - F.col("mean")))
     good = _n(F.col("error") <= tolerance)
-    return _dated(rows.groupBy("signal_id", "bin").agg(F.count("*").alias("total_cycles"), good.alias("within_tolerance"), (good * 100.0 / F.count("*")).alias("quality_pct"), F.max("mean").alias("avg_cycle_seconds"), F.avg("error").alias("avg_offset_error")))
+    return _dated(rows.groupBy("signal_id", "bin").agg(F.count("*").alias("total_cycles"), good.alias("within_tolerance"), (good * 100.0 / F.count("*")).alias("quality_pct"), F.max("mean").alias("avg_cycle_seconds"), settled(F.avg("error")).alias("avg_offset_error")))
 
 
 def phase_termination_hourly(tables: Tables) -> DataFrame:
@@ -128,7 +128,7 @@ def cycle_summary_15min(tables: Tables) -> DataFrame:
 
 
 def approach_speed_15min(tables: Tables) -> DataFrame:
-    p = lambda q: F.percentile(F.col("mph").cast("double"), q)
+    p = lambda q: settled(F.percentile(F.col("mph").cast("double"), q))
     return _dated(tables.speeds.groupBy("signal_id", "approach_id", _bin(QUARTER)).agg(p(0.15).alias("p15"), p(0.5).alias("p50"), p(0.85).alias("p85"), F.count("*").alias("sample_count")))
 
 

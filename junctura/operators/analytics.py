@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.functions.temporal import MINUTE, SECOND, along, last, seconds, share, split_over_bins, timestamp
+from junctura.functions.temporal import MINUTE, SECOND, along, last, seconds, settled, share, split_over_bins, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, OFF, ON, PATTERN, PREEMPT_CALL, PREEMPT_OFF, RED, YELLOW
 from junctura.operators.volumes import occupied_intervals
 from junctura.sources.derived import END, START, Tables
@@ -76,12 +76,12 @@ def phases_terminations(tables: Tables) -> DataFrame:
 def _drifts(tables: Tables) -> DataFrame:
     """Cycle lengths of the coordinated phase and their distance from the signal's mean."""
     greens = tables.phase_events(GREEN).where("phase = 2").withColumn("length", seconds(F.col("t") - F.lag("t").over(along(["signal_id"], ("t",))))).where("length is not null")
-    means = greens.groupBy("signal_id").agg(F.avg("length").alias("mean"))
+    means = greens.groupBy("signal_id").agg(settled(F.avg("length")).alias("mean"))
     return greens.join(means, "signal_id").withColumn("drift", F.abs(F.col("length") - F.col("mean")))
 
 
 def coordination_offset_drift(tables: Tables) -> DataFrame:
-    return _drifts(tables).groupBy("signal_id").agg(F.max("mean").alias("expected_cycle_seconds"), F.count("*").alias("cycle_count"), F.avg("drift").alias("avg_drift_seconds"), F.max("drift").alias("max_drift_seconds"), F.stddev_pop("drift").alias("drift_stddev"))
+    return _drifts(tables).groupBy("signal_id").agg(F.max("mean").alias("expected_cycle_seconds"), F.count("*").alias("cycle_count"), settled(F.avg("drift")).alias("avg_drift_seconds"), settled(F.max("drift")).alias("max_drift_seconds"), settled(F.stddev_pop("drift")).alias("drift_stddev"))
 
 
 def coordination_patterns(tables: Tables) -> DataFrame:
@@ -92,7 +92,7 @@ def coordination_patterns(tables: Tables) -> DataFrame:
 
 def coordination_quality(tables: Tables, tolerance: float = 2.0) -> DataFrame:
     good = _n(F.col("drift") <= tolerance)
-    return _drifts(tables).groupBy("signal_id").agg(F.count("*").alias("total_cycles"), good.alias("cycles_within_tolerance"), (good * 100.0 / F.count("*")).alias("quality_pct"), F.max("mean").alias("avg_cycle_seconds"), F.avg("drift").alias("avg_offset_error"))
+    return _drifts(tables).groupBy("signal_id").agg(F.count("*").alias("total_cycles"), good.alias("cycles_within_tolerance"), (good * 100.0 / F.count("*")).alias("quality_pct"), F.max("mean").alias("avg_cycle_seconds"), settled(F.avg("drift")).alias("avg_offset_error"))
 
 
 def preemptions_summary(tables: Tables) -> DataFrame:

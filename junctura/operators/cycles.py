@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.functions.temporal import MINUTE, SECOND, along, asof_backward, bin_of_hour, cycle, following, last, seconds, share, timestamp
+from junctura.functions.temporal import MINUTE, SECOND, along, asof_backward, bin_of_hour, cycle, following, last, seconds, settled, share, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, ON, PHASE_END, RED, YELLOW
 from junctura.sources.derived import START, Tables
 
@@ -159,7 +159,7 @@ def link_pivot(tables: Tables, longest: float = 300.0) -> DataFrame:
     met = up.unionByName(down).withColumn("next", following(F.when(F.col("code") == 1, F.col("t")), along(["from_signal", "to_signal"])))
     gap = seconds(F.col("next") - F.col("t"))
     kept = met.where((F.col("code") == 0) & (gap <= longest)).withColumn("gap", gap)
-    return kept.groupBy("from_signal", "to_signal").agg(F.avg("gap").alias("avg_offset"), F.stddev_pop("gap").alias("stddev_offset"), F.count("*").alias("sample_count"))
+    return kept.groupBy("from_signal", "to_signal").agg(settled(F.avg("gap")).alias("avg_offset"), settled(F.stddev_pop("gap")).alias("stddev_offset"), F.count("*").alias("sample_count"))
 
 
 def transit_signal_priority(tables: Tables, phase: int = 2, minutes: int = 15, longest: float = 300.0) -> DataFrame:

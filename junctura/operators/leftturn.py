@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.functions.temporal import MINUTE, along, bin_of, cycle, last, seconds, share, timestamp
+from junctura.functions.temporal import MINUTE, along, bin_of, cycle, last, seconds, settled, share, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, OFF, ON, PED_CALL, YELLOW
 from junctura.operators.arrivals import split_failure
 from junctura.sources.derived import END, START, Tables
@@ -61,7 +61,7 @@ def left_turn_gap(tables: Tables, opposing_lanes: int | None = None, left_turn_p
     sized = gaps(tables).join(through, PHASE, "left").withColumn("critical", critical)
     n = lambda cond: F.count(F.when(cond, 1))
     g, crit = F.col("gap"), F.col("critical")
-    per = sized.groupBy(*PHASE, "cycle").agg(F.count("*").alias("total"), n(g >= crit).alias("sufficient"), n((g >= crit - MARGINAL_BAND) & (g < crit)).alias("marginal"), n(g < crit - MARGINAL_BAND).alias("insufficient"), F.avg("gap").alias("avg"), F.max("gap").alias("max"))
+    per = sized.groupBy(*PHASE, "cycle").agg(F.count("*").alias("total"), n(g >= crit).alias("sufficient"), n((g >= crit - MARGINAL_BAND) & (g < crit)).alias("marginal"), n(g < crit - MARGINAL_BAND).alias("insufficient"), settled(F.avg("gap")).alias("avg"), F.max("gap").alias("max"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     cycles = base.where("end is not null").join(per, [*PHASE, "cycle"], "left").select(*PHASE, "green", "end", "ped", *(zero(c).alias(c) for c in ("total", "sufficient", "marginal", "insufficient")), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg", "max")))
     hours = (END - START) / HOUR

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.functions.temporal import MINUTE, SECOND, along, bin_of_hour, following, overlap, seconds, timestamp
+from junctura.functions.temporal import MINUTE, SECOND, along, bin_of_hour, following, overlap, seconds, settled, timestamp
 from junctura.functions.vocabulary import GREEN, OFF, ON, YELLOW, named
 from junctura.sources.derived import END, Tables
 
@@ -36,7 +36,7 @@ def approach_speed(tables: Tables, slowest_limit: float = 150.0) -> DataFrame:
     by = along(["signal_id", "approach_id"], ("mph", "t", "channel"))
     placed = kept.withColumn("place", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     pick = lambda p: F.max(F.when(F.col("place") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col("mph")))
-    return placed.groupBy("signal_id", "approach_id", "direction").agg(F.avg("mph").alias("avg_speed"), pick(85).alias("p85_speed"), pick(15).alias("p15_speed"), F.count("*").alias("sample_count"))
+    return placed.groupBy("signal_id", "approach_id", "direction").agg(settled(F.avg("mph")).alias("avg_speed"), pick(85).alias("p85_speed"), pick(15).alias("p15_speed"), F.count("*").alias("sample_count"))
 
 
 def timing_and_actuations(tables: Tables, phases: tuple[int, ...] | None = None) -> DataFrame:

@@ -34,8 +34,8 @@ SQL = {
         "s AS (SELECT *, coalesce(last_value(CASE WHEN code = 1 THEN 0 WHEN code IN (8, 9) THEN 1 END IGNORE NULLS) OVER (PARTITION BY signal_id, phase ORDER BY t, code, param ROWS UNBOUNDED PRECEDING), 1) AS red FROM stm WHERE code IN (1, 8, 9, 82))",
     ),
     "agg_coordination_quality_hourly": sql(
-        "SELECT signal_id, make_timestamp(bin) AS bin_start, count(*) AS total_cycles, count(*) FILTER (e <= 2) AS within_tolerance, count(*) FILTER (e <= 2) * 100.0 / count(*) AS quality_pct, max(mean) AS avg_cycle_seconds, avg(e) AS avg_offset_error FROM m GROUP BY signal_id, bin",
-        _L, f"m0 AS (SELECT *, t // {HOUR} * {HOUR} AS bin FROM l WHERE len IS NOT NULL)", "mm AS (SELECT signal_id, bin, avg(len) AS mean FROM m0 GROUP BY ALL)", "m AS (SELECT m0.*, mean, abs(len - mean) AS e FROM m0 JOIN mm USING (signal_id, bin))",
+        "SELECT signal_id, make_timestamp(bin) AS bin_start, count(*) AS total_cycles, count(*) FILTER (e <= 2) AS within_tolerance, count(*) FILTER (e <= 2) * 100.0 / count(*) AS quality_pct, max(mean) AS avg_cycle_seconds, round(avg(e), 6) AS avg_offset_error FROM m GROUP BY signal_id, bin",
+        _L, f"m0 AS (SELECT *, t // {HOUR} * {HOUR} AS bin FROM l WHERE len IS NOT NULL)", "mm AS (SELECT signal_id, bin, round(avg(len), 6) AS mean FROM m0 GROUP BY ALL)", "m AS (SELECT m0.*, mean, abs(len - mean) AS e FROM m0 JOIN mm USING (signal_id, bin))",
     ),
     "agg_phase_termination_hourly": sql(f"SELECT signal_id, phase, {HB}, {_F.format(1)} AS total_cycles, {_F.format(4)} AS gap_outs, {_F.format(5)} AS max_outs, {_F.format(6)} AS force_offs FROM pev WHERE code IN (1, 4, 5, 6) GROUP BY ALL"),
     "agg_cycle_boundary": sql("SELECT signal_id, phase, make_timestamp(green) AS green_start, make_timestamp(y) AS yellow_start, make_timestamp(r) AS red_start, make_timestamp(e) AS cycle_end, (y - green) / 1e6 AS green_duration_seconds, (r - y) / 1e6 AS yellow_duration_seconds, (e - r) / 1e6 AS red_duration_seconds, (e - green) / 1e6 AS cycle_duration_seconds, tt AS termination_type FROM cb", *_CB[:2]),
@@ -45,7 +45,7 @@ SQL = {
         *_CB, "h AS (SELECT signal_id, phase, green, count(*) AS a, count(*) FILTER (st = 'green') AS ag, count(*) FILTER (st = 'yellow') AS ay, count(*) FILTER (st = 'red') AS ar FROM ca GROUP BY ALL)",
     ),
     "agg_approach_speed_15min": sql(
-        f"SELECT signal_id, approach_id, {QB}, quantile_cont(mph, 0.15) AS p15, quantile_cont(mph, 0.5) AS p50, quantile_cont(mph, 0.85) AS p85, count(*) AS sample_count FROM s GROUP BY ALL",
+        f"SELECT signal_id, approach_id, {QB}, round(quantile_cont(mph, 0.15), 6) AS p15, round(quantile_cont(mph, 0.5), 6) AS p50, round(quantile_cont(mph, 0.85), 6) AS p85, count(*) AS sample_count FROM s GROUP BY ALL",
         "s AS (SELECT 'SIG-00' || sn AS signal_id, 'SIG-00' || sn || '-P' || (2 * (1 + event_id % 2)) AS approach_id, t, CAST(CAST(trunc(value) AS INT) % 70 + 10 AS DOUBLE) AS mph FROM ev0)",
     ),
     "agg_phase_cycle_15min": sql(

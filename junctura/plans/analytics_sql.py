@@ -7,7 +7,7 @@ H = 12.0
 _D = "d AS (SELECT signal_id, param AS channel, t, code FROM win WHERE code IN (81, 82))"
 _DRIFT = (
     "l AS (SELECT signal_id, (t - lag(t) OVER (PARTITION BY signal_id ORDER BY t)) / 1e6 AS len FROM pev WHERE code = 1 AND phase = 2)",
-    "m AS (SELECT signal_id, avg(len) AS mean FROM l WHERE len IS NOT NULL GROUP BY ALL)",
+    "m AS (SELECT signal_id, round(avg(len), 6) AS mean FROM l WHERE len IS NOT NULL GROUP BY ALL)",
     "dr AS (SELECT l.signal_id, len, mean, abs(len - mean) AS drift FROM l JOIN m USING (signal_id) WHERE len IS NOT NULL)",
 )
 _SKIP = ("gr AS (SELECT signal_id, phase, count(*) AS n FROM pev WHERE code = 1 GROUP BY ALL)", "sk AS (SELECT *, max(n) OVER (PARTITION BY signal_id) AS e, (max(n) OVER (PARTITION BY signal_id) - n) * 100.0 / max(n) OVER (PARTITION BY signal_id) AS r FROM gr)")
@@ -39,9 +39,9 @@ SQL = {
         "c AS (SELECT signal_id, phase, count(*) FILTER (code = 1) AS n, count(*) FILTER (code = 4) AS a, count(*) FILTER (code = 5) AS b, count(*) FILTER (code = 6) AS f, count(*) FILTER (code IN (4, 5, 6)) AS e FROM s GROUP BY ALL HAVING count(*) FILTER (code = 1) > 0)",
     ),
     "analytics_phases_terminations": sql("SELECT signal_id, phase, count(*) FILTER (code = 1) AS total_cycles, count(*) FILTER (code = 4) AS gap_outs, count(*) FILTER (code = 5) AS max_outs, count(*) FILTER (code = 6) AS force_offs FROM pev WHERE code IN (1, 4, 5, 6) GROUP BY ALL"),
-    "analytics_coordination_offset_drift": sql("SELECT signal_id, max(mean) AS expected_cycle_seconds, count(*) AS cycle_count, avg(drift) AS avg_drift_seconds, max(drift) AS max_drift_seconds, stddev_pop(drift) AS drift_stddev FROM dr GROUP BY ALL", *_DRIFT),
+    "analytics_coordination_offset_drift": sql("SELECT signal_id, max(mean) AS expected_cycle_seconds, count(*) AS cycle_count, round(avg(drift), 6) AS avg_drift_seconds, round(max(drift), 6) AS max_drift_seconds, round(stddev_pop(drift), 6) AS drift_stddev FROM dr GROUP BY ALL", *_DRIFT),
     "analytics_coordination_patterns": sql("SELECT signal_id, make_timestamp(t) AS event_time, coalesce(lag(param) OVER w, 0) AS from_pattern, param AS to_pattern, (lead(t) OVER w - t) / 1e6 AS duration_seconds FROM win WHERE code = 131 WINDOW w AS (PARTITION BY signal_id ORDER BY t, code, param)"),
-    "analytics_coordination_quality": sql("SELECT signal_id, count(*) AS total_cycles, count(*) FILTER (drift <= 2) AS cycles_within_tolerance, count(*) FILTER (drift <= 2) * 100.0 / count(*) AS quality_pct, max(mean) AS avg_cycle_seconds, avg(drift) AS avg_offset_error FROM dr GROUP BY ALL", *_DRIFT),
+    "analytics_coordination_quality": sql("SELECT signal_id, count(*) AS total_cycles, count(*) FILTER (drift <= 2) AS cycles_within_tolerance, count(*) FILTER (drift <= 2) * 100.0 / count(*) AS quality_pct, max(mean) AS avg_cycle_seconds, round(avg(drift), 6) AS avg_offset_error FROM dr GROUP BY ALL", *_DRIFT),
     "analytics_preemptions_summary": sql(
         f"SELECT signal_id, CAST(sum(n) AS BIGINT) AS total_preemptions, CAST(sum(d) AS DOUBLE) / 1e6 / CAST(sum(n) AS DOUBLE) AS avg_duration_seconds, max(m) / 1e6 AS max_duration_seconds, CAST(sum(d) AS DOUBLE) / 1e6 AS total_preempt_time_seconds, string_agg(param || '=' || n, ',' ORDER BY param) AS by_preempt_number, CAST(sum(d) AS DOUBLE) * 100.0 / {END - START} AS pct_time_preempted FROM p GROUP BY signal_id",
         "s AS (SELECT *, lag(code) OVER w AS pc, lag(t) OVER w AS b FROM win WHERE code IN (102, 104) WINDOW w AS (PARTITION BY signal_id, param ORDER BY t, code))",
@@ -76,7 +76,7 @@ SQL = {
         "i0 AS (SELECT *, sum(CASE WHEN code = 82 THEN 1 ELSE -1 END) OVER (PARTITION BY signal_id, phase, cycle ORDER BY t, code, param ROWS UNBOUNDED PRECEDING) AS s FROM r2 WHERE code IN (81, 82) AND cycle > 0 AND t <= e)",
         "i1 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY signal_id, phase, cycle ORDER BY t, code, param ROWS UNBOUNDED PRECEDING)) AS k FROM i0)",
         "i2 AS (SELECT *, CASE WHEN lag(code) OVER w = 81 AND lag(k) OVER w = 0 THEN (t - lag(t) OVER w) / 1e6 END AS gap FROM i1 WINDOW w AS (PARTITION BY signal_id, phase, cycle ORDER BY t, code, param))",
-        "ga AS (SELECT signal_id, phase, cycle, count(*) AS total, count(*) FILTER (gap >= 4.1) AS suff, count(*) FILTER (gap >= 4.1 - 1.5 AND gap < 4.1) AS marg, count(*) FILTER (gap < 4.1 - 1.5) AS ins, avg(gap) AS av, max(gap) AS mx FROM i2 WHERE code = 82 AND gap > 0 GROUP BY ALL)",
+        "ga AS (SELECT signal_id, phase, cycle, count(*) AS total, count(*) FILTER (gap >= 4.1) AS suff, count(*) FILTER (gap >= 4.1 - 1.5 AND gap < 4.1) AS marg, count(*) FILTER (gap < 4.1 - 1.5) AS ins, round(avg(gap), 6) AS av, max(gap) AS mx FROM i2 WHERE code = 82 AND gap > 0 GROUP BY ALL)",
         "b AS (SELECT signal_id, phase, cycle, min(green) AS green, max(e) AS e, count(*) FILTER (code = 45 AND t <= e) AS ped, count(*) FILTER (code = 82) AS hits, count(*) FILTER (code = 45) AS calls FROM r2 GROUP BY signal_id, phase, cycle)",
         "c AS (SELECT b.signal_id, b.phase, b.cycle, b.green, b.e, b.ped, coalesce(total, 0) AS total, coalesce(suff, 0) AS suff, coalesce(marg, 0) AS marg, coalesce(ins, 0) AS ins, coalesce(av, 0.0) AS av, coalesce(mx, 0.0) AS mx FROM b LEFT JOIN ga USING (signal_id, phase, cycle) WHERE b.e IS NOT NULL)",
         "sm AS (SELECT signal_id, phase, count(*) AS n, CAST(sum(ped) AS BIGINT) AS ped, count(*) FILTER (ped > 0) AS wp FROM c GROUP BY ALL)",

@@ -51,7 +51,7 @@ SQL = {
         f"b2 AS (SELECT b1.*, CASE WHEN EXISTS (SELECT 1 FROM plans p WHERE p.signal_id = b1.signal_id AND p.begin <= {START} + x_bin * {Q}) THEN CASE phase WHEN 2 THEN 35.0 WHEN 4 THEN 25.0 WHEN 6 THEN 40.0 WHEN 8 THEN 20.0 ELSE 0.0 END ELSE 0.0 END AS split FROM b1)",
     ),
     "report_link_pivot": sql(
-        "SELECT a AS from_signal, b AS to_signal, avg((nx - t) / 1e6) AS avg_offset, stddev_pop((nx - t) / 1e6) AS stddev_offset, count(*) AS sample_count FROM m WHERE (nx - t) / 1e6 <= 300 GROUP BY a, b",
+        "SELECT a AS from_signal, b AS to_signal, round(avg((nx - t) / 1e6), 6) AS avg_offset, round(stddev_pop((nx - t) / 1e6), 6) AS stddev_offset, count(*) AS sample_count FROM m WHERE (nx - t) / 1e6 <= 300 GROUP BY a, b",
         "l AS (SELECT x.signal_id AS a, y.signal_id AS b FROM sig x JOIN sig y ON y.place = x.place + 1)",
         "m AS (SELECT l.a, l.b, (SELECT min(t) FROM pev d WHERE d.code = 1 AND d.phase = 2 AND d.signal_id = l.b AND d.t >= u.t) AS nx, u.t FROM pev u JOIN l ON l.a = u.signal_id WHERE u.code = 1 AND u.phase = 2)",
     ),

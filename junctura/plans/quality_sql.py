@@ -9,7 +9,7 @@ _KIND = ", ".join(f"({c}, {RANGES[k][0]}, {RANGES[k][1]})" for c, k in KINDS.ite
 _V = f"kinds(code, lo, hi) AS (VALUES {_KIND})"
 _TERM = (
     f"h AS (SELECT signal_id, phase, t // {HOUR} * {HOUR} AS hour, count(*) FILTER (code = 4) AS gap, count(*) FILTER (code = 5) AS mx, count(*) FILTER (code = 6) AS fo, count(*) FILTER (code IN (4, 5, 6)) AS total FROM pev WHERE code IN (1, 4, 5, 6) GROUP BY ALL)",
-    "b AS (SELECT signal_id, phase, " + ", ".join(f"avg(CASE WHEN total = 0 THEN 0.0 ELSE {c} * 1.0 / total END) AS {n}_mean, stddev_pop(CASE WHEN total = 0 THEN 0.0 ELSE {c} * 1.0 / total END) AS {n}_sd" for n, c in (("gap", "gap"), ("max", "mx"), ("force", "fo"))) + " FROM h GROUP BY ALL)",
+    "b AS (SELECT signal_id, phase, " + ", ".join(f"round(avg(CASE WHEN total = 0 THEN 0.0 ELSE {c} * 1.0 / total END), 6) AS {n}_mean, round(stddev_pop(CASE WHEN total = 0 THEN 0.0 ELSE {c} * 1.0 / total END), 6) AS {n}_sd" for n, c in (("gap", "gap"), ("max", "mx"), ("force", "fo"))) + " FROM h GROUP BY ALL)",
     f"r AS (SELECT signal_id, phase, CAST(sum(gap) AS DOUBLE) AS gap, CAST(sum(mx) AS DOUBLE) AS mx, CAST(sum(fo) AS DOUBLE) AS fo, CAST(sum(total) AS DOUBLE) AS total FROM h WHERE hour >= {END - HOUR} GROUP BY ALL)",
     "m AS (SELECT signal_id, phase, " + ", ".join(f"CASE WHEN total = 0 THEN 0.0 ELSE {c} / total END AS {n}_ratio" for n, c in (("gap", "gap"), ("max", "mx"), ("force", "fo"))) + " FROM r)",
 )
