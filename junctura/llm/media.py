@@ -202,7 +202,7 @@ def sniff_media(table: DataFrame, column: str = "media", declared: str | None =
                     inner.append([{"offset": a, "length": n, "type": k, "content": blob[a : a + n]} for a, n, k in found if a])
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(types, pa.string()), pa.array(wrong), pa.array(inner, arrow)], [*rows.schema.names, "media_type", "corrected", "embedded"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added, T.StructField("embedded", T.ArrayType(part))]))
+    return kept.mapInArrow(blocks.released(run), T.StructType([*kept.schema.fields, *added, T.StructField("embedded", T.ArrayType(part))]))
 
 
 def text_media(documents: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def text_media(documents: DataFrame) -> DataFrame:
                     media.append(wav_of(raw[a:b].ljust(max(64, -(-(b - a) // 64) * 64), b"\0")))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(media, pa.binary()), pa.array(np.diff(offsets))], [*piece.schema.names, "media", "n_bytes"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("media", T.BinaryType()), T.StructField("n_bytes", T.LongType())]))
+    return kept.mapInArrow(blocks.released(run), T.StructType([*kept.schema.fields, T.StructField("media", T.BinaryType()), T.StructField("n_bytes", T.LongType())]))
 
 
 def read_samples(media: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def read_samples(media: DataFrame) -> DataFrame:
                 columns = [pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.string()), pa.array(f, pa.string())]
                 yield pa.RecordBatch.from_arrays([*(rows.column(k.name) for k in left), *columns], [*(k.name for k in left), *names])
 
-    return kept.mapInArrow(run, T.StructType([*left, *(T.StructField(n, t) for n, t in zip(names, (long, text, long, long, text, text), strict=True))]))
+    return kept.mapInArrow(blocks.released(run), T.StructType([*left, *(T.StructField(n, t) for n, t in zip(names, (long, text, long, long, text, text), strict=True))]))
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:

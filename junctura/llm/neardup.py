@@ -245,7 +245,7 @@ def only_members(texts: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.select(names).filter(pa.array(keep.astype(bool)))
 
     spotted = texts.withColumn("_spot", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.lit(FILTER_BITS)))
-    return spotted.mapInArrow(run, texts.schema)
+    return spotted.mapInArrow(blocks.released(run), texts.schema)
 
 
 _EDGE = ["a", "b"]
@@ -292,7 +292,7 @@ def _across(width: int, percent: int):
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, part_rows: int = 512, part_shingles: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     texts = documents.select("doc_id", "text")
-    rows = stored(texts.mapInArrow(_sketched(width), "doc_id long, n long, f1 long, f2 long, keys array<long>"), "sketches")
+    rows = stored(texts.mapInArrow(blocks.released(_sketched(width)), "doc_id long, n long, f1 long, f2 long, keys array<long>"), "sketches")
     listed = rows.where("doc_id is not null and n > 0")
     # Of a class of equal sets, the smallest id stands for all; its keys are those of any member.
     classes = stored(listed.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
@@ -318,7 +318,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, par
     def by_group(df: DataFrame, *keys: str) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions(*keys, "id")
 
-    found = by_group(with_texts(dealt).select("leader", "part", "id", "text"), "leader", "part").mapInArrow(_within(width, percent), "a long, b long")
+    found = by_group(with_texts(dealt).select("leader", "part", "id", "text"), "leader", "part").mapInArrow(blocks.released(_within(width, percent)), "a long, b long")
     edges = stored(found, "links")
     linked = components(edges)
     # Clusters of several parts: members outside the largest component meet the other parts.
@@ -335,7 +335,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, par
         ones = wide.where("component != main").select("leader", "id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("apart"))
         others = wide.select("leader", "id", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(False).alias("apart"))
         meet = with_texts(ones.unionByName(others)).select("leader", "block", "part", "id", "component", "apart", "text")
-        found = by_group(meet, "leader", "block", "part").mapInArrow(_across(width, percent), "a long, b long")
+        found = by_group(meet, "leader", "block", "part").mapInArrow(blocks.released(_across(width, percent)), "a long, b long")
         linked = components(edges.unionAll(found))
     of_class = classes.join(linked.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     # Rows with one doc_id are one document, so a document's class may be reached through any of them.

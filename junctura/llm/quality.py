@@ -63,6 +63,15 @@ def _distinct(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.bincount(rows[first], minlength=n), top
 
 
+def _inside(marked: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of marked bytes of each row."""
+    out = np.zeros(len(offsets) - 1)
+    filled = np.flatnonzero(np.diff(offsets))
+    if len(filled):
+        out[filled] = np.add.reduceat(marked, offsets[filled], dtype=np.int64)
+    return out
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of FEATURES for each text."""
     n = len(offsets) - 1
@@ -71,20 +80,17 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n_words = np.bincount(rows, minlength=n)
     per_word, per_byte = 1 / np.maximum(n_words, 1), 1 / np.maximum(size, 1)
     out = {"log_bytes": np.log1p(size), "log_words": np.log1p(n_words)}
-    share = {}
     for name, table in _CLASSES.items():
-        total = np.concatenate([[0], np.cumsum(table[data])])
-        share[name] = total
-        out[name] = (total[offsets[1:]] - total[offsets[:-1]]) * per_byte
+        out[name] = _inside(table[data], offsets) * per_byte
     length = ends - starts
     out["word_bytes"] = np.bincount(rows, length, n) * per_word
     longest = np.zeros(n)
     np.maximum.at(longest, rows, length)
     out["longest_word"] = longest
     out["short_words"] = np.bincount(rows[length <= 3], minlength=n) * per_word
-    for name, classes in (("symbol_words", ("symbol", "bar", "bang")), ("upper_words", ("upper",))):
-        inside = sum(share[c][ends] - share[c][starts] for c in classes)
-        out[name] = np.bincount(rows[inside >= (2 if name == "upper_words" else 1)], minlength=n) * per_word
+    for name, table, least in (("symbol_words", _CLASSES["symbol"] | _CLASSES["bar"] | _CLASSES["bang"], 1), ("upper_words", _CLASSES["upper"], 2)):
+        total = np.concatenate([[0], np.cumsum(table[data], dtype=np.int32)])
+        out[name] = np.bincount(rows[total[ends] - total[starts] >= least], minlength=n) * per_word
     h = blocks.hashes(data, starts, ends)
     kinds, top = _distinct(h, rows, n)
     out["distinct_words"], out["top_word"] = kinds * per_word, top * per_word
@@ -178,7 +184,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_pe
     """Trees learnt from at most ``most_per_class`` rows of each class, outside the held-out fold."""
     sample = sample_labels(labels, label, most_per_class)
     schema = T.StructType([documents.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    rows = sampled_texts(documents, sample).mapInArrow(_measured, schema).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = sampled_texts(documents, sample).mapInArrow(blocks.released(_measured), schema).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     y = rows.column("label").to_numpy().astype(float)
     x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), len(FEATURES))
     sizes = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
@@ -201,7 +207,7 @@ def with_score(documents: DataFrame, trees: Trees, name: str = "score") -> DataF
                 s = shared.value.score(statistics(*blocks.bytes_of(piece.column("text"))))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(s)], [*piece.schema.names, name])
 
-    return kept.mapInArrow(scored, schema)
+    return kept.mapInArrow(blocks.released(scored), schema)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
