@@ -49,7 +49,7 @@ def _order(doc_id: Column) -> Column:
     return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def mix(documents: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_rows: int = 100_000) -> DataFrame:
+def mix(documents: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_rows: int = 10_000) -> DataFrame:
     """doc_id, text_crc32, mix_group, slot, position, in_mix of every row; `position` runs gapless from 0.
 
     The period is a parameter, so its pattern is small; numbers of rows are kept for the groups alone.

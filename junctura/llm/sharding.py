@@ -81,7 +81,7 @@ def _closing_in(rows: DataFrame, aims: dict[int, dict], cells: int) -> dict[int,
     return found
 
 
-def shards(documents: DataFrame, n_shards: int = 24, cells: int = 1 << 16, bucket_rows: int = 100_000) -> DataFrame:
+def shards(documents: DataFrame, n_shards: int = 24, cells: int = 1 << 16, bucket_rows: int = 10_000) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = stored(metadata(documents), "metadata")
     nodes: dict[int, Node] = {0: Node(n_shards, 0)}
