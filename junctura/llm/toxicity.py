@@ -182,12 +182,12 @@ def _class_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _telling_terms(texts: DataFrame, sizes: dict[int, int], least: int, most: int) -> np.ndarray:
-    """The terms whose share of documents differs most between the classes, by a two-sample z of 6 or more."""
+    """The terms whose share of documents differs most between the classes, by a two-sample z of 4.5 or more."""
     n0, n1 = max(sizes.get(0, 0), 1), max(sizes.get(1, 0), 1)
     share = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-    kinds = texts.mapInArrow(_class_terms, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    kept = kinds.where((F.col("n0") + F.col("n1") >= least) & (z >= 6)).orderBy(z.desc(), "term").limit(most)
+    kinds = texts.mapInArrow(blocks.released(_class_terms), "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    kept = kinds.where((F.col("n0") + F.col("n1") >= least) & (z >= 4.5)).orderBy(z.desc(), "term").limit(most)
     return np.sort(kept.select("term").toArrow().column("term").to_numpy().view(np.uint64))
 
 
@@ -204,7 +204,7 @@ def _frequencies(documents: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarr
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["term", "n"])
 
-    rows = documents.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = documents.select("text").mapInArrow(blocks.released(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(vocabulary), np.int64)
     n_all = 0
     for r in rows:
@@ -219,7 +219,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most_per_
     """Examples and vocabulary from at most ``most_per_class`` labelled rows of each class, frequencies from all documents."""
     sample = stored(sampled_texts(documents, sample_labels(labels, label, most_per_class)), "examples")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    vocabulary = _telling_terms(sample, sizes, 8, most_terms)
+    vocabulary = _telling_terms(sample, sizes, 3, most_terms)
     frequency, n_all = _frequencies(documents, vocabulary)
     idf = np.log((1 + n_all) / (1 + frequency)) + 1
 
@@ -232,7 +232,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most_per_
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), piece.column("label"), *lists], ["doc_id", "label", "terms", "counts"])
 
     schema = "doc_id long, label int, terms array<long>, counts array<long>"
-    examples = sample.mapInArrow(vectors, schema).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    examples = sample.mapInArrow(blocks.released(vectors), schema).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     n = examples.num_rows
     ids, y = examples.column("doc_id").to_numpy(), examples.column("label").to_numpy().astype(np.int64)
     lengths = np.array([len(t) for t in examples.column("terms").to_pylist()], np.int64)
@@ -277,7 +277,7 @@ def with_score(documents: DataFrame, model: Neighbours, name: str = "score", evi
                 more = [(evidence, pa.array(near, _EVIDENCE))] if evidence else []
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores), *(v for _, v in more)], [*piece.schema.names, name, *(n for n, _ in more)])
 
-    return kept.mapInArrow(scored, schema)
+    return kept.mapInArrow(blocks.released(scored), schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
