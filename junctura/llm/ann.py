@@ -3,7 +3,7 @@
 Every tree gives each distinct vector a string of 32 bits: the sides of 32 random hyperplanes through
 the mean of a sample. A query descends each tree to the entries that share the longest prefix with
 its string, and all trees ascend together, one bit at a time, until the entries reached, summed over
-the trees, are ``share`` of the index. Counts of the strings by prefix settle that level for every
+the trees, are ``share`` of the index and ``least`` a tree. Counts of the strings by prefix settle that level for every
 query beforehand; then the trees' strings are dealt out by their first bits (long runs in parts), and
 each task keeps its part as a sorted array, in which the entries with the query's prefix are one
 slice. Exact Euclidean distances on the original vectors rank them; each task gives up the few
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from junctura.llm import blocks
 from junctura.llm.scratch import stored
 
 BITS = 32
@@ -107,7 +108,7 @@ def _ranked(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 24, share: float = 1.0, part_rows: int = 16_384, column: str = "embedding", seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 24, share: float = 1.0, least: int = 64, part_rows: int = 16_384, column: str = "embedding", seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     rows = stored(usable(vectors, column), "vectors")
     asking = rows.where(F.col("vec_id") % every == 0).select("v", F.col("vec_id").alias("query_id")).distinct()
@@ -117,7 +118,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 24,
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1)
     planes = np.random.default_rng(seed).normal(size=(trees * BITS, x.shape[1]))
-    hashed = stored(index.select("entry", "query", "v").mapInArrow(_strings(planes, x.mean(0)), "entry long, query boolean, strings array<long>"), "strings")
+    hashed = stored(index.select("entry", "query", "v").mapInArrow(blocks.released(_strings(planes, x.mean(0))), "entry long, query boolean, strings array<long>"), "strings")
     # Synchronous ascent: counts by prefix, from long to short; a query stops where the trees together reach the share.
     flat = hashed.select("entry", "query", F.posexplode("strings").alias("tree", "string"))
     prefix = lambda level: F.shiftright("string", BITS - level)
@@ -126,7 +127,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 24,
     levels = levels.groupBy("tree", "level", "prefix").agg(F.sum("n").alias("n"))
     reached = flat.where("query").select("entry", "tree", F.posexplode(F.array(*(prefix(x) for x in range(_DEEPEST + 1)))).alias("level", "prefix"))
     total = index.count()
-    stops = reached.join(levels, ["tree", "level", "prefix"]).groupBy("entry", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= share * total)
+    need = min(max(share * total, trees * least), trees * (total - 1))
+    stops = reached.join(levels, ["tree", "level", "prefix"]).groupBy("entry", "level").agg(F.sum(F.col("n") - 1).alias("n")).where(F.col("n") >= need)
     stops = stored(stops.groupBy("entry").agg(F.max("level").alias("level")), "levels")
     top = stops.agg(F.min("level")).first()[0] or 0
     # Parts: the entries of a tree with equal first bits; long runs are dealt out by entry.
