@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.llm import blocks
@@ -225,27 +225,43 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 FILTER_BITS = 1 << 25
 
 
-def only_members(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose doc_id may be among ``ids`` (id): all that are, and few others.
+def _spot(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+
+
+def _among(table: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
+    """The rows of ``table`` whose doc_id may be among ``ids`` (id), or else those for which it is certain that it is not.
 
     A bit for each hashed id is set in a table of fixed size, which is broadcast; with far more ids
-    than bits it lets more rows through, but never drops one of the ids.
+    than bits it tells fewer rows apart, but never puts one of the ids on the wrong side.
     """
-    word, bit = F.shiftright(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)), 5), F.pmod(F.xxhash64("id"), F.lit(32)).cast("int")
-    set_ = ids.groupBy(word.cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), bit)).alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS >> 5, np.uint32)
-    table[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint32)
-    shared = texts.sparkSession.sparkContext.broadcast(table)
-    names = texts.columns
+    spot = _spot(F.col("id").cast("long"))
+    word, bit = F.shiftright(spot, 5).cast("int"), (spot % 32).cast("int")
+    set_ = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), bit)).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 5, np.uint32)
+    bits[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint32)
+    shared = table.sparkSession.sparkContext.broadcast(bits)
+    names = table.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spot = batch.column("_spot").to_numpy()
-            keep = shared.value[spot >> 5] >> (spot & 31).astype(np.uint32) & 1
-            yield batch.select(names).filter(pa.array(keep.astype(bool)))
+            spots = batch.column("_spot").to_numpy()
+            found = (shared.value[spots >> 5] >> (spots & 31).astype(np.uint32) & 1).astype(bool)
+            yield batch.select(names).filter(pa.array(found if inside else ~found))
+
+    return table.withColumn("_spot", _spot(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))).mapInArrow(blocks.released(run), table.schema)
+
+
+def only_members(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ``ids`` (id), and a few others: what is worth taking to a join."""
+    return _among(table, ids, True)
+
 
-    spotted = texts.withColumn("_spot", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.lit(FILTER_BITS)))
-    return spotted.mapInArrow(blocks.released(run), texts.schema)
+def without(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among ``ids`` (id), null ones included; only rows in doubt are shuffled."""
+    doubtful = only_members(table, ids)
+    kept = doubtful.join(ids.select(F.col("id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+    return _among(table, ids, False).unionByName(kept)
 
 
 _EDGE = ["a", "b"]
