@@ -5,11 +5,13 @@
    apostrophes, control characters or "<|") and Latin-1 letters, where that border also ends a token
    of the vocabulary's own splitting. Any other word stays whole and as it is. Every word is thus
    encoded alone as it would be in its text; simple words are lower-cased (A-Z) first.
-2. Each distinct word is encoded once, and its ids are joined with the vocabulary's id-to-piece table
-   (a map-side join: the table is as small as the vocabulary) to decode it.
+2. Each distinct word is encoded once: words that occur twice or more in a table of words, words that
+   occur a single time in their only place. Ids are joined with the vocabulary's id-to-piece table
+   (a map-side join: the table is as small as the vocabulary) to decode them.
 3. Ids go back to their positions: of the distinct-word table the ``most_words`` most frequent are
-   broadcast, a bound that does not grow with the data; all other words travel as (document,
-   position, word) rows through a join with the table and meet their document again.
+   broadcast, a bound that does not grow with the data; the table's other words travel as (block, position,
+   word) rows through a join with the table and meet their block of documents again. A block is
+   about a megabyte of neighbouring texts, compressed for that meeting.
 
 The vocabulary must lower-case its text, end words at white space and have no decoder of its own
 (pieces are then joined by one space). Special tokens written out in a text count as such, as the
@@ -24,10 +26,13 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,24 +61,30 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         kind[:-1][(data[:-1] == 60) & (data[1:] == 124)] = _WHOLE
     inside = kind != _SPACE
     starts, ends = blocks.runs(inside, offsets)
-    whole = np.concatenate([[0], np.cumsum(kind == _WHOLE)])
-    hard = whole[ends] > whole[starts]
-    step = np.zeros(len(data) + 1, np.int32)
-    np.add.at(step, starts[hard], 1)
-    np.add.at(step, ends[hard], -1)
-    within = np.cumsum(step[:-1]) > 0
-    kind[within] = _WHOLE
+    hard = np.unique(np.searchsorted(starts, np.flatnonzero(kind == _WHOLE), "right") - 1)
+    lower = blocks.LOWER[data]
+    for a, b in zip(starts[hard].tolist(), ends[hard].tolist(), strict=True):
+        kind[a:b] = _WHOLE
+        lower[a:b] = data[a:b]
     cut = np.zeros(len(data), bool)
-    cut[1:] = kind[1:] != kind[:-1]
+    np.not_equal(kind[1:], kind[:-1], out=cut[1:])
     starts, ends = blocks.runs(inside, offsets, cut)
-    return np.where(within, data, blocks.LOWER[data]), blocks.row_of(starts, offsets), starts, ends
+    return lower, blocks.row_of(starts, offsets), starts, ends
+
+
+def _kinds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first occurrence of each distinct hash, and its frequency."""
+    codes, kinds = pd.factorize(h)
+    first = np.empty(len(kinds), np.int64)
+    first[codes[::-1]] = np.arange(len(h))[::-1]
+    return first, np.bincount(codes, minlength=len(kinds))
 
 
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in blocks.pieces(batch, "text", 8 << 20):
+        for piece in blocks.pieces(batch, "text", 4 << 20):
             data, _, starts, ends = split(*blocks.bytes_of(piece.column("text")))
-            _, at, counts = np.unique(blocks.hashes(data, starts, ends), return_index=True, return_counts=True)
+            at, counts = _kinds(blocks.hashes(data, starts, ends))
             raw = data.tobytes()
             words = pa.array([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(counts)], ["word", "n"])
@@ -93,24 +104,68 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, p) for p, i in entries.items()], "id int, piece string")
 
 
-def word_table(documents: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids, pieces) of each distinct word: its frequency, its ids and their pieces."""
-    spark = documents.sparkSession
-    counts = documents.select("text").mapInArrow(_distinct_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    with open(path, encoding="utf-8") as file:
-        content = spark.sparkContext.broadcast(file.read())
+def word_counts(documents: DataFrame) -> DataFrame:
+    """(word, n) of each distinct word."""
+    return documents.select("text").mapInArrow(blocks.released(_distinct_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class _Encoder:
+    """The library's tokenizer, made from the vocabulary file's content in each task."""
+
+    def __init__(self, content: str) -> None:
+        self.tokenizer = _tokenizer(content)
+        self.piece_of = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+
+    def ids(self, words: list[str]) -> list[str]:
+        """Of each word its ids as decimals joined by one space."""
+        return [" ".join(map(str, e.ids)) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def pieces(self, ids: str) -> str:
+        """The id-to-piece join of one word's ids."""
+        return " ".join([self.piece_of[int(i)] for i in ids.split()])
+
+
+@lru_cache(maxsize=1)
+def _encoder(content: str) -> _Encoder:
+    """One encoder for all tasks of a worker."""
+    return _Encoder(content)
+
+
+def word_table(counts: DataFrame, content: Broadcast) -> DataFrame:
+    """(word, n, ids) with every word of ``counts`` encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(content.value)
-        piece_of = {i: p for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+        encoder = _encoder(content.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                ids = [e.ids for e in tokenizer.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)]
-                pieces = [" ".join([piece_of[i] for i in w]) for w in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(pieces)], ["word", "n", "ids", "pieces"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(encoder.ids(part.column("word").to_pylist()), pa.string())], ["word", "n", "ids"])
 
-    return counts.mapInArrow(encode, "word string, n long, ids array<int>, pieces string")
+    return counts.mapInArrow(blocks.released(encode), "word string, n long, ids string")
+
+
+#: Bits of the filter that tells repeated words from most others, whatever their number.
+FILTER_BITS = 1 << 25
+
+
+def _repeated(words: DataFrame) -> np.ndarray:
+    """A bit for each hashed word of a table, gathered by Spark; its size is fixed."""
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = blocks.bytes_of(batch.column("word"))
+            spot = (blocks.hashes(data, offsets[:-1], offsets[1:]) % np.uint64(FILTER_BITS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((spot >> 5).astype(np.int32)), pa.array(np.left_shift(np.uint32(1), (spot & 31).astype(np.uint32)).view(np.int32))], ["at", "bits"])
+
+    rows = words.select("word").mapInArrow(spots, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS >> 5, np.uint32)
+    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint32)
+    return table
+
+
+def _has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    spot = (h % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (table[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
 
 
 def decode(sequences: DataFrame, vocabulary: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -124,16 +179,15 @@ def decode(sequences: DataFrame, vocabulary: DataFrame, key: str = "doc_id", ids
 class _Frequent:
     """The frequent part of the word table, sorted by the words' hashes."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, encoder: _Encoder) -> None:
         data, offsets = blocks.bytes_of(table.column("word"))
         h = blocks.hashes(data, offsets[:-1], offsets[1:])
         order = np.argsort(h)
         self.hashes = h[order]
-        lists = table.column("ids").to_pylist()
-        self.size = np.array([len(w) for w in lists], np.int64)[order]
-        self.ids = [" ".join(map(str, lists[k])).encode() for k in order]
-        pieces = table.column("pieces").to_pylist()
-        self.pieces = [pieces[k].encode() for k in order]
+        ids = table.column("ids").to_pylist()
+        self.ids = [ids[k].encode() for k in order]
+        self.size = np.array([len(w.split()) for w in self.ids], np.int64)
+        self.pieces = [encoder.pieces(ids[k]).encode() for k in order]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the table, and which words are there."""
@@ -143,21 +197,15 @@ class _Frequent:
         return at, self.hashes[at] == h
 
 
-def _rare(rows: np.ndarray, h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Places of the first occurrence, in its row, of each word that is not known."""
-    at = np.flatnonzero(~known)
-    order = at[np.lexsort((at, h[at], rows[at]))]
-    new = np.ones(len(order), bool)
-    new[1:] = (rows[order][1:] != rows[order][:-1]) | (h[order][1:] != h[order][:-1])
-    return np.sort(order[new])
-
-
-def _text_key(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return blocks.hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
+def _block_key(raw: np.ndarray, ids: list) -> int:
+    """Names a block of documents by what it holds, so that every reading of it finds the same name."""
+    h = hashlib.blake2b(raw.tobytes(), digest_size=8)
+    h.update(repr(ids).encode())
+    return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def _frequent_words(table: DataFrame, most: int) -> pa.Table:
-    """The words more frequent than a threshold under which at most ``most`` of them remain."""
+def _frequent_words(table: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
+    """The words more frequent than a threshold under which at most ``most`` of them remain, and the rest of the table."""
     level = F.floor(F.log2("n") * 16).cast("int")
     room, floor = most, None
     for r in table.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
@@ -166,81 +214,96 @@ def _frequent_words(table: DataFrame, most: int) -> pa.Table:
             break
         floor = r["level"]
     kept = table.where(level >= floor) if floor is not None else table.limit(0)
-    return kept.select("word", "ids", "pieces").toArrow()
+    return kept.select("word", "ids").toArrow(), table.where(level < floor) if floor is not None else table
 
 
 def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
-    words = stored(word_table(texts, path), "words")
-    frequent = spark.sparkContext.broadcast(_Frequent(_frequent_words(words, most_words)))
+    with open(path, encoding="utf-8") as file:
+        content = spark.sparkContext.broadcast(file.read())
+    words = stored(word_table(word_counts(texts).where("n > 1"), content), "words")
+    known, others = _frequent_words(words, most_words)
+    frequent = spark.sparkContext.broadcast(_Frequent(known, _Encoder(content.value)))
+    repeated = spark.sparkContext.broadcast(_repeated(others))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in blocks.pieces(batch, "text"):
                 raw, offsets = blocks.bytes_of(piece.column("text"))
-                data, rows, starts, ends = split(raw, offsets)
+                data, _, starts, ends = split(raw, offsets)
                 h = blocks.hashes(data, starts, ends)
-                at = _rare(rows, h, frequent.value.find(h)[1])
-                begin = np.searchsorted(rows, np.arange(piece.num_rows))
-                text = data.tobytes()
+                at = np.flatnonzero(~frequent.value.find(h)[1] & _has(repeated.value, h))
+                at = at[_kinds(h[at])[0]]
+                text, key = data.tobytes(), _block_key(raw, piece.column("doc_id").to_pylist())
                 found = pa.array([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary())
-                owner = rows[at]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(owner)), pa.array(_text_key(raw, offsets)[owner]), pa.array(at - begin[owner]), found.cast(pa.string())], ["doc_id", "key", "at", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32)), found.cast(pa.string())], ["block", "at", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for piece in blocks.pieces(batch, "text"):
                 raw, offsets = blocks.bytes_of(piece.column("text"))
-                whole = raw.tobytes()
-                blobs = [press.compress(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(_text_key(raw, offsets)), pa.array(blobs, pa.binary())], ["doc_id", "key", "blob"])
-
-    ident = texts.schema["doc_id"]
-    long, binary = T.LongType(), T.BinaryType()
-    spots = texts.mapInArrow(rare, T.StructType([ident, T.StructField("key", long), T.StructField("at", long), T.StructField("word", T.StringType())]))
-    back = spots.join(words, "word").groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "ids", "pieces")).alias("rare"))
-    blobs = texts.mapInArrow(packed, T.StructType([ident, T.StructField("key", long), T.StructField("blob", binary)]))
-    blobs, back = blobs.alias("t"), back.alias("r")
-    met = blobs.join(back, F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.key") == F.col("r.key")), "left").select("t.doc_id", "t.blob", "r.rare")
+                ids = piece.column("doc_id")
+                key, one = _block_key(raw, ids.to_pylist()), pa.array([0, piece.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(one, v) for v in (ids, pa.array(np.diff(offsets)))]
+                yield pa.RecordBatch.from_arrays([pa.array([key]), *lists, pa.array([press.compress(raw.tobytes())], pa.binary())], ["block", "ids", "sizes", "blob"])
+
+    ident, long = texts.schema["doc_id"].dataType, T.LongType()
+    spots = texts.mapInArrow(blocks.released(rare), "block long, at int, word string")
+    back = spots.join(others.select("word", "ids"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+    packs = texts.mapInArrow(blocks.released(packed), T.StructType([T.StructField("block", long), T.StructField("ids", T.ArrayType(ident)), T.StructField("sizes", T.ArrayType(long)), T.StructField("blob", T.BinaryType())]))
+    met = packs.join(back, "block", "left").select("ids", "sizes", "blob", "rare")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, unpress = frequent.value, zstandard.ZstdDecompressor()
+        encoder, unpress = _encoder(content.value), zstandard.ZstdDecompressor()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                text = pa.array([unpress.decompress(b) for b in part.column("blob").to_pylist()], pa.large_binary()).cast(pa.large_string())
-                rows_in = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rare"), text], ["doc_id", "rare", "text"])
-                for piece in blocks.pieces(rows_in, "text"):
-                    yield _finished(piece, known_words)
+            for k in range(batch.num_rows):
+                ids, sizes, blob, rare = (batch.column(c)[k] for c in ("ids", "sizes", "blob", "rare"))
+                yield _finished(ids.values, sizes.values.to_numpy(), unpress.decompress(blob.as_py()), rare, frequent.value, encoder)
 
-    return met.mapInArrow(finish, T.StructType([ident, T.StructField("n_tokens", long), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+    return met.mapInArrow(blocks.released(finish), T.StructType([texts.schema["doc_id"], T.StructField("n_tokens", long), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
 
 
-def _finished(piece: pa.RecordBatch, words: _Frequent) -> pa.RecordBatch:
-    data, rows, starts, ends = split(*blocks.bytes_of(piece.column("text")))
+def _finished(ids: pa.Array, sizes: np.ndarray, raw: bytes, rare: pa.Scalar, words: _Frequent, encoder: _Encoder) -> pa.RecordBatch:
+    """The rows of one block: ids and pieces of its words in their places."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    data, rows, starts, ends = split(np.frombuffer(raw, np.uint8), offsets)
     h = blocks.hashes(data, starts, ends)
     at, known = words.find(h)
-    first = blocks.counted(h, rows, piece.num_rows)
-    counts, shas = np.zeros(piece.num_rows, np.int64), ([], [])
-    for row, rare in enumerate(piece.column("rare").to_pylist()):
-        a, b = first[row], first[row + 1]
-        places, have = at[a:b], known[a:b]
-        inside = places.tolist()
-        total = int(words.size[places[have]].sum()) if len(places) else 0
-        texts = [[table[i] for i in inside] for table in (words.ids, words.pieces)] if len(words.ids) else [[b""] * (b - a) for _ in range(2)]
-        missing = np.flatnonzero(~have)
-        if len(missing):
-            by_hash = {int(h[a + r["at"]]): (len(r["ids"]), " ".join(map(str, r["ids"])).encode(), r["pieces"].encode()) for r in rare}
-            for k, x in zip(missing.tolist(), h[a + missing].tolist(), strict=True):
-                n, texts[0][k], texts[1][k] = by_hash[x]
-                total += n
-        counts[row] = total
-        for out, parts in zip(shas, texts, strict=True):
-            out.append(hashlib.sha256(b" ".join(filter(None, parts))).hexdigest())
-    return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(counts), *map(pa.array, shas)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    size = words.size[at] if len(words.size) else np.zeros(len(h), np.int64)
+    extra, place = [[], []], np.zeros(0, np.int64)
+    missing = np.flatnonzero(~known)
+    if len(missing):
+        first, _ = _kinds(h[missing])  # the block's own words, each at its first place
+        spots = missing[first]
+        own: list[str | None] = [None] * len(spots)
+        place_of = {int(x): k for k, x in enumerate(h[spots])}
+        if rare.is_valid:
+            found = rare.values
+            for x, w in zip(h[found.field("at").to_numpy()].tolist(), found.field("ids").to_pylist(), strict=True):
+                own[place_of[x]] = w
+        alone = [k for k, w in enumerate(own) if w is None]  # words that occur nowhere else
+        text = data.tobytes()
+        for k, w in zip(alone, encoder.ids([text[starts[spots[k]] : ends[spots[k]]].decode() for k in alone]), strict=True):
+            own[k] = w
+        place = np.array([place_of[x] for x in h[missing].tolist()])
+        at[missing] = 0
+        size[missing] = np.array([len(w.split()) for w in own])[place]
+        extra = [[w.encode() for w in own], [encoder.pieces(w).encode() for w in own]]
+    first = blocks.counted(h, rows, len(ids))
+    counts = np.diff(np.concatenate([[0], np.cumsum(size)])[first])
+    places, bounds, shas = at.tolist(), first.tolist(), []
+    for column, own in zip((words.ids, words.pieces), extra, strict=True):
+        parts = [column[k] for k in places] if column else [b""] * len(places)
+        for k, p in zip(missing.tolist(), place.tolist(), strict=True):
+            parts[k] = own[p]
+        if not all(parts):  # words without any token, such as a lone space of another kind, leave nothing
+            shas.append([hashlib.sha256(b" ".join(filter(None, parts[a:b]))).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        else:
+            shas.append([hashlib.sha256(b" ".join(parts[a:b])).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    return pa.RecordBatch.from_arrays([ids, pa.array(counts), *map(pa.array, shas)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def default_path() -> str:
