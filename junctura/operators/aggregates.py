@@ -71,8 +71,7 @@ def arrival_on_red_hourly(tables: Tables) -> DataFrame:
 def coordination_quality_hourly(tables: Tables, tolerance: float = 2.0) -> DataFrame:
     """Cycles of the coordinated phase that end in the hour, against the hour's own mean length."""
     rows = tables.phase_events(GREEN).where("phase = 2").withColumn("length", seconds(F.col("t") - F.lag("t").over(along(["signal_id"], ("t",))))).where("length is not null").withColumn("bin", _bin(HOUR))
-    means = rows.groupBy("signal_id", "bin").agg(settled(F.avg("length")).alias("mean"))
-    rows = rows.join(means, ["signal_id", "bin"]).withColumn("error", F.abs(F.col("length") - F.col("mean")))
+    rows = rows.withColumn("mean", settled(F.avg("length").over(Window.partitionBy("signal_id", "bin")))).withColumn("error", F.abs(F.col("length") - F.col("mean")))
     good = _n(F.col("error") <= tolerance)
     return _dated(rows.groupBy("signal_id", "bin").agg(F.count("*").alias("total_cycles"), good.alias("within_tolerance"), (good * 100.0 / F.count("*")).alias("quality_pct"), F.max("mean").alias("avg_cycle_seconds"), settled(F.avg("error")).alias("avg_offset_error")))
 

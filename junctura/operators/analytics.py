@@ -76,8 +76,7 @@ def phases_terminations(tables: Tables) -> DataFrame:
 def _drifts(tables: Tables) -> DataFrame:
     """Cycle lengths of the coordinated phase and their distance from the signal's mean."""
     greens = tables.phase_events(GREEN).where("phase = 2").withColumn("length", seconds(F.col("t") - F.lag("t").over(along(["signal_id"], ("t",))))).where("length is not null")
-    means = greens.groupBy("signal_id").agg(settled(F.avg("length")).alias("mean"))
-    return greens.join(means, "signal_id").withColumn("drift", F.abs(F.col("length") - F.col("mean")))
+    return greens.withColumn("mean", settled(F.avg("length").over(Window.partitionBy("signal_id")))).withColumn("drift", F.abs(F.col("length") - F.col("mean")))
 
 
 def coordination_offset_drift(tables: Tables) -> DataFrame:

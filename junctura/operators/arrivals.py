@@ -24,8 +24,9 @@ def arrival_on_red(tables: Tables, minutes: int = 15, yellow_as_red: bool = True
     state = last(F.when(F.col("code") == GREEN, 0).when(F.col("code").isin(*ends), 1), along(PHASE))
     hits = tables.stream((GREEN, YELLOW, RED)).withColumn("red", F.coalesce(state, F.lit(1))).where(F.col("code") == ON)
     binned = hits.groupBy("signal_id", bin_of_hour(F.col("t"), minutes).alias("bin"), "phase").agg(F.count("*").alias("total_detections"), F.sum("red").alias("arrivals_on_red"))
-    totals = binned.groupBy("signal_id").agg(F.sum("total_detections").alias("total_detector_hits"), F.sum("arrivals_on_red").alias("total_arrival_on_red"))
-    return binned.join(totals, "signal_id").select(
+    whole = Window.partitionBy("signal_id")
+    binned = binned.withColumn("total_detector_hits", F.sum("total_detections").over(whole)).withColumn("total_arrival_on_red", F.sum("arrivals_on_red").over(whole))
+    return binned.select(
         "signal_id", timestamp(F.col("bin")).alias("bin_start"), F.col("phase").alias("phase_number"), "total_detections", "arrivals_on_red",
         share(F.col("arrivals_on_red"), F.col("total_detections")).alias("pct_arrivals_on_red"),
         (F.col("total_detections") * (60.0 / minutes)).alias("total_vehicles_per_hour"), (F.col("arrivals_on_red") * (60.0 / minutes)).alias("arrivals_on_red_per_hour"),

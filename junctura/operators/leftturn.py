@@ -63,15 +63,20 @@ def left_turn_gap(tables: Tables, opposing_lanes: int | None = None, left_turn_p
     g, crit = F.col("gap"), F.col("critical")
     per = sized.groupBy(*PHASE, "cycle").agg(F.count("*").alias("total"), n(g >= crit).alias("sufficient"), n((g >= crit - MARGINAL_BAND) & (g < crit)).alias("marginal"), n(g < crit - MARGINAL_BAND).alias("insufficient"), settled(F.avg("gap")).alias("avg"), F.max("gap").alias("max"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    cycles = base.where("end is not null").join(per, [*PHASE, "cycle"], "left").select(*PHASE, "green", "end", "ped", *(zero(c).alias(c) for c in ("total", "sufficient", "marginal", "insufficient")), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg", "max")))
+    phase = Window.partitionBy(*PHASE)
+    base = base.withColumn("dq_total_detector_hits", F.sum(F.when(F.col("cycle") > 0, F.col("hits")).otherwise(0)).over(phase)).withColumn("ped_total_calls", F.sum("calls").over(phase))
+    cycles = base.where("end is not null").join(per, [*PHASE, "cycle"], "left").select(*PHASE, "green", "end", "ped", "dq_total_detector_hits", "ped_total_calls", *(zero(c).alias(c) for c in ("total", "sufficient", "marginal", "insufficient")), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg", "max")))
     hours = (END - START) / HOUR
-    seen = base.groupBy(*PHASE).agg(F.sum(F.when(F.col("cycle") > 0, F.col("hits")).otherwise(0)).alias("dq_total_detector_hits"), F.sum("calls").alias("ped_total_calls"))
-    sums = cycles.groupBy(*PHASE).agg(F.count("*").alias("dq_total_cycles"), F.sum("ped").alias("ped_calls_during_green"), n(F.col("ped") > 0).alias("ped_cycles_with_ped"))
-    hourly = cycles.groupBy(*PHASE, bin_of(F.col("green"), HOUR).alias("hour")).agg(F.count("*").alias("peak_cycles"), *(F.sum(c).alias(f"peak_{c}_gaps") for c in ("total", "sufficient", "marginal", "insufficient")))
-    first = Window.partitionBy(*PHASE).orderBy(F.desc("peak_total_gaps"), "hour")
-    peak = hourly.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    by_phase, by_hour = Window.partitionBy(*PHASE), Window.partitionBy(*PHASE, "hour")
+    sizes = ("total", "sufficient", "marginal", "insufficient")
+    out = cycles.withColumn("hour", bin_of(F.col("green"), HOUR)).withColumn("peak_cycles", F.count("*").over(by_hour))
+    for c in sizes:
+        out = out.withColumn(f"peak_{c}_gaps", F.sum(c).over(by_hour))
+    # The peak hour is the one with the most gaps, the first of equals; its figures go on every row.
+    best = F.max(F.struct("peak_total_gaps", (-F.col("hour")).alias("minus"), "peak_cycles", *(f"peak_{c}_gaps" for c in sizes[1:]))).over(by_phase)
+    out = out.withColumn("best", best).select(*PHASE, "green", "end", "ped", *sizes, "avg", "max", "dq_total_detector_hits", "ped_total_calls", (-F.col("best.minus")).alias("hour"), "best.peak_cycles", *(f"best.peak_{c}_gaps" for c in sizes))
+    out = out.withColumn("dq_total_cycles", F.count("*").over(by_phase)).withColumn("ped_calls_during_green", F.sum("ped").over(by_phase)).withColumn("ped_cycles_with_ped", F.sum(F.when(F.col("ped") > 0, 1).otherwise(0)).over(by_phase))
     rate = F.col("dq_total_detector_hits") / F.lit(hours)
-    out = cycles.join(sums, PHASE).join(seen, PHASE).join(peak, PHASE)
     out = out.select(
         "signal_id", F.col("phase").alias("phase_number"), timestamp(F.col("green")).alias("cycle_start"), seconds(F.col("end") - F.col("green")).alias("green_duration"),
         F.col("total").alias("total_gaps"), F.col("sufficient").alias("sufficient_gaps"), F.col("marginal").alias("marginal_gaps"), F.col("insufficient").alias("insufficient_gaps"),
@@ -102,30 +107,30 @@ def weekday(t: Column) -> Column:
 
 def left_turn_volume(tables: Tables, approach_type: str = "permissive", days: tuple[int, ...] = (0, 1, 2, 3, 4, 5, 6), first: float = 0.0, final: float = 24.0, opposing: dict[int, int] = OPPOSING, am: tuple[int, int] = (6, 9), pm: tuple[int, int] = (15, 18)) -> DataFrame:
     """Left-turn and opposing through volumes of each approach by quarter hour, with the review figures on each row."""
-    facing = tables.spark.createDataFrame(list(opposing.items()), "phase int, opp_phase int")
-    lefts = tables.approaches.join(facing, "phase")
-    opp = tables.approaches.select("signal_id", F.col("phase").alias("opp_phase"), F.col("direction").alias("opp_direction"))
-    sides = lefts.join(opp, ["signal_id", "opp_phase"], "left")
-    through = tables.detectors.where("movement in ('T', 'TR', 'TL')").groupBy("signal_id", F.col("phase").alias("opp_phase")).agg(F.count("*").alias("lanes"))
-    sides = sides.join(through, ["signal_id", "opp_phase"], "left").select("signal_id", "approach_id", "phase", "opp_phase", "direction", F.coalesce("opp_direction", F.lit("Unknown")).alias("opposing_direction"), F.coalesce("lanes", F.lit(0)).alias("opposing_lanes"))
-    hits = tables.arrivals().where(weekday(F.col("t")).isin(*days) & in_hours(F.col("t"), first, final)).withColumn("bin", bin_of(F.col("t"), 15 * MINUTE))
-    counted = hits.groupBy("signal_id", "phase", "movement", "bin").agg(F.count("*").alias("n"))
-    lt = counted.where("movement = 'L'").join(sides.select("signal_id", "phase", "approach_id"), ["signal_id", "phase"]).select("signal_id", "approach_id", "bin", F.col("n").alias("lt"), F.lit(0).cast("long").alias("opp"))
-    ot = counted.where("movement in ('T', 'TR', 'TL')").withColumnRenamed("phase", "opp_phase").join(sides.select("signal_id", "opp_phase", "approach_id"), ["signal_id", "opp_phase"]).select("signal_id", "approach_id", "bin", F.lit(0).cast("long").alias("lt"), F.col("n").alias("opp"))
-    bins = lt.unionByName(ot).groupBy("signal_id", "approach_id", "bin").agg(F.sum("lt").alias("lt"), F.sum("opp").alias("opp"))
-    key = ["signal_id", "approach_id"]
-    slide = Window.partitionBy(*key, "part").orderBy("bin").rangeBetween(0, HOUR - 1)
+    as_map = lambda pairs: F.create_map(*(F.lit(v) for pair in pairs for v in pair))
+    facing, faced = as_map(opposing.items()), as_map((b, a) for a, b in opposing.items())
+    left, through = F.col("movement") == "L", F.col("movement").isin("T", "TR", "TL")
+    hits = tables.arrivals().where(weekday(F.col("t")).isin(*days) & in_hours(F.col("t"), first, final) & (left | through))
+    # A left turn counts for its own phase, a through movement for the phase that it faces.
+    hits = hits.select("signal_id", F.when(left, F.col("phase")).otherwise(F.try_element_at(faced, F.col("phase"))).alias("phase"), left.alias("left"), bin_of(F.col("t"), 15 * MINUTE).alias("bin"))
+    bins = hits.groupBy("signal_id", "phase", "bin").agg(F.count(F.when(F.col("left"), 1)).alias("lt"), F.count(F.when(~F.col("left"), 1)).alias("opp"))
+    lanes = tables.detectors.groupBy("signal_id", F.col("phase").alias("_opp")).agg(F.count(F.when(through, 1)).alias("lanes"))
+    opp = tables.approaches.select("signal_id", F.col("phase").alias("_opp"), F.col("direction").alias("opp_direction"))
+    sides = tables.approaches.withColumn("_opp", F.try_element_at(facing, F.col("phase"))).where("_opp is not null").join(opp, ["signal_id", "_opp"], "left").join(lanes, ["signal_id", "_opp"], "left")
+    sides = sides.select("signal_id", "approach_id", "phase", "direction", F.coalesce("opp_direction", F.lit("Unknown")).alias("opposing_direction"), F.coalesce("lanes", F.lit(0)).alias("opposing_lanes"))
+    slide = Window.partitionBy(*PHASE, "part").orderBy("bin").rangeBetween(0, HOUR - 1)
     hour = F.floor(F.col("bin") % (24 * HOUR) / HOUR)
     part = F.when((hour >= am[0]) & (hour < am[1]), "am").when((hour >= pm[0]) & (hour < pm[1]), "pm")
-    peaks = bins.withColumn("part", part).where("part is not null").withColumn("volume", F.sum("lt").over(slide))
-    best = peaks.groupBy(*key).agg(*(F.max(F.when(F.col("part") == p, F.struct("volume", (-F.col("bin")).alias("minus")))).alias(p) for p in ("am", "pm")))
-    totals = bins.groupBy(*key).agg(F.sum("lt").alias("left_turn_volume"), F.sum("opp").alias("opposing_through_volume"))
+    whole = Window.partitionBy(*PHASE)
+    bins = bins.withColumn("part", part).withColumn("volume", F.sum("lt").over(slide)).withColumn("left_turn_volume", F.sum("lt").over(whole)).withColumn("opposing_through_volume", F.sum("opp").over(whole))
+    for p in ("am", "pm"):
+        bins = bins.withColumn(p, F.max(F.when(F.col("part") == p, F.struct("volume", (-F.col("bin")).alias("minus")))).over(whole))
     many = F.col("opposing_lanes") > 1
     one, two = BOUNDARIES[approach_type, False], BOUNDARIES[approach_type, True]
     pick = lambda k: F.when(many, two[k]).otherwise(one[k])
     product = F.col("left_turn_volume").cast("double") * F.col("opposing_through_volume")
     boundary = pick(1) * F.col("left_turn_volume") * F.pow(F.col("opposing_through_volume").cast("double"), pick(0))
-    out = bins.join(totals, key).join(best, key, "left").join(sides, key).withColumn("boundary", boundary)
+    out = bins.join(sides, PHASE).withColumn("boundary", boundary)
     return out.select(
         "signal_id", "approach_id", timestamp(F.col("bin")).alias("bin_start"), F.col("lt").alias("left_turn_volume_bin"), F.col("opp").alias("opposing_through_volume_bin"), "direction", "opposing_direction",
         "left_turn_volume", "opposing_through_volume", "opposing_lanes", product.alias("cross_product_value"), (product > F.when(many, 100_000).otherwise(50_000)).alias("cross_product_review"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from junctura.functions.temporal import along, asof_backward, seconds, timestamp
@@ -24,8 +24,8 @@ def _with_plan(tables: Tables, code: int, count: str) -> DataFrame:
     there = F.col("plan_number").isNotNull() & (F.col("finish").isNull() | (F.col("finish") > F.col("t")))
     plan = F.when(there, F.col("plan_number").cast("string")).otherwise("unknown")
     rows = met.withColumn("plan", plan).withColumn("b", F.when(there, F.col("plan_begin")).otherwise(START)).withColumn("e", F.when(there, F.coalesce("finish", F.lit(END))).otherwise(END))
-    counts = rows.groupBy("signal_id", "plan").agg(F.count("*").alias(count))
-    return rows.join(counts, ["signal_id", "plan"]).select("signal_id", timestamp(F.col("t")).alias("event_time"), F.col("param").alias("event_param"), F.col("plan").alias("plan_number"), timestamp(F.col("b")).alias("plan_start"), timestamp(F.col("e")).alias("plan_end"), count)
+    counted = rows.withColumn(count, F.count("*").over(Window.partitionBy("signal_id", "plan")))
+    return counted.select("signal_id", timestamp(F.col("t")).alias("event_time"), F.col("param").alias("event_param"), F.col("plan").alias("plan_number"), timestamp(F.col("b")).alias("plan_start"), timestamp(F.col("e")).alias("plan_end"), count)
 
 
 def preempt_service(tables: Tables) -> DataFrame:

@@ -81,9 +81,10 @@ def phase_termination_anomaly(tables: Tables, as_of: int = END, sigmas: float =
     names = {"gap": GAP_OUT, "max": MAX_OUT, "force": FORCE_OFF}
     hourly = _recent(tables, as_of, 7 * 24 * HOUR, GREEN, GAP_OUT, MAX_OUT, FORCE_OFF).groupBy("signal_id", F.col("param").alias("phase"), bin_of(F.col("t"), HOUR).alias("hour")).agg(*(of(c).alias(n) for n, c in names.items())).withColumn("total", sum((F.col(n) for n in list(names)[1:]), F.col("gap")))
     ratio = lambda n: F.when(F.col("total") == 0, 0.0).otherwise(F.col(n) * 1.0 / F.col("total"))
-    base = hourly.groupBy("signal_id", "phase").agg(*(settled(f(ratio(n))).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("sd", F.stddev_pop))))
-    recent = hourly.where(F.col("hour") >= as_of - HOUR).groupBy("signal_id", "phase").agg(*(F.sum(n).alias(n) for n in (*names, "total")))
-    met = recent.select("signal_id", "phase", *(ratio(n).alias(f"{n}_ratio") for n in names)).join(base, ["signal_id", "phase"])
+    base = [settled(f(ratio(n))).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]
+    now = F.col("hour") >= as_of - HOUR
+    both = hourly.groupBy("signal_id", "phase").agg(*(F.sum(F.when(now, F.col(n))).alias(n) for n in (*names, "total")), *base).where("total is not null")
+    met = both.select("signal_id", "phase", *(ratio(n).alias(f"{n}_ratio") for n in names), *(f"{n}_{k}" for n in names for k in ("mean", "sd")))
     odd = F.lit(False)
     for n in names:
         odd |= (F.col(f"{n}_sd") > 0) & (F.abs(F.col(f"{n}_ratio") - F.col(f"{n}_mean")) > sigmas * F.col(f"{n}_sd"))

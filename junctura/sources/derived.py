@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.functions.temporal import along, micros
-from junctura.functions.vocabulary import DIRECTIONS, OFF, ON, named
+from junctura.functions.vocabulary import DIRECTIONS, OFF, ON
 
 START = 1_704_067_200_000_000
 END = START + 12 * 3_600_000_000
@@ -57,17 +57,22 @@ class Tables:
     @cached_property
     def approaches(self) -> DataFrame:
         """signal_id, approach_id, phase, direction, mph, ped_phase."""
-        rows = self.spark.createDataFrame([(p, d) for p, d in _PHASES], "phase int, direction_id int")
-        direction = named(F.col("direction_id"), DIRECTIONS)
-        return self.signals.crossJoin(rows).select("signal_id", F.concat("signal_id", F.lit("-P"), F.col("phase").cast("string")).alias("approach_id"), "phase", direction.alias("direction"), F.lit(35).alias("mph"), F.col("phase").alias("ped_phase"))
+        each = F.explode(F.array(*(F.struct(F.lit(p).alias("phase"), F.lit(DIRECTIONS[d]).alias("direction")) for p, d in _PHASES)))
+        return self.signals.select("signal_id", each.alias("a")).select("signal_id", F.concat("signal_id", F.lit("-P"), F.col("a.phase").cast("string")).alias("approach_id"), "a.phase", "a.direction", F.lit(35).alias("mph"), F.col("a.phase").alias("ped_phase"))
 
     @cached_property
     def detectors(self) -> DataFrame:
         """signal_id, channel, phase, approach_id, direction, movement, distance, min_speed, ped_phase."""
-        c = F.col("channel")
-        odd = F.when(c % 2 == 1, F.lit(400)), F.when(c % 2 == 1, F.lit(5))
-        rows = self.spark.range(1, 9).select(F.col("id").cast("int").alias("channel")).select("channel", (2 + 2 * ((c - 1) % 4)).cast("int").alias("phase"), F.when(c <= 4, "T").otherwise("L").alias("movement"), odd[0].alias("distance"), odd[1].alias("min_speed"))
-        return self.approaches.join(rows, "phase")
+        c, phase = F.col("channel"), F.col("phase")
+        rows = self.signals.select("signal_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("channel")).withColumn("phase", (2 + 2 * ((c - 1) % 4)).cast("int"))
+        direction = F.lit(None)
+        for p, d in _PHASES:
+            direction = F.when(phase == p, DIRECTIONS[d]).otherwise(direction)
+        odd = c % 2 == 1
+        return rows.select(
+            "signal_id", "channel", "phase", F.concat("signal_id", F.lit("-P"), phase.cast("string")).alias("approach_id"), direction.alias("direction"), F.when(c <= 4, "T").otherwise("L").alias("movement"),
+            F.when(odd, 400).alias("distance"), F.when(odd, 5).alias("min_speed"), phase.alias("ped_phase"),
+        )
 
     @cached_property
     def plans(self) -> DataFrame:
@@ -95,10 +100,16 @@ class Tables:
         return self.between(*(codes or (ON,)), **window).withColumnRenamed("param", "channel").join(self.detectors, ["signal_id", "channel"])
 
     def stream(self, phase_codes: tuple[int, ...], detector_codes: tuple[int, ...] = (ON,), **window: int) -> DataFrame:
-        """signal_id, phase, t, code, param, approach_id: phase events and the detector events that serve the phase, for one window."""
-        phase = self.phase_events(*phase_codes, **window).select("signal_id", "phase", "t", "code", F.lit(0).alias("param"), F.lit(None).cast("string").alias("approach_id"))
-        hits = self.arrivals(*detector_codes, **window).select("signal_id", "phase", "t", "code", F.col("channel").alias("param"), "approach_id")
-        return phase.unionByName(hits)
+        """signal_id, phase, t, code, param, approach_id: phase events and the detector events that serve the phase, for one window.
+
+        One scan gives both; only detector events look up their phase, and those of unknown channels go.
+        """
+        hit = F.col("code").isin(*detector_codes)
+        served = self.detectors.select(F.col("signal_id").alias("_signal"), F.col("channel").alias("_channel"), F.col("phase").alias("_phase"), "approach_id")
+        met = self.between(*phase_codes, *detector_codes, **window).withColumn("_at", F.when(hit, F.col("param")))
+        met = met.join(served, (F.col("signal_id") == F.col("_signal")) & (F.col("_at") == F.col("_channel")), "left")
+        phase = F.when(hit, F.col("_phase")).otherwise(F.col("param"))
+        return met.select("signal_id", phase.alias("phase"), "t", "code", F.when(hit, F.col("param")).otherwise(0).alias("param"), "approach_id").where("phase is not null")
 
 
 _CASE = " ".join(f"WHEN h < {m} THEN {v}" for m, v in _CODES)
