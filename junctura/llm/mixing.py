@@ -87,7 +87,7 @@ WEIGHTS = {f"src{k}": 3 if k == 0 else 1 for k in range(20)} | {REST: 1}
 
 
 def ordered(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``documents`` in the order of the mix, `position` added: files and rows within them ascend.
+    """``documents``, with no other columns, in the order of the mix: files and rows within them ascend.
 
     Rows with equal ids and texts are interchangeable and take the equal rows' positions in turn.
     """
@@ -97,7 +97,7 @@ def ordered(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     right = mixed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_crc32").alias("_crc"), "position")
     left = left.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("_same")))
     right = right.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("position")))
-    return left.join(right, ["_id", "_crc", "_n"]).select("_row.*", "position").repartitionByRange("position").sortWithinPartitions("position")
+    return left.join(right, ["_id", "_crc", "_n"]).repartitionByRange("position").sortWithinPartitions("position").select("_row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from junctura.llm import blocks
 from junctura.llm.graph import components
-from junctura.llm.scratch import stored
+from junctura.llm.scratch import free_name, stored
 
 REGISTERS, BAND = 160, 5
 BANDS = REGISTERS // BAND
@@ -241,15 +241,15 @@ def _among(table: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
     bits = np.zeros(FILTER_BITS >> 5, np.uint32)
     bits[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint32)
     shared = table.sparkSession.sparkContext.broadcast(bits)
-    names = table.columns
+    names, spot_name = table.columns, free_name(table, "_spot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = batch.column("_spot").to_numpy()
+            spots = batch.column(spot_name).to_numpy()
             found = (shared.value[spots >> 5] >> (spots & 31).astype(np.uint32) & 1).astype(bool)
             yield batch.select(names).filter(pa.array(found if inside else ~found))
 
-    return table.withColumn("_spot", _spot(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))).mapInArrow(blocks.released(run), table.schema)
+    return table.withColumn(spot_name, _spot(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))).mapInArrow(blocks.released(run), table.schema)
 
 
 def only_members(table: DataFrame, ids: DataFrame) -> DataFrame:
@@ -260,7 +260,8 @@ def only_members(table: DataFrame, ids: DataFrame) -> DataFrame:
 def without(table: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is not among ``ids`` (id), null ones included; only rows in doubt are shuffled."""
     doubtful = only_members(table, ids)
-    kept = doubtful.join(ids.select(F.col("id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = ids.select("id").alias("gone")
+    kept = doubtful.alias("table").join(gone, F.col("table.doc_id") == F.col("gone.id"), "left_anti")
     return _among(table, ids, False).unionByName(kept)
 
 
@@ -328,7 +329,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, par
     dealt = stored(dealt, "dealt")
 
     def with_texts(wanted: DataFrame) -> DataFrame:
-        near = only_members(texts, wanted.select("id"))
+        near = only_members(texts, wanted)
         return near.join(wanted, near.doc_id == wanted.id).drop("doc_id")
 
     def by_group(df: DataFrame, *keys: str) -> DataFrame:

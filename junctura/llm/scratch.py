@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _FOLDERS.get("own")
     if not base:
         base = _FOLDERS["own"] = tempfile.mkdtemp(prefix="junctura-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     folder = f"{base.rstrip('/')}/junctura-{_RUN}"
     if folder not in _FOLDERS:
         _FOLDERS[folder] = spark
@@ -32,6 +34,14 @@ def _delete(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: later reads need no lineage."""
     spark = df.sparkSession

@@ -386,7 +386,10 @@ def test_mix_of_hot_sources(spark):
         seen[r.mix_group] = seen.get(r.mix_group, 0) + 1
         assert abs(seen[r.mix_group] - n * weights[r.mix_group] / 5) < 2 * 10
     ordered = mixing.ordered(df, mixing.mix(df, weights, 10, 50)).collect()
-    assert len(ordered) == len(data) and sorted(r.position for r in ordered) == list(range(len(data)))
+    of = {(r.doc_id, r.mix_group): r.position for r in got}
+    assert sorted(map(str, ordered)) == sorted(map(str, df.collect()))
+    places = [of[r.doc_id, r.source if r.source in weights else "rest"] for r in ordered if r.doc_id is not None]
+    assert places == sorted(places)
     assert mixing.mix(none(df), weights).count() == 0
 
 
