@@ -57,7 +57,7 @@ SQL = {
         f"p AS (SELECT signal_id, channel, CASE WHEN lo IS NOT NULL AND lf IS NULL THEN -30 WHEN lo > lf AND {END} - lo > 1800000000 THEN -30 ELSE 0 END AS stuck_penalty, CASE WHEN o / {H} > 2000 THEN -20 WHEN o / {H} > 1000 THEN -10 ELSE 0 END AS chatter_penalty, CASE WHEN o < {H} THEN -15 ELSE 0 END AS activity_penalty, CASE WHEN o > 0 AND f = 0 THEN -20 WHEN o > 0 AND (o * 1.0 / f > 1.5 OR o * 1.0 / f < 0.67) THEN -10 ELSE 0 END AS balance_penalty FROM x)",
     ),
     "analytics_health_signal": sql(
-        f"SELECT *, {_GRADE.format('overall_score')} AS overall_grade FROM (SELECT *, detector_health * 0.35 + phase_health * 0.25 + coordination_health * 0.2 + communication_health * 0.2 AS overall_score FROM h)",
+        f"SELECT *, {_GRADE.format('overall_score')} AS overall_grade FROM (SELECT *, detector_health * CAST(0.35 AS DOUBLE) + phase_health * CAST(0.25 AS DOUBLE) + coordination_health * CAST(0.2 AS DOUBLE) + communication_health * CAST(0.2 AS DOUBLE) AS overall_score FROM h)",
         _D, *_SKIP, *_DRIFT,
         "x AS (SELECT signal_id, channel, count(*) FILTER (code = 82) AS o, count(*) FILTER (code = 81) AS f FROM d GROUP BY ALL)",
         f"dh AS (SELECT signal_id, greatest(0, 100 - sum(CASE WHEN o > 0 AND f = 0 THEN 15 ELSE 0 END + CASE WHEN o / {H} > 2000 THEN 10 ELSE 0 END)) AS s FROM x GROUP BY ALL)",
@@ -68,7 +68,7 @@ SQL = {
     ),
     "report_left_turn_gap": sql(
         "SELECT c.signal_id, c.phase AS phase_number, make_timestamp(c.green) AS cycle_start, (c.e - c.green) / 1e6 AS green_duration, c.total AS total_gaps, c.suff AS sufficient_gaps, c.marg AS marginal_gaps, c.ins AS insufficient_gaps, c.av AS avg_gap_duration, c.mx AS max_gap_duration, c.ped AS ped_calls_in_cycle, "
-        "12.0 AS dq_analysis_period_hours, sn.hits AS dq_total_detector_hits, sn.hits / 12.0 AS dq_detector_hits_per_hour, sm.n AS dq_total_cycles, sn.hits / 12.0 >= 10 AS dq_sufficient_detector_data, sm.n >= 5 AS dq_sufficient_cycles, sn.hits / 12.0 >= 10 AND sm.n >= 5 AS dq_is_valid, sn.calls AS ped_total_calls, sm.ped AS ped_calls_during_green, sm.wp AS ped_cycles_with_ped, sm.wp * 100.0 / sm.n AS ped_pct_cycles_with_ped, "
+        "CAST(12 AS DOUBLE) AS dq_analysis_period_hours, sn.hits AS dq_total_detector_hits, sn.hits / 12.0 AS dq_detector_hits_per_hour, sm.n AS dq_total_cycles, sn.hits / 12.0 >= 10 AS dq_sufficient_detector_data, sm.n >= 5 AS dq_sufficient_cycles, sn.hits / 12.0 >= 10 AND sm.n >= 5 AS dq_is_valid, sn.calls AS ped_total_calls, sm.ped AS ped_calls_during_green, sm.wp AS ped_cycles_with_ped, sm.wp * 100.0 / sm.n AS ped_pct_cycles_with_ped, "
         "make_timestamp(pk.hour) AS peak_hour, pk.n AS peak_cycles, pk.total AS peak_total_gaps, pk.suff AS peak_sufficient_gaps, pk.marg AS peak_marginal_gaps, pk.ins AS peak_insufficient_gaps, CASE WHEN pk.total > 0 THEN pk.suff * 100.0 / pk.total ELSE 0.0 END AS peak_sufficient_pct FROM c JOIN sm USING (signal_id, phase) JOIN sn USING (signal_id, phase) JOIN pk USING (signal_id, phase)",
         "r0 AS (SELECT * FROM stm WHERE code IN (1, 8, 81, 82) UNION ALL SELECT signal_id, param, t, code, -1, NULL FROM win WHERE code = 45)",
         "r1 AS (SELECT *, sum(CASE WHEN code = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY signal_id, phase ORDER BY t, code, param ROWS UNBOUNDED PRECEDING) AS cycle FROM r0)",
@@ -86,7 +86,7 @@ SQL = {
     ),
     "report_left_turn_volume": sql(
         "SELECT b.signal_id, b.approach_id, make_timestamp(b.bin) AS bin_start, b.lt AS left_turn_volume_bin, b.opp AS opposing_through_volume_bin, s.direction, s.od AS opposing_direction, tt.lt AS left_turn_volume, tt.opp AS opposing_through_volume, s.lanes AS opposing_lanes, "
-        "CAST(tt.lt AS DOUBLE) * tt.opp AS cross_product_value, CAST(tt.lt AS DOUBLE) * tt.opp > CASE WHEN s.lanes > 1 THEN 100000 ELSE 50000 END AS cross_product_review, bd AS calculated_volume_boundary, CASE WHEN s.lanes > 1 THEN 7974.0 ELSE 9519.0 END AS decision_boundary_threshold, bd > CASE WHEN s.lanes > 1 THEN 7974.0 ELSE 9519.0 END AS decision_boundaries_review, "
+        "CAST(tt.lt AS DOUBLE) * tt.opp AS cross_product_value, CAST(tt.lt AS DOUBLE) * tt.opp > CASE WHEN s.lanes > 1 THEN 100000 ELSE 50000 END AS cross_product_review, bd AS calculated_volume_boundary, CAST(CASE WHEN s.lanes > 1 THEN 7974 ELSE 9519 END AS DOUBLE) AS decision_boundary_threshold, bd > CASE WHEN s.lanes > 1 THEN 7974.0 ELSE 9519.0 END AS decision_boundaries_review, "
         "make_timestamp(am.bin) AS am_peak_hour, am.v AS am_peak_left_turn_volume, make_timestamp(pm.bin) AS pm_peak_hour, pm.v AS pm_peak_left_turn_volume, 'permissive' AS approach_type FROM b JOIN s USING (signal_id, approach_id) JOIN tt USING (signal_id, approach_id) LEFT JOIN am USING (signal_id, approach_id) LEFT JOIN pm USING (signal_id, approach_id)",
         _FACE,
         "s AS (SELECT a.signal_id, a.approach_id, a.phase, f.opp AS op, a.direction, o.direction AS od, (SELECT count(*) FROM det WHERE det.signal_id = a.signal_id AND det.phase = f.opp AND movement = 'T') AS lanes FROM app a JOIN face f USING (phase) JOIN app o ON o.signal_id = a.signal_id AND o.phase = f.opp)",

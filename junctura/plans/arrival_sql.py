@@ -28,7 +28,7 @@ SQL = {
         "n(code, name) AS (VALUES (1, 'Phase Green'), (4, 'Gap Out'), (5, 'Max Out'), (6, 'Force Off'), (7, 'Green Termination'), (8, 'Yellow Clearance'), (9, 'Red Clearance'), (10, 'Phase End'), (81, 'Detector Off'), (82, 'Detector On'))",
     ),
     "report_ramp_metering": sql(
-        "SELECT signal_id, make_timestamp(bin) AS time_bin, count(p) * 4.0 AS metering_rate, coalesce(sum(g) / 1e6 / count(g), 0.0) AS avg_green_seconds, count(d) AS demand_volume, count(p) AS passage_volume, CASE WHEN count(o) > 0 THEN least(CAST(sum(o) AS DOUBLE) * 100.0 / 900000000, 100.0) END AS queue_occupancy_pct FROM u GROUP BY signal_id, bin",
+        "SELECT signal_id, make_timestamp(bin) AS time_bin, CAST(count(p) * 4 AS DOUBLE) AS metering_rate, coalesce(sum(g) / 1e6 / count(g), 0.0) AS avg_green_seconds, count(d) AS demand_volume, count(p) AS passage_volume, CASE WHEN count(o) > 0 THEN least(CAST(sum(o) AS DOUBLE) * 100.0 / 900000000, 100.0) END AS queue_occupancy_pct FROM u GROUP BY signal_id, bin",
         "g0 AS (SELECT *, first_value(CASE WHEN code = 8 THEN t END IGNORE NULLS) OVER (PARTITION BY signal_id ORDER BY t, code ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS y FROM win WHERE code IN (1, 8) AND param = 2)",
         "q0 AS (SELECT *, coalesce(lag(code) OVER (PARTITION BY signal_id ORDER BY t, code), 81) AS b FROM win WHERE code IN (81, 82) AND param = 3)",
         "q1 AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY signal_id ORDER BY t, code), 1704110400000000) AS f FROM q0 WHERE code <> b)",
@@ -40,7 +40,7 @@ SQL = {
         f"s AS (SELECT *, last_value(CASE WHEN code = 1 THEN t END IGNORE NULLS) {W} ROWS UNBOUNDED PRECEDING) AS g FROM stm WHERE code IN (1, 82))",
     ),
     "report_arrival_on_red": sql(
-        "SELECT signal_id, make_timestamp(bin) AS bin_start, phase AS phase_number, n AS total_detections, r AS arrivals_on_red, r * 100.0 / n AS pct_arrivals_on_red, n * 4.0 AS total_vehicles_per_hour, r * 4.0 AS arrivals_on_red_per_hour, CAST(sum(n) OVER v AS BIGINT) AS total_detector_hits, CAST(sum(r) OVER v AS BIGINT) AS total_arrival_on_red, CAST(sum(r) OVER v AS DOUBLE) * 100.0 / CAST(sum(n) OVER v AS DOUBLE) AS pct_arrival_on_red_overall FROM b WINDOW v AS (PARTITION BY signal_id)",
+        "SELECT signal_id, make_timestamp(bin) AS bin_start, phase AS phase_number, n AS total_detections, r AS arrivals_on_red, r * 100.0 / n AS pct_arrivals_on_red, CAST(n * 4 AS DOUBLE) AS total_vehicles_per_hour, CAST(r * 4 AS DOUBLE) AS arrivals_on_red_per_hour, CAST(sum(n) OVER v AS BIGINT) AS total_detector_hits, CAST(sum(r) OVER v AS BIGINT) AS total_arrival_on_red, CAST(sum(r) OVER v AS DOUBLE) * 100.0 / CAST(sum(n) OVER v AS DOUBLE) AS pct_arrival_on_red_overall FROM b WINDOW v AS (PARTITION BY signal_id)",
         f"s AS (SELECT *, coalesce(last_value(CASE WHEN code = 1 THEN 0 WHEN code IN (8, 9) THEN 1 END IGNORE NULLS) {W} ROWS UNBOUNDED PRECEDING), 1) AS red FROM stm WHERE code IN (1, 8, 9, 82))",
         f"b AS (SELECT signal_id, t // {Q} * {Q} AS bin, phase, count(*) AS n, CAST(sum(red) AS BIGINT) AS r FROM s WHERE code = 82 GROUP BY ALL)",
     ),

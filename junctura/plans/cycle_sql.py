@@ -32,7 +32,7 @@ SQL = {
         f"s AS (SELECT *, lead(t) OVER ({_PW}) AS f FROM pev WHERE code IN (1, 8, 9) AND phase = 2)",
     ),
     "report_time_space_diagram_average": sql(
-        "SELECT signal_id, plan_number, k AS cycle_index, make_timestamp(ref + k * len) AS green_start, make_timestamp(ref + k * len + g) AS yellow_start, make_timestamp(ref + k * len + g + y) AS red_start, make_timestamp(ref + k * len + len) AS cycle_end, len / 1e6 AS cycle_seconds, place * 1000.0 AS distance_feet, place * 1000.0 / (30.0 * 1.467) AS travel_seconds FROM (SELECT *, unnest(range(CAST(ceil((lim - ref) / len) AS BIGINT))) AS k FROM z)",
+        "SELECT signal_id, plan_number, k AS cycle_index, make_timestamp(ref + k * len) AS green_start, make_timestamp(ref + k * len + g) AS yellow_start, make_timestamp(ref + k * len + g + y) AS red_start, make_timestamp(ref + k * len + len) AS cycle_end, len / 1e6 AS cycle_seconds, CAST(place * 1000 AS DOUBLE) AS distance_feet, place * 1000.0 / (CAST(30.0 AS DOUBLE) * 1.467) AS travel_seconds FROM (SELECT *, unnest(range(CAST(ceil((lim - ref) / len) AS BIGINT))) AS k FROM z)",
         _CYC.format(codes="code IN (1, 8, 9) AND phase = 2"),
         "c0 AS (SELECT signal_id, cycle, min(CASE WHEN code = 1 THEN t END) AS s, min(CASE WHEN code = 8 THEN t END) AS yt, min(CASE WHEN code = 9 THEN t END) AS rt FROM cyc GROUP BY ALL)",
         "c1 AS (SELECT signal_id, s, yt - s AS g, rt - yt AS y, lead(s) OVER (PARTITION BY signal_id ORDER BY cycle) - rt AS r FROM c0)",
@@ -48,7 +48,7 @@ SQL = {
         "yr0 AS (SELECT signal_id, phase, y, min(t) AS r FROM s WHERE code = 9 AND y IS NOT NULL GROUP BY ALL)",
         "yr AS (SELECT signal_id, phase, sum(r - y) / 1e6 / count(*) AS yr FROM yr0 GROUP BY ALL)",
         f"b1 AS (SELECT signal_id, phase, (g - {START}) // {Q} AS x_bin, count(*) AS n, sum(e - g) / 1e6 / count(*) AS ag FROM gr GROUP BY ALL)",
-        f"b2 AS (SELECT b1.*, CASE WHEN EXISTS (SELECT 1 FROM plans p WHERE p.signal_id = b1.signal_id AND p.begin <= {START} + x_bin * {Q}) THEN CASE phase WHEN 2 THEN 35.0 WHEN 4 THEN 25.0 WHEN 6 THEN 40.0 WHEN 8 THEN 20.0 ELSE 0.0 END ELSE 0.0 END AS split FROM b1)",
+        f"b2 AS (SELECT b1.*, CASE WHEN EXISTS (SELECT 1 FROM plans p WHERE p.signal_id = b1.signal_id AND p.begin <= {START} + x_bin * {Q}) THEN CAST(CASE phase WHEN 2 THEN 35 WHEN 4 THEN 25 WHEN 6 THEN 40 WHEN 8 THEN 20 ELSE 0 END AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS split FROM b1)",
     ),
     "report_link_pivot": sql(
         "SELECT a AS from_signal, b AS to_signal, round(avg((nx - t) / 1e6), 6) AS avg_offset, round(stddev_pop((nx - t) / 1e6), 6) AS stddev_offset, count(*) AS sample_count FROM m WHERE (nx - t) / 1e6 <= 300 GROUP BY a, b",
