@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -184,10 +184,20 @@ class _Frequent:
         h = blocks.hashes(data, offsets[:-1], offsets[1:])
         order = np.argsort(h)
         self.hashes = h[order]
-        ids = table.column("ids").to_pylist()
-        self.ids = [ids[k].encode() for k in order]
-        self.size = np.array([len(w.split()) for w in self.ids], np.int64)
-        self.pieces = [encoder.pieces(ids[k]).encode() for k in order]
+        ids = [table.column("ids")[int(k)].as_py() for k in order]
+        self.size = np.array([len(w.split()) for w in ids], np.int32)
+        self.texts = tuple(self._packed(column) for column in (ids, map(encoder.pieces, ids)))
+
+    @staticmethod
+    def _packed(words: Iterable[str]) -> tuple[bytes, np.ndarray]:
+        """All words end to end, and where each begins: far smaller than as many objects."""
+        parts = [w.encode() for w in words]
+        return b"".join(parts), np.concatenate([[0], np.cumsum([len(w) for w in parts], dtype=np.int64)]).astype(np.int64)
+
+    def taken(self, at: np.ndarray, column: int) -> list[bytes]:
+        """The ids (column 0) or pieces (1) of the words at these places."""
+        blob, begin = self.texts[column]
+        return [blob[a:b] for a, b in zip(begin[at].tolist(), begin[at + 1].tolist(), strict=True)]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the table, and which words are there."""
@@ -272,7 +282,7 @@ def _finished(ids: pa.Array, sizes: np.ndarray, raw: bytes, rare: pa.Scalar, wor
     data, rows, starts, ends = split(np.frombuffer(raw, np.uint8), offsets)
     h = blocks.hashes(data, starts, ends)
     at, known = words.find(h)
-    size = words.size[at] if len(words.size) else np.zeros(len(h), np.int64)
+    size = words.size[at].astype(np.int64) if len(words.size) else np.zeros(len(h), np.int64)
     extra, place = [[], []], np.zeros(0, np.int64)
     missing = np.flatnonzero(~known)
     if len(missing):
@@ -294,9 +304,11 @@ def _finished(ids: pa.Array, sizes: np.ndarray, raw: bytes, rare: pa.Scalar, wor
         extra = [[w.encode() for w in own], [encoder.pieces(w).encode() for w in own]]
     first = blocks.counted(h, rows, len(ids))
     counts = np.diff(np.concatenate([[0], np.cumsum(size)])[first])
-    places, bounds, shas = at.tolist(), first.tolist(), []
-    for column, own in zip((words.ids, words.pieces), extra, strict=True):
-        parts = [column[k] for k in places] if column else [b""] * len(places)
+    codes, used = pd.factorize(at)
+    codes, bounds, shas = codes.tolist(), first.tolist(), []
+    for column, own in enumerate(extra):
+        table = words.taken(used, column) if len(words.size) else [b""] * len(used)
+        parts = [table[k] for k in codes]
         for k, p in zip(missing.tolist(), place.tolist(), strict=True):
             parts[k] = own[p]
         if not all(parts):  # words without any token, such as a lone space of another kind, leave nothing
