@@ -1,15 +1,17 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased letter runs and their first four bytes. The vocabulary holds the terms whose
-document frequency differs most between the classes of a bounded sample of labelled rows; their
-inverse document frequencies come from all documents. The sampled rows are the examples. A query's
-upper bound for a block of examples is the sum, over its terms, of its weight times the largest
-weight that the term has in the block; only blocks whose bound reaches the k-th best similarity
-found are scored, so the nearest examples are exact. Their votes, weighted by nearness and by how
+Terms are lower-cased letter runs and their first four bytes. A bounded sample of labelled rows are
+the examples, and the vocabulary holds every term of theirs; inverse document frequencies come from
+all documents. A query's terms that no example has take no part: they leave the order of the examples
+as it is, and only its length is that of its known terms. The examples' most frequent terms are a dense
+matrix, whose part of a similarity is worked out for many queries at once. A query's upper bound for
+a block of examples is the largest such part in it and the sum, over its other terms, of its weight
+times the largest weight that the term has in the block; only blocks whose bound reaches the k-th best
+similarity found are scored, so the nearest examples are exact. Their votes, weighted by nearness and by how
 thinly their class was sampled, go through an isotonic fit of leave-one-out votes to become
 calibrated scores; the nearest examples are returned as evidence.
 
-Defined cases: a null text counts as empty; a text without any vocabulary term has no neighbours and
+Defined cases: a null text counts as empty; a text without any term of the examples has no neighbours and
 gets the base rate of such examples; ties in similarity go to the smaller example id; without
 labelled rows every score is 0.5; repeated rows are scored one by one; extra columns pass through
 unless they bear an output's name.
@@ -22,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,9 +63,15 @@ def term_counts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray |
     return rows[first], found[first], np.diff(np.append(first, len(rows)))
 
 
+def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges end to end, and the length of each range."""
+    lengths = ends - starts
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum()), lengths
+
+
 @dataclass
 class BlockMaxIndex:
-    """Postings of unit vectors by term, and the largest weight of each term in each block of rows."""
+    """Unit vectors: a dense matrix of the most frequent terms; of the others, postings by term and block and their largest weight."""
 
     rows: np.ndarray
     terms: np.ndarray
@@ -70,42 +79,71 @@ class BlockMaxIndex:
     n_rows: int
     n_terms: int
     block: int = 64
-    starts: np.ndarray = field(init=False)
+    dense: int = 1024
+    place: np.ndarray = field(init=False)
     most: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        order = np.lexsort((self.rows, self.terms))
-        self.rows, self.terms, self.weights = self.rows[order], self.terms[order], self.weights[order]
-        self.starts = np.searchsorted(self.terms, np.arange(self.n_terms + 1))
-        self.most = np.zeros((self.n_terms, -(-self.n_rows // self.block)))
-        np.maximum.at(self.most, (self.terms, self.rows // self.block), self.weights)
-        self._sum = np.zeros(self.n_rows)
-
-    def _add(self, terms: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> None:
-        for t, w in zip(terms, weights, strict=True):
-            part = slice(self.starts[t], self.starts[t + 1])
-            keep = wanted[self.rows[part] // self.block]
-            self._sum[self.rows[part][keep]] += w * self.weights[part][keep]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.bincount(self.terms, minlength=self.n_terms)
+        head = np.argsort(-sizes, kind="stable")[: self.dense]
+        self.place = np.full(self.n_terms, -1, np.int32)
+        self.place[head] = np.arange(len(head))
+        at = self.place[self.terms]
+        inside = at >= 0
+        self._head = np.zeros((len(head), self.n_rows))
+        self._head[at[inside], self.rows[inside]] = self.weights[inside]
+        rows, terms, weights = self.rows[~inside], self.terms[~inside], self.weights[~inside]
+        order = np.lexsort((rows, terms))
+        self.rows, self.weights, terms = rows[order].astype(np.int32), weights[order], terms[order].astype(np.int32)
+        self.terms = terms
+        block = self.rows // self.block
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        self._block = block[first]
+        self._first = np.append(first, len(terms)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self._starts = np.searchsorted(terms[first], np.arange(self.n_terms + 1))
+        self._edges = np.arange(0, self.n_rows, self.block)
+
+    def heads(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """The dense terms' part of the similarities of ``n`` queries to every row."""
+        at = self.place[terms]
+        known = at >= 0
+        queries = np.zeros((n, len(self._head)))
+        queries[rows[known], at[known]] = weights[known]
+        return queries @ self._head
+
+    def _add(self, total: np.ndarray, entries: np.ndarray, weights: np.ndarray) -> None:
+        at, lengths = _expanded(self._first[entries], self._first[entries + 1])
+        total += np.bincount(self.rows[at], np.repeat(weights, lengths) * self.weights[at], self.n_rows)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact similarities of the k nearest with any term in common, nearest first."""
-        bound = weights @ self.most[terms] if len(terms) else np.zeros(self.most.shape[1])
-        order = np.argsort(-bound, kind="stable")
-        self._sum[:] = 0
+        if not self.n_rows:
+            return np.zeros(0, np.int64), np.zeros(0)
+        total = self.heads(np.zeros(len(terms), np.int64), terms, weights, 1)[0] if head is None else head.copy()
+        if leave_out >= 0:
+            total[leave_out] = 0
+        entries, lengths = _expanded(self._starts[terms], self._starts[terms + 1])
+        weights, block = np.repeat(weights, lengths), self._block[entries]
+        bound = np.maximum.reduceat(total, self._edges) + np.bincount(block, weights * self.most[entries], len(self._edges))
         wanted = np.zeros(len(bound), bool)
-        wanted[order[: max(4, -(-2 * k // self.block))]] = True
-        self._add(terms, weights, wanted)
+        wanted[np.argsort(-bound, kind="stable")[: max(4, -(-2 * k // self.block))]] = True
+        now = wanted[block]
+        self._add(total, entries[now], weights[now])
         if leave_out >= 0:
-            self._sum[leave_out] = 0
-        found = np.sort(self._sum[self._sum > 0])
-        floor = found[-k] if len(found) >= k else 0.0
-        more = ~wanted & (bound > 0) & (bound >= floor - 1e-12)
-        self._add(terms, weights, more)
+            total[leave_out] = 0
+        # The sums of the other blocks are still low, so the k-th best is never too high.
+        floor = np.partition(total, -k)[-k] if len(total) >= k else 0.0
+        now = (~wanted & (bound > 0) & (bound >= floor - 1e-12))[block]
+        self._add(total, entries[now], weights[now])
         if leave_out >= 0:
-            self._sum[leave_out] = 0
-        at = np.flatnonzero((self._sum > 0) & (self._sum >= floor - 1e-12))
-        at = at[np.lexsort((at, -np.round(self._sum[at], 12)))][:k]
-        return at, self._sum[at]
+            total[leave_out] = 0
+        at = np.flatnonzero((total > 0) & (total >= floor - 1e-12))
+        near = np.round(total[at], 12)
+        order = np.lexsort((at, -near))[:k]
+        return at[order], near[order]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +173,23 @@ class Neighbours:
     ids: np.ndarray
     labels: np.ndarray
     class_weight: np.ndarray
-    postings: tuple[np.ndarray, np.ndarray, np.ndarray]
+    terms: np.ndarray
+    counts: np.ndarray
+    part: np.ndarray
     k: int
     at: np.ndarray = field(default_factory=lambda: np.array([1.0]))
     value: np.ndarray = field(default_factory=lambda: np.array([0.5]))
     without: float = 0.5
 
     def index(self) -> BlockMaxIndex:
-        return BlockMaxIndex(*self.postings, len(self.ids), len(self.vocabulary))
+        """The examples' index, made once in a process."""
+        if not hasattr(self, "_index"):
+            rows = self.rows(0, len(self.ids))
+            self._index = BlockMaxIndex(rows, self.terms, self.vectors(rows, self.terms, self.counts, len(self.ids))[0], len(self.ids), len(self.vocabulary))
+        return self._index
+
+    def rows(self, start: int, end: int) -> np.ndarray:
+        return np.repeat(np.arange(end - start, dtype=np.int32), np.diff(self.part[start : end + 1]))
 
     def vectors(self, rows: np.ndarray, found: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Weights to unit length, and the offsets of each row's part."""
@@ -157,44 +204,56 @@ class Neighbours:
     def calibrated(self, votes: np.ndarray) -> np.ndarray:
         return np.interp(votes, self.at, self.value)
 
-    def judge(self, data: np.ndarray, offsets: np.ndarray, index: BlockMaxIndex, evidence: int) -> tuple[np.ndarray, list[list[dict]]]:
+    def neighbours(self, rows: np.ndarray, found: np.ndarray, counts: np.ndarray, n: int, leave_out: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, nearest, similarities) of the rows with any; ``leave_out`` is the example that row 0 is, if rows are examples."""
+        index = self.index()
+        weights, part = self.vectors(rows, found, counts, n)
+        for start in range(0, n, 64):
+            end = min(start + 64, n)
+            span = slice(part[start], part[end])
+            heads = index.heads(rows[span] - start, found[span], weights[span], end - start)
+            for row in range(start, end):
+                own = slice(part[row], part[row + 1])
+                if part[row] < part[row + 1]:
+                    at, near = index.nearest(found[own], weights[own], self.k, -1 if leave_out is None else leave_out + row, heads[row - start])
+                    if len(at):
+                        yield row, at, near
+
+    def judge(self, data: np.ndarray, offsets: np.ndarray, evidence: int) -> tuple[np.ndarray, list[list[dict]]]:
         n = len(offsets) - 1
         rows, found, counts = term_counts(data, offsets, self.vocabulary)
-        found = found.astype(np.int64)
-        weights, part = self.vectors(rows, found, counts, n)
         scores, shown = np.full(n, self.without), [[] for _ in range(n)]
-        for row in np.flatnonzero(np.diff(part)):
-            at, near = index.nearest(found[part[row] : part[row + 1]], weights[part[row] : part[row + 1]], self.k)
-            if len(at):
-                scores[row] = self.calibrated(np.array([self.vote(at, near)]))[0]
-                shown[row] = [{"example": int(self.ids[a]), "similarity": float(s), "label": int(self.labels[a])} for a, s in zip(at[:evidence], near, strict=False)]
+        for row, at, near in self.neighbours(rows, found.astype(np.int64), counts, n):
+            scores[row] = self.calibrated(np.array([self.vote(at, near)]))[0]
+            shown[row] = [{"example": int(self.ids[a]), "similarity": float(s), "label": int(self.labels[a])} for a, s in zip(at[:evidence], near, strict=False)]
         return scores, shown
 
+    def votes(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the examples from ``start`` to ``end``: those with neighbours beside themselves, and their votes."""
+        own = slice(self.part[start], self.part[end])
+        found = [(start + row, self.vote(at, near)) for row, at, near in self.neighbours(self.rows(start, end), self.terms[own], self.counts[own], end - start, start)]
+        return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], float)
+
 
-def _class_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in blocks.pieces(batch, "text"):
-            rows, found, _ = term_counts(*blocks.bytes_of(piece.column("text")))
-            label = piece.column("label").to_numpy(zero_copy_only=False).astype(np.int64)[rows]
-            kinds, at = np.unique(found, return_inverse=True)
-            counts = [np.bincount(at, label == y, len(kinds)).astype(np.int64) for y in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), *map(pa.array, counts)], ["term", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(terms(*blocks.bytes_of(piece.column("text")))[1]).view(np.int64))], ["term"])
 
 
-def _telling_terms(texts: DataFrame, sizes: dict[int, int], least: int, most: int) -> np.ndarray:
-    """The terms whose share of documents differs most between the classes, by a two-sample z of 4.5 or more."""
-    n0, n1 = max(sizes.get(0, 0), 1), max(sizes.get(1, 0), 1)
-    share = (F.col("n0") + F.col("n1")) / (n0 + n1)
-    z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-    kinds = texts.mapInArrow(blocks.released(_class_terms), "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    kept = kinds.where((F.col("n0") + F.col("n1") >= least) & (z >= 4.5)).orderBy(z.desc(), "term").limit(most)
-    return np.sort(kept.select("term").toArrow().column("term").to_numpy().view(np.uint64))
+def _vocabulary(texts: DataFrame) -> np.ndarray:
+    """Every term of the bounded set of texts, in order."""
+    kinds = texts.mapInArrow(blocks.released(_distinct_terms), "term long").distinct()
+    return np.sort(kinds.toArrow().column("term").to_numpy().view(np.uint64))
 
 
 def _frequencies(documents: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and their number."""
 
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
         total, n = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             n += batch.num_rows
@@ -204,54 +263,57 @@ def _frequencies(documents: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarr
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["term", "n"])
 
-    rows = documents.select("text").mapInArrow(blocks.released(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = documents.select("text").mapInArrow(blocks.released(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (rows.column(c).to_numpy() for c in ("term", "n"))
     out = np.zeros(len(vocabulary), np.int64)
-    n_all = 0
-    for r in rows:
-        if r["term"] < 0:
-            n_all = r["n"]
-        else:
-            out[r["term"]] = r["n"]
-    return out, n_all
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
+
+
+def _votes(model: Neighbours, spark) -> tuple[np.ndarray, np.ndarray]:
+    """The leave-one-out votes of the examples, worked out in tasks of 256."""
+    n, size = len(model.ids), 256
+    shared = spark.sparkContext.broadcast(model)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([*map(pa.array, shared.value.votes(start, min(start + size, n)))], ["row", "vote"])
+
+    found = spark.range(0, n, size, max(-(-n // size), 1)).mapInArrow(blocks.released(vote), "row long, vote double").toArrow().sort_by("row")
+    shared.unpersist()
+    return found.column("row").to_numpy(), found.column("vote").to_numpy()
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most_per_class: int = 6000, most_terms: int = 4096, k: int = 15) -> Neighbours:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most_per_class: int = 6000, k: int = 15) -> Neighbours:
     """Examples and vocabulary from at most ``most_per_class`` labelled rows of each class, frequencies from all documents."""
     sample = stored(sampled_texts(documents, sample_labels(labels, label, most_per_class)), "examples")
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    vocabulary = _telling_terms(sample, sizes, 3, most_terms)
+    vocabulary = _vocabulary(sample)
     frequency, n_all = _frequencies(documents, vocabulary)
     idf = np.log((1 + n_all) / (1 + frequency)) + 1
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in blocks.pieces(batch, "text"):
-                rows, found, counts = term_counts(*blocks.bytes_of(piece.column("text")), vocabulary)
+                rows, found, counts = term_counts(*blocks.bytes_of(piece.column("text")), shared.value)
                 part = blocks.counted(found, rows, piece.num_rows)
-                lists = [pa.ListArray.from_arrays(pa.array(part, pa.int32()), pa.array(v.astype(np.int64))) for v in (found, counts)]
+                lists = [pa.ListArray.from_arrays(pa.array(part, pa.int32()), pa.array(v.astype(np.int32))) for v in (found, counts)]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), piece.column("label"), *lists], ["doc_id", "label", "terms", "counts"])
 
-    schema = "doc_id long, label int, terms array<long>, counts array<long>"
+    schema = "doc_id long, label int, terms array<int>, counts array<int>"
     examples = sample.mapInArrow(blocks.released(vectors), schema).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     n = examples.num_rows
     ids, y = examples.column("doc_id").to_numpy(), examples.column("label").to_numpy().astype(np.int64)
-    lengths = np.array([len(t) for t in examples.column("terms").to_pylist()], np.int64)
-    flat = [np.array([v for part in examples.column(c).to_pylist() for v in part], np.int64) for c in ("terms", "counts")]
-    rows = np.repeat(np.arange(n), lengths)
+    part = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(examples.column("terms")).to_numpy())]).astype(np.int64)
+    found, counts = (pa.compute.list_flatten(examples.column(c)).to_numpy() for c in ("terms", "counts"))
     real = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     weight = np.array([real.get(c, 0) / max((y == c).sum(), 1) for c in (0, 1)])
     weight = np.where(weight > 0, weight / max(weight.max(), 1e-9), 1.0)
-    model = Neighbours(vocabulary, idf, ids, y, weight, (rows, flat[0], np.zeros(len(rows))), k)
-    weights, part = model.vectors(rows, flat[0], flat[1], n)
-    model.postings = (rows, flat[0], weights)
-    index, votes, voters = model.index(), [], []
-    for row in np.flatnonzero(lengths):
-        at, near = index.nearest(flat[0][part[row] : part[row + 1]], weights[part[row] : part[row + 1]], k, leave_out=row)
-        if len(at):
-            votes.append(model.vote(at, near))
-            voters.append(row)
-    if votes:
-        model.at, model.value = isotonic(np.array(votes), y[voters].astype(float), weight[y[voters]])
+    model = Neighbours(vocabulary, idf, ids, y, weight, found, counts, part, k)
+    voters, votes = _votes(model, documents.sparkSession)
+    if len(votes):
+        model.at, model.value = isotonic(votes, y[voters].astype(float), weight[y[voters]])
     none = np.setdiff1d(np.arange(n), voters)
     if n:
         w = weight[y]
@@ -270,10 +332,9 @@ def with_score(documents: DataFrame, model: Neighbours, name: str = "score", evi
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value.index()
         for batch in batches:
             for piece in blocks.pieces(batch, "text"):
-                scores, near = shared.value.judge(*blocks.bytes_of(piece.column("text")), index, shown if evidence else 0)
+                scores, near = shared.value.judge(*blocks.bytes_of(piece.column("text")), shown if evidence else 0)
                 more = [(evidence, pa.array(near, _EVIDENCE))] if evidence else []
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores), *(v for _, v in more)], [*piece.schema.names, name, *(n for n, _ in more)])
 

@@ -309,6 +309,34 @@ def test_nearest_examples_equal_brute_force():
         assert at.tolist() == want and np.allclose(near, sims[want])
 
 
+def test_nearest_examples_with_few_dense_terms_equal_brute_force():
+    rng = np.random.default_rng(8)
+    dense = np.where(rng.random((300, 120)) < rng.random(120) * 0.3, rng.random((300, 120)), 0)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-9)[:, None]
+    r, t = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(r, t, dense[r, t], 300, 120, block=8, dense=6)
+    for q in range(0, 300, 7):
+        terms = np.flatnonzero(dense[q])
+        at, near = index.nearest(terms, dense[q][terms], 9, leave_out=q)
+        sims = dense @ dense[q]
+        sims[q] = 0
+        want = [k for k in np.lexsort((np.arange(300), -np.round(sims, 12))) if sims[k] > 0][:9]
+        assert at.tolist() == want and np.allclose(near, sims[want])
+
+
+def test_terms_of_a_single_example_count(spark):
+    """Each example has words of its own only; a copy of it must find it, though no word tells the classes apart."""
+    words = ["zarn", "quib", "molt", "frez", "dwul", "hibb", "yost", "pelk", "vunt", "grax"]
+    docs = spark.createDataFrame([(i, f"{words[i % 10]}a {words[i % 10]}b {words[i % 10]}c") for i in range(20)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    learnt = {r.doc_id for r in marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).collect()}
+    model = toxicity.fit(docs, marks)
+    assert len(learnt) >= 5 and len(model.vocabulary) == 4 * len(learnt)
+    for r in toxicity.with_score(docs, model, evidence="evidence").collect():
+        found = [(e.example, e.label, round(e.similarity, 9)) for e in r.evidence]
+        assert found == ([(r.doc_id % 10, r.doc_id % 2, 1.0)] if r.doc_id % 10 in learnt else [])
+
+
 def test_isotonic():
     at, value = toxicity.isotonic(np.array([0.0, 0.5, 0.5, 1.0]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
     assert (np.diff(value) >= 0).all() and (np.diff(at) > 0).all()
