@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions.temporal import MINUTE, bin_of, settled, timestamp
@@ -113,7 +113,6 @@ CHECKS = (silent_signal, stuck_detector, low_event_count, missing_data_window, s
 
 
 def latest_status(tables: Tables) -> DataFrame:
-    """The validator's status merged with a second one that suspects parameters over 6, by signal: the worst of all rows."""
+    """The validator's status merged with a second one that suspects parameters over 6, by signal: rows by the worse of the two, over all rows."""
     rows = validate(tables.between()).withColumn("merged", worst(F.col("status"), F.when(F.col("param") > 6, "suspect").otherwise("clean")))
-    newest = Window.partitionBy("signal_id").orderBy(F.desc("t"), F.desc("code"), F.desc("param"))
-    return rows.withColumn("k", F.row_number().over(newest)).where("k <= 50").groupBy("signal_id", "merged").agg(F.count("*").alias("n"))
+    return rows.groupBy("signal_id", "merged").agg(F.count("*").alias("n"))

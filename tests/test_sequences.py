@@ -168,3 +168,15 @@ def test_times_keep_microseconds(spark):
     rows = spark.createDataFrame([(moment,)], "ts timestamp_ntz").select(temporal.micros(F.col("ts")).alias("t"))
     assert rows.first().t == T0 + 123_456
     assert rows.select(temporal.timestamp(F.col("t"))).first()[0] == moment
+
+
+def test_latest_status_counts_all_rows(spark):
+    """The faulty event is older than 60 good ones; it shows all the same."""
+    from types import SimpleNamespace
+
+    from junctura.operators.quality import latest_status
+
+    rows = [("a", 0, 999, 1), ("a", 1, 1, 7), *(("a", t, 1, 2) for t in range(2, 62)), ("b", 0, 1, 2)]
+    log = spark.createDataFrame(rows, "signal_id string, t long, code int, param int")
+    got = latest_status(SimpleNamespace(between=lambda: log)).collect()
+    assert {(r.signal_id, r.merged, r.n) for r in got} == {("a", "invalid", 1), ("a", "suspect", 1), ("a", "clean", 60), ("b", "clean", 1)}
