@@ -64,11 +64,11 @@ def anchor_offset(recorded, actual) -> float:
 
 
 def clock_correction(tables: Tables) -> DataFrame:
-    """The log with SIG-002 moved by 90 s in its second hour, counted by quarter hour."""
+    """The log with SIG-002 moved by 90 s in its second hour, counted by signal and quarter hour."""
     rows = tables.between().select("signal_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("event_time"), F.col("code").alias("event_code"), F.col("param").alias("event_param"))
     moved = corrected(rows, "SIG-002", F.timestamp_micros(F.lit(START + 3_600_000_000)).cast("timestamp_ntz"), F.timestamp_micros(F.lit(START + 7_200_000_000)).cast("timestamp_ntz"), 90.0)
     t = F.unix_micros(F.col("event_time").cast("timestamp"))
-    return moved.where("signal_id = 'SIG-002'").groupBy(F.timestamp_micros(F.floor(t / 900_000_000) * 900_000_000).cast("timestamp_ntz").alias("bin_start")).agg(F.count("*").alias("n"))
+    return moved.groupBy("signal_id", F.timestamp_micros(F.floor(t / 900_000_000) * 900_000_000).cast("timestamp_ntz").alias("bin_start")).agg(F.count("*").alias("n"))
 
 
 def drop_before(spark: SparkSession, path: str, keep_from: str) -> list[str]:

@@ -3,7 +3,7 @@
 import gzip
 import struct
 import zlib
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +155,16 @@ def test_validator(spark):
 
 def test_dates(spark):
     assert date(2024, 1, 1).weekday() == 0
+
+
+def test_clock_correction_keeps_other_signals(spark):
+    from types import SimpleNamespace
+
+    from junctura.sources.derived import START
+
+    t = START + 3_600_000_000
+    rows = [(s, at, 82, 1) for s in ("SIG-001", "SIG-002") for at in (t, t + 90_000_000, t + 840_000_000)]
+    log = spark.createDataFrame(rows, "signal_id string, t long, code int, param int")
+    got = lake.clock_correction(SimpleNamespace(between=lambda: log)).collect()
+    first = datetime(1970, 1, 1) + timedelta(microseconds=t // 900_000_000 * 900_000_000)
+    assert {(r.signal_id, r.bin_start, r.n) for r in got} == {("SIG-001", first, 3), ("SIG-002", first, 2), ("SIG-002", first + timedelta(minutes=15), 1)}
