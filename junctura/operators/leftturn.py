@@ -192,7 +192,7 @@ def left_turn_gap_data_check(tables: Tables, days: tuple[int, ...] = (0, 1, 2, 3
 
 def left_turn_volume_report(tables: Tables) -> DataFrame:
     """The report over the derived tables, whose facing phases are 2-6 and 4-8."""
-    return left_turn_volume(tables, opposing={2: 6, 6: 2, 4: 8, 8: 4}, first=1.0, final=11.0)
+    return left_turn_volume(tables, opposing={2: 6, 6: 2, 4: 8, 8: 4})
 
 
 def left_turn_gap_data_check_report(tables: Tables) -> DataFrame:

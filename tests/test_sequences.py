@@ -180,3 +180,18 @@ def test_latest_status_counts_all_rows(spark):
     log = spark.createDataFrame(rows, "signal_id string, t long, code int, param int")
     got = latest_status(SimpleNamespace(between=lambda: log)).collect()
     assert {(r.signal_id, r.merged, r.n) for r in got} == {("a", "invalid", 1), ("a", "suspect", 1), ("a", "clean", 60), ("b", "clean", 1)}
+
+
+def test_left_turn_volume_report_covers_the_whole_day(spark):
+    """One left turn an hour from the half hour on; a window of hours holds only its own."""
+    from types import SimpleNamespace
+
+    day = T0 - 8 * 3_600_000_000
+    hits = spark.createDataFrame([("S", 2, "L", day + h * 3_600_000_000 + 1_800_000_000) for h in range(24)], "signal_id string, phase int, movement string, t long")
+    approaches = spark.createDataFrame([("S", f"A{p}", p, d) for p, d in ((2, "NB"), (6, "SB"))], "signal_id string, approach_id string, phase int, direction string")
+    detectors = spark.createDataFrame([("S", 2, "L"), ("S", 6, "T")], "signal_id string, phase int, movement string")
+    tables = SimpleNamespace(arrivals=lambda: hits, approaches=approaches, detectors=detectors)
+    whole = leftturn.left_turn_volume_report(tables).collect()
+    assert len(whole) == 24 and {r.left_turn_volume for r in whole} == {24}
+    part = leftturn.left_turn_volume(tables, opposing={2: 6, 6: 2}, first=1.0, final=11.0).collect()
+    assert sorted(r.bin_start.hour for r in part) == list(range(1, 11)) and {r.left_turn_volume for r in part} == {10}
