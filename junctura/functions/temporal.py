@@ -41,9 +41,14 @@ def previous(value: Column, window) -> Column:
     return F.last(value, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
 
 
-def following(value: Column, window) -> Column:
-    """The first value that is not null, after the row."""
-    return F.first(value, ignorenulls=True).over(window.rowsBetween(1, Window.unboundedFollowing))
+def following(value: Column, keys: list[str], order: tuple[str, ...] = ("t", "code", "param"), own: bool = False) -> Column:
+    """The first value that is not null, after the row (or, with ``own``, at or after it).
+
+    A running frame along the reversed order: Spark computes a frame that shrinks towards the end anew
+    for every row, which takes the square of a group's rows.
+    """
+    back = Window.partitionBy(*keys).orderBy(*map(F.desc, order))
+    return F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0 if own else -1))
 
 
 def cycle(starts: Column, window) -> Column:

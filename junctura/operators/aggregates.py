@@ -148,7 +148,7 @@ def phase_left_turn_gap_15min(tables: Tables) -> DataFrame:
 def phase_pedestrian_15min(tables: Tables) -> DataFrame:
     """Walks and calls; a call's delay runs to the first walk at or after it and counts in the call's bin."""
     rows = tables.phase_events(WALK, PED_CALL).withColumn("param", F.lit(0)).withColumn("rank", F.when(F.col("code") == PED_CALL, 0).otherwise(1))
-    walk = F.first(F.when(F.col("code") == WALK, F.col("t")), ignorenulls=True).over(along(PHASE, ("t", "rank")).rowsBetween(0, Window.unboundedFollowing))
+    walk = following(F.when(F.col("code") == WALK, F.col("t")), PHASE, ("t", "rank"), own=True)
     d = F.when(F.col("code") == PED_CALL, F.col("walk") - F.col("t"))
     return _dated(rows.withColumn("walk", walk).groupBy(*PHASE, _bin(QUARTER)).agg(_of(WALK).alias("walk_count"), _of(PED_CALL).alias("call_count"), F.coalesce(seconds(F.sum(d)), F.lit(0.0)).alias("delay_sum_seconds"), F.count(d).alias("delay_count")))
 
@@ -162,7 +162,7 @@ def yellow_red_activation_15min(tables: Tables) -> DataFrame:
     """Hits of the phase's detectors inside its yellow and red intervals, by the interval's start, and the time of red."""
     w = along(PHASE)
     rows = tables.stream((GREEN, YELLOW, RED)).withColumn("state", last(F.when(F.col("code").isin(GREEN, YELLOW, RED), F.struct(F.col("code").alias("c"), F.col("t").alias("since"))), w)).where("state is not null").select("*", "state.*")
-    ends = rows.withColumn("next", following(F.when(F.col("code").isin(GREEN, YELLOW, RED), F.col("t")), w))
+    ends = rows.withColumn("next", following(F.when(F.col("code").isin(GREEN, YELLOW, RED), F.col("t")), PHASE))
     rows = ends.where(F.col("c").isin(YELLOW, RED) & F.col("next").isNotNull())
     hit = lambda c: _n((F.col("code") == ON) & (F.col("c") == c))
     red = F.sum(F.when(F.col("code") == RED, F.col("next") - F.col("t")))
@@ -171,8 +171,7 @@ def yellow_red_activation_15min(tables: Tables) -> DataFrame:
 
 def preemption_15min(tables: Tables) -> DataFrame:
     """Requests and services; a request's delay runs to the first entry at or after it."""
-    w = along(["signal_id", "param"], ("t", "code")).rowsBetween(0, Window.unboundedFollowing)
-    rows = tables.between(102, 105).withColumn("entry", F.first(F.when(F.col("code") == 105, F.col("t")), ignorenulls=True).over(w))
+    rows = tables.between(102, 105).withColumn("entry", following(F.when(F.col("code") == 105, F.col("t")), ["signal_id", "param"], ("t", "code"), own=True))
     d = F.when(F.col("code") == 102, F.col("entry") - F.col("t"))
     return _dated(rows.groupBy("signal_id", F.col("param").alias("preempt_channel"), _bin(QUARTER)).agg(_of(102).alias("request_count"), _of(105).alias("service_count"), (seconds(F.sum(d)) / F.nullif(F.count(d), F.lit(0))).alias("mean_delay_seconds")))
 

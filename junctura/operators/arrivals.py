@@ -74,7 +74,7 @@ def wait_time(tables: Tables) -> DataFrame:
     """Waits of arrivals between a phase's end and its next green; a row for each green that follows an end."""
     w = along(PHASE)
     rows = tables.stream((GREEN, PHASE_END)).withColumn("before", previous(F.when(F.col("code").isin(GREEN, PHASE_END), F.col("code")), w)).withColumn("ended", last(F.when(F.col("code") == PHASE_END, F.col("t")), w))
-    rows = rows.withColumn("next", F.when(F.col("code") == GREEN, F.col("t")).otherwise(following(F.when(F.col("code") == GREEN, F.col("t")), w))).where((F.col("before") == PHASE_END) & F.col("next").isNotNull())
+    rows = rows.withColumn("next", F.when(F.col("code") == GREEN, F.col("t")).otherwise(following(F.when(F.col("code") == GREEN, F.col("t")), PHASE))).where((F.col("before") == PHASE_END) & F.col("next").isNotNull())
     final = F.max("ended").over(along([*PHASE, "next"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumn("final", final)
     wait = F.when((F.col("code") == ON) & (F.col("ended") == F.col("final")), F.col("next") - F.col("t"))

@@ -156,7 +156,7 @@ def link_pivot(tables: Tables, longest: float = 300.0) -> DataFrame:
     greens = tables.phase_events(GREEN).select("signal_id", "phase", "t")
     up = greens.join(links, (greens.signal_id == links.from_signal) & (greens.phase == links.phase)).select("from_signal", "to_signal", "t", F.lit(0).alias("code"), F.lit(0).alias("param"))
     down = greens.join(links, (greens.signal_id == links.to_signal) & (greens.phase == links.phase)).select("from_signal", "to_signal", "t", F.lit(1).alias("code"), F.lit(0).alias("param"))
-    met = up.unionByName(down).withColumn("next", following(F.when(F.col("code") == 1, F.col("t")), along(["from_signal", "to_signal"])))
+    met = up.unionByName(down).withColumn("next", following(F.when(F.col("code") == 1, F.col("t")), ["from_signal", "to_signal"]))
     gap = seconds(F.col("next") - F.col("t"))
     kept = met.where((F.col("code") == 0) & (gap <= longest)).withColumn("gap", gap)
     return kept.groupBy("from_signal", "to_signal").agg(settled(F.avg("gap")).alias("avg_offset"), settled(F.stddev_pop("gap")).alias("stddev_offset"), F.count("*").alias("sample_count"))
@@ -175,11 +175,10 @@ def transit_signal_priority(tables: Tables, phase: int = 2, minutes: int = 15, l
     after = F.lead("t").over(w)
     periods = marks.withColumn("next_open", F.lead("open").over(w)).withColumn("next_t", after).where(F.col("open") & (F.col("next_open").isNull() | ~F.col("next_open"))).select("signal_id", F.col("t").alias("begin"), F.coalesce("next_t", F.col("t") + 2 * MINUTE).alias("finish"))
     phase_rows = _phase_rows(tables, GREEN, YELLOW).where(F.col("phase") == phase)
-    greens = phase_rows.withColumn("yellow", following(F.when(F.col("code") == YELLOW, F.col("t")), along(PHASE))).where((F.col("code") == GREEN) & (F.col("yellow") > F.col("t")) & (F.col("yellow") - F.col("t") <= int(longest * SECOND)))
+    greens = phase_rows.withColumn("yellow", following(F.when(F.col("code") == YELLOW, F.col("t")), PHASE)).where((F.col("code") == GREEN) & (F.col("yellow") > F.col("t")) & (F.col("yellow") - F.col("t") <= int(longest * SECOND)))
     one = greens.select("signal_id", F.col("t").alias("at"), F.lit(1).alias("side"), F.col("t").alias("green"), "yellow", F.lit(None).cast("long").alias("begin"))
     two = periods.select("signal_id", F.col("finish").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("green"), F.lit(None).cast("long").alias("yellow"), "begin")
-    ahead = Window.partitionBy("signal_id").orderBy("at", "side").rowsBetween(1, Window.unboundedFollowing)
-    met = one.unionByName(two).withColumn("first", F.first("begin", ignorenulls=True).over(ahead)).where("side = 1")
+    met = one.unionByName(two).withColumn("first", following(F.col("begin"), ["signal_id"], ("at", "side"))).where("side = 1")
     rows = met.select("signal_id", bin_of_hour(F.col("green"), minutes).alias("bin"), (F.col("yellow") - F.col("green")).alias("d"), F.coalesce(F.col("first") < F.col("yellow"), F.lit(False)).alias("with_tsp"))
     counts = events.where(F.col("code").isin(102, 112, 113, 114)).select("signal_id", bin_of_hour(F.col("t"), minutes).alias("bin"), "code")
     both = counts.unionByName(rows, allowMissingColumns=True)
@@ -191,10 +190,9 @@ def transit_signal_priority(tables: Tables, phase: int = 2, minutes: int = 15, l
 
 def ped_delay(tables: Tables) -> DataFrame:
     """Every press on a pedestrian channel waits for the next walk of its phase; phases without presses have zeros."""
-    w = along(PHASE)
     walks = tables.phase_events(21).select("signal_id", "phase", "t", "code", F.lit(0).alias("param"))
     presses = tables.arrivals(ON).select("signal_id", F.col("ped_phase").alias("phase"), "t", "code", F.col("channel").alias("param"))
-    met = walks.unionByName(presses).withColumn("walk", following(F.when(F.col("code") == 21, F.col("t")), w)).where((F.col("code") == ON) & F.col("walk").isNotNull())
+    met = walks.unionByName(presses).withColumn("walk", following(F.when(F.col("code") == 21, F.col("t")), PHASE)).where((F.col("code") == ON) & F.col("walk").isNotNull())
     wait = F.col("walk") - F.col("t")
     stats = met.groupBy(*PHASE).agg(F.count("*").alias("n"), (seconds(F.sum(wait)) / F.count("*")).alias("a"), seconds(F.max(wait)).alias("m"))
     phases = tables.approaches.select("signal_id", F.col("ped_phase").alias("phase")).distinct()

@@ -51,7 +51,7 @@ def ramp_metering(tables: Tables, demand: int = 1, passage: int = 2, queue: int
     """Metering rate, greens, demand and queue occupancy by bin; bins with anything at all."""
     hits = tables.between(ON).where(F.col("param").isin(demand, passage)).select("signal_id", bin_of_hour(F.col("t"), minutes).alias("bin"), F.when(F.col("param") == demand, 1).alias("demand"), F.when(F.col("param") == passage, 1).alias("passage"))
     phase = tables.phase_events(GREEN, YELLOW).where(F.col("phase") == meter_phase).withColumn("param", F.lit(0))
-    ended = phase.withColumn("yellow", following(F.when(F.col("code") == YELLOW, F.col("t")), along(["signal_id"])))
+    ended = phase.withColumn("yellow", following(F.when(F.col("code") == YELLOW, F.col("t")), ["signal_id"]))
     greens = ended.where((F.col("code") == GREEN) & (F.col("yellow") - F.col("t") <= int(longest * SECOND)) & (F.col("yellow") > F.col("t")))
     greens = greens.select("signal_id", bin_of_hour(F.col("t"), minutes).alias("bin"), (F.col("yellow") - F.col("t")).alias("green"))
     occupied = queue_occupancy(tables.between(ON, OFF).where(F.col("param") == queue), minutes)
