@@ -90,7 +90,7 @@ SQL = {
         "make_timestamp(am.bin) AS am_peak_hour, am.v AS am_peak_left_turn_volume, make_timestamp(pm.bin) AS pm_peak_hour, pm.v AS pm_peak_left_turn_volume, 'permissive' AS approach_type FROM b JOIN s USING (signal_id, approach_id) JOIN tt USING (signal_id, approach_id) LEFT JOIN am USING (signal_id, approach_id) LEFT JOIN pm USING (signal_id, approach_id)",
         _FACE,
         "s AS (SELECT a.signal_id, a.approach_id, a.phase, f.opp AS op, a.direction, o.direction AS od, (SELECT count(*) FROM det WHERE det.signal_id = a.signal_id AND det.phase = f.opp AND movement = 'T') AS lanes FROM app a JOIN face f USING (phase) JOIN app o ON o.signal_id = a.signal_id AND o.phase = f.opp)",
-        f"h AS (SELECT *, t // {Q} * {Q} AS bin FROM dev WHERE code = 82 AND (t % {24 * _HOUR}) BETWEEN {_HOUR} AND {11 * _HOUR})",
+        f"h AS (SELECT *, t // {Q} * {Q} AS bin FROM dev WHERE code = 82)",
         "b AS (SELECT s.signal_id, s.approach_id, bin, count(*) FILTER (h.phase = s.phase AND movement = 'L') AS lt, count(*) FILTER (h.phase = s.op AND movement = 'T') AS opp FROM h JOIN s ON s.signal_id = h.signal_id AND ((h.phase = s.phase AND movement = 'L') OR (h.phase = s.op AND movement = 'T')) GROUP BY ALL)",
         "tt AS (SELECT q.*, s.lanes, CASE WHEN lanes > 1 THEN 2.0 * lt * pow(opp, 0.642) ELSE 1.0 * lt * pow(opp, 0.706) END AS bd FROM (SELECT signal_id, approach_id, CAST(sum(lt) AS BIGINT) AS lt, CAST(sum(opp) AS BIGINT) AS opp FROM b GROUP BY ALL) q JOIN s USING (signal_id, approach_id))",
         f"w AS (SELECT *, (bin % {24 * _HOUR}) // {_HOUR} AS hr FROM b)",

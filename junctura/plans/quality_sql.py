@@ -26,7 +26,7 @@ SQL = {
     ),
     "quality_latest_status": sql(
         "SELECT signal_id, CASE WHEN bad THEN 'invalid' WHEN param > 6 THEN 'suspect' ELSE 'clean' END AS merged, count(*) AS n FROM x GROUP BY ALL",
-        _V, "x AS (SELECT w.*, (param < 0 OR lo IS NULL OR NOT (param BETWEEN lo AND hi)) AS bad FROM win w LEFT JOIN kinds USING (code) QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY t DESC, code DESC, param DESC) <= 50)",
+        _V, "x AS (SELECT w.*, (param < 0 OR lo IS NULL OR NOT (param BETWEEN lo AND hi)) AS bad FROM win w LEFT JOIN kinds USING (code))",
     ),
     "watchdog_silent_signal": sql(f"SELECT signal_id, make_timestamp(max(t)) AS last_event FROM cel GROUP BY ALL HAVING max(t) < {END + 2 * HOUR}"),
     "watchdog_missing_data_window": sql(f"SELECT signal_id, make_timestamp(max(t)) AS last_event FROM cel GROUP BY ALL HAVING max(t) < {END + HOUR // 2}"),
@@ -40,5 +40,5 @@ SQL = {
     "config_signal_tree_flat": sql("SELECT signal_id, approach_id, direction, count(*) AS n_detectors, string_agg(channel, ',' ORDER BY channel) AS channels FROM det GROUP BY ALL"),
     "config_channels_for_phase": sql("SELECT signal_id, phase, string_agg(channel, ',' ORDER BY channel) AS channels FROM det GROUP BY ALL"),
     "lake_events_query": sql("SELECT signal_id, make_timestamp(t) AS event_time, code AS event_code, param AS event_param FROM win WHERE signal_id = 'SIG-001' AND code IN (1, 8, 9) AND param = 2 ORDER BY t, code, param LIMIT 10000"),
-    "lake_clock_correction": sql(f"SELECT make_timestamp(u // {Q} * {Q}) AS bin_start, count(*) AS n FROM (SELECT DISTINCT CASE WHEN t BETWEEN {START + HOUR} AND {START + 2 * HOUR} THEN t + 90000000 ELSE t END AS u, code, param FROM win WHERE signal_id = 'SIG-002') GROUP BY ALL"),
+    "lake_clock_correction": sql(f"SELECT signal_id, make_timestamp(u // {Q} * {Q}) AS bin_start, count(*) AS n FROM (SELECT DISTINCT signal_id, CASE WHEN signal_id = 'SIG-002' AND t BETWEEN {START + HOUR} AND {START + 2 * HOUR} THEN t + 90000000 ELSE t END AS u, code, param FROM win) GROUP BY ALL"),
 }
