@@ -156,8 +156,11 @@ def left_turn_gap_data_check(tables: Tables, days: tuple[int, ...] = (0, 1, 2, 3
     volume = F.when(F.col("all") < 4, F.floor(F.col("day_sum") * 4 / F.col("all"))).when(F.col("n4") == 4, F.col("sum4"))
     left = sized.groupBy(*key, "part").agg(F.sum("n").alias("hits"), F.max(volume).alias("peak"))
     phase = keep(tables.phase_events(GREEN, GAP_OUT, MAX_OUT, FORCE_OFF, PED_CALL))
-    met = phase.alias("e").join(sides.alias("s"), F.col("e.signal_id") == F.col("s.signal_id")).where((F.col("e.phase") == F.col("s.through")) | (F.col("e.phase") == F.col("s.phase")) | (F.col("e.phase") == F.col("s.ped_phase")))
-    rows = met.select("s.signal_id", "s.approach_id", "part", "t", "code", F.lit(0).alias("param"), (F.col("e.phase") == F.col("s.through")).alias("is_through"), (F.col("e.phase") == F.col("s.phase")).alias("is_left"), (F.col("e.phase") == F.col("s.ped_phase")).alias("is_ped"))
+    # Each approach meets only the events of its own phases: their roles are the build side, keyed by signal and phase.
+    roles = sides.withColumn("own", F.col("phase")).withColumn("phase", F.explode(F.array_distinct(F.array("through", "own", "ped_phase"))))
+    is_ = lambda role, name: (F.col("phase") == F.col(role)).alias(name)
+    roles = roles.select(*PHASE, "approach_id", is_("through", "is_through"), is_("own", "is_left"), is_("ped_phase", "is_ped"))
+    rows = phase.join(roles, PHASE).select(*key, "part", "t", "code", F.lit(0).alias("param"), "is_through", "is_left", "is_ped")
     through_green = F.col("is_through") & (F.col("code") == GREEN)
     call = ~F.col("is_through") & F.col("is_ped") & (F.col("code") == PED_CALL)
     rows = rows.withColumn("cycle", last(F.when(through_green, t), along([*key, "part"])))

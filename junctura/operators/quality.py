@@ -100,7 +100,8 @@ def low_hit_count(tables: Tables, as_of: int = END, least: int = 5) -> DataFrame
 def unsuppressed(alerts: DataFrame, rules: DataFrame, check: str, as_of: int) -> DataFrame:
     """Alerts no rule (signal_id or null for all, check_name, expires_at or null for never) holds back."""
     live = rules.where((F.col("check_name") == check) & (F.col("expires_at").isNull() | (F.col("expires_at") > timestamp(F.lit(as_of))))).select(F.col("signal_id").alias("_signal"))
-    return alerts.join(live, F.col("_signal").isNull() | (F.col("signal_id") == F.col("_signal")), "left_anti")
+    left = alerts.join(live.where("_signal is not null"), F.col("signal_id") == F.col("_signal"), "left_anti")
+    return left.join(live.where("_signal is null").distinct(), how="left_anti")  # at most one row, so no pairs
 
 
 def suppressed_alerts(tables: Tables) -> DataFrame:
