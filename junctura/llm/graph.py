@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.scratch import stored
+from junctura.llm.scratch import free, stored
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Done when each node has one edge, and to a node that has none upwards: a star forest.
         deep = after.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         deep = deep or after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+        free(now)
         now = after
         if not deep:
             break

@@ -3,26 +3,29 @@
 Every source's rows, in an order of hashed ids, form blocks of ``block_rows``. Block j of a source
 with weight w of W in all may run from slot floor(j W / w) and must have run by slot
 ceil((j + 1) W / w); each slot takes, among the blocks that may run, the one with the earliest
-deadline (ties: the later release, then the source's place). The schedule repeats after W slots, so
-the pattern of one period is worked out once, with no reference to the data, and every block's slot
-follows by arithmetic. Up to the slot where some source runs out (`in_mix`), a source's share
-differs from its weight by less than one block at every point. No row is dropped: later slots of a
-source that has run out stay empty, and the others go on in their proportions.
-
-Defined cases: a null source, or one without a target weight, belongs to the group ``rest``, which
-has a weight of its own; rows with equal ids follow each other in no particular order unless the
-text's checksum tells them apart; weights must be positive whole numbers.
+deadline (ties: the later release, then the source's place). When a source's last block has run, an
+epoch ends: the sources that are left go on in a schedule of their own weights, counted anew. At
+every row of an epoch the rows of each of its sources so far thus differ from their share of the
+epoch's rows by less than one block. A schedule repeats after W slots, so the pattern of one period
+of each epoch is worked out once, from the sources' numbers of rows alone, and every row's slot and
+position follow by arithmetic. No row is dropped and no slot stays empty; `in_mix` marks the first
+epoch, in which all sources still have rows.
+
+Defined cases: a weight without rows takes no part in the plan; a null source, or one without a target
+weight, belongs to the group ``rest``, which has a weight of its own; rows with equal ids follow each
+other in the order of their texts' checksums, and equal ones of these in no particular order; weights
+must be positive whole numbers; extra columns are not carried by `mix` and all kept by `ordered`.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.ranking import ranked
-from junctura.llm.scratch import stored
+from junctura.llm.ranking import order_key, ranked
+from junctura.llm.scratch import free_name, stored
 
 REST = "rest"
 
@@ -45,82 +48,108 @@ def pattern(weights: dict[str, int]) -> list[str]:
     return out
 
 
-def _order(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def epochs(weights: dict[str, int], counts: dict[str, int], block_rows: int) -> list[dict]:
+    """Of each group and epoch: its first block there, the epoch's first slot and position, its period, the group's weight and slots in it."""
+    blocks = {g: -(-counts[g] // block_rows) for g in weights if counts.get(g)}
+    given = dict.fromkeys(blocks, 0)
+    plan, slot, position, epoch = [], 0, 0, 0
+    while live := [g for g in blocks if given[g] < blocks[g]]:
+        unit = math.gcd(*(weights[g] for g in live))
+        w = {g: weights[g] // unit for g in live}
+        order = pattern(w)
+        period, spots = len(order), {g: [s for s, p in enumerate(order) if p == g] for g in live}
+        plan += [{"mix_group": g, "epoch": epoch, "from_block": given[g], "first_slot": slot, "first_position": position, "period": period, "weight": w[g], "spots": spots[g]} for g in live]
+        ends = {g: (last := blocks[g] - given[g] - 1) // w[g] * period + spots[g][last % w[g]] for g in live}
+        done = min(ends, key=ends.get)
+        length = ends[done] + 1
+        for g in live:
+            given[g] += length // period * w[g] + sum(s < length % period for s in spots[g])
+        # All blocks of an epoch are full but its last.
+        slot, position, epoch = slot + length, position + (length - 1) * block_rows + counts[done] - (blocks[done] - 1) * block_rows, epoch + 1
+    return plan
+
+
+_PLAN = "mix_group string, epochs array<struct<from_block: long, first_slot: long, first_position: long, period: long, weight: long, spots: array<long>, epoch: int>>"
+
+
+def _scheduled(rows: DataFrame, weights: dict[str, int], block_rows: int, bucket_rows: int) -> DataFrame:
+    """``rows`` (with `mix_group` and `_key`) with slot, position, epoch and in_mix."""
+    if any(not isinstance(w, int) or w < 1 for w in weights.values()) or REST not in weights:
+        raise ValueError(f"weights must be positive whole numbers, one of them for {REST!r}")
+    spark: SparkSession = rows.sparkSession
+    counts = {r["mix_group"]: r["n"] for r in rows.groupBy("mix_group").agg(F.count("*").alias("n")).collect()}
+    plan: dict[str, list] = {}
+    for e in epochs(weights, counts, block_rows):
+        plan.setdefault(e["mix_group"], []).append(tuple(e[k] for k in ("from_block", "first_slot", "first_position", "period", "weight", "spots", "epoch")))
+    # One row a group, with at most as many epochs as there are groups.
+    table = spark.createDataFrame(list(plan.items()), _PLAN)
+    met = ranked(rows, "mix_group", "_rank", bucket_rows).join(F.broadcast(table), "mix_group")
+    block = F.floor(F.col("_rank") / block_rows)
+    own = F.element_at(F.filter("epochs", lambda e: e["from_block"] <= block), -1)
+    met = met.withColumn("_block", block).withColumn("_own", own).drop("epochs")
+    j = F.col("_block") - F.col("_own.from_block")
+    local = F.floor(j / F.col("_own.weight")) * F.col("_own.period") + F.element_at("_own.spots", (j % F.col("_own.weight") + 1).cast("int"))
+    met = met.withColumn("_local", local.cast("long"))
+    met = met.withColumn("slot", F.col("_own.first_slot") + F.col("_local")).withColumn("position", F.col("_own.first_position") + F.col("_local") * block_rows + F.col("_rank") % block_rows)
+    return met.withColumn("epoch", F.col("_own.epoch")).withColumn("in_mix", F.col("epoch") == 0).drop("_rank", "_block", "_own", "_local")
 
 
-def mix(documents: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_rows: int = 10_000) -> DataFrame:
-    """doc_id, text_crc32, mix_group, slot, position, in_mix of every row; `position` runs gapless from 0.
+def _group(source: Column, weights: dict[str, int]) -> Column:
+    return F.when(source.isin([k for k in weights if k != REST]), source).otherwise(F.lit(REST))
 
-    The period is a parameter, so its pattern is small; numbers of rows are kept for the groups alone.
-    """
-    shares = math.gcd(*weights.values())
-    weights = {k: v // shares for k, v in weights.items()}
-    period, plan = sum(weights.values()), pattern(weights)
-    group = F.when(F.col("source").isin([k for k in weights if k != REST]), F.col("source")).otherwise(F.lit(REST))
-    rows = stored(documents.select("doc_id", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"), group.alias("mix_group"), _order(F.col("doc_id")).alias("_order")), "mixing")
-    counts = {r["mix_group"]: r["n"] for r in rows.groupBy("mix_group").agg(F.count("*").alias("n")).collect()}
-    digits = min(8, max(0, math.ceil(math.log(max(1, max(counts.values(), default=1) / bucket_rows), 16))))
-    numbered = ranked(rows, "mix_group", [F.col("_order"), F.col("text_crc32")], F.substring("_order", 1, digits) if digits else F.lit(""), "_rank")
-    block = F.floor(F.col("_rank") / block_rows)
-    spots = {g: [s for s, p in enumerate(plan) if p == g] for g in weights}
-    groups = [g for g in weights if counts.get(g)]
-    slot = F.lit(None).cast("long")
-    for g in groups:
-        place = F.array(*map(F.lit, spots[g]))
-        slot = F.when(F.col("mix_group") == g, F.floor(block / weights[g]) * period + F.element_at(place, (block % weights[g] + 1).cast("int"))).otherwise(slot)
-    timed = numbered.withColumn("slot", slot.cast("long"))
-    # Rows that come earlier: of each group, the blocks in earlier slots, each full but the last.
-    before = F.lit(0).cast("long")
-    for g in groups:
-        so_far = [sum(p == g for p in plan[:s]) for s in range(period)]
-        done = F.floor(F.col("slot") / period) * weights[g] + F.element_at(F.array(*map(F.lit, so_far)), (F.col("slot") % period + 1).cast("int"))
-        before += F.least(F.lit(counts[g]), done * block_rows).cast("long")
-    # A source runs out with the slot after its last full block.
-    end = min(((counts.get(g, 0) // block_rows) // w * period + spots[g][(counts.get(g, 0) // block_rows) % w] for g, w in weights.items()), default=0)
-    position = before + F.col("_rank") % block_rows
-    return timed.select("doc_id", "text_crc32", "mix_group", "slot", position.cast("long").alias("position"), (F.col("slot") < end).alias("in_mix"))
+
+def mix(documents: DataFrame, weights: dict[str, int], block_rows: int = 16, bucket_rows: int = 4_000) -> DataFrame:
+    """doc_id, text_crc32, mix_group, slot, position, epoch, in_mix of every row; `position` runs gapless from 0."""
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
+    rows = documents.select("doc_id", crc.alias("text_crc32"), _group(F.col("source"), weights).alias("mix_group"), F.monotonically_increasing_id().alias("_tie"))
+    rows = stored(rows, "mixing").withColumn("_key", order_key(F.col("doc_id"), F.col("text_crc32"), F.col("_tie"))).drop("_tie")
+    return _scheduled(rows, weights, block_rows, bucket_rows).select("doc_id", "text_crc32", "mix_group", "slot", "position", "epoch", "in_mix")
 
 
 #: Production weights: the large source src0 counts as three of the others.
 WEIGHTS = {f"src{k}": 3 if k == 0 else 1 for k in range(20)} | {REST: 1}
 
 
-def ordered(documents: DataFrame, mixed: DataFrame) -> DataFrame:
+def ordered(documents: DataFrame, weights: dict[str, int] = WEIGHTS, block_rows: int = 16, bucket_rows: int = 4_000, part_rows: int = 20_000) -> DataFrame:
     """``documents``, with no other columns, in the order of the mix: files and rows within them ascend.
 
-    Rows with equal ids and texts are interchangeable and take the equal rows' positions in turn.
+    Whole rows move twice: to their bucket, where their rank is found, and to their place. Positions
+    are gapless, so that place is known by arithmetic, without sampling. Rows equal in id and in all
+    columns are interchangeable. ``documents`` are read more than once and must be the same each time.
     """
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))]
     names = documents.columns
-    left = documents.select(F.struct(*names).alias("_row"), key[0].alias("_id"), key[1].alias("_crc"), F.xxhash64(*names).alias("_same"))
-    right = mixed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_crc32").alias("_crc"), "position")
-    left = left.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("_same")))
-    right = right.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("position")))
-    return left.join(right, ["_id", "_crc", "_n"]).repartitionByRange("position").sortWithinPartitions("position").select("_row.*")
+    row = free_name(documents, "_row")
+    tie = F.xxhash64(*names)
+    narrow = documents.select(F.struct(*names).alias(row), _group(F.col("source"), weights).alias("mix_group"), order_key(F.col("doc_id"), F.lit(0), tie).alias("_key"))
+    placed = _scheduled(narrow, weights, block_rows, bucket_rows)
+    parts = max(1, -(-documents.count() // part_rows))
+    return placed.repartitionById(parts, F.floor(F.col("position") / part_rows).cast("int")).sortWithinPartitions("position").select(f"{row}.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), WEIGHTS).drop("text_crc32")
 
 
-def reference_sql(weights: dict[str, int] = WEIGHTS, block_rows: int = 64) -> str:
-    """The same rows in SQL, from the pattern of one period written out as rows."""
-    shares = math.gcd(*weights.values())
-    weights = {k: v // shares for k, v in weights.items()}
-    period, plan = sum(weights.values()), pattern(weights)
-    seen, rows = dict.fromkeys(weights, 0), []
-    for slot, g in enumerate(plan):
-        rows.append(f"('{g}', {weights[g]}, {seen[g]}, {slot})")
-        seen[g] += 1
+def reference_sql(weights: dict[str, int] = WEIGHTS, block_rows: int = 16) -> str:
+    """The same rows in SQL: each slot in turn goes to the ready block with the earliest deadline, over the real numbers of blocks."""
     named = ", ".join(f"'{g}'" for g in weights if g != REST)
+    listed = ", ".join(f"({k}, '{g}', {w})" for k, (g, w) in enumerate(weights.items(), 1))
+    live, of_live = "done[i] < n[i]", "list_sum([w[i] for i in range(1, len(w) + 1) if base[i] < n[i]])"
+    release = "(done[i] - base[i]) * total // w[i]"
+    deadline = "((done[i] - base[i] + 1) * total + w[i] - 1) // w[i]"
     return f"""
-WITH pattern(mix_group, w, k, spot) AS (VALUES {', '.join(rows)}),
+WITH RECURSIVE weights(k, mix_group, w) AS (VALUES {listed}),
 r AS (SELECT doc_id, CASE WHEN source IN ({named}) THEN source ELSE '{REST}' END AS mix_group, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
-n AS (SELECT *, row_number() OVER (PARTITION BY mix_group ORDER BY o) - 1 AS rk FROM r),
-t AS (SELECT n.*, (rk // {block_rows}) // w * {period} + spot AS slot FROM n JOIN pattern p ON n.mix_group = p.mix_group AND (rk // {block_rows}) % w = k),
-c AS (SELECT p.mix_group, w, k, spot, count(r.doc_id) AS n FROM pattern p LEFT JOIN r ON r.mix_group = p.mix_group GROUP BY ALL),
-f AS (SELECT min((n // {block_rows}) // w * {period} + spot) AS last FROM c WHERE (n // {block_rows}) % w = k)
-SELECT t.doc_id, CAST(t.mix_group AS VARCHAR) AS mix_group, CAST(slot AS BIGINT) AS slot,
-  row_number() OVER (ORDER BY slot, rk) - 1 AS position, slot < f.last AS in_mix
-FROM t, f"""
+ranks AS (SELECT *, row_number() OVER (PARTITION BY mix_group ORDER BY o) - 1 AS rk FROM r),
+c AS (SELECT k, any_value(weights.mix_group) AS mix_group, any_value(w) AS w, (count(doc_id) + {block_rows - 1}) // {block_rows} AS n FROM weights LEFT JOIN r USING (mix_group) GROUP BY k),
+given AS (SELECT list(CAST(w AS BIGINT) ORDER BY k) AS w, list(n ORDER BY k) AS n FROM c),
+run AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS start, 0 AS epoch, 0 AS at_epoch, CAST(NULL AS BIGINT) AS who, CAST(NULL AS BIGINT) AS block, [CAST(0 AS BIGINT) for x in n] AS done, [CAST(0 AS BIGINT) for x in n] AS base, w, n FROM given
+  UNION ALL
+  SELECT slot + 1, CASE WHEN over THEN slot + 2 ELSE start END, CASE WHEN over THEN epoch + 1 ELSE epoch END, epoch, best, done[best], after, CASE WHEN over THEN after ELSE base END, w, n
+  FROM (SELECT *, [CASE WHEN i = best THEN done[i] + 1 ELSE done[i] END for i in range(1, len(n) + 1)] AS after, done[best] + 1 = n[best] AS over
+    FROM (SELECT *, list_sort([{{'d': {deadline}, 'r': -({release}), 'i': i}} for i in range(1, len(n) + 1) if {live} AND {release} <= slot + 1 - start])[1].i AS best
+      FROM (SELECT *, CAST({of_live} AS BIGINT) AS total FROM run WHERE list_sum(done) < list_sum(n))))),
+slots AS (SELECT slot, at_epoch AS epoch, block, mix_group FROM run JOIN weights ON who = k)
+SELECT doc_id, CAST(mix_group AS VARCHAR) AS mix_group, slot, row_number() OVER (ORDER BY slot, rk) - 1 AS position, epoch, epoch = 0 AS in_mix
+FROM ranks JOIN slots USING (mix_group) WHERE rk // {block_rows} = block"""

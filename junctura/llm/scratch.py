@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex[:12]
 _FOLDERS: dict[str, object] = {}
+_TABLES: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _FOLDERS.get("own")
-    if not base:
-        base = _FOLDERS["own"] = tempfile.mkdtemp(prefix="junctura-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, the warehouse, which executors share too."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{base.rstrip('/')}/junctura-{_RUN}"
     if folder not in _FOLDERS:
         _FOLDERS[folder] = spark
@@ -47,4 +43,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._scratch = path  # noqa: SLF001 - names the table for `free`
+    return read
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, before the driver ends; other DataFrames are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path in _TABLES:
+            _TABLES.remove(path)
+            _delete(table.sparkSession, path)
+
+
+def mark() -> int:
+    """The number of tables stored so far, for `free_since`."""
+    return len(_TABLES)
+
+
+def free_since(start: int, kept: DataFrame) -> None:
+    """Delete the tables stored after the mark but for ``kept``, which was made from them."""
+    for path in [p for p in _TABLES[start:] if p != kept._scratch]:  # noqa: SLF001
+        _TABLES.remove(path)
+        _delete(kept.sparkSession, path)

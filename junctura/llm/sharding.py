@@ -7,14 +7,17 @@ those of all rows, at the place where the bytes before it come nearest to floor(
 node's; the halves are split in turn until every leaf is one shard of the target bytes. The weighted
 median is exact: histograms of equal cells over the node's range, summed by Spark for all nodes of a
 level at once, close in on the single value where the target falls, and rows equal there are cut by
-id, then by checksum. Only cell sums reach the driver, at most ``cells`` at a time (256 a node at least).
+id, then by checksum, then by a number that each row is given. Only cell sums reach the driver, at most
+``cells`` at a time (256 a node at least). Slots follow the hashes of ids, so a shard's rows are numbered
+in even buckets whatever the ids.
 
 Law: `bytes`. Each cut misses its target by at most half a row, so shards differ by less than two of
-the largest rows.
+the largest rows. Equal texts are rows like any others: they have equal sizes and checksums, but may
+fall into different shards.
 
 Defined cases: a null text has no bytes and the checksum of an empty text; null coordinates count as
--1; rows equal in id and checksum stay together; with fewer rows than shards some shards are empty;
-extra columns are not carried.
+-1; a run of rows equal in all coordinates, however long, is cut where the target falls; with fewer rows
+than shards some shards are empty; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.ranking import ranked
-from junctura.llm.scratch import stored
+from junctura.llm.ranking import order_key, ranked
+from junctura.llm.scratch import free, stored
 
 AXES = ("source", "lang", "length", "crc", "id")
-_TIES = ("id", "crc")
+_TIES = ("id", "crc", "tie")
 
 
 @dataclass
@@ -46,7 +49,7 @@ def metadata(documents: DataFrame) -> DataFrame:
     crc = F.coalesce(F.crc32(text), F.lit(0)).cast("long")
     return documents.select(
         "doc_id", size.alias("size"), crc.alias("text_crc32"), of("source").alias("source"), of("lang").alias("lang"),
-        size.alias("length"), F.shiftright(crc, 16).alias("crc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"),
+        size.alias("length"), F.shiftright(crc, 16).alias("crc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.monotonically_increasing_id().alias("tie"),
     )
 
 
@@ -81,7 +84,7 @@ def _closing_in(rows: DataFrame, aims: dict[int, dict], cells: int) -> dict[int,
     return found
 
 
-def shards(documents: DataFrame, n_shards: int = 24, cells: int = 1 << 16, bucket_rows: int = 10_000) -> DataFrame:
+def shards(documents: DataFrame, n_shards: int = 24, cells: int = 1 << 16, bucket_rows: int = 4_000) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = stored(metadata(documents), "metadata")
     nodes: dict[int, Node] = {0: Node(n_shards, 0)}
@@ -91,13 +94,13 @@ def shards(documents: DataFrame, n_shards: int = 24, cells: int = 1 << 16, bucke
     while any(n.shards > 1 for n in nodes.values()):
         now = rows.withColumn("node", node)
         splitting = {k: n for k, n in nodes.items() if n.shards > 1}
-        stats = now.where(F.col("node").isin(list(splitting))).groupBy("node").agg(F.sum("size").alias("bytes"), *(f(a).alias(f"{k}_{a}") for a in AXES for k, f in (("low", F.min), ("high", F.max)))).collect()
+        stats = now.where(F.col("node").isin(list(splitting))).groupBy("node").agg(F.sum("size").alias("bytes"), *(f(a).alias(f"{k}_{a}") for a in (*AXES, "tie") for k, f in (("low", F.min), ("high", F.max)))).collect()
         aims: dict[int, dict] = {}
         for r in stats:
             axis = max(AXES, key=lambda a, r=r: (r[f"high_{a}"] - r[f"low_{a}"]) / spread[a])
             k = splitting[r["node"]].shards
             aims[r["node"]] = {"axis": axis, "condition": F.lit(True), "low": r[f"low_{axis}"], "high": r[f"high_{axis}"], "target": r["bytes"] * (k // 2) / k}
-        # Rows equal on the axis are cut by id, then by checksum, unless there is only one.
+        # Rows equal on the axis are cut by id, checksum and number, unless there is only one.
         cuts: dict[int, list] = {n: [] for n in aims}
         goes_left, ends = {}, {r["node"]: r for r in stats}
         while aims:
@@ -121,13 +124,13 @@ def shards(documents: DataFrame, n_shards: int = 24, cells: int = 1 << 16, bucke
             del nodes[n]
             nodes[low], nodes[high] = Node(old.shards // 2, old.first), Node(old.shards - old.shards // 2, old.first + old.shards // 2)
         # A level's result is written, so that later levels need not replay its conditions.
-        rows = stored(rows.withColumn("_next", F.coalesce(split, node)).drop("_node").withColumnRenamed("_next", "_node"), "nodes")
+        last, rows = rows, stored(rows.withColumn("_next", F.coalesce(split, node)).drop("_node").withColumnRenamed("_next", "_node"), "nodes")
+        free(last)
         node = F.col("_node")
     shard = F.create_map(*(F.lit(v) for k, n in nodes.items() for v in (k, n.first)))[node].cast("int")
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * bucket_rows // max(n, 1))
-    placed = rows.select("doc_id", "size", "text_crc32", "id", F.lit("bytes").alias("law"), shard.alias("shard"))
-    return ranked(placed, "shard", [F.col("id"), F.col("text_crc32")], F.floor(F.col("id") / width), "slot").select(
+    key = order_key(F.col("doc_id"), F.col("text_crc32"), F.col("tie"))
+    placed = rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard.alias("shard"), key.alias("_key"))
+    return ranked(placed, "shard", "slot", bucket_rows).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 

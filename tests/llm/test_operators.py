@@ -98,6 +98,29 @@ def test_shards_equal_brute_force(spark, documents):
     assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r["size"] == len(text[r.doc_id].encode()) + 8 for r in got)
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_shards_of_skewed_ids(spark, far):
+    """One far id, and a third of the rows without id and with one text: still even shards and bounded buckets."""
+    data = [(i, f"text {i % 17} " * (1 + i % 5)) for i in range(600)] + [(None, "the same")] * 300 + ([(1 << 60, "far")] if far else [])
+    got = sharding.shards(spark.createDataFrame(data, "doc_id long, text string"), 6, bucket_rows=20).collect()
+    assert len(got) == len(data)
+    for shard in range(6):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    totals = [sum(r["size"] for r in got if r.shard == s) for s in range(6)]
+    assert max(totals) - min(totals) < 2 * max(r["size"] for r in got)
+
+
+def test_ranks_are_gapless_and_in_order(spark):
+    from junctura.llm.ranking import order_key, ranked
+
+    rows_ = spark.createDataFrame([("a", i % 40 if i % 3 else None, i % 5) for i in range(900)] + [("b", i, 0) for i in range(50)], "g string, id long, crc long")
+    keyed = rows_.withColumn("n", F.monotonically_increasing_id()).withColumn("_key", order_key(F.col("id"), F.col("crc"), F.col("n"))).withColumn("k", F.col("_key"))
+    for bucket_rows in (4, 1000):
+        for g in "ab":
+            got = sorted((r["rank"], r.k) for r in ranked(keyed, "g", "rank", bucket_rows).collect() if r.g == g)
+            assert [k for k, _ in got] == list(range(len(got))) and [k for _, k in got] == sorted(k for _, k in got)
+
+
 def test_shards_of_odd_rows(odd):
     got = sharding.shards(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.shard < 24 for r in got)
@@ -402,23 +425,53 @@ def test_pattern_deviates_by_less_than_one():
     assert seen == weights
 
 
+def holds_bound(got, weights, block):
+    """Every prefix of each epoch: each source with rows left differs from its share by less than one block."""
+    got = sorted(got, key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(len(got)))
+    assert sorted({r.slot for r in got}) == list(range(1 + max(r.slot for r in got)))
+    assert [(r.epoch, r.slot) for r in got] == sorted((r.epoch, r.slot) for r in got)
+    left = {}
+    for r in got:
+        left[r.mix_group] = left.get(r.mix_group, 0) + 1
+    for epoch in sorted({r.epoch for r in got}):
+        live = {g: weights[g] for g in left if left[g]}
+        inside, seen = [r for r in got if r.epoch == epoch], dict.fromkeys(live, 0)
+        for n, r in enumerate(inside, 1):
+            assert r.in_mix == (epoch == 0)
+            seen[r.mix_group] += 1
+            left[r.mix_group] -= 1
+            for g, w in live.items():
+                assert abs(seen[g] - n * w / sum(live.values())) < block
+        assert sum(not left[g] for g in live) == 1  # an epoch ends where one source runs out
+    assert not any(left.values())
+
+
 def test_mix_of_hot_sources(spark):
-    data = [(i, "t", "hot" if i % 3 else f"s{i % 7}") for i in range(2000)] + [(None, None, None)] * 3
-    df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    weights = {"hot": 2, "s0": 1, "s3": 1, "rest": 1}
-    got = sorted(mixing.mix(df, weights, 10, 50).collect(), key=lambda r: r.position)
-    assert [r.position for r in got] == list(range(len(data)))
-    assert [r.slot for r in got] == sorted(r.slot for r in got)
-    inside, seen = [r for r in got if r.in_mix], {}
-    for n, r in enumerate(inside, 1):
-        seen[r.mix_group] = seen.get(r.mix_group, 0) + 1
-        assert abs(seen[r.mix_group] - n * weights[r.mix_group] / 5) < 2 * 10
-    ordered = mixing.ordered(df, mixing.mix(df, weights, 10, 50)).collect()
+    """A hot source, repeated null ids, a weight without rows, sources that run out at different times, columns with clashing names."""
+    data = [(i, "t", "hot" if i % 3 else f"s{i % 7}", i) for i in range(2000)] + [(None, None, None, 1)] * 60
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, position int")
+    weights = {"hot": 2, "s0": 1, "none": 5, "s3": 3, "rest": 1}
+    got = mixing.mix(df, weights, 10, 8).collect()
+    assert len(got) == len(data)
+    holds_bound(got, weights, 10)
+    ordered = mixing.ordered(df, weights, 10, 8, part_rows=300)
     of = {(r.doc_id, r.mix_group): r.position for r in got}
+    assert ordered.dtypes == df.dtypes and ordered.rdd.getNumPartitions() == 7
+    ordered = ordered.collect()
     assert sorted(map(str, ordered)) == sorted(map(str, df.collect()))
-    places = [of[r.doc_id, r.source if r.source in weights else "rest"] for r in ordered if r.doc_id is not None]
-    assert places == sorted(places)
-    assert mixing.mix(none(df), weights).count() == 0
+    places = [(k, of[r.doc_id, r.source if r.source in weights else "rest"]) for k, r in enumerate(ordered) if r.doc_id is not None]
+    assert all(k == place for k, place in places)
+    assert mixing.mix(none(df), weights).count() == 0 and mixing.ordered(none(df), weights).count() == 0
+    for bad in ({"hot": 1}, {"hot": 0, "rest": 1}):
+        with pytest.raises(ValueError):
+            mixing.mix(df, bad)
+
+
+def test_mix_of_the_documents_holds_the_bound(spark):
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), mixing.WEIGHTS, 4).collect()
+    holds_bound(got, mixing.WEIGHTS, 4)
+    assert sum(r.in_mix for r in got) > 300
 
 
 # 10 media
