@@ -2,8 +2,9 @@
 
 A document's set holds its distinct shingles of ``width`` lower-cased words (the whole sequence as
 one where there are fewer words). Each shingle's hash names a register and a place in it; a register
-keeps, of the smallest place, the number of leading zeros and ten mantissa bits. Empty registers are
-filled from others in an order that depends only on the register. Bands of five registers propose.
+keeps, of the smallest place, the number of leading zeros and ten mantissa bits. An empty register takes
+the value of the first one in use along an order of all registers that is its own, so that each agrees
+with the same probability, however small the sets. Bands of five registers propose.
 
 1. Equal sets (by two 64-bit sums over the set and its size) form a class; one member stands for it.
 2. In every band, classes with equal registers share a bucket. Its leader is the member whose buckets
@@ -11,15 +12,18 @@ filled from others in an order that depends only on the register. Bands of five
    share a bucket share a cluster; memberships, not pairs, are what is shuffled.
 3. A cluster is dealt out in parts of bounded size, the leader's text being copied to each. Inside,
    members are linked to the leader; members still apart are compared with each other: the Jaccard
-   similarity estimated from the registers, corrected for chance collisions, selects pairs that full
-   sets then confirm.
+   similarity estimated from the registers, corrected for chance collisions, rules out pairs that lie
+   five deviations below the bar, the deviation being that of the registers in use (for sets of up to
+   about forty shingles it rules out little or nothing); full sets confirm the others.
 4. Where a cluster has several parts, members that are still apart from its largest component meet
    the members of the other parts in blocks.
 5. Components of the confirmed links give each document the smallest id reachable.
 
 No bucket, cluster or part is capped: larger ones have more parts. Pairs inside one component are not
 compared again, as they cannot change the result. A pair at exactly 0.8 shares no band with
-probability (1 - 0.8**5)**32 = 3e-6, and less above.
+probability (1 - 0.8**5)**32 = 3e-6, and less above; for sets of four or five shingles, of which two may
+fall into one register, with 2e-5 (2 of 100,000 such pairs, measured). What the texts of a wide cluster take in step 4 grows with
+(members) x (members apart) / ``part_rows``.
 
 Defined cases: a null text counts as empty; empty sets link with nothing; rows with one doc_id count
 as one document; rows with a null doc_id are kept, link with nothing and have a null component;
@@ -42,8 +46,8 @@ from junctura.llm.scratch import free_name, stored
 REGISTERS, BAND = 160, 5
 BANDS = REGISTERS // BAND
 _EMPTY = 0xFFFF
-_TRIES = 64
-_PLACE = np.random.default_rng(7).integers(0, REGISTERS, (_TRIES, REGISTERS))
+#: _PLACE[k, c]: the k-th register that register c takes its value from, if it is empty itself.
+_PLACE = np.random.default_rng(7).permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1).T.copy()
 _STEP = np.random.default_rng(8).integers(1, 2**63, BAND + 1, dtype=np.uint64) | np.uint64(1)
 #: Two unequal registers agree by chance where the leading zeros and all mantissa bits do.
 CHANCE = 2.0**-10 / 3
@@ -102,16 +106,14 @@ def registers(sets: np.ndarray, part: np.ndarray) -> np.ndarray:
     mantissa = ((place - (np.int64(1) << shift)) << 10 >> shift) & 0x3FF
     out[rows, bucket] = (zeros << 10 | np.where(place > 0, mantissa, 0)).astype(np.uint16)
     filled, seen = out.copy(), np.diff(part) > 0
-    for k in range(_TRIES):
-        r, c = np.nonzero((filled == _EMPTY) & seen[:, None])
+    r, c = np.nonzero((filled == _EMPTY) & seen[:, None])
+    for k in range(REGISTERS):
         if not len(r):
             break
-        filled[r, c] = out[r, _PLACE[k, c]]
-    else:
-        for r in np.flatnonzero((filled == _EMPTY).any(1) & seen):  # very small sets: the next register in use, going round
-            used = np.flatnonzero(out[r] != _EMPTY)
-            gaps = np.flatnonzero(filled[r] == _EMPTY)
-            filled[r, gaps] = out[r, used[np.searchsorted(used, gaps) % len(used)]]
+        value = out[r, _PLACE[k, c]]
+        filled[r, c] = value
+        still = value == _EMPTY
+        r, c = r[still], c[still]
     return filled
 
 
@@ -186,13 +188,14 @@ class _Links:
 
 def _compare(m: _Members, links: _Links, ones: np.ndarray, others: np.ndarray, percent: int) -> None:
     """Link each of ``ones`` with those of ``others`` that are similar and not yet in its component."""
-    slack = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
+    bar = percent / 100
     for a in ones:
         apart = others[links.root[others] != links.root[a]]
         lo, hi = m.sizes[a], m.sizes[apart]
         apart = apart[(100 * np.minimum(lo, hi) >= percent * np.maximum(lo, hi)) & (hi > 0) & (lo > 0)]
         if len(apart):
-            apart = apart[estimated(m.regs[a : a + 1], m.regs[apart])[0] >= slack]
+            used = REGISTERS * -np.expm1(-np.minimum(m.sizes[a], m.sizes[apart]) / REGISTERS)
+            apart = apart[estimated(m.regs[a : a + 1], m.regs[apart])[0] >= bar - 5 * np.sqrt(bar * (1 - bar) / used)]
         if len(apart):
             for b in apart[_confirmed(m.sets[a], [m.sets[b] for b in apart], percent)]:
                 links.join(a, b)
@@ -265,6 +268,15 @@ def without(table: DataFrame, ids: DataFrame) -> DataFrame:
     return _among(table, ids, False).unionByName(kept)
 
 
+#: Rows up to which a counted table of a few numbers is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table, broadcast where its count says that it is small; a hot key then stays spread over its rows' tasks."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 _EDGE = ["a", "b"]
 
 
@@ -323,7 +335,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, par
     cluster = ranked.join(leaders, "key").groupBy("leader", "id").agg(F.max("n").alias("n"))
     cluster = stored(cluster, "clusters")
     parts = cluster.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("n") / part_shingles)).cast("int").alias("parts"))
-    placed = cluster.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    many = stored(parts.where("parts > 1"), "parts")
+    placed = cluster.join(small(many), "leader", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     lead = placed.where("leader = id")
     dealt = placed.where("leader != id").unionByName(lead.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     dealt = stored(dealt, "dealt")
@@ -346,7 +359,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, par
         sizes = wide.groupBy("leader", "component").agg(F.count("*").alias("size"))
         main = sizes.groupBy("leader").agg(F.max(F.struct("size", (-F.col("component")).alias("minus"))).alias("top"), F.sum("size").alias("total"))
         main = main.select("leader", (-F.col("top.minus")).alias("main"), (F.col("total") - F.col("top.size")).alias("n_apart"))
-        wide = wide.join(main.where("n_apart > 0"), "leader").withColumn("blocks", F.ceil(F.col("n_apart") / part_rows).cast("int"))
+        wide = wide.join(small(stored(main.where("n_apart > 0"), "main")), "leader").withColumn("blocks", F.ceil(F.col("n_apart") / part_rows).cast("int"))
         wide = stored(wide, "wide")
         block = F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int")
         ones = wide.where("component != main").select("leader", "id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("apart"))

@@ -183,6 +183,36 @@ def test_near_duplicates_of_odd_rows(odd):
     assert neardup.near_duplicates(none(odd)).count() == 0
 
 
+def test_no_links_of_tiny_texts_are_lost():
+    """20,000 pairs of 4 to 20 shingles at 0.8 to 0.85: every one shares a band and is confirmed."""
+    rng, lost = random.Random(11), 0
+    for at in range(0, 20_000, 1000):
+        texts = []
+        for _ in range(1000):
+            n = rng.randrange(4, 18)
+            words_ = [f"w{rng.randrange(10**7)}" for _ in range(n + 3)]
+            more = [f"w{rng.randrange(10**7)}" for _ in range(max(1, n // 4 - (n % 4 == 0 and n > 8 and rng.random() < 0.5)))]
+            texts += [" ".join(words_), " ".join(words_ + more)]
+        m = neardup._Members(list(range(2000)), texts, 4)
+        keys = neardup.band_keys(m.regs)
+        for a in range(0, 2000, 2):
+            assert 100 * m.sizes[a] >= 80 * m.sizes[a + 1]
+            links = neardup._Links(2000)
+            neardup._compare(m, links, np.array([a]), np.array([a + 1]), 80)
+            lost += not links.found or not (keys[a] == keys[a + 1]).any()
+    assert lost == 0
+
+
+def test_tiny_texts_link_through_the_operator(spark):
+    rng = random.Random(12)
+    docs = [(0, "w3611917 w658991 w583130 w4471226 w5685933 w5043618 w3898531"), (1, "w3611917 w658991 w583130 w4471226 w5685933 w5043618 w3898531 w9273783")]
+    for k in range(400):
+        words_ = [f"w{rng.randrange(10**7)}" for _ in range(rng.choice((7, 7, 8, 11)))]
+        docs += [(10 + 2 * k, " ".join(words_)), (11 + 2 * k, " ".join([*words_, f"x{k}"]))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()}
+    assert all(got[i] == i - i % 2 for i, _ in docs)
+
+
 def test_jaccard_estimates():
     rng = np.random.default_rng(1)
     tokens = [np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (2000,)]
