@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from junctura.llm import blocks
 from junctura.llm.graph import components
-from junctura.llm.scratch import free_name, stored
+from junctura.llm.scratch import free_name, small, stored
 
 REGISTERS, BAND = 160, 5
 BANDS = REGISTERS // BAND
@@ -268,15 +268,6 @@ def without(table: DataFrame, ids: DataFrame) -> DataFrame:
     return _among(table, ids, False).unionByName(kept)
 
 
-#: Rows up to which a counted table of a few numbers is broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def small(table: DataFrame) -> DataFrame:
-    """A stored table, broadcast where its count says that it is small; a hot key then stays spread over its rows' tasks."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
-
-
 _EDGE = ["a", "b"]
 
 

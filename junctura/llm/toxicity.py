@@ -4,10 +4,12 @@ Terms are lower-cased letter runs and their first four bytes. A bounded sample o
 the examples, and the vocabulary holds every term of theirs; inverse document frequencies come from
 all documents. A query's terms that no example has take no part: they leave the order of the examples
 as it is, and only its length is that of its known terms. The examples' most frequent terms are a dense
-matrix, whose part of a similarity is worked out for many queries at once. A query's upper bound for
+matrix, whose part of a similarity is worked out for many queries at once, roughly at first. Examples that
+are nearest to the same one of some pivots share blocks. A query's upper bound for
 a block of examples is the largest such part in it and the sum, over its other terms, of its weight
 times the largest weight that the term has in the block; only blocks whose bound reaches the k-th best
-similarity found are scored, so the nearest examples are exact. Their votes, weighted by nearness and by how
+similarity found are scored, and the rows that may be nearest are summed in double precision, so the
+nearest examples are exact. Their votes, weighted by nearness and by how
 thinly their class was sampled, go through an isotonic fit of leave-one-out votes to become
 calibrated scores; the nearest examples are returned as evidence.
 
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -36,6 +39,10 @@ from junctura.llm.training import held_out, sample_labels, sampled_texts
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _STEM = np.uint64(0xA5A5A5A5DEADBEEF)
+#: Entries of the index that one search of many rows looks at.
+_ENTRIES = 1 << 19
+#: More than the error of a similarity of unit vectors summed in single precision.
+_ROUGH = 1e-5
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,19 +55,17 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([rows, rows[long]]), np.concatenate([words, stems])
 
 
-def term_counts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, count), ordered by row and term; with a sorted vocabulary, terms are places in it."""
+def term_counts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the sorted vocabulary, count) of the known terms, ordered by row and place."""
     rows, found = terms(data, offsets)
-    if vocabulary is not None:
-        at = np.minimum(np.searchsorted(vocabulary, found), max(len(vocabulary) - 1, 0))
-        known = vocabulary[at] == found if len(vocabulary) else np.zeros(len(found), bool)
-        rows, found = rows[known], at[known].astype(np.uint64)
-    order = np.lexsort((found, rows))
-    rows, found = rows[order], found[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])
-    first = np.flatnonzero(new)
-    return rows[first], found[first], np.diff(np.append(first, len(rows)))
+    if not len(found) or not len(vocabulary):
+        return (np.zeros(0, np.int64),) * 3
+    codes, kinds = pd.factorize(found)
+    at = np.minimum(np.searchsorted(vocabulary, kinds), len(vocabulary) - 1)
+    at = np.where(vocabulary[at] == kinds, at, -1)[codes]
+    known = at >= 0
+    pairs, counts = np.unique(rows[known] * len(vocabulary) + at[known], return_counts=True)
+    return pairs // len(vocabulary), pairs % len(vocabulary), counts
 
 
 def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +93,13 @@ class BlockMaxIndex:
         head = np.argsort(-sizes, kind="stable")[: self.dense]
         self.place = np.full(self.n_terms, -1, np.int32)
         self.place[head] = np.arange(len(head))
-        at = self.place[self.terms]
-        inside = at >= 0
-        self._head = np.zeros((len(head), self.n_rows))
-        self._head[at[inside], self.rows[inside]] = self.weights[inside]
+        self.rows, self.own = self._arranged(len(head))
+        inside = self.place[self.terms] >= 0
+        rows, at, weights = self.rows[inside], self.place[self.terms[inside]], self.weights[inside]
+        self._head = np.zeros((len(head), self.n_rows), np.float32)
+        self._head[at, rows] = weights
+        order = np.argsort(rows, kind="stable")
+        self._head_at, self._head_weights, self._head_part = at[order].astype(np.int16), weights[order], np.searchsorted(rows[order], np.arange(self.n_rows + 1))
         rows, terms, weights = self.rows[~inside], self.terms[~inside], self.weights[~inside]
         order = np.lexsort((rows, terms))
         self.rows, self.weights, terms = rows[order].astype(np.int32), weights[order], terms[order].astype(np.int32)
@@ -106,44 +114,93 @@ class BlockMaxIndex:
         self._starts = np.searchsorted(terms[first], np.arange(self.n_terms + 1))
         self._edges = np.arange(0, self.n_rows, self.block)
 
-    def heads(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """The dense terms' part of the similarities of ``n`` queries to every row."""
-        at = self.place[terms]
-        known = at >= 0
-        queries = np.zeros((n, len(self._head)))
-        queries[rows[known], at[known]] = weights[known]
-        return queries @ self._head
-
-    def _add(self, total: np.ndarray, entries: np.ndarray, weights: np.ndarray) -> None:
+    def _arranged(self, n_head: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows renumbered so that those nearest to one of some pivots share blocks, and the old number of each: it makes bounds tighter."""
+        pivots = np.arange(0, self.n_rows, max(1, self.n_rows // 96))
+        at, inside = self.place[self.terms], self.place[self.terms] >= 0
+        pivot_of = np.full(self.n_rows, -1)
+        pivot_of[pivots] = np.arange(len(pivots))
+        these = inside & (pivot_of[self.rows] >= 0)
+        columns = np.zeros((n_head, len(pivots)), np.float32)
+        columns[at[these], pivot_of[self.rows[these]]] = self.weights[these]
+        nearest = np.zeros(self.n_rows, np.int64)
+        for start in range(0, self.n_rows, 1024):
+            some = inside & (self.rows >= start) & (self.rows < start + 1024)
+            dense = np.zeros((min(1024, self.n_rows - start), n_head), np.float32)
+            dense[self.rows[some] - start, at[some]] = self.weights[some]
+            nearest[start : start + len(dense)] = (dense @ columns).argmax(1)
+        own = np.argsort(nearest, kind="stable")
+        now = np.empty(self.n_rows, np.int64)
+        now[own] = np.arange(self.n_rows)
+        return now[self.rows], own
+
+    def _add_heads(self, queries: np.ndarray, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """The dense terms' part of the similarity of each query and row, in double precision."""
+        at, lengths = _expanded(self._head_part[rows], self._head_part[rows + 1])
+        which = np.repeat(np.arange(len(rows)), lengths)
+        return np.bincount(which, dense[queries[which], self._head_at[at]] * self._head_weights[at], len(rows))
+
+    def _add(self, total: np.ndarray, queries: np.ndarray, entries: np.ndarray, weights: np.ndarray) -> None:
         at, lengths = _expanded(self._first[entries], self._first[entries + 1])
-        total += np.bincount(self.rows[at], np.repeat(weights, lengths) * self.weights[at], self.n_rows)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact similarities of the k nearest with any term in common, nearest first."""
-        if not self.n_rows:
-            return np.zeros(0, np.int64), np.zeros(0)
-        total = self.heads(np.zeros(len(terms), np.int64), terms, weights, 1)[0] if head is None else head.copy()
-        if leave_out >= 0:
-            total[leave_out] = 0
+        total += np.bincount(np.repeat(queries * self.n_rows, lengths) + self.rows[at], np.repeat(weights, lengths) * self.weights[at], total.size).reshape(total.shape)
+
+    def nearest_of(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, leave_out: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, similarity) of the k nearest of each of ``n`` queries with any term in common, nearest first.
+
+        ``leave_out`` is the row that query 0 is, if queries are rows of the index themselves.
+        """
+        if not self.n_rows or not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        edges, known = len(self._edges), self.place[terms] >= 0
+        dense = np.zeros((n, len(self._head)))
+        dense[rows[known], self.place[terms[known]]] = weights[known]
+        rough = dense.astype(np.float32) @ self._head  # off by less than _ROUGH; put right at the end
+        total = rough.astype(float)
         entries, lengths = _expanded(self._starts[terms], self._starts[terms + 1])
-        weights, block = np.repeat(weights, lengths), self._block[entries]
-        bound = np.maximum.reduceat(total, self._edges) + np.bincount(block, weights * self.most[entries], len(self._edges))
-        wanted = np.zeros(len(bound), bool)
-        wanted[np.argsort(-bound, kind="stable")[: max(4, -(-2 * k // self.block))]] = True
-        now = wanted[block]
-        self._add(total, entries[now], weights[now])
-        if leave_out >= 0:
-            total[leave_out] = 0
-        # The sums of the other blocks are still low, so the k-th best is never too high.
-        floor = np.partition(total, -k)[-k] if len(total) >= k else 0.0
-        now = (~wanted & (bound > 0) & (bound >= floor - 1e-12))[block]
-        self._add(total, entries[now], weights[now])
-        if leave_out >= 0:
-            total[leave_out] = 0
-        at = np.flatnonzero((total > 0) & (total >= floor - 1e-12))
-        near = np.round(total[at], 12)
-        order = np.lexsort((at, -near))[:k]
-        return at[order], near[order]
+        queries, weights = np.repeat(rows, lengths).astype(np.int64), np.repeat(weights, lengths)
+        own = None
+        if leave_out is not None:
+            now = np.empty(self.n_rows, np.int64)
+            now[self.own] = np.arange(self.n_rows)
+            own = (np.arange(n), now[leave_out : leave_out + n])
+            total[own] = 0
+        cell = queries * edges + self._block[entries]
+        bound = np.maximum.reduceat(total, self._edges, axis=1) + np.bincount(cell, weights * self.most[entries], n * edges).reshape(n, edges)
+        first = min(max(4, -(-2 * k // self.block)), edges)
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        wanted = np.zeros((n, edges), bool)
+        np.put_along_axis(wanted, best, True, axis=1)
+        now = wanted.ravel()[cell]
+        self._add(total, queries[now], entries[now], weights[now])
+        if own:
+            total[own] = 0
+        # The k-th best of the blocks scored so far is never above the k-th best of all.
+        held = (best[:, :, None] * self.block + np.arange(self.block)).reshape(n, -1)
+        held = np.where(held < self.n_rows, np.take_along_axis(total, np.minimum(held, self.n_rows - 1), axis=1), 0)
+        floor = (np.partition(held, -k, axis=1)[:, -k] if held.shape[1] >= k else np.zeros(n)) - 2 * _ROUGH
+        now = (~wanted & (bound > 0) & (bound >= floor[:, None])).ravel()[cell]
+        self._add(total, queries[now], entries[now], weights[now])
+        if own:
+            total[own] = 0
+        q, at = np.nonzero((total > 0) & (total >= floor[:, None]))
+        order = np.lexsort((-total[q, at], q))
+        q, at = q[order], at[order]
+        # Of each query, only rows that may be among its k nearest: not below its k-th by more than the roughness.
+        start = np.searchsorted(q, q)
+        least = np.where(start + k <= np.searchsorted(q, q, "right"), total[q, at][np.minimum(start + k - 1, max(len(q) - 1, 0))], 0) if len(q) else np.zeros(0)
+        may = total[q, at] >= least - 2 * _ROUGH
+        q, at = q[may], at[may]
+        near = np.round(total[q, at] - rough[q, at] + self._add_heads(q, at, dense), 12)
+        old = self.own[at]
+        order = np.lexsort((old, -near, q))
+        order = order[near[order] > 0]
+        q, at, near = q[order], old[order], near[order]
+        few = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[few], at[few], near[few]
+
+    def spread(self, terms: np.ndarray) -> np.ndarray:
+        """The number of entries that each term brings to a search."""
+        return self._starts[terms + 1] - self._starts[terms]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,42 +254,47 @@ class Neighbours:
         norm = np.sqrt(np.bincount(rows, weights**2, n))
         return weights / norm[rows] if len(rows) else weights, blocks.counted(found, rows, n)
 
-    def vote(self, at: np.ndarray, near: np.ndarray) -> float:
+    def vote(self, queries: np.ndarray, at: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The queries that have neighbours, and the share of toxic ones among these, by nearness and class."""
         weight = self.class_weight[self.labels[at]] / (1.05 - near)
-        return float(weight @ self.labels[at] / weight.sum())
+        which, place = np.unique(queries, return_inverse=True)
+        return which, np.bincount(place, weight * self.labels[at]) / np.bincount(place, weight)
 
     def calibrated(self, votes: np.ndarray) -> np.ndarray:
         return np.interp(votes, self.at, self.value)
 
-    def neighbours(self, rows: np.ndarray, found: np.ndarray, counts: np.ndarray, n: int, leave_out: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(row, nearest, similarities) of the rows with any; ``leave_out`` is the example that row 0 is, if rows are examples."""
+    def neighbours(self, rows: np.ndarray, found: np.ndarray, counts: np.ndarray, n: int, leave_out: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, nearest, similarity), searched for many rows at once; ``leave_out`` is the example that row 0 is, if rows are examples."""
         index = self.index()
         weights, part = self.vectors(rows, found, counts, n)
-        for start in range(0, n, 64):
-            end = min(start + 64, n)
+        # Runs of rows whose terms have so many entries in all; one row with more is a run of its own.
+        work = np.concatenate([[0], np.cumsum(index.spread(found))])[part]
+        out, start = [], 0
+        while start < n:
+            end = min(max(start + 1, int(np.searchsorted(work, work[start] + _ENTRIES, "right")) - 1), start + 128, n)
             span = slice(part[start], part[end])
-            heads = index.heads(rows[span] - start, found[span], weights[span], end - start)
-            for row in range(start, end):
-                own = slice(part[row], part[row + 1])
-                if part[row] < part[row + 1]:
-                    at, near = index.nearest(found[own], weights[own], self.k, -1 if leave_out is None else leave_out + row, heads[row - start])
-                    if len(at):
-                        yield row, at, near
-
-    def judge(self, data: np.ndarray, offsets: np.ndarray, evidence: int) -> tuple[np.ndarray, list[list[dict]]]:
+            q, at, near = index.nearest_of(rows[span] - start, found[span], weights[span], end - start, self.k, None if leave_out is None else leave_out + start)
+            out.append((q + start, at, near))
+            start = end
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def judge(self, data: np.ndarray, offsets: np.ndarray, evidence: int) -> tuple[np.ndarray, pa.Array]:
+        """Scores, and of each text its ``evidence`` nearest examples."""
         n = len(offsets) - 1
-        rows, found, counts = term_counts(data, offsets, self.vocabulary)
-        scores, shown = np.full(n, self.without), [[] for _ in range(n)]
-        for row, at, near in self.neighbours(rows, found.astype(np.int64), counts, n):
-            scores[row] = self.calibrated(np.array([self.vote(at, near)]))[0]
-            shown[row] = [{"example": int(self.ids[a]), "similarity": float(s), "label": int(self.labels[a])} for a, s in zip(at[:evidence], near, strict=False)]
-        return scores, shown
+        q, at, near = self.neighbours(*term_counts(data, offsets, self.vocabulary), n)
+        scores = np.full(n, self.without)
+        which, votes = self.vote(q, at, near)
+        scores[which] = self.calibrated(votes)
+        few = np.arange(len(q)) - np.searchsorted(q, q) < evidence
+        q, at, near = q[few], at[few], near[few]
+        shown = pa.StructArray.from_arrays([pa.array(self.ids[at]), pa.array(near), pa.array(self.labels[at].astype(np.int32))], ["example", "similarity", "label"])
+        return scores, pa.ListArray.from_arrays(pa.array(np.searchsorted(q, np.arange(n + 1)).astype(np.int32)), shown)
 
     def votes(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the examples from ``start`` to ``end``: those with neighbours beside themselves, and their votes."""
         own = slice(self.part[start], self.part[end])
-        found = [(start + row, self.vote(at, near)) for row, at, near in self.neighbours(self.rows(start, end), self.terms[own], self.counts[own], end - start, start)]
-        return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], float)
+        which, votes = self.vote(*self.neighbours(self.rows(start, end), self.terms[own], self.counts[own], end - start, start))
+        return which + start, votes
 
 
 def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +321,7 @@ def _frequencies(documents: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarr
             n += batch.num_rows
             for piece in blocks.pieces(batch, "text"):
                 _, found, _ = term_counts(*blocks.bytes_of(piece.column("text")), vocabulary)
-                total += np.bincount(found.astype(np.int64), minlength=len(vocabulary))
+                total += np.bincount(found, minlength=len(vocabulary))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["term", "n"])
 
@@ -322,7 +384,6 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most_per_
 
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("example", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))
-_EVIDENCE = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
 
 def with_score(documents: DataFrame, model: Neighbours, name: str = "score", evidence: str | None = None, shown: int = 3) -> DataFrame:
@@ -335,7 +396,7 @@ def with_score(documents: DataFrame, model: Neighbours, name: str = "score", evi
         for batch in batches:
             for piece in blocks.pieces(batch, "text"):
                 scores, near = shared.value.judge(*blocks.bytes_of(piece.column("text")), shown if evidence else 0)
-                more = [(evidence, pa.array(near, _EVIDENCE))] if evidence else []
+                more = [(evidence, near)] if evidence else []
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores), *(v for _, v in more)], [*piece.schema.names, name, *(n for n, _ in more)])
 
     return kept.mapInArrow(blocks.released(scored), schema)

@@ -27,5 +27,10 @@ def sample_labels(labels: DataFrame, label: str, most_per_class: int) -> DataFra
 
 
 def sampled_texts(documents: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the sampled documents; the sample is small by its own limit."""
-    return documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    """(doc_id, text, label) of the sampled documents, each id once: of several texts the one with the smallest hash.
+
+    The sample is small by its own limit, and so is the result, however often an id is repeated.
+    """
+    text = F.coalesce("text", F.lit(""))
+    met = documents.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")

@@ -355,7 +355,7 @@ def test_nearest_examples_equal_brute_force():
     index = toxicity.BlockMaxIndex(r, t, dense[r, t], 300, 40, block=16)
     for q in range(0, 300, 7):
         terms = np.flatnonzero(dense[q])
-        at, near = index.nearest(terms, dense[q][terms], 9, leave_out=q)
+        _, at, near = index.nearest_of(np.zeros(len(terms), np.int64), terms, dense[q][terms], 1, 9, q)
         sims = dense @ dense[q]
         sims[q] = 0
         want = [k for k in np.lexsort((np.arange(300), -np.round(sims, 12))) if sims[k] > 0][:9]
@@ -370,7 +370,7 @@ def test_nearest_examples_with_few_dense_terms_equal_brute_force():
     index = toxicity.BlockMaxIndex(r, t, dense[r, t], 300, 120, block=8, dense=6)
     for q in range(0, 300, 7):
         terms = np.flatnonzero(dense[q])
-        at, near = index.nearest(terms, dense[q][terms], 9, leave_out=q)
+        _, at, near = index.nearest_of(np.zeros(len(terms), np.int64), terms, dense[q][terms], 1, 9, q)
         sims = dense @ dense[q]
         sims[q] = 0
         want = [k for k in np.lexsort((np.arange(300), -np.round(sims, 12))) if sims[k] > 0][:9]
@@ -390,6 +390,62 @@ def test_terms_of_a_single_example_count(spark):
         assert found == ([(r.doc_id % 10, r.doc_id % 2, 1.0)] if r.doc_id % 10 in learnt else [])
 
 
+def test_toxicity_equals_dense_cosine(spark, labels):
+    """Evidence and scores of whole documents against TF-IDF vectors kept as dicts."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, labels)
+
+    def vector(text):
+        low = (text or "").encode()
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in low)
+        found = {}
+        for word in re.findall(rb"[a-z\x80-\xff]+", low):
+            for term in (word, (b"stem", word[:4])) if len(word) > 4 else (word,):
+                found[term] = found.get(term, 0) + 1
+        return found
+
+    texts = {r.doc_id: vector(r.text) for r in docs.collect()}
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    learnt = [i for i in sorted(texts) if marks.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    assert model.ids.tolist() == learnt
+    known = {t for i in learnt for t in texts[i]}
+    frequency = {}
+    for v in texts.values():
+        for t in v:
+            frequency[t] = frequency.get(t, 0) + 1
+    idf = {t: math.log((1 + len(texts)) / (1 + frequency[t])) + 1 for t in known}
+
+    def unit(v):
+        w = {t: (1 + math.log(c)) * idf[t] for t, c in v.items() if t in known}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    examples = {i: unit(texts[i]) for i in learnt}
+    scored = {r.doc_id: r for r in toxicity.with_score(docs, model, evidence="evidence", shown=15).collect()}
+    for i in sorted(texts)[::40]:
+        q = unit(texts[i])
+        near = sorted(((-round(sum(x * e.get(t, 0) for t, x in q.items()), 9), j) for j, e in examples.items()))[:15]
+        near = [(j, -s) for s, j in near if s < 0]
+        got = scored[i]
+        assert [round(e.similarity, 9) for e in got.evidence] == [s for _, s in near]
+        assert len({e.example for e in got.evidence} & {j for j, _ in near}) >= len(near) - 1  # the last may tie
+        assert [e.label for e in got.evidence] == [marks[e.example] for e in got.evidence]
+        if near:
+            weight = [model.class_weight[e.label] / (1.05 - e.similarity) for e in got.evidence]
+            vote = sum(w * e.label for w, e in zip(weight, got.evidence, strict=True)) / sum(weight)
+            assert abs(got.score - np.interp(vote, model.at, model.value)) < 1e-9
+
+
+def test_repeated_ids_are_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "three four")] * 50 + [(2, "five six")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    first, again = (toxicity.fit(d, marks) for d in (docs, docs.orderBy(F.desc("text"))))
+    assert first.ids.tolist() == again.ids.tolist() and len(set(first.ids)) == len(first.ids)
+    assert (first.vocabulary == again.vocabulary).all()
+
+
 def test_isotonic():
     at, value = toxicity.isotonic(np.array([0.0, 0.5, 0.5, 1.0]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
     assert (np.diff(value) >= 0).all() and (np.diff(at) > 0).all()
