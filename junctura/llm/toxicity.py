@@ -3,13 +3,13 @@
 Terms are lower-cased letter runs and their first four bytes. A bounded sample of labelled rows are
 the examples, and the vocabulary holds every term of theirs; inverse document frequencies come from
 all documents. A query's terms that no example has take no part: they leave the order of the examples
-as it is, and only its length is that of its known terms. The examples' most frequent terms are a dense
-matrix, whose part of a similarity is worked out for many queries at once, roughly at first. Examples that
-are nearest to the same one of some pivots share blocks. A query's upper bound for
-a block of examples is the largest such part in it and the sum, over its other terms, of its weight
-times the largest weight that the term has in the block; only blocks whose bound reaches the k-th best
-similarity found are scored, and the rows that may be nearest are summed in double precision, so the
-nearest examples are exact. Their votes, weighted by nearness and by how
+as it is, and only its length is that of its known terms. Of rare terms the index has postings, of the most
+frequent ones a matrix and the largest weight of each in every block of examples; examples that are
+nearest to the same one of some pivots share blocks. Many queries are searched at once: the rare terms'
+part of every similarity is summed, and a query's upper bound for a block is the largest such part in it and
+the sum, over the frequent terms, of its weight times the largest in the block. Only blocks whose bound
+reaches the k-th best similarity found get their matrix part, and rows that may be nearest are summed in
+double precision, so the nearest examples are exact. Their votes, weighted by nearness and by how
 thinly their class was sampled, go through an isotonic fit of leave-one-out votes to become
 calibrated scores; the nearest examples are returned as evidence.
 
@@ -39,8 +39,10 @@ from junctura.llm.training import held_out, sample_labels, sampled_texts
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _STEM = np.uint64(0xA5A5A5A5DEADBEEF)
-#: Entries of the index that one search of many rows looks at.
-_ENTRIES = 1 << 19
+#: Postings that one search of many rows looks at.
+_POSTINGS = 1 << 20
+#: Texts that one search takes at most.
+_QUERIES = 64
 #: More than the error of a similarity of unit vectors summed in single precision.
 _ROUGH = 1e-5
 
@@ -76,14 +78,14 @@ def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors: a dense matrix of the most frequent terms; of the others, postings by term and block and their largest weight."""
+    """Unit vectors: postings of the rare terms; a matrix of the ``dense`` most frequent ones, with the largest weight of each in every block."""
 
     rows: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
     n_rows: int
     n_terms: int
-    block: int = 64
+    block: int = 512
     dense: int = 1024
     place: np.ndarray = field(init=False)
     most: np.ndarray = field(init=False)
@@ -96,23 +98,16 @@ class BlockMaxIndex:
         self.rows, self.own = self._arranged(len(head))
         inside = self.place[self.terms] >= 0
         rows, at, weights = self.rows[inside], self.place[self.terms[inside]], self.weights[inside]
-        self._head = np.zeros((len(head), self.n_rows), np.float32)
+        self._blocks = -(-self.n_rows // self.block)
+        self._head = np.zeros((len(head), self._blocks * self.block), np.float32)
         self._head[at, rows] = weights
+        self.most = self._head.reshape(len(head), self._blocks, self.block).max(2) if self.n_rows else np.zeros((len(head), 0), np.float32)
         order = np.argsort(rows, kind="stable")
         self._head_at, self._head_weights, self._head_part = at[order].astype(np.int16), weights[order], np.searchsorted(rows[order], np.arange(self.n_rows + 1))
         rows, terms, weights = self.rows[~inside], self.terms[~inside], self.weights[~inside]
         order = np.lexsort((rows, terms))
-        self.rows, self.weights, terms = rows[order].astype(np.int32), weights[order], terms[order].astype(np.int32)
-        self.terms = terms
-        block = self.rows // self.block
-        new = np.ones(len(terms), bool)
-        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
-        first = np.flatnonzero(new)
-        self._block = block[first]
-        self._first = np.append(first, len(terms)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
-        self._starts = np.searchsorted(terms[first], np.arange(self.n_terms + 1))
-        self._edges = np.arange(0, self.n_rows, self.block)
+        self.rows, self.weights, self.terms = rows[order].astype(np.int32), weights[order], terms[order].astype(np.int32)
+        self._starts = np.searchsorted(self.terms, np.arange(self.n_terms + 1))
 
     def _arranged(self, n_head: int) -> tuple[np.ndarray, np.ndarray]:
         """The rows renumbered so that those nearest to one of some pivots share blocks, and the old number of each: it makes bounds tighter."""
@@ -129,68 +124,89 @@ class BlockMaxIndex:
             dense = np.zeros((min(1024, self.n_rows - start), n_head), np.float32)
             dense[self.rows[some] - start, at[some]] = self.weights[some]
             nearest[start : start + len(dense)] = (dense @ columns).argmax(1)
+        # Pivots follow each other by likeness, so that neighbouring blocks are alike too.
+        alike, chain = columns.T @ columns, [0]
+        while len(chain) < len(pivots):
+            alike[:, chain[-1]] = -1
+            chain.append(int(alike[chain[-1]].argmax()))
+        place = np.empty(len(pivots), np.int64)
+        place[chain] = np.arange(len(pivots))
+        nearest, self._pivots = place[nearest], columns[:, chain]
         own = np.argsort(nearest, kind="stable")
         now = np.empty(self.n_rows, np.int64)
         now[own] = np.arange(self.n_rows)
         return now[self.rows], own
 
+    def kin(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """The place of the pivot that each of ``n`` queries is nearest to: queries that are alike have near ones."""
+        known = self.place[terms] >= 0
+        dense = np.zeros((n, len(self._pivots)), np.float32)
+        dense[rows[known], self.place[terms[known]]] = weights[known]
+        return (dense @ self._pivots).argmax(1)
+
     def _add_heads(self, queries: np.ndarray, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """The dense terms' part of the similarity of each query and row, in double precision."""
         at, lengths = _expanded(self._head_part[rows], self._head_part[rows + 1])
         which = np.repeat(np.arange(len(rows)), lengths)
         return np.bincount(which, dense[queries[which], self._head_at[at]] * self._head_weights[at], len(rows))
 
-    def _add(self, total: np.ndarray, queries: np.ndarray, entries: np.ndarray, weights: np.ndarray) -> None:
-        at, lengths = _expanded(self._first[entries], self._first[entries + 1])
-        total += np.bincount(np.repeat(queries * self.n_rows, lengths) + self.rows[at], np.repeat(weights, lengths) * self.weights[at], total.size).reshape(total.shape)
-
-    def nearest_of(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, leave_out: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nearest_of(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, similarity) of the k nearest of each of ``n`` queries with any term in common, nearest first.
 
-        ``leave_out`` is the row that query 0 is, if queries are rows of the index themselves.
+        ``leave_out`` has the row that each query is, if queries are rows of the index themselves.
         """
         if not self.n_rows or not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        edges, known = len(self._edges), self.place[terms] >= 0
+        known, width = self.place[terms] >= 0, self._blocks * self.block
         dense = np.zeros((n, len(self._head)))
         dense[rows[known], self.place[terms[known]]] = weights[known]
-        rough = dense.astype(np.float32) @ self._head  # off by less than _ROUGH; put right at the end
-        total = rough.astype(float)
-        entries, lengths = _expanded(self._starts[terms], self._starts[terms + 1])
-        queries, weights = np.repeat(rows, lengths).astype(np.int64), np.repeat(weights, lengths)
+        used = np.flatnonzero(np.bincount(self.place[terms[known]], minlength=len(self._head)))  # queries that are alike use few of them
+        single, head = dense[:, used].astype(np.float32), self._head[used]
+        at, lengths = _expanded(self._starts[terms], self._starts[terms + 1])
+        tail = np.bincount(np.repeat(rows * width, lengths) + self.rows[at], np.repeat(weights, lengths) * self.weights[at], n * width).reshape(n, self._blocks, self.block)
+        bound = single @ self.most[used] + tail.max(2) + _ROUGH
+        rough = np.zeros((n, self._blocks, self.block), np.float32)  # the dense terms' part, off by less than _ROUGH; put right at the end
+        scored = np.zeros((n, self._blocks), bool)
         own = None
         if leave_out is not None:
             now = np.empty(self.n_rows, np.int64)
             now[self.own] = np.arange(self.n_rows)
-            own = (np.arange(n), now[leave_out : leave_out + n])
-            total[own] = 0
-        cell = queries * edges + self._block[entries]
-        bound = np.maximum.reduceat(total, self._edges, axis=1) + np.bincount(cell, weights * self.most[entries], n * edges).reshape(n, edges)
-        first = min(max(4, -(-2 * k // self.block)), edges)
-        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        wanted = np.zeros((n, edges), bool)
-        np.put_along_axis(wanted, best, True, axis=1)
-        now = wanted.ravel()[cell]
-        self._add(total, queries[now], entries[now], weights[now])
-        if own:
-            total[own] = 0
+            own = now[leave_out]
+
+        def score(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                which = np.flatnonzero(wanted[:, b])
+                rough[which, b] = single[which] @ head[:, b * self.block : (b + 1) * self.block]
+            scored[wanted] = True
+
+        def rated(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The wanted cells (query, block) and the similarities of their rows."""
+            cells = np.flatnonzero(wanted)
+            total = rough.reshape(-1, self.block)[cells] + tail.reshape(-1, self.block)[cells]
+            if own is not None:
+                mine = own[cells // self._blocks]
+                hit = np.flatnonzero(cells % self._blocks == mine // self.block)
+                total[hit, mine[hit] % self.block] = 0
+            return cells, total
+
+        wanted = np.zeros(scored.shape, bool)
+        wanted[np.arange(n), bound.argmax(1)] = True
+        score(wanted)
         # The k-th best of the blocks scored so far is never above the k-th best of all.
-        held = (best[:, :, None] * self.block + np.arange(self.block)).reshape(n, -1)
-        held = np.where(held < self.n_rows, np.take_along_axis(total, np.minimum(held, self.n_rows - 1), axis=1), 0)
-        floor = (np.partition(held, -k, axis=1)[:, -k] if held.shape[1] >= k else np.zeros(n)) - 2 * _ROUGH
-        now = (~wanted & (bound > 0) & (bound >= floor[:, None])).ravel()[cell]
-        self._add(total, queries[now], entries[now], weights[now])
-        if own:
-            total[own] = 0
-        q, at = np.nonzero((total > 0) & (total >= floor[:, None]))
-        order = np.lexsort((-total[q, at], q))
-        q, at = q[order], at[order]
+        _, total = rated(scored)
+        floor = (np.partition(total, -k, axis=1)[:, -k] if k <= self.block else np.zeros(n)) - 2 * _ROUGH
+        score(~scored & (bound > _ROUGH) & (bound >= floor[:, None]))
+        cells, total = rated(scored)
+        found, inside = np.nonzero((total > 0) & (total >= floor[cells // self._blocks, None]))
+        q, at, values = cells[found] // self._blocks, cells[found] % self._blocks * self.block + inside, total[found, inside]
+        order = np.lexsort((-values, q))
+        q, at, values = q[order], at[order], values[order]
         # Of each query, only rows that may be among its k nearest: not below its k-th by more than the roughness.
         start = np.searchsorted(q, q)
-        least = np.where(start + k <= np.searchsorted(q, q, "right"), total[q, at][np.minimum(start + k - 1, max(len(q) - 1, 0))], 0) if len(q) else np.zeros(0)
-        may = total[q, at] >= least - 2 * _ROUGH
+        least = np.where(start + k <= np.searchsorted(q, q, "right"), values[np.minimum(start + k, len(q)) - 1], 0)
+        may = values >= least - 2 * _ROUGH
         q, at = q[may], at[may]
-        near = np.round(total[q, at] - rough[q, at] + self._add_heads(q, at, dense), 12)
+        near = np.round(tail.reshape(n, width)[q, at] + self._add_heads(q, at, dense), 12)
         old = self.own[at]
         order = np.lexsort((old, -near, q))
         order = order[near[order] > 0]
@@ -199,7 +215,7 @@ class BlockMaxIndex:
         return q[few], at[few], near[few]
 
     def spread(self, terms: np.ndarray) -> np.ndarray:
-        """The number of entries that each term brings to a search."""
+        """The number of postings that each term brings to a search."""
         return self._starts[terms + 1] - self._starts[terms]
 
 
@@ -266,17 +282,29 @@ class Neighbours:
     def neighbours(self, rows: np.ndarray, found: np.ndarray, counts: np.ndarray, n: int, leave_out: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, nearest, similarity), searched for many rows at once; ``leave_out`` is the example that row 0 is, if rows are examples."""
         index = self.index()
-        weights, part = self.vectors(rows, found, counts, n)
-        # Runs of rows whose terms have so many entries in all; one row with more is a run of its own.
+        weights, _ = self.vectors(rows, found, counts, n)
+        # Texts that are alike are searched together.
+        order = np.argsort(index.kin(rows, found, weights, n), kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        rows = place[rows]
+        by_row = np.argsort(rows, kind="stable")
+        rows, found, weights = rows[by_row], found[by_row], weights[by_row]
+        part = blocks.counted(found, rows, n)
+        # Runs of rows whose terms have so many postings in all; one row with more is a run of its own.
         work = np.concatenate([[0], np.cumsum(index.spread(found))])[part]
         out, start = [], 0
         while start < n:
-            end = min(max(start + 1, int(np.searchsorted(work, work[start] + _ENTRIES, "right")) - 1), start + 128, n)
+            end = min(max(start + 1, int(np.searchsorted(work, work[start] + _POSTINGS, "right")) - 1), start + _QUERIES, n)
             span = slice(part[start], part[end])
-            q, at, near = index.nearest_of(rows[span] - start, found[span], weights[span], end - start, self.k, None if leave_out is None else leave_out + start)
-            out.append((q + start, at, near))
+            q, at, near = index.nearest_of(rows[span] - start, found[span], weights[span], end - start, self.k, None if leave_out is None else leave_out + order[start:end])
+            out.append((order[q + start], at, near))
             start = end
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, at, near = (np.concatenate(c) for c in zip(*out, strict=True))
+        by_row = np.argsort(q, kind="stable")
+        return q[by_row], at[by_row], near[by_row]
 
     def judge(self, data: np.ndarray, offsets: np.ndarray, evidence: int) -> tuple[np.ndarray, pa.Array]:
         """Scores, and of each text its ``evidence`` nearest examples."""

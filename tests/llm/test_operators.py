@@ -355,7 +355,7 @@ def test_nearest_examples_equal_brute_force():
     index = toxicity.BlockMaxIndex(r, t, dense[r, t], 300, 40, block=16)
     for q in range(0, 300, 7):
         terms = np.flatnonzero(dense[q])
-        _, at, near = index.nearest_of(np.zeros(len(terms), np.int64), terms, dense[q][terms], 1, 9, q)
+        _, at, near = index.nearest_of(np.zeros(len(terms), np.int64), terms, dense[q][terms], 1, 9, np.array([q]))
         sims = dense @ dense[q]
         sims[q] = 0
         want = [k for k in np.lexsort((np.arange(300), -np.round(sims, 12))) if sims[k] > 0][:9]
@@ -370,7 +370,7 @@ def test_nearest_examples_with_few_dense_terms_equal_brute_force():
     index = toxicity.BlockMaxIndex(r, t, dense[r, t], 300, 120, block=8, dense=6)
     for q in range(0, 300, 7):
         terms = np.flatnonzero(dense[q])
-        _, at, near = index.nearest_of(np.zeros(len(terms), np.int64), terms, dense[q][terms], 1, 9, q)
+        _, at, near = index.nearest_of(np.zeros(len(terms), np.int64), terms, dense[q][terms], 1, 9, np.array([q]))
         sims = dense @ dense[q]
         sims[q] = 0
         want = [k for k in np.lexsort((np.arange(300), -np.round(sims, 12))) if sims[k] > 0][:9]
