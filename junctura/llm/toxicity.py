@@ -85,7 +85,7 @@ class BlockMaxIndex:
     weights: np.ndarray
     n_rows: int
     n_terms: int
-    block: int = 512
+    block: int = 1024
     dense: int = 1024
     place: np.ndarray = field(init=False)
     most: np.ndarray = field(init=False)
@@ -111,6 +111,9 @@ class BlockMaxIndex:
 
     def _arranged(self, n_head: int) -> tuple[np.ndarray, np.ndarray]:
         """The rows renumbered so that those nearest to one of some pivots share blocks, and the old number of each: it makes bounds tighter."""
+        if not self.n_rows:
+            self._pivots = np.zeros((n_head, 1), np.float32)
+            return self.rows, np.zeros(0, np.int64)
         pivots = np.arange(0, self.n_rows, max(1, self.n_rows // 96))
         at, inside = self.place[self.terms], self.place[self.terms] >= 0
         pivot_of = np.full(self.n_rows, -1)
@@ -155,7 +158,7 @@ class BlockMaxIndex:
 
         ``leave_out`` has the row that each query is, if queries are rows of the index themselves.
         """
-        if not self.n_rows or not n:
+        if not self.n_rows or not n or not len(terms):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         known, width = self.place[terms] >= 0, self._blocks * self.block
         dense = np.zeros((n, len(self._head)))
