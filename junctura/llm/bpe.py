@@ -5,14 +5,16 @@
    apostrophes, control characters or "<|") and Latin-1 letters, where that border also ends a token
    of the vocabulary's own splitting. Any other word stays whole and as it is. Every word is thus
    encoded alone as it would be in its text; simple words are lower-cased (A-Z) first.
-2. Each distinct word is encoded once: words that occur twice or more in a table of words, words that
-   occur a single time in their only place. Ids are joined with the vocabulary's id-to-piece table
-   (a map-side join: the table is as small as the vocabulary) to decode them.
-3. Ids go back to their positions: of the distinct-word table the ``most_words`` most frequent are
-   broadcast, a bound that does not grow with the data; the table's other words travel as (block, position,
-   word) rows through a join with the table and meet their block of documents again. A block is
+2. Each distinct word is encoded once, in a table of words. A join of its ids with the vocabulary's
+   id-to-piece table gives the word's decoded text, which the table carries along.
+3. Ids and pieces go back to their positions: of the distinct-word table the ``most_words`` most frequent
+   are broadcast, a bound that does not grow with the data; the table's other words travel as (block,
+   position, word) rows through a join with the table and meet their block of documents again. A block is
    about a megabyte of neighbouring texts, compressed for that meeting.
 
+Words are told apart inside a block by 64-bit hashes of their bytes, which crafted words could make collide;
+the table itself and its joins compare whole words.
+
 The vocabulary must lower-case its text, end words at white space and have no decoder of its own
 (pieces are then joined by one space). Special tokens written out in a text count as such, as the
 tokenizers library has it.
@@ -31,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -109,26 +112,10 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(blocks.released(_distinct_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Encoder:
-    """The library's tokenizer, made from the vocabulary file's content in each task."""
-
-    def __init__(self, content: str) -> None:
-        self.tokenizer = _tokenizer(content)
-        self.piece_of = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-
-    def ids(self, words: list[str]) -> list[str]:
-        """Of each word its ids as decimals joined by one space."""
-        return [" ".join(map(str, e.ids)) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def pieces(self, ids: str) -> str:
-        """The id-to-piece join of one word's ids."""
-        return " ".join([self.piece_of[int(i)] for i in ids.split()])
-
-
 @lru_cache(maxsize=1)
-def _encoder(content: str) -> _Encoder:
-    """One encoder for all tasks of a worker."""
-    return _Encoder(content)
+def _encoder(content: str):
+    """One tokenizer, made from the vocabulary file's content, for all tasks of a worker."""
+    return _tokenizer(content)
 
 
 def word_table(counts: DataFrame, content: Broadcast) -> DataFrame:
@@ -139,54 +126,72 @@ def word_table(counts: DataFrame, content: Broadcast) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(encoder.ids(part.column("word").to_pylist()), pa.string())], ["word", "n", "ids"])
-
-    return counts.mapInArrow(blocks.released(encode), "word string, n long, ids string")
-
+                ids = [e.ids for e in encoder.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-#: Bits of the filter that tells repeated words from most others, whatever their number.
-FILTER_BITS = 1 << 25
+    return counts.mapInArrow(blocks.released(encode), "word string, n long, ids array<int>")
 
 
-def _repeated(words: DataFrame) -> np.ndarray:
-    """A bit for each hashed word of a table, gathered by Spark; its size is fixed."""
-
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = blocks.bytes_of(batch.column("word"))
-            spot = (blocks.hashes(data, offsets[:-1], offsets[1:]) % np.uint64(FILTER_BITS)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((spot >> 5).astype(np.int32)), pa.array(np.left_shift(np.uint32(1), (spot & 31).astype(np.uint32)).view(np.int32))], ["at", "bits"])
-
-    rows = words.select("word").mapInArrow(spots, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS >> 5, np.uint32)
-    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint32)
-    return table
+def decode(sequences: DataFrame, vocabulary: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, decoded) of rows with an array of ids, by a join of ids and pieces; ids not in the vocabulary leave nothing."""
+    flat = sequences.select(key, F.posexplode_outer(ids).alias("at", "id")).join(F.broadcast(vocabulary), "id", "left")
+    parts = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece"))))
+    return flat.groupBy(key).agg(parts.alias("parts")).select(key, F.array_join(F.col("parts.piece"), " ").alias("decoded"))
 
 
-def _has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    spot = (h % np.uint64(FILTER_BITS)).astype(np.int64)
-    return (table[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
+def decoded_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, n, ids, size, decoded): the word table with its ids as decimals, joined with the vocabulary id by id.
 
+    The vocabulary is broadcast and the join runs where the words are, in their order, so the pieces of a
+    word come out one after the other and are put together without a shuffle.
+    """
+    entry = "transform(case when size(ids) = 0 then array(cast(null as int)) else ids end, (id, at) -> struct(id, at, case when at = 0 then word end as word, case when at = 0 then n end as n))"
+    flat = words.selectExpr(f"inline({entry})").join(F.broadcast(vocabulary), "id", "left").select("at", "word", "n", "id", "piece")
 
-def decode(sequences: DataFrame, vocabulary: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, decoded) of rows with an array of ids, by a join of ids and pieces; ids not in the vocabulary leave nothing."""
-    flat = sequences.select(key, F.posexplode(ids).alias("at", "id")).join(F.broadcast(vocabulary), "id")
-    joined = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("parts"))
-    texts = joined.select(key, F.array_join(F.col("parts.piece"), " ").alias("decoded"))
-    return sequences.select(key).join(texts, key, "left").select(key, F.coalesce("decoded", F.lit("")).alias("decoded"))
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("at").to_numpy() == 0)
+            cut = int(starts[-1]) if len(starts) else 0  # the last word may go on in the next batch
+            if cut:
+                yield from _words_of([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        yield from _words_of(held)
+
+    return flat.mapInArrow(blocks.released(together), "word string, n long, ids string, size int, decoded string")
+
+
+def _words_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole words from their joined rows."""
+    rows = pa.Table.from_batches(batches).combine_chunks() if batches else None
+    if not rows or not rows.num_rows:
+        return
+    at = rows.column("at").to_numpy()
+    first = np.flatnonzero(at == 0)
+    bounds = np.append(first, len(at))
+    if (at != np.arange(len(at)) - np.repeat(first, np.diff(bounds))).any():
+        raise RuntimeError("the join of ids and pieces changed the order of a word's ids")
+    joined = []
+    for column, kind in (("id", pa.string()), ("piece", pa.string())):
+        values = rows.column(column).combine_chunks().cast(kind).drop_null()
+        there = np.concatenate([[0], np.cumsum(rows.column(column).combine_chunks().is_valid().to_numpy(zero_copy_only=False))])[bounds]
+        joined.append((pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(there, pa.int32()), values), " "), np.diff(there)))
+    words, n = (rows.column(c).combine_chunks().take(pa.array(first)) for c in ("word", "n"))
+    yield pa.RecordBatch.from_arrays([words, n, joined[0][0], pa.array(joined[0][1].astype(np.int32)), joined[1][0]], ["word", "n", "ids", "size", "decoded"])
 
 
 class _Frequent:
     """The frequent part of the word table, sorted by the words' hashes."""
 
-    def __init__(self, table: pa.Table, encoder: _Encoder) -> None:
+    def __init__(self, table: pa.Table) -> None:
         data, offsets = blocks.bytes_of(table.column("word"))
         h = blocks.hashes(data, offsets[:-1], offsets[1:])
         order = np.argsort(h)
         self.hashes = h[order]
-        ids = [table.column("ids")[int(k)].as_py() for k in order]
-        self.size = np.array([len(w.split()) for w in ids], np.int32)
-        self.texts = tuple(self._packed(column) for column in (ids, map(encoder.pieces, ids)))
+        table = table.take(pa.array(order))
+        self.size = table.column("size").to_numpy().astype(np.int32)
+        self.texts = tuple(self._packed(table.column(c).to_pylist()) for c in ("ids", "decoded"))
 
     @staticmethod
     def _packed(words: Iterable[str]) -> tuple[bytes, np.ndarray]:
@@ -224,7 +229,7 @@ def _frequent_words(table: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
             break
         floor = r["level"]
     kept = table.where(level >= floor) if floor is not None else table.limit(0)
-    return kept.select("word", "ids").toArrow(), table.where(level < floor) if floor is not None else table
+    return kept.select("word", "ids", "size", "decoded").toArrow(), table.where(level < floor) if floor is not None else table
 
 
 def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000) -> DataFrame:
@@ -233,10 +238,9 @@ def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000)
     texts = documents.select("doc_id", "text")
     with open(path, encoding="utf-8") as file:
         content = spark.sparkContext.broadcast(file.read())
-    words = stored(word_table(word_counts(texts).where("n > 1"), content), "words")
+    words = stored(decoded_words(word_table(word_counts(texts), content), vocabulary(spark, path)), "words")
     known, others = _frequent_words(words, most_words)
-    frequent = spark.sparkContext.broadcast(_Frequent(known, _Encoder(content.value)))
-    repeated = spark.sparkContext.broadcast(_repeated(others))
+    frequent = spark.sparkContext.broadcast(_Frequent(known))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,14 +248,14 @@ def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000)
                 raw, offsets = blocks.bytes_of(piece.column("text"))
                 data, _, starts, ends = split(raw, offsets)
                 h = blocks.hashes(data, starts, ends)
-                at = np.flatnonzero(~frequent.value.find(h)[1] & _has(repeated.value, h))
+                at = np.flatnonzero(~frequent.value.find(h)[1])
                 at = at[_kinds(h[at])[0]]
                 text, key = data.tobytes(), _block_key(raw, piece.column("doc_id").to_pylist())
                 found = pa.array([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32)), found.cast(pa.string())], ["block", "at", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=7)
         for batch in batches:
             for piece in blocks.pieces(batch, "text"):
                 raw, offsets = blocks.bytes_of(piece.column("text"))
@@ -262,21 +266,21 @@ def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000)
 
     ident, long = texts.schema["doc_id"].dataType, T.LongType()
     spots = texts.mapInArrow(blocks.released(rare), "block long, at int, word string")
-    back = spots.join(others.select("word", "ids"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+    back = spots.join(others.select("word", "ids", "decoded"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "ids", "decoded")).alias("rare"))
     packs = texts.mapInArrow(blocks.released(packed), T.StructType([T.StructField("block", long), T.StructField("ids", T.ArrayType(ident)), T.StructField("sizes", T.ArrayType(long)), T.StructField("blob", T.BinaryType())]))
     met = packs.join(back, "block", "left").select("ids", "sizes", "blob", "rare")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, unpress = _encoder(content.value), zstandard.ZstdDecompressor()
+        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, sizes, blob, rare = (batch.column(c)[k] for c in ("ids", "sizes", "blob", "rare"))
-                yield _finished(ids.values, sizes.values.to_numpy(), unpress.decompress(blob.as_py()), rare, frequent.value, encoder)
+                yield _finished(ids.values, sizes.values.to_numpy(), unpress.decompress(blob.as_py()), rare, frequent.value)
 
     return met.mapInArrow(blocks.released(finish), T.StructType([texts.schema["doc_id"], T.StructField("n_tokens", long), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
 
 
-def _finished(ids: pa.Array, sizes: np.ndarray, raw: bytes, rare: pa.Scalar, words: _Frequent, encoder: _Encoder) -> pa.RecordBatch:
+def _finished(ids: pa.Array, sizes: np.ndarray, raw: bytes, rare: pa.Scalar, words: _Frequent) -> pa.RecordBatch:
     """The rows of one block: ids and pieces of its words in their places."""
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     data, rows, starts, ends = split(np.frombuffer(raw, np.uint8), offsets)
@@ -286,22 +290,14 @@ def _finished(ids: pa.Array, sizes: np.ndarray, raw: bytes, rare: pa.Scalar, wor
     extra, place = [[], []], np.zeros(0, np.int64)
     missing = np.flatnonzero(~known)
     if len(missing):
-        first, _ = _kinds(h[missing])  # the block's own words, each at its first place
-        spots = missing[first]
-        own: list[str | None] = [None] * len(spots)
-        place_of = {int(x): k for k, x in enumerate(h[spots])}
-        if rare.is_valid:
-            found = rare.values
-            for x, w in zip(h[found.field("at").to_numpy()].tolist(), found.field("ids").to_pylist(), strict=True):
-                own[place_of[x]] = w
-        alone = [k for k, w in enumerate(own) if w is None]  # words that occur nowhere else
-        text = data.tobytes()
-        for k, w in zip(alone, encoder.ids([text[starts[spots[k]] : ends[spots[k]]].decode() for k in alone]), strict=True):
-            own[k] = w
-        place = np.array([place_of[x] for x in h[missing].tolist()])
+        # The block's own words, each at its first place, as the join brought them back.
+        met = rare.values
+        kinds = h[met.field("at").to_numpy()]
+        by_hash = np.argsort(kinds)
+        place = np.searchsorted(kinds[by_hash], h[missing])
+        extra = [[w.encode() for w in met.field(c).take(pa.array(by_hash)).to_pylist()] for c in ("ids", "decoded")]
         at[missing] = 0
-        size[missing] = np.array([len(w.split()) for w in own])[place]
-        extra = [[w.encode() for w in own], [encoder.pieces(w).encode() for w in own]]
+        size[missing] = np.array([len(w.split()) for w in extra[0]])[place]
     first = blocks.counted(h, rows, len(ids))
     counts = np.diff(np.concatenate([[0], np.cumsum(size)])[first])
     codes, used = pd.factorize(at)

@@ -278,6 +278,18 @@ def test_decode_joins_pieces(spark):
     assert got == {1: tokenizer.decode(ids, skip_special_tokens=False), 2: ""}
 
 
+def test_word_table_decodes_by_the_join(spark):
+    """A piece changed in the id-to-piece table shows in the word's decoded text, so nothing else decodes."""
+    with open(bpe.default_path(), encoding="utf-8") as file:
+        content = spark.sparkContext.broadcast(file.read())
+    words = bpe.word_table(spark.createDataFrame([("quick", 3), ("zzxqyw", 1), ("\u3000", 1)], "word string, n long"), content)
+    changed = bpe.vocabulary(spark, bpe.default_path()).withColumn("piece", F.concat(F.lit("*"), "piece"))
+    got = {r.word: r for r in bpe.decoded_words(words, changed).collect()}
+    assert got["\u3000"].size == 0 and got["\u3000"].decoded == "" and got["zzxqyw"].size > 1
+    for r in got.values():
+        assert len(r.ids.split()) == r.size and sum(p.startswith("*") for p in r.decoded.split()) == r.size
+
+
 # 4 urls
 
 
