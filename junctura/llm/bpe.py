@@ -5,8 +5,11 @@
    apostrophes, control characters or "<|") and Latin-1 letters, where that border also ends a token
    of the vocabulary's own splitting. Any other word stays whole and as it is. Every word is thus
    encoded alone as it would be in its text; simple words are lower-cased (A-Z) first.
-2. Each distinct word is encoded once, in a table of words. A join of its ids with the vocabulary's
-   id-to-piece table gives the word's decoded text, which the table carries along.
+2. Each distinct word is encoded once: words that occur twice or more in a table of words, whose ids are
+   joined there with the vocabulary's id-to-piece table to give the word's decoded text, which the table
+   carries along; words that occur a single time in their only place, where their ids meet the same
+   id-to-piece table, broadcast. (With these in the table too, the disk and memory of the tool's limits do
+   not suffice: they are more than half of all distinct words.)
 3. Ids and pieces go back to their positions: of the distinct-word table the ``most_words`` most frequent
    are broadcast, a bound that does not grow with the data; the table's other words travel as (block,
    position, word) rows through a join with the table and meet their block of documents again. A block is
@@ -107,6 +110,15 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, p) for p, i in entries.items()], "id int, piece string")
 
 
+def _by_id(vocabulary: DataFrame) -> pa.Array:
+    """The id-to-piece table in the order of ids, for a look-up by id; ids that do not occur have empty pieces."""
+    rows = vocabulary.toArrow()
+    at = rows.column("id").to_numpy()
+    pieces = np.full(at.max() + 1, "", object)
+    pieces[at] = rows.column("piece").to_numpy(zero_copy_only=False)
+    return pa.array(pieces, pa.string())
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
     """(word, n) of each distinct word."""
     return documents.select("text").mapInArrow(blocks.released(_distinct_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -181,6 +193,30 @@ def _words_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([words, n, joined[0][0], pa.array(joined[0][1].astype(np.int32)), joined[1][0]], ["word", "n", "ids", "size", "decoded"])
 
 
+#: Bits of the filter that tells repeated words from most others, whatever their number.
+FILTER_BITS = 1 << 25
+
+
+def _repeated(words: DataFrame) -> np.ndarray:
+    """A bit for each hashed word of a table, gathered by Spark; its size is fixed."""
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = blocks.bytes_of(batch.column("word"))
+            spot = (blocks.hashes(data, offsets[:-1], offsets[1:]) % np.uint64(FILTER_BITS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((spot >> 5).astype(np.int32)), pa.array(np.left_shift(np.uint32(1), (spot & 31).astype(np.uint32)).view(np.int32))], ["at", "bits"])
+
+    rows = words.select("word").mapInArrow(spots, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS >> 5, np.uint32)
+    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint32)
+    return table
+
+
+def _has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    spot = (h % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (table[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
+
+
 class _Frequent:
     """The frequent part of the word table, sorted by the words' hashes."""
 
@@ -238,9 +274,12 @@ def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000)
     texts = documents.select("doc_id", "text")
     with open(path, encoding="utf-8") as file:
         content = spark.sparkContext.broadcast(file.read())
-    words = stored(decoded_words(word_table(word_counts(texts), content), vocabulary(spark, path)), "words")
+    table = vocabulary(spark, path)
+    words = stored(decoded_words(word_table(word_counts(texts).where("n > 1"), content), table), "words")
     known, others = _frequent_words(words, most_words)
     frequent = spark.sparkContext.broadcast(_Frequent(known))
+    repeated = spark.sparkContext.broadcast(_repeated(others))
+    pieces = spark.sparkContext.broadcast(_by_id(table))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,14 +287,14 @@ def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000)
                 raw, offsets = blocks.bytes_of(piece.column("text"))
                 data, _, starts, ends = split(raw, offsets)
                 h = blocks.hashes(data, starts, ends)
-                at = np.flatnonzero(~frequent.value.find(h)[1])
+                at = np.flatnonzero(~frequent.value.find(h)[1] & _has(repeated.value, h))
                 at = at[_kinds(h[at])[0]]
                 text, key = data.tobytes(), _block_key(raw, piece.column("doc_id").to_pylist())
                 found = pa.array([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32)), found.cast(pa.string())], ["block", "at", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=7)
+        press = zstandard.ZstdCompressor(level=5)
         for batch in batches:
             for piece in blocks.pieces(batch, "text"):
                 raw, offsets = blocks.bytes_of(piece.column("text"))
@@ -271,16 +310,16 @@ def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000)
     met = packs.join(back, "block", "left").select("ids", "sizes", "blob", "rare")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
+        encoder, unpress = _encoder(content.value), zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, sizes, blob, rare = (batch.column(c)[k] for c in ("ids", "sizes", "blob", "rare"))
-                yield _finished(ids.values, sizes.values.to_numpy(), unpress.decompress(blob.as_py()), rare, frequent.value)
+                yield _finished(ids.values, sizes.values.to_numpy(), unpress.decompress(blob.as_py()), rare, frequent.value, encoder, pieces.value)
 
     return met.mapInArrow(blocks.released(finish), T.StructType([texts.schema["doc_id"], T.StructField("n_tokens", long), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
 
 
-def _finished(ids: pa.Array, sizes: np.ndarray, raw: bytes, rare: pa.Scalar, words: _Frequent) -> pa.RecordBatch:
+def _finished(ids: pa.Array, sizes: np.ndarray, raw: bytes, rare: pa.Scalar, words: _Frequent, encoder, pieces: pa.Array) -> pa.RecordBatch:
     """The rows of one block: ids and pieces of its words in their places."""
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     data, rows, starts, ends = split(np.frombuffer(raw, np.uint8), offsets)
@@ -290,12 +329,22 @@ def _finished(ids: pa.Array, sizes: np.ndarray, raw: bytes, rare: pa.Scalar, wor
     extra, place = [[], []], np.zeros(0, np.int64)
     missing = np.flatnonzero(~known)
     if len(missing):
-        # The block's own words, each at its first place, as the join brought them back.
-        met = rare.values
-        kinds = h[met.field("at").to_numpy()]
-        by_hash = np.argsort(kinds)
-        place = np.searchsorted(kinds[by_hash], h[missing])
-        extra = [[w.encode() for w in met.field(c).take(pa.array(by_hash)).to_pylist()] for c in ("ids", "decoded")]
+        first, _ = _kinds(h[missing])  # the block's own words, each at its first place
+        spots = missing[first]
+        by_hash = np.argsort(h[spots])
+        spots = spots[by_hash]
+        place = np.searchsorted(h[spots], h[missing])
+        extra, alone = [[b""] * len(spots), [b""] * len(spots)], np.ones(len(spots), bool)
+        if rare.is_valid:  # as the join brought them back
+            met = np.searchsorted(h[spots], h[rare.values.field("at").to_numpy()])
+            alone[met] = False
+            for column, name in zip(extra, ("ids", "decoded"), strict=True):
+                for k, w in zip(met.tolist(), rare.values.field(name).to_pylist(), strict=True):
+                    column[k] = w.encode()
+        alone, text = np.flatnonzero(alone).tolist(), data.tobytes()  # words that occur nowhere else
+        for k, e in zip(alone, encoder.encode_batch([text[starts[spots[k]] : ends[spots[k]]].decode() for k in alone], add_special_tokens=False), strict=True):
+            extra[0][k] = b" ".join(b"%d" % i for i in e.ids)
+            extra[1][k] = " ".join(pieces.take(pa.array(e.ids, pa.int32())).to_pylist()).encode()
         at[missing] = 0
         size[missing] = np.array([len(w.split()) for w in extra[0]])[place]
     first = blocks.counted(h, rows, len(ids))
