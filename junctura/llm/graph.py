@@ -27,9 +27,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = wide.where("m is not null").select("a", "b", "m").unionByName(narrow)
         large = large.where("b > a").select(F.col("m").alias("a"), "b")
         large = large.where("a != b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select("m", "b", "a")
-        after = small.select(F.col("m").alias("a"), "b").unionAll(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        lesser = large.join(least, "b").select("m", "b", "a")
+        after = lesser.select(F.col("m").alias("a"), "b").unionAll(lesser.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
         after = stored(after, "edges")
         # Done when each node has one edge, and to a node that has none upwards: a star forest.
         deep = after.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()

@@ -1,27 +1,48 @@
 """URL filters: a weighted vocabulary of strict and soft terms.
 
-An Aho-Corasick automaton finds every term in the lower-cased url; a hit counts only between
-boundaries (an end of the url or a character that is no letter or digit). One strict term rejects,
-and so do ``soft_hits`` different soft terms. Rules on host and path come first; the longest that
-fits decides.
+The vocabulary is a table of terms, weights and kinds (`url_terms.csv`, or any other). An Aho-Corasick
+automaton finds every term in the lower-cased url; a hit counts only between boundaries (an end of the
+url or a character that is no letter or digit). One strict term rejects, and so do soft terms whose
+weights, each different term counting once, reach ``soft_weight``; no weight of theirs exceeds 1, so at
+a soft weight of 2 that takes several. Rules on host and path come first; the longest that fits decides.
 
 Defined cases: a null url, or one without "://", has an empty host and path; a null url has no terms;
-extra columns pass through unless they bear an output's name.
+very long urls are searched whole; repeated rows are judged one by one; extra columns pass through
+unless they bear an output's name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import csv
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from junctura.llm.scratch import free_name
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The vocabulary of the production filter.
-STRICT = ("porn", "xxx", "casino", "viagra", "spam", "warez", "cheap-pills", "spam-farm")
-SOFT = ("cheap", "pills", "free", "win", "bonus", "bet", "poker", "adult", "sex", "download", "crack", "loan", "deal", "farm", "promo")
+#: (term, weight, kind)
+Vocabulary = tuple[tuple[str, float, str], ...]
+
+
+def vocabulary(path: str | None = None) -> Vocabulary:
+    """The terms of a csv file with the columns term, weight and kind (strict or soft); the production filter's by default."""
+    with (Path(path) if path else Path(__file__).with_name("url_terms.csv")).open(encoding="utf-8", newline="") as file:
+        return checked((r["term"], float(r["weight"]), r["kind"]) for r in csv.DictReader(file))
+
+
+def checked(terms: Iterable[tuple[str, float, str]]) -> Vocabulary:
+    """The terms in lower case, each once, with weights above 0 (of soft ones, to 1)."""
+    out = tuple((t.lower(), float(w), kind) for t, w, kind in terms)
+    if len({t for t, _, _ in out}) < len(out) or any(not t or w <= 0 or kind not in ("strict", "soft") or (kind == "soft" and w > 1) for t, w, kind in out):
+        raise ValueError("a url vocabulary needs different terms, each strict or soft, with weights above 0 and at most 1")
+    return out
+
+
 #: (host, path, verdict) of the production rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -43,43 +64,45 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def term_hits(strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT):
-    """A column function: (number of different strict terms, of different soft terms) in a url."""
+def term_hits(terms: Vocabulary):
+    """A column function: (number of different strict terms, weight of the different soft terms) in a url."""
 
-    @F.pandas_udf("struct<strict: int, soft: int>")
+    @F.pandas_udf("struct<strict: int, soft: double>")
     def hits(urls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found = ahocorasick.Automaton()
-        for kind, terms in ((1, soft), (0, strict)):
-            for term in terms:
-                found.add_word(term, (kind, term))
-        found.make_automaton()
+        for term, weight, kind in terms:
+            found.add_word(term, (term, weight, kind == "strict"))
+        if terms:
+            found.make_automaton()
         table = str.maketrans(_UPPER, _LOWER)
         plain = set(_LOWER + "0123456789")
         for series in urls:
             rows = []
             for url in series:
-                seen: tuple[set, set] = (set(), set())
-                if url:
+                seen: dict[str, tuple[float, bool]] = {}
+                if url and terms:
                     low = url.translate(table)
-                    for end, (kind, term) in found.iter(low):
+                    for end, (term, weight, strict) in found.iter(low):
                         start = end - len(term)
                         if (start < 0 or low[start] not in plain) and (end + 1 == len(low) or low[end + 1] not in plain):
-                            seen[kind].add(term)
-                rows.append((len(seen[0]), len(seen[1])))
-            yield pd.DataFrame(rows, columns=["strict", "soft"]).astype("int32")
+                            seen[term] = (weight, strict)
+                rows.append((sum(s for _, s in seen.values()), sum(sorted(w for w, s in seen.values() if not s))))
+            yield pd.DataFrame(rows, columns=["strict", "soft"]).astype({"strict": "int32", "soft": "float64"})
 
     return hits
 
 
-def filter_urls(pages: DataFrame, soft_hits: int = 2, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, rules=RULES) -> DataFrame:
-    """``pages`` with host, path, rule, strict_terms, soft_terms and verdict."""
-    added = ("host", "path", "rule", "strict_terms", "soft_terms", "verdict")
+def filter_urls(pages: DataFrame, soft_weight: float = 2.0, terms: Vocabulary | None = None, rules=RULES) -> DataFrame:
+    """``pages`` with host, path, rule, strict_terms, soft_weight and verdict."""
+    added = ("host", "path", "rule", "strict_terms", "soft_weight", "verdict")
     host, path = host_and_path(F.coalesce("url", F.lit("")))
-    parts = pages.select(*[c for c in pages.columns if c not in added], host.alias("host"), path.alias("path"))
+    hits = term_hits(vocabulary() if terms is None else checked(terms))
+    parts = pages.select(*[c for c in pages.columns if c.lower() not in added], host.alias("host"), path.alias("path"))
+    found = free_name(parts, "_hits")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    judged = parts.withColumn("_hits", term_hits(strict, soft)("url")).withColumn("rule", rule)
-    own = F.when((F.col("_hits.strict") > 0) | (F.col("_hits.soft") >= soft_hits), "block").otherwise("allow")
-    return judged.select("*", F.col("_hits.strict").alias("strict_terms"), F.col("_hits.soft").alias("soft_terms"), F.coalesce(said, own).alias("verdict")).drop("_hits")
+    judged = parts.withColumn(found, hits("url")).withColumn("rule", rule)
+    own = F.when((F.col(f"{found}.strict") > 0) | (F.col(f"{found}.soft") >= soft_weight), "block").otherwise("allow")
+    return judged.select("*", F.col(f"{found}.strict").alias("strict_terms"), F.col(f"{found}.soft").alias("soft_weight"), F.coalesce(said, own).alias("verdict")).drop(found)
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -87,9 +110,11 @@ def op4_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-def reference_sql(soft_hits: int = 2) -> str:
+def reference_sql(soft_weight: float = 2.0) -> str:
     low = f"translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}')"
-    hit = lambda t: f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INT)"
+    hit = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
+    strict = " OR ".join(hit(t) for t, _, kind in vocabulary() if kind == "strict")
+    soft = " + ".join(f"CASE WHEN {hit(t)} THEN {w} ELSE 0 END" for t, w, kind in vocabulary() if kind == "soft")
     whens = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in whens]
     return f"""
@@ -97,5 +122,5 @@ WITH a AS (SELECT page_id, {low} AS u, CASE WHEN contains(url, '://') THEN subst
 b AS (SELECT page_id, u, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a)
 SELECT page_id, host, path, CASE {' '.join(f"WHEN {c} THEN '{r}'" for c, r, _ in fits)} END AS rule,
   CASE {' '.join(f"WHEN {c} THEN '{v}'" for c, _, v in fits)}
-    WHEN {' + '.join(map(hit, STRICT))} > 0 OR {' + '.join(map(hit, SOFT))} >= {soft_hits} THEN 'block' ELSE 'allow' END AS verdict
+    WHEN {strict} OR {soft} >= {soft_weight} THEN 'block' ELSE 'allow' END AS verdict
 FROM b"""

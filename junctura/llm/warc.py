@@ -1,23 +1,39 @@
 """WARC derivatives: linked metadata and plain-text conversion records of responses.
 
-A response record has a payload of HTTP header and body. For each, the builder makes a metadata
-record (title, links, lengths as JSON) and a conversion record (plain text); both carry the
-response's id in WARC-Refers-To, its target and date, the source headers that still hold, and
-digests of their own block. Everything is SQL expressions on whole columns, so a record never leaves
-the executors' JVM. Record ids are derived from content, so a lost task builds the same ones again.
-
-Defined cases: null html is an empty body; a null url gives an empty target; repeated rows give equal
-records; extra columns are not carried.
+For each response the builder makes a metadata record (title, links, lengths) and a conversion record
+(plain text); both carry the response's id in WARC-Refers-To, its target and date, the source headers
+that it has, and digests of their own block. Everything is SQL expressions on whole columns, so a
+record never leaves the executors' JVM. Record ids are derived from content, so a lost task builds the
+same ones again.
+
+Plain text: comments, scripts and styles go first, each up to its own end tag (or the end, where that
+is missing), then the head; a "<" begins a tag only before a letter, "/", "!" or "?", and a ">" inside a
+quoted attribute does not end it; ends of blocks break lines; character references, by number or by
+name, are resolved once.
+
+Defined cases: null html is an empty body; a null url gives an empty target; line breaks in a url are
+escaped, those in a title are spaces; a response without header or date has none in its records;
+repeated rows give equal records; extra columns are not carried, whatever their names.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DATE = "2024-01-01T00:00:00Z"
-#: Character entities that plain text resolves, in this order.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Patterns, in the syntax that both Java and RE2 read; "+" after a quantifier is left out for RE2.
+RAW = r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+HEAD = r"(?is)<head\b[^>]*>.*?</head\s*>"
+BREAK = r"(?i)<(?:br|hr|/p|/div|/li|/ul|/ol|/h[1-6]|/tr|/table|/nav|/title|/article|/section|/header|/footer|/blockquote|/pre)\b[^>]*>"
+TAG = r"""<[a-zA-Z/!?](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,500}>|<[a-zA-Z/!?][^>]*>"""
+TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
+ANCHOR = r"""(?i)<a[\s/](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,500}>"""
+HREF = r"""(?i)[\s"'/]href\s*="""
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+#: Code points by name; a no-break space is a space in plain text.
+NAMES = name2codepoint | {"nbsp": 32, "apos": 39}
 
 
 def _uuid(*parts: Column) -> Column:
@@ -31,28 +47,56 @@ def digest(block: Column) -> Column:
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """page_id, record_id, target, http_header, body of each page as a response record."""
+    """page_id, record_id, target, date, http_header, body of each page as a response record.
+
+    ``pages`` may have the response's own `http_header` and `warc_date`; nothing takes their place.
+    """
     url, body = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
-    header = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    return pages.select("page_id", _uuid(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, F.sha2(body.cast("binary"), 256)).alias("record_id"), url.alias("target"), header.alias("http_header"), body.alias("body"))
+    given = lambda name: (F.col(name) if name in pages.columns else F.lit(None)).cast("string")
+    header = F.regexp_replace(given("http_header"), r"(\r?\n)+\z", "")
+    record_id = _uuid(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, F.sha2(body.cast("binary"), 256))
+    return pages.select("page_id", record_id.alias("record_id"), url.alias("target"), given("warc_date").alias("date"), header.alias("http_header"), body.alias("body"))
+
+
+def without_raw(html: Column) -> Column:
+    """The page without scripts, styles and comments."""
+    return F.regexp_replace(html, RAW, " ")
+
 
+def resolved(text: Column) -> Column:
+    """Text with its character references resolved, each once; unknown ones stay."""
+    codes = F.create_map(*(F.lit(v) for pair in NAMES.items() for v in pair))
 
-def plain_text(html: Column) -> Column:
-    """Visible text: scripts, styles, heads and comments go, block ends break lines, entities resolve."""
-    text = F.regexp_replace(html, r"(?is)<(?:script|style|head)\b.*?</(?:script|style|head)\s*>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/nav|/title)[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", " ")
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        number = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substr(name, F.lit(3)), 16, 10)).when(F.substring(name, 1, 1) == "#", F.substr(name, F.lit(2))).cast("int")
+        code = F.coalesce(number, F.try_element_at(codes, name))
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(real, F.concat(char, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    more = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one)
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(more, ""))).otherwise(text)
+
+
+def plain_text(page: Column) -> Column:
+    """Visible text of a page `without_raw`."""
+    text = F.regexp_replace(F.regexp_replace(page, HEAD, " "), BREAK, "\n")
+    text = resolved(F.regexp_replace(text, TAG, " "))
     text = F.regexp_replace(text, r"[ \t\r]+", " ")
     return F.trim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"))
 
 
-def _record(kind: str, row_id: Column, target: Column, refers: Column, content_type: str, block: Column) -> Column:
+def page_title(page: Column) -> Column:
+    return F.trim(F.regexp_replace(resolved(F.regexp_extract(page, TITLE, 1)), r"[ \t\r\n]+", " "))
+
+
+def _record(kind: str, row_id: Column, target: Column, date: Column, refers: Column, content_type: str, block: Column) -> Column:
     size = F.octet_length(block).cast("string")
     lines = [
-        F.lit("WARC/1.1"), F.lit(f"WARC-Type: {kind}"), F.concat(F.lit("WARC-Record-ID: "), row_id), F.lit(f"WARC-Date: {DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), target), F.concat(F.lit("WARC-Refers-To: "), refers), F.concat(F.lit("WARC-Block-Digest: "), digest(block)),
+        F.lit("WARC/1.1"), F.lit(f"WARC-Type: {kind}"), F.concat(F.lit("WARC-Record-ID: "), row_id), F.concat(F.lit("WARC-Date: "), date),
+        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace(target, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))), F.concat(F.lit("WARC-Refers-To: "), refers), F.concat(F.lit("WARC-Block-Digest: "), digest(block)),
         F.lit(f"Content-Type: {content_type}"), F.concat(F.lit("Content-Length: "), size),
     ]
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n"))
@@ -61,18 +105,18 @@ def _record(kind: str, row_id: Column, target: Column, refers: Column, content_t
 def derivatives(responses: DataFrame) -> DataFrame:
     """One row per response: ids, digests and blocks of its two derived records, and the records themselves."""
     payload = digest(F.col("body"))
-    title = F.coalesce(F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title", 1), F.lit(""))
-    links = F.size(F.regexp_extract_all("body", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1)))
-    rows = responses.withColumn("payload_digest", payload).withColumn("text", plain_text(F.col("body"))).withColumn("title", title).withColumn("n_links", links)
-    source = F.regexp_replace(F.col("http_header"), r"\r\n\r\n$", "")
-    meta = F.concat_ws("\r\n", source, F.concat(F.lit("source-payload-digest: "), F.col("payload_digest")), F.concat(F.lit("title: "), F.col("title")), F.concat(F.lit("links: "), F.col("n_links").cast("string")))
+    rows = responses.withColumn("payload_digest", payload).withColumn("page", without_raw(F.col("body")))
+    links = F.size(F.filter(F.regexp_extract_all("page", F.lit(ANCHOR), F.lit(0)), lambda tag: tag.rlike(HREF)))
+    rows = rows.withColumn("text", plain_text(F.col("page"))).withColumn("title", page_title(F.col("page"))).withColumn("n_links", links)
+    # A null line, such as a header that the response does not have, is left out.
+    meta = F.concat_ws("\r\n", F.nullif("http_header", F.lit("")), F.concat(F.lit("source-payload-digest: "), F.col("payload_digest")), F.concat(F.lit("title: "), F.col("title")), F.concat(F.lit("links: "), F.col("n_links").cast("string")))
     rows = rows.withColumn("metadata_block", F.concat(meta, F.lit("\r\n")))
     rows = rows.withColumn("metadata_id", _uuid(F.lit("metadata"), F.col("record_id"))).withColumn("conversion_id", _uuid(F.lit("conversion"), F.col("record_id")))
     return rows.select(
         "page_id", "record_id", "target", "payload_digest", "title", "n_links", "metadata_id", "conversion_id", "text",
         digest(F.col("metadata_block")).alias("metadata_digest"), digest(F.col("text")).alias("text_digest"),
-        _record("metadata", F.col("metadata_id"), F.col("target"), F.col("record_id"), "application/warc-fields", F.col("metadata_block")).alias("metadata_record"),
-        _record("conversion", F.col("conversion_id"), F.col("target"), F.col("record_id"), "text/plain", F.col("text")).alias("conversion_record"),
+        _record("metadata", F.col("metadata_id"), F.col("target"), F.col("date"), F.col("record_id"), "application/warc-fields", F.col("metadata_block")).alias("metadata_record"),
+        _record("conversion", F.col("conversion_id"), F.col("target"), F.col("date"), F.col("record_id"), "text/plain", F.col("text")).alias("conversion_record"),
     )
 
 
@@ -88,22 +132,25 @@ def op7_warc_derivatives(spark, sf_dir: str) -> DataFrame:
 
 
 def reference_sql() -> str:
-    """The same rows in SQL."""
+    """The same rows in SQL (for tables without headers and dates)."""
     uuid = lambda x: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5({x}) AS h))"
-    text = r"regexp_replace(body, '<(?:script|style|head)\b.*?</(?:script|style|head)\s*>|<!--.*?-->', ' ', 'gis')"
-    text = rf"regexp_replace({text}, '<(?:br|/p|/div|/li|/h[1-6]|/tr|/nav|/title)[^>]*>', chr(10), 'gi')"
-    text = rf"regexp_replace({text}, '<[^>]*>', ' ', 'g')"
-    for entity, plain in ENTITIES:
-        text = "replace({}, '{}', '{}')".format(text, entity, plain.replace("'", "''"))
+    re2 = lambda pattern: pattern.replace("++", "+").replace("*+", "*").replace("?+", "?").replace("'", "''")
+    codes = "MAP {" + ", ".join(f"'{n}': {c}" for n, c in NAMES.items()) + "}"
+    name = f"regexp_extract(p, '{re2(REFERENCE)}', 1)"
+    code = f"CASE WHEN lower({name}[1:2]) = '#x' THEN CAST('0x' || {name}[3:] AS INT) WHEN {name}[1:1] = '#' THEN CAST({name}[2:] AS INT) ELSE {codes}[{name}] END"
+    one = f"CASE WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr({code}) || p[length({name}) + 2:] ELSE '&' || p END"
+    plain = lambda text: f"(SELECT s[1] || array_to_string(list_transform(s[2:], lambda p: {one}), '') FROM (SELECT string_split({text}, '&') AS s))"
+    text = f"regexp_replace(regexp_replace(page, '{re2(HEAD)}', ' ', 'g'), '{re2(BREAK)}', chr(10), 'g')"
+    text = plain(f"regexp_replace({text}, '{re2(TAG)}', ' ', 'g')")
     text = rf"trim(regexp_replace(regexp_replace({text}, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ')"
-    head = lambda kind, own, ctype, block: f"strlen('WARC/1.1' || nl || 'WARC-Type: {kind}' || nl || 'WARC-Record-ID: ' || {own} || nl || 'WARC-Date: {DATE}' || nl || 'WARC-Target-URI: ' || target || nl || 'WARC-Refers-To: ' || record_id || nl || 'WARC-Block-Digest: sha256:' || sha256({block}) || nl || 'Content-Type: {ctype}' || nl || 'Content-Length: ' || strlen({block}) || nl || nl || {block} || nl || nl)"
+    title = rf"trim(regexp_replace({plain(f"regexp_extract(page, '{re2(TITLE)}', 1)")}, '[ \t\r\n]+', ' ', 'g'), ' ')"
+    head = lambda kind, own, ctype, block: f"strlen('WARC/1.1' || nl || 'WARC-Type: {kind}' || nl || 'WARC-Record-ID: ' || {own} || nl || 'WARC-Target-URI: ' || replace(replace(target, chr(13), '%0D'), chr(10), '%0A') || nl || 'WARC-Refers-To: ' || record_id || nl || 'WARC-Block-Digest: sha256:' || sha256({block}) || nl || 'Content-Type: {ctype}' || nl || 'Content-Length: ' || strlen({block}) || nl || nl || {block} || nl || nl)"
     return f"""
-WITH a AS (SELECT page_id, coalesce(url, '') AS target, coalesce(html, '') AS body, chr(13) || chr(10) AS nl FROM pages),
+WITH a AS (SELECT page_id, coalesce(url, '') AS target, coalesce(html, '') AS body, regexp_replace(coalesce(html, ''), '{re2(RAW)}', ' ', 'g') AS page, chr(13) || chr(10) AS nl FROM pages),
 b AS (SELECT *, {uuid("'response' || chr(10) || coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || target || chr(10) || sha256(body)")} AS record_id,
-  'sha256:' || sha256(body) AS payload_digest, {text} AS text, regexp_extract(body, '<title[^>]*>(.*?)</title', 1, 'is') AS title,
-  len(regexp_extract_all(body, '<a\\s[^>]*?href="([^"]*)"', 1, 'i')) AS n_links FROM a),
+  'sha256:' || sha256(body) AS payload_digest, {text} AS text, {title} AS title, len(list_filter(regexp_extract_all(page, '{re2(ANCHOR)}'), lambda t: regexp_matches(t, '{re2(HREF)}'))) AS n_links FROM a),
 c AS (SELECT *, {uuid("'metadata' || chr(10) || record_id")} AS metadata_id, {uuid("'conversion' || chr(10) || record_id")} AS conversion_id,
-  'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(body) || nl || 'source-payload-digest: ' || payload_digest || nl || 'title: ' || title || nl || 'links: ' || n_links || nl AS block FROM b)
+  'source-payload-digest: ' || payload_digest || nl || 'title: ' || title || nl || 'links: ' || n_links || nl AS block FROM b)
 SELECT page_id, record_id, metadata_id, conversion_id, record_id AS refers_to, target, payload_digest, 'sha256:' || sha256(block) AS metadata_digest, 'sha256:' || sha256(text) AS text_digest,
   title, n_links, CAST(strlen(text) AS BIGINT) AS text_bytes, CAST({head("metadata", "metadata_id", "application/warc-fields", "block")} AS BIGINT) AS metadata_record_bytes, CAST({head("conversion", "conversion_id", "text/plain", "text")} AS BIGINT) AS conversion_record_bytes
 FROM c"""
