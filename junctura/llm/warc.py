@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 RAW = r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
 HEAD = r"(?is)<head\b[^>]*>.*?</head\s*>"
 BREAK = r"(?i)<(?:br|hr|/p|/div|/li|/ul|/ol|/h[1-6]|/tr|/table|/nav|/title|/article|/section|/header|/footer|/blockquote|/pre)\b[^>]*>"
-TAG = r"""<[a-zA-Z/!?](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,500}>|<[a-zA-Z/!?][^>]*>"""
+TAG = r"""<[a-zA-Z/!?][^>=]*+>|<[a-zA-Z/!?](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,500}>|<[a-zA-Z/!?][^>]*>"""
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 ANCHOR = r"""(?i)<a[\s/](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,500}>"""
 HREF = r"""(?i)[\s"'/]href\s*="""
@@ -63,8 +63,8 @@ def without_raw(html: Column) -> Column:
     return F.regexp_replace(html, RAW, " ")
 
 
-def resolved(text: Column) -> Column:
-    """Text with its character references resolved, each once; unknown ones stay."""
+def resolved(parts: Column) -> Column:
+    """Text, split at every "&", with its character references resolved, each once; unknown ones stay."""
     codes = F.create_map(*(F.lit(v) for pair in NAMES.items() for v in pair))
 
     def one(part: Column) -> Column:
@@ -75,21 +75,19 @@ def resolved(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(real, F.concat(char, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
 
-    parts = F.split(text, "&")
     more = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one)
-    return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(more, ""))).otherwise(text)
+    return F.when(F.size(parts) > 1, F.concat(F.element_at(parts, 1), F.array_join(more, ""))).otherwise(F.element_at(parts, 1))
 
 
-def plain_text(page: Column) -> Column:
-    """Visible text of a page `without_raw`."""
+def visible(page: Column) -> Column:
+    """The text of a page `without_raw`, split at every "&"."""
     text = F.regexp_replace(F.regexp_replace(page, HEAD, " "), BREAK, "\n")
-    text = resolved(F.regexp_replace(text, TAG, " "))
-    text = F.regexp_replace(text, r"[ \t\r]+", " ")
-    return F.trim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"))
+    return F.split(F.regexp_replace(text, TAG, " "), "&")
 
 
-def page_title(page: Column) -> Column:
-    return F.trim(F.regexp_replace(resolved(F.regexp_extract(page, TITLE, 1)), r"[ \t\r\n]+", " "))
+def plain_text(parts: Column) -> Column:
+    text = F.regexp_replace(resolved(parts), r"[ \t\r]+", " ")
+    return F.trim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"))
 
 
 def _record(kind: str, row_id: Column, target: Column, date: Column, refers: Column, content_type: str, block: Column) -> Column:
@@ -107,7 +105,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
     payload = digest(F.col("body"))
     rows = responses.withColumn("payload_digest", payload).withColumn("page", without_raw(F.col("body")))
     links = F.size(F.filter(F.regexp_extract_all("page", F.lit(ANCHOR), F.lit(0)), lambda tag: tag.rlike(HREF)))
-    rows = rows.withColumn("text", plain_text(F.col("page"))).withColumn("title", page_title(F.col("page"))).withColumn("n_links", links)
+    # Each step is a column, so that nothing is worked out twice.
+    rows = rows.withColumn("parts", visible(F.col("page"))).withColumn("title_parts", F.split(F.regexp_extract("page", TITLE, 1), "&")).withColumn("n_links", links).drop("page")
+    title = F.trim(F.regexp_replace(resolved(F.col("title_parts")), r"[ \t\r\n]+", " "))
+    rows = rows.withColumn("text", plain_text(F.col("parts"))).withColumn("title", title).drop("parts", "title_parts")
     # A null line, such as a header that the response does not have, is left out.
     meta = F.concat_ws("\r\n", F.nullif("http_header", F.lit("")), F.concat(F.lit("source-payload-digest: "), F.col("payload_digest")), F.concat(F.lit("title: "), F.col("title")), F.concat(F.lit("links: "), F.col("n_links").cast("string")))
     rows = rows.withColumn("metadata_block", F.concat(meta, F.lit("\r\n")))
