@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from junctura.llm import blocks
-from junctura.llm.scratch import stored
+from junctura.llm.scratch import free, stored
 
 _SPACE, _LETTER, _OTHER, _WHOLE = range(4)
 _KIND = np.full(256, _WHOLE, np.uint8)
@@ -275,7 +275,10 @@ def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000)
     with open(path, encoding="utf-8") as file:
         content = spark.sparkContext.broadcast(file.read())
     table = vocabulary(spark, path)
-    words = stored(decoded_words(word_table(word_counts(texts).where("n > 1"), content), table), "words")
+    # Stored in between, so that a task needs one Python worker at a time.
+    encoded = stored(word_table(word_counts(texts).where("n > 1"), content), "encoded")
+    words = stored(decoded_words(encoded, table), "words")
+    free(encoded)
     known, others = _frequent_words(words, most_words)
     frequent = spark.sparkContext.broadcast(_Frequent(known))
     repeated = spark.sparkContext.broadcast(_repeated(others))
