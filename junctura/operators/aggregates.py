@@ -41,7 +41,7 @@ def detector_volume_hourly(tables: Tables) -> DataFrame:
 def detector_occupancy_hourly(tables: Tables) -> DataFrame:
     """Occupancy from the times a detector is really on, cut at the hours."""
     rows = tables.between(ON, OFF).withColumn("channel", F.col("param"))
-    on = occupied_intervals(rows.withColumn("param", F.lit(0)), CHANNEL)
+    on = occupied_intervals(rows.withColumn("param", F.lit(0)), CHANNEL, tables.end)
     held = split_over_bins(on, "begin", "finish", F.lit(0), HOUR).groupBy(*CHANNEL, "bin").agg(F.sum("inside").alias("inside"))
     counts = rows.groupBy(*CHANNEL, _bin(HOUR)).agg(_of(ON).alias("activation_count"))
     out = held.join(counts, [*CHANNEL, "bin"], "full").select(*CHANNEL, "bin", F.coalesce("inside", F.lit(0)).alias("inside"), F.coalesce("activation_count", F.lit(0)).alias("activation_count"))

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from junctura.functions.temporal import MINUTE, SECOND, along, last, seconds, settled, share, split_over_bins, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, OFF, ON, PATTERN, PREEMPT_CALL, PREEMPT_OFF, RED, YELLOW
 from junctura.operators.volumes import occupied_intervals
-from junctura.sources.derived import END, START, Tables
+from junctura.sources.derived import Tables
 
 CHANNEL = ["signal_id", "channel"]
 PHASE = ["signal_id", "phase"]
-HOURS = (END - START) / (60 * MINUTE)
 
 
 def _n(cond):
@@ -27,7 +26,7 @@ def detectors_stuck(tables: Tables, minutes: float = 30.0) -> DataFrame:
     """Channels whose last ON came after their last OFF (or that have no OFF), ``minutes`` or more before the end."""
     at = lambda c: F.max(F.when(F.col("code") == c, F.col("t")))
     rows = _detector_rows(tables).groupBy(*CHANNEL).agg(at(ON).alias("on"), at(OFF).alias("off"), _n(F.col("code") == ON).alias("event_count"))
-    held = F.lit(END) - F.col("on")
+    held = F.lit(tables.end) - F.col("on")
     return rows.where((F.col("off").isNull() | (F.col("on") > F.col("off"))) & (held >= int(minutes * MINUTE))).select(*CHANNEL, timestamp(F.col("on")).alias("last_on"), seconds(held).alias("stuck_seconds"), "event_count")
 
 
@@ -39,11 +38,11 @@ def detectors_gaps(tables: Tables) -> DataFrame:
 
 def detectors_occupancy(tables: Tables, minutes: int = 15) -> DataFrame:
     """Share of each bin (from the window's start) that a detector is on; bins without any time on have 0."""
-    on = occupied_intervals(_detector_rows(tables).drop("param").withColumn("param", F.lit(0)), CHANNEL)
+    on = occupied_intervals(_detector_rows(tables).drop("param").withColumn("param", F.lit(0)), CHANNEL, tables.end)
     width = minutes * MINUTE
-    held = split_over_bins(on, "begin", "finish", F.lit(START), width).groupBy(*CHANNEL, "bin").agg(F.sum("inside").alias("inside"))
-    grid = _detector_rows(tables).select(*CHANNEL).distinct().withColumn("bin", F.explode(F.sequence(F.lit(START), F.lit(END - 1), F.lit(width))))
-    size = F.least(F.lit(width), F.lit(END) - F.col("bin"))
+    held = split_over_bins(on, "begin", "finish", F.lit(tables.start), width).groupBy(*CHANNEL, "bin").agg(F.sum("inside").alias("inside"))
+    grid = _detector_rows(tables).select(*CHANNEL).distinct().withColumn("bin", F.explode(F.sequence(F.lit(tables.start), F.lit(tables.end - 1), F.lit(width))))
+    size = F.least(F.lit(width), F.lit(tables.end) - F.col("bin"))
     return grid.join(held, [*CHANNEL, "bin"], "left").select(*CHANNEL, timestamp(F.col("bin")).alias("bin_start"), timestamp(F.col("bin") + size).alias("bin_end"), (F.coalesce("inside", F.lit(0)) * 100.0 / size).alias("occupancy_pct"))
 
 
@@ -99,7 +98,7 @@ def preemptions_summary(tables: Tables) -> DataFrame:
     rows = tables.between(PREEMPT_CALL, PREEMPT_OFF).withColumn("pc", F.lag("code").over(w)).withColumn("b", F.lag("t").over(w)).where((F.col("code") == PREEMPT_OFF) & (F.col("pc") == PREEMPT_CALL)).withColumn("d", F.col("t") - F.col("b"))
     per = rows.groupBy("signal_id", "param").agg(F.count("*").alias("n"), F.sum("d").alias("d"), F.max("d").alias("m"))
     out = per.groupBy("signal_id").agg(F.sum("n").alias("total_preemptions"), F.sum("d").alias("d"), F.max("m").alias("m"), F.array_sort(F.collect_list(F.concat_ws("=", F.col("param").cast("string"), F.col("n").cast("string")))).alias("by_preempt_number"))
-    return out.select("signal_id", "total_preemptions", (seconds(F.col("d")) / F.col("total_preemptions")).alias("avg_duration_seconds"), seconds(F.col("m")).alias("max_duration_seconds"), seconds(F.col("d")).alias("total_preempt_time_seconds"), F.array_join("by_preempt_number", ",").alias("by_preempt_number"), (F.col("d") * 100.0 / (END - START)).alias("pct_time_preempted"))
+    return out.select("signal_id", "total_preemptions", (seconds(F.col("d")) / F.col("total_preemptions")).alias("avg_duration_seconds"), seconds(F.col("m")).alias("max_duration_seconds"), seconds(F.col("d")).alias("total_preempt_time_seconds"), F.array_join("by_preempt_number", ",").alias("by_preempt_number"), (F.col("d") * 100.0 / (tables.end - tables.start)).alias("pct_time_preempted"))
 
 
 def preemptions_recovery(tables: Tables) -> DataFrame:
@@ -118,9 +117,9 @@ def health_detector(tables: Tables) -> DataFrame:
     at = lambda c: F.max(F.when(F.col("code") == c, F.col("t")))
     rows = _detector_rows(tables).groupBy(*CHANNEL).agg(_n(F.col("code") == ON).alias("on"), _n(F.col("code") == OFF).alias("off"), at(ON).alias("last_on"), at(OFF).alias("last_off"))
     on, off = F.col("on"), F.col("off")
-    stuck = F.when(F.col("last_on").isNotNull() & F.col("last_off").isNull(), -30).when((F.col("last_on") > F.col("last_off")) & (F.lit(END) - F.col("last_on") > 1800 * SECOND), -30).otherwise(0)
-    chatter = F.when(on / HOURS > 2000, -20).when(on / HOURS > 1000, -10).otherwise(0)
-    activity = F.when(on < HOURS, -15).otherwise(0)
+    stuck = F.when(F.col("last_on").isNotNull() & F.col("last_off").isNull(), -30).when((F.col("last_on") > F.col("last_off")) & (F.lit(tables.end) - F.col("last_on") > 1800 * SECOND), -30).otherwise(0)
+    chatter = F.when(on / tables.hours > 2000, -20).when(on / tables.hours > 1000, -10).otherwise(0)
+    activity = F.when(on < tables.hours, -15).otherwise(0)
     balance = F.when((on > 0) & (off == 0), -20).when((on > 0) & ((on * 1.0 / off > 1.5) | (on * 1.0 / off < 0.67)), -10).otherwise(0)
     parts = rows.select(*CHANNEL, stuck.alias("stuck_penalty"), chatter.alias("chatter_penalty"), activity.alias("activity_penalty"), balance.alias("balance_penalty"))
     score = F.greatest(F.lit(0), 100 + F.col("stuck_penalty") + F.col("chatter_penalty") + F.col("activity_penalty") + F.col("balance_penalty"))
@@ -130,12 +129,12 @@ def health_detector(tables: Tables) -> DataFrame:
 def health_signal(tables: Tables) -> DataFrame:
     """Weighted detector (0.35), phase (0.25), coordination (0.2) and communication (0.2) scores."""
     det = _detector_rows(tables).groupBy(*CHANNEL).agg(_n(F.col("code") == ON).alias("on"), _n(F.col("code") == OFF).alias("off"))
-    loss = F.when((F.col("on") > 0) & (F.col("off") == 0), 15).otherwise(0) + F.when(F.col("on") / HOURS > 2000, 10).otherwise(0)
+    loss = F.when((F.col("on") > 0) & (F.col("off") == 0), 15).otherwise(0) + F.when(F.col("on") / tables.hours > 2000, 10).otherwise(0)
     det = det.groupBy("signal_id").agg(F.greatest(F.lit(0), 100 - F.sum(loss)).alias("detector_health"))
     skipped = phases_skipped(tables).groupBy("signal_id").agg(F.greatest(F.lit(0), 100 - 10 * _n(F.col("skip_rate_pct") > 10)).alias("phase_health"))
     far = _drifts(tables).groupBy("signal_id").agg((_n(F.col("drift") > 5) * 1.0 / F.count("*")).alias("rate"))
     far = far.select("signal_id", F.when(F.col("rate") > 0.2, 80).when(F.col("rate") > 0.1, 90).otherwise(100).alias("coordination_health"))
-    comm = tables.between().groupBy("signal_id").agg(F.when(F.count("*") / HOURS < 10, 50).otherwise(100).alias("communication_health"))
+    comm = tables.between().groupBy("signal_id").agg(F.when(F.count("*") / tables.hours < 10, 50).otherwise(100).alias("communication_health"))
     out = comm.join(det, "signal_id", "left").join(skipped, "signal_id", "left").join(far, "signal_id", "left")
     names = ("detector_health", "phase_health", "coordination_health", "communication_health")
     out = out.select("signal_id", *(F.coalesce(n, F.lit(100)).cast("long").alias(n) for n in names))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from junctura.functions.history import as_of
 from junctura.functions.temporal import timestamp
 from junctura.sources.derived import START, Tables
 
@@ -12,21 +13,6 @@ APPROACH = "signal_id string, direction_type_id smallint, protected_phase_number
 DETECTOR = "approach_id string, detector_channel smallint, distance_from_stop_bar int, min_speed_filter smallint, lane_number smallint, movement_type_code string"
 
 
-def as_of(audit: DataFrame, live: DataFrame, entity: str, fields: str, at: Column) -> DataFrame:
-    """The entities that existed at a time, with their fields then.
-
-    ``audit``: entity id, changed_at, audit_id, operation, new_values (JSON). The latest row at or
-    before the time decides; a DELETE removes the entity; entities without any such row come from ``live``.
-    """
-    seen = audit.where(F.col("changed_at") <= at)
-    newest = Window.partitionBy(entity).orderBy(F.desc("changed_at"), F.desc("audit_id"))
-    last = seen.withColumn("_k", F.row_number().over(newest)).where("_k = 1")
-    values = F.from_json(F.coalesce("new_values", F.lit("{}")), fields)
-    names = [f.split()[0] for f in fields.split(", ")]
-    rebuilt = last.where("operation != 'DELETE'").select(entity, values.alias("v")).select(entity, *(F.col("v")[n].alias(n) for n in names))
-    return rebuilt.unionByName(live.join(last.select(entity), entity, "left_anti").select(entity, *names))
-
-
 def audit_example(tables: Tables) -> DataFrame:
     """A history of approaches: every one inserted, phase 4 given another speed at 2 h, phase 6 deleted at 3 h; phase 8 has no history."""
     a = tables.approaches.where("phase != 8")

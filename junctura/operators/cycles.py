@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from junctura.functions.temporal import MINUTE, SECOND, along, asof_backward, bin_of_hour, cycle, following, last, seconds, settled, share, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, ON, PHASE_END, RED, YELLOW
-from junctura.sources.derived import START, Tables
+from junctura.sources.derived import Tables
 
 PHASE = ["signal_id", "phase"]
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
@@ -108,7 +108,7 @@ def time_space_diagram_average(tables: Tables, phase: int = 2, hours: tuple[floa
     is stepped back by whole cycles to the window's start, and cycles are repeated until two minutes
     past its end.
     """
-    begin, end = (START + int(h * 3600) * SECOND for h in hours)
+    begin, end = (tables.start + int(h * 3600) * SECOND for h in hours)
     rows = complete_cycles(tables, phase)
     w = along(PHASE, ("green", "start"))
     placed = rows.withColumn("place", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(w.rowsBetween(*WHOLE)))
@@ -138,8 +138,8 @@ def green_time_utilization(tables: Tables, x_minutes: int = 15) -> DataFrame:
     yr = rows.where((F.col("code") == RED) & F.col("yellow").isNotNull()).groupBy(*PHASE, "yellow").agg(F.min("t").alias("red"))
     yr = yr.groupBy(*PHASE).agg((seconds(F.sum(F.col("red") - F.col("yellow"))) / F.count("*")).alias("yr"))
     width = x_minutes * MINUTE
-    binned = greens.withColumn("x_bin", F.floor((F.col("green") - START) / width)).groupBy(*PHASE, "x_bin").agg(F.count("*").alias("cycle_count"), (seconds(F.sum(F.col("end") - F.col("green"))) / F.count("*")).alias("avg_green_seconds"))
-    timed = binned.withColumn("t", (START + F.col("x_bin") * width).cast("long"))
+    binned = greens.withColumn("x_bin", F.floor((F.col("green") - tables.start) / width)).groupBy(*PHASE, "x_bin").agg(F.count("*").alias("cycle_count"), (seconds(F.sum(F.col("end") - F.col("green"))) / F.count("*")).alias("avg_green_seconds"))
+    timed = binned.withColumn("t", (tables.start + F.col("x_bin") * width).cast("long"))
     plan = asof_backward(timed, tables.plans.withColumnRenamed("begin", "t"), ["signal_id"], ["splits"])
     split = F.coalesce(F.try_element_at("splits", F.col("phase")), F.lit(0)).cast("double")
     out = plan.join(yr, PHASE, "left").withColumn("split", split).withColumn("room", F.col("split") - F.coalesce("yr", F.lit(0.0)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from junctura.functions.temporal import MINUTE, along, bin_of, cycle, last, seconds, settled, share, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, OFF, ON, PED_CALL, YELLOW
 from junctura.operators.arrivals import split_failure
-from junctura.sources.derived import END, START, Tables
+from junctura.sources.derived import Tables
 
 PHASE = ["signal_id", "phase"]
 HOUR = 60 * MINUTE
@@ -66,7 +66,7 @@ def left_turn_gap(tables: Tables, opposing_lanes: int | None = None, left_turn_p
     phase = Window.partitionBy(*PHASE)
     base = base.withColumn("dq_total_detector_hits", F.sum(F.when(F.col("cycle") > 0, F.col("hits")).otherwise(0)).over(phase)).withColumn("ped_total_calls", F.sum("calls").over(phase))
     cycles = base.where("end is not null").join(per, [*PHASE, "cycle"], "left").select(*PHASE, "green", "end", "ped", "dq_total_detector_hits", "ped_total_calls", *(zero(c).alias(c) for c in ("total", "sufficient", "marginal", "insufficient")), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg", "max")))
-    hours = (END - START) / HOUR
+    hours = tables.hours
     by_phase, by_hour = Window.partitionBy(*PHASE), Window.partitionBy(*PHASE, "hour")
     sizes = ("total", "sufficient", "marginal", "insufficient")
     out = cycles.withColumn("hour", bin_of(F.col("green"), HOUR)).withColumn("peak_cycles", F.count("*").over(by_hour))

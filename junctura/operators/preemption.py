@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from junctura.functions.temporal import along, asof_backward, seconds, timestamp
 from junctura.functions.vocabulary import PREEMPT_CALL, PREEMPT_ENTRY, PREEMPT_OFF
-from junctura.sources.derived import END, START, Tables
+from junctura.sources.derived import Tables
 
 
 def _with_plan(tables: Tables, code: int, count: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _with_plan(tables: Tables, code: int, count: str) -> DataFrame:
     met = asof_backward(events, tables.plans.select("signal_id", F.col("begin").alias("t"), "plan_number", F.col("begin").alias("plan_begin"), "finish"), ["signal_id"], ["plan_number", "plan_begin", "finish"])
     there = F.col("plan_number").isNotNull() & (F.col("finish").isNull() | (F.col("finish") > F.col("t")))
     plan = F.when(there, F.col("plan_number").cast("string")).otherwise("unknown")
-    rows = met.withColumn("plan", plan).withColumn("b", F.when(there, F.col("plan_begin")).otherwise(START)).withColumn("e", F.when(there, F.coalesce("finish", F.lit(END))).otherwise(END))
+    rows = met.withColumn("plan", plan).withColumn("b", F.when(there, F.col("plan_begin")).otherwise(tables.start)).withColumn("e", F.when(there, F.coalesce("finish", F.lit(tables.end))).otherwise(tables.end))
     counted = rows.withColumn(count, F.count("*").over(Window.partitionBy("signal_id", "plan")))
     return counted.select("signal_id", timestamp(F.col("t")).alias("event_time"), F.col("param").alias("event_param"), F.col("plan").alias("plan_number"), timestamp(F.col("b")).alias("plan_start"), timestamp(F.col("e")).alias("plan_end"), count)
 

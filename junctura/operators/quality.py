@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from junctura.functions.temporal import MINUTE, bin_of, settled, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, ON, PED_CALL
-from junctura.sources.derived import END, Tables
+from junctura.sources.derived import Tables
 
 HOUR = 60 * MINUTE
 #: Least and largest parameter by kind.
@@ -47,42 +47,46 @@ def validation_summary(tables: Tables) -> DataFrame:
     return validate(rows).groupBy("code", "status").agg(F.count("*").alias("n"))
 
 
-def _recent(tables: Tables, as_of: int, span: int, *codes: int) -> DataFrame:
+def _recent(tables: Tables, as_of: int | None, span: int, *codes: int) -> DataFrame:
+    """The rows of the span before a time, the window's end if none is given."""
+    as_of = tables.end if as_of is None else as_of
     return tables.between(*codes, start=as_of - span, end=as_of)
 
 
-def silent_signal(tables: Tables, as_of: int = END + 26 * HOUR, hours: int = 24) -> DataFrame:
+def silent_signal(tables: Tables, as_of: int | None = None, hours: int = 24) -> DataFrame:
     """Signals whose last event is older; signals never seen are not known here."""
+    as_of = tables.end + 26 * HOUR if as_of is None else as_of
     return tables.log.groupBy("signal_id").agg(F.max("t").alias("t")).where(F.col("t") < as_of - hours * HOUR).select("signal_id", timestamp(F.col("t")).alias("last_event"))
 
 
-def stuck_detector(tables: Tables, as_of: int = END, most: int = 8) -> DataFrame:
+def stuck_detector(tables: Tables, as_of: int | None = None, most: int = 8) -> DataFrame:
     """Channels with more than ``most`` activations in the last hour (3600 in production)."""
     return _recent(tables, as_of, HOUR, ON).groupBy("signal_id", F.col("param").alias("channel")).agg(F.count("*").alias("n")).where(F.col("n") > most)
 
 
-def low_event_count(tables: Tables, as_of: int = END, least: int = 175) -> DataFrame:
+def low_event_count(tables: Tables, as_of: int | None = None, least: int = 175) -> DataFrame:
     """Signals with fewer events in the last hour (100 in production)."""
     return _recent(tables, as_of, HOUR).groupBy("signal_id").agg(F.count("*").alias("n")).where(F.col("n") < least)
 
 
-def missing_data_window(tables: Tables, as_of: int = END + HOUR, minutes: int = 30) -> DataFrame:
+def missing_data_window(tables: Tables, as_of: int | None = None, minutes: int = 30) -> DataFrame:
+    as_of = tables.end + HOUR if as_of is None else as_of
     return tables.log.groupBy("signal_id").agg(F.max("t").alias("t")).where(F.col("t") < as_of - minutes * MINUTE).select("signal_id", timestamp(F.col("t")).alias("last_event"))
 
 
-def stuck_ped(tables: Tables, as_of: int = END, minutes: int = 120, per_minute: float = 0.02) -> DataFrame:
+def stuck_ped(tables: Tables, as_of: int | None = None, minutes: int = 120, per_minute: float = 0.02) -> DataFrame:
     """Phases with more pedestrian calls than the rate allows over the window (2 a minute in production)."""
     return _recent(tables, as_of, minutes * MINUTE, PED_CALL).groupBy("signal_id", F.col("param").alias("phase")).agg(F.count("*").alias("n")).where(F.col("n") > per_minute * minutes)
 
 
-def phase_termination_anomaly(tables: Tables, as_of: int = END, sigmas: float = 1.0) -> DataFrame:
+def phase_termination_anomaly(tables: Tables, as_of: int | None = None, sigmas: float = 1.0) -> DataFrame:
     """Phases whose termination mix in the last hour lies beyond ``sigmas`` deviations of seven days' hourly mixes (3 in production)."""
     of = lambda c: F.count(F.when(F.col("code") == c, 1))
     names = {"gap": GAP_OUT, "max": MAX_OUT, "force": FORCE_OFF}
     hourly = _recent(tables, as_of, 7 * 24 * HOUR, GREEN, GAP_OUT, MAX_OUT, FORCE_OFF).groupBy("signal_id", F.col("param").alias("phase"), bin_of(F.col("t"), HOUR).alias("hour")).agg(*(of(c).alias(n) for n, c in names.items())).withColumn("total", sum((F.col(n) for n in list(names)[1:]), F.col("gap")))
     ratio = lambda n: F.when(F.col("total") == 0, 0.0).otherwise(F.col(n) * 1.0 / F.col("total"))
     base = [settled(f(ratio(n))).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]
-    now = F.col("hour") >= as_of - HOUR
+    now = F.col("hour") >= (tables.end if as_of is None else as_of) - HOUR
     both = hourly.groupBy("signal_id", "phase").agg(*(F.sum(F.when(now, F.col(n))).alias(n) for n in (*names, "total")), *base).where("total is not null")
     met = both.select("signal_id", "phase", *(ratio(n).alias(f"{n}_ratio") for n in names), *(f"{n}_{k}" for n in names for k in ("mean", "sd")))
     odd = F.lit(False)
@@ -91,7 +95,7 @@ def phase_termination_anomaly(tables: Tables, as_of: int = END, sigmas: float =
     return met.where(odd)
 
 
-def low_hit_count(tables: Tables, as_of: int = END, least: int = 5) -> DataFrame:
+def low_hit_count(tables: Tables, as_of: int | None = None, least: int = 5) -> DataFrame:
     """Channels with few activations in the last hour at signals that do run."""
     running = _recent(tables, as_of, HOUR, GREEN).select("signal_id").distinct()
     return _recent(tables, as_of, HOUR, ON).join(running, "signal_id", "left_semi").groupBy("signal_id", F.col("param").alias("channel")).agg(F.count("*").alias("n")).where(F.col("n") < least)
@@ -107,7 +111,7 @@ def unsuppressed(alerts: DataFrame, rules: DataFrame, check: str, as_of: int) ->
 def suppressed_alerts(tables: Tables) -> DataFrame:
     """Missing-data alerts left over by a rule for one signal and an expired one for all."""
     rules = tables.spark.sql("select * from values ('SIG-001', 'missing_data_window', timestamp_ntz'2030-01-01'), (null, 'missing_data_window', timestamp_ntz'2020-01-01') as r(signal_id, check_name, expires_at)")
-    return unsuppressed(missing_data_window(tables), rules, "missing_data_window", END)
+    return unsuppressed(missing_data_window(tables), rules, "missing_data_window", tables.end)
 
 
 CHECKS = (silent_signal, stuck_detector, low_event_count, missing_data_window, stuck_ped, phase_termination_anomaly, low_hit_count)

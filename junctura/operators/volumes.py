@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from junctura.functions.temporal import MINUTE, SECOND, along, bin_of_hour, following, overlap, seconds, settled, timestamp
 from junctura.functions.vocabulary import GREEN, OFF, ON, YELLOW, named
-from junctura.sources.derived import END, Tables
+from junctura.sources.derived import Tables
 
 
 def approach_volume(tables: Tables, minutes: int = 15) -> DataFrame:
@@ -54,13 +54,13 @@ def ramp_metering(tables: Tables, demand: int = 1, passage: int = 2, queue: int
     ended = phase.withColumn("yellow", following(F.when(F.col("code") == YELLOW, F.col("t")), ["signal_id"]))
     greens = ended.where((F.col("code") == GREEN) & (F.col("yellow") - F.col("t") <= int(longest * SECOND)) & (F.col("yellow") > F.col("t")))
     greens = greens.select("signal_id", bin_of_hour(F.col("t"), minutes).alias("bin"), (F.col("yellow") - F.col("t")).alias("green"))
-    occupied = queue_occupancy(tables.between(ON, OFF).where(F.col("param") == queue), minutes)
+    occupied = queue_occupancy(tables.between(ON, OFF).where(F.col("param") == queue), minutes, tables.end)
     rows = hits.unionByName(greens, allowMissingColumns=True).unionByName(occupied, allowMissingColumns=True)
     out = rows.groupBy("signal_id", "bin").agg(F.count("demand").alias("demand_volume"), F.count("passage").alias("passage_volume"), F.coalesce(seconds(F.sum("green")) / F.count("green"), F.lit(0.0)).alias("avg_green_seconds"), F.sum("inside").alias("inside"))
     return out.select("signal_id", timestamp(F.col("bin")).alias("time_bin"), (F.col("passage_volume") * (3600.0 / (minutes * 60))).alias("metering_rate"), "avg_green_seconds", "demand_volume", "passage_volume", F.when(F.col("inside").isNotNull(), F.least(F.col("inside") * 100.0 / (minutes * MINUTE), F.lit(100.0))).alias("queue_occupancy_pct"))
 
 
-def occupied_intervals(rows: DataFrame, keys: list[str], end: int = END) -> DataFrame:
+def occupied_intervals(rows: DataFrame, keys: list[str], end: int) -> DataFrame:
     """begin, finish of the times a detector is on: the first ON after an OFF opens, the next OFF closes, an open one ends at ``end``."""
     w = along(keys)
     before = F.coalesce(F.lag("code").over(w), F.lit(OFF))
@@ -68,9 +68,9 @@ def occupied_intervals(rows: DataFrame, keys: list[str], end: int = END) -> Data
     return turns.withColumn("finish", F.coalesce(F.lead("t").over(w), F.lit(end))).where((F.col("code") == ON) & (F.col("finish") > F.col("t"))).select(*keys, F.col("t").alias("begin"), "finish")
 
 
-def queue_occupancy(rows: DataFrame, minutes: int) -> DataFrame:
+def queue_occupancy(rows: DataFrame, minutes: int, end: int) -> DataFrame:
     """signal_id, bin, inside (microseconds on); bins are those of the minute of the hour."""
-    on = occupied_intervals(rows, ["signal_id"])
+    on = occupied_intervals(rows, ["signal_id"], end)
     first, final = bin_of_hour(F.col("begin"), minutes), bin_of_hour(F.col("finish") - 1, minutes)
     # Bins of one hour have equal width but for the last, so hours are walked one by one.
     hour = 60 * MINUTE

@@ -51,8 +51,8 @@ def schema(name: str) -> dict:
     return {"title": name, "type": "object", "properties": fields, "additionalProperties": False}
 
 
-def run(tables: Tables, name: str, parameters: dict | None = None, signals: tuple[str, ...] | None = None) -> DataFrame:
-    """A report with checked parameters, for all signals or for some."""
+def run(tables: Tables, name: str, parameters: dict | None = None, signals: tuple[str, ...] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """A report with checked parameters over a window (that of ``tables``, if not given), for all signals or for some; both reach the scan."""
     known, values = _parameters(name), {}
     for key, value in (parameters or {}).items():
         if key not in known:
@@ -65,10 +65,9 @@ def run(tables: Tables, name: str, parameters: dict | None = None, signals: tupl
         if not isinstance(value, kinds) or isinstance(value, bool) and bool not in kinds:
             raise ValueError(f"{key} of {name} must be {' or '.join(k.__name__ for k in kinds)}")
         values[key] = value
-    out = REPORTS[name](tables, **values)
-    key = "from_signal" if "from_signal" in out.columns else "signal_id"
-    return out.where(out[key].isin(*signals)) if signals else out
+    return REPORTS[name](tables.over(start, end, signals or ()), **values)
 
 
-def run_and_export(tables: Tables, name: str, path: str, kind: str = "csv", parameters: dict | None = None) -> None:
-    export(run(tables, name, parameters), path, kind)
+def run_and_export(tables: Tables, name: str, path: str, kind: str = "csv", parameters: dict | None = None, **window) -> None:
+    """The export of `run`, with the same signals, start and end."""
+    export(run(tables, name, parameters, **window), path, kind)

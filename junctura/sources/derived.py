@@ -6,7 +6,7 @@ ids); intersections, detectors, plans and a route follow by arithmetic. `PRELUDE
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +24,27 @@ _PHASES = ((2, 1), (4, 3), (6, 2), (8, 4))
 
 @dataclass
 class Tables:
-    """The tables that operators take; each is built when first asked for."""
+    """The tables that operators take, over a window and for all signals or some; each is built when first asked for.
+
+    Here they come from the generic tables of a folder; `lake_tables` has those of an event lake.
+    """
 
     spark: SparkSession
     folder: str
+    start: int = START
+    end: int = END
+    chosen: tuple[str, ...] = ()
+
+    def over(self, start: int | None = None, end: int | None = None, signals: tuple[str, ...] = ()) -> Tables:
+        """The same tables over another window (microseconds) or for some signals only."""
+        return replace(self, start=self.start if start is None else start, end=self.end if end is None else end, chosen=tuple(signals) or self.chosen)
+
+    def of_chosen(self, rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("signal_id").isin(*self.chosen)) if self.chosen else rows
+
+    @property
+    def hours(self) -> float:
+        return (self.end - self.start) / 3_600_000_000
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -43,16 +60,16 @@ class Tables:
         k = F.get_json_object("props", "$.k").cast("int")
         rows = self.read("events").select(F.concat(F.lit("SIG-00"), (F.col("user_id") % 5).cast("string")).alias("signal_id"), t.alias("t"), code.cast("int").alias("code"), k.alias("k"))
         param = F.when(F.col("code").isin(OFF, ON), 1 + F.col("k") % 8).when(F.col("code").isin(102, 104, 105), 1 + F.col("k") % 2).when(F.col("code") == 131, 1 + F.col("k") % 3).otherwise(2 + 2 * (F.col("k") % 4))
-        return rows.select("signal_id", "t", "code", param.cast("int").alias("param"))
+        return self.of_chosen(rows.select("signal_id", "t", "code", param.cast("int").alias("param")))
 
-    def between(self, *codes: int, start: int = START, end: int = END) -> DataFrame:
-        """The log's rows with these codes in [start, end], both ends included."""
-        rows = self.log.where(F.col("t").between(start, end))
+    def between(self, *codes: int, start: int | None = None, end: int | None = None) -> DataFrame:
+        """The log's rows with these codes in [start, end] (the window, if not given), both ends included."""
+        rows = self.log.where(F.col("t").between(self.start if start is None else start, self.end if end is None else end))
         return rows.where(F.col("code").isin(*codes)) if codes else rows
 
     @cached_property
     def signals(self) -> DataFrame:
-        return self.spark.range(5).select(F.concat(F.lit("SIG-00"), F.col("id").cast("string")).alias("signal_id"))
+        return self.of_chosen(self.spark.range(5).select(F.concat(F.lit("SIG-00"), F.col("id").cast("string")).alias("signal_id")))
 
     @cached_property
     def approaches(self) -> DataFrame:

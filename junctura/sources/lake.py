@@ -22,10 +22,12 @@ def write_events(events: DataFrame, path: str) -> None:
     new.repartition("event_date", "signal_id").sortWithinPartitions("signal_id", "event_time").write.mode("append").partitionBy("event_date").parquet(path)
 
 
-def existing(spark: SparkSession, path: str) -> DataFrame | None:
+def existing(spark: SparkSession, path: str, schema: str | None = EVENT_SCHEMA + ", event_date date") -> DataFrame | None:
+    """A Parquet table, None where there is none."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    return spark.read.schema(EVENT_SCHEMA + ", event_date date").parquet(path) if there else None
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path) if there else None
 
 
 def scan(spark: SparkSession, path: str, start, end, codes: tuple[int, ...] = (), signals: tuple[str, ...] = ()) -> DataFrame:
@@ -36,13 +38,13 @@ def scan(spark: SparkSession, path: str, start, end, codes: tuple[int, ...] = ()
     return (rows.where(F.col("signal_id").isin(*signals)) if signals else rows).drop("event_date")
 
 
-def events_query(tables: Tables, signal: str = "SIG-001", codes: tuple[int, ...] = (1, 8, 9), param: int | None = 2, start: int = START, end: int = END, limit: int = LIMIT) -> DataFrame:
-    """A page of raw events, earliest first; the limit is the page's size, at most 100,000."""
+def events_query(tables: Tables, signal: str = "SIG-001", codes: tuple[int, ...] = (1, 8, 9), param: int | None = 2, start: int = START, end: int = END, limit: int = LIMIT, offset: int = 0) -> DataFrame:
+    """A page of raw events, earliest first; the limit is the page's size, at most 100,000, the offset where it begins."""
     if end < start:
         raise ValueError("the end lies before the start")
     rows = tables.between(*codes, start=start, end=end).where(F.col("signal_id") == signal)
     rows = rows.where(F.col("param") == param) if param is not None else rows
-    return rows.orderBy("t", "code", "param").limit(min(limit, MOST)).select("signal_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("event_time"), F.col("code").alias("event_code"), F.col("param").alias("event_param"))
+    return rows.orderBy("t", "code", "param").offset(offset).limit(min(limit, MOST)).select("signal_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("event_time"), F.col("code").alias("event_code"), F.col("param").alias("event_param"))
 
 
 def export_cold(events: DataFrame, path: str) -> None:
