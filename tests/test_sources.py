@@ -41,6 +41,13 @@ def test_text_logs():
     assert flat(decoders.decoded(sepac)) == [((BASE + 3) * 10**6, 1, 2)]
 
 
+def test_text_logs_of_several_days_and_broken_lines():
+    sepac = b"Siemens\nfree; text\nDate: 01/15/2024\ncode;extra;time\n1;x;08:00:03\nDate: nonsense\n8;x;08:00:04\nDate: 2024-01-16\n9;x;08:00:00\n9;x\nzz;x;08:00:01\n"
+    assert flat(decoders.siemens(sepac)) == [((BASE + 3) * 10**6, 1, 0), ((BASE + 4) * 10**6, 8, 0), ((BASE + 86400) * 10**6, 9, 0)]
+    assert flat(decoders.delimited(b"no heading\n2024-01-15 08:00:00,1,2\n")) == [] and flat(decoders.delimited(b"")) == []
+    assert flat(decoders.delimited(b"EP|EC|TS\n5|82|2024-01-15 08:00:00\n|82|2024-01-15 08:00:00\n")) == [(BASE * 10**6, 82, 5)]
+
+
 def varint(n):
     out = b""
     while n > 127:
