@@ -108,7 +108,7 @@ def _ranked(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 24, share: float = 1.0, least: int = 64, part_rows: int = 16_384, column: str = "embedding", seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 24, share: float = 1.0, least: int = 64, part_rows: int = 16_384, ask_rows: int = 4_096, column: str = "embedding", seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     rows = stored(usable(vectors, column), "vectors")
     asking = rows.where(F.col("vec_id") % every == 0).select("v", F.col("vec_id").alias("query_id")).distinct()
@@ -131,13 +131,16 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 24,
     stops = reached.join(levels, ["tree", "level", "prefix"]).groupBy("entry", "level").agg(F.sum(F.col("n") - 1).alias("n")).where(F.col("n") >= need)
     stops = stored(stops.groupBy("entry").agg(F.max("level").alias("level")), "levels")
     top = stops.agg(F.min("level")).first()[0] or 0
-    # Parts: the entries of a tree with equal first bits; long runs are dealt out by entry.
-    cells = flat.groupBy("tree", prefix(top).alias("cell")).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    # Parts: the entries of a tree with equal first bits; long runs are dealt out by entry, and many queries in blocks,
+    # so that a task holds at most part_rows entries and ask_rows queries (about, as both go by hash).
+    blocks_of = F.greatest(F.ceil(F.count(F.when(F.col("query"), 1)) / ask_rows), F.lit(1))
+    cells = flat.groupBy("tree", prefix(top).alias("cell")).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"), blocks_of.cast("int").alias("blocks"))
     placed = flat.withColumn("cell", prefix(top)).join(F.broadcast(cells), ["tree", "cell"])  # trees * 2**top cells
-    held = placed.select("tree", "cell", F.pmod(F.xxhash64("entry"), "parts").cast("int").alias("part"), "entry", "string", F.lit(-1).alias("level"))
-    asks = placed.where("query").join(stops, "entry").select("tree", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "entry", "string", "level")
+    held = placed.select("tree", "cell", F.pmod(F.xxhash64("entry"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "entry", "string", F.lit(-1).alias("level"))
+    ask_block = F.pmod(F.xxhash64("entry", F.lit(3)), "blocks").cast("int")
+    asks = placed.where("query").join(stops, "entry").select("tree", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), ask_block.alias("block"), "entry", "string", "level")
     met = held.unionByName(asks).join(index.select("entry", F.col("v").cast(vectors.schema[column].dataType).alias("v")), "entry")
-    found = met.groupBy("tree", "cell", "part").applyInArrow(_ranked(k + 1), "query long, entry long, score double")
+    found = met.groupBy("tree", "cell", "part", "block").applyInArrow(_ranked(k + 1), "query long, entry long, score double")
     best = found.groupBy("query", "entry").agg(F.min("score").alias("score"))
     near = Window.partitionBy("query").orderBy("score", "entry")
     best = best.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)

@@ -337,7 +337,7 @@ def test_nearest_recall_and_scores(spark):
     data = [(i, (centres[i % 40] + 0.3 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(3000)]
     data += [(5000 + i, data[0][1]) for i in range(200)]  # one frequent vector
     got = {}
-    for r in ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>"), part_rows=700).collect():
+    for r in ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>"), part_rows=700, ask_rows=9).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.score, r.vec_id)
     want = brute_nearest(data, 10)
     assert set(got) == set(want)
