@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from junctura.sources.decoders import decode_files
-from junctura.sources.lake import EVENT_KEY, EVENT_SCHEMA
+from junctura.sources.lake import EVENT_KEY, EVENT_SCHEMA, write_events
 
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -81,11 +81,12 @@ def closed_plans(events: DataFrame) -> DataFrame:
     return rows.groupBy("signal_id").transformWithStateInPandas(statefulProcessor=PlanProcessor(), outputStructType=PLAN_SCHEMA, outputMode="Append", timeMode="None")
 
 
-def append_to_lake(batch_writer):
-    """A foreachBatch sink that writes each micro-batch idempotently: a batch that is run again adds nothing."""
+def append_to_lake(path: str, device_id: int = 1):
+    """A foreachBatch sink into an event lake: a micro-batch that is run again adds nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        batch_writer(batch)
+        rows = batch if "device_id" in batch.columns else batch.withColumn("device_id", F.lit(device_id).cast("smallint"))
+        write_events(rows, path)
 
     return write
 

@@ -25,7 +25,7 @@ def test_landed_logs_and_lake(spark, tmp_path):
     data = b"01/15/2024 08:00:00 " + b"line\n" * 7 + struct.pack(">BBH", 82, 5, 15)
     (folder / "SIG-1_x.dat").write_bytes(data)
     path = str(tmp_path / "lake")
-    sink = jobs.append_to_lake(lambda batch: lake.write_events(batch.withColumn("device_id", F.lit(1).cast("smallint")), path))
+    sink = jobs.append_to_lake(path)
     for _ in range(2):
         query = jobs.landed_logs(spark, str(folder), "asc3").writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / f"cp{_}")).trigger(availableNow=True).start()
         query.awaitTermination()
