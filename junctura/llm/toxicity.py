@@ -40,9 +40,11 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _STEM = np.uint64(0xA5A5A5A5DEADBEEF)
 #: Postings that one search of many rows looks at.
-_POSTINGS = 1 << 20
+_POSTINGS = 1 << 21
 #: Texts that one search takes at most.
-_QUERIES = 64
+_QUERIES = 128
+#: Bytes of texts scored together: the more of them, the more alike are those that share a search.
+_SCORED_BYTES = 1 << 21
 #: More than the error of a similarity of unit vectors summed in single precision.
 _ROUGH = 1e-5
 
@@ -86,7 +88,7 @@ class BlockMaxIndex:
     n_rows: int
     n_terms: int
     block: int = 1024
-    dense: int = 1024
+    dense: int = 768
     place: np.ndarray = field(init=False)
     most: np.ndarray = field(init=False)
 
@@ -164,10 +166,18 @@ class BlockMaxIndex:
         dense = np.zeros((n, len(self._head)))
         dense[rows[known], self.place[terms[known]]] = weights[known]
         used = np.flatnonzero(np.bincount(self.place[terms[known]], minlength=len(self._head)))  # queries that are alike use few of them
-        single, head = dense[:, used].astype(np.float32), self._head[used]
-        at, lengths = _expanded(self._starts[terms], self._starts[terms + 1])
-        tail = np.bincount(np.repeat(rows * width, lengths) + self.rows[at], np.repeat(weights, lengths) * self.weights[at], n * width).reshape(n, self._blocks, self.block)
-        bound = single @ self.most[used] + tail.max(2) + _ROUGH
+        if 4 * len(used) < 3 * len(self._head):
+            single, head, most = dense[:, used].astype(np.float32), self._head[used], self.most[used]
+        else:  # a copy of most of the matrix costs more than the products that it saves
+            single, head, most = dense.astype(np.float32), self._head, self.most
+        rare = np.flatnonzero(~known)
+        rare = rare[np.argsort(terms[rare], kind="stable")]  # a term's postings are read for all its queries in a row
+        at, lengths = _expanded(self._starts[terms[rare]], self._starts[terms[rare] + 1])
+        cell, part = np.repeat(rows[rare] * width, lengths), np.repeat(weights[rare], lengths)
+        cell += self.rows[at]
+        part *= self.weights[at]
+        tail = np.bincount(cell, part, n * width).reshape(n, self._blocks, self.block)
+        bound = single @ most + tail.max(2) + _ROUGH
         rough = np.zeros((n, self._blocks, self.block), np.float32)  # the dense terms' part, off by less than _ROUGH; put right at the end
         scored = np.zeros((n, self._blocks), bool)
         own = None
@@ -200,7 +210,7 @@ class BlockMaxIndex:
         floor = (np.partition(total, -k, axis=1)[:, -k] if k <= self.block else np.zeros(n)) - 2 * _ROUGH
         score(~scored & (bound > _ROUGH) & (bound >= floor[:, None]))
         cells, total = rated(scored)
-        found, inside = np.nonzero((total > 0) & (total >= floor[cells // self._blocks, None]))
+        found, inside = np.nonzero(total >= np.maximum(floor, np.finfo(float).tiny)[cells // self._blocks, None])
         q, at, values = cells[found] // self._blocks, cells[found] % self._blocks * self.block + inside, total[found, inside]
         order = np.lexsort((-values, q))
         q, at, values = q[order], at[order], values[order]
@@ -425,7 +435,7 @@ def with_score(documents: DataFrame, model: Neighbours, name: str = "score", evi
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in blocks.pieces(batch, "text"):
+            for piece in blocks.pieces(batch, "text", _SCORED_BYTES):
                 scores, near = shared.value.judge(*blocks.bytes_of(piece.column("text")), shown if evidence else 0)
                 more = [(evidence, near)] if evidence else []
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores), *(v for _, v in more)], [*piece.schema.names, name, *(n for n, _ in more)])
