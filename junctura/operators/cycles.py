@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.functions.temporal import MINUTE, SECOND, along, asof_backward, bin_of_hour, cycle, following, last, seconds, settled, share, timestamp
+from junctura.functions.temporal import MINUTE, SECOND, along, asof_backward, bin_of_hour, cycle, following, last, previous, seconds, settled, share, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, ON, PHASE_END, RED, YELLOW
 from junctura.sources.derived import Tables
 
@@ -146,6 +146,21 @@ def green_time_utilization(tables: Tables, x_minutes: int = 15) -> DataFrame:
     return out.select("signal_id", F.col("phase").alias("phase_number"), "x_bin", timestamp(F.col("t")).alias("bin_start"), "cycle_count", "avg_green_seconds", F.col("split").alias("programmed_split_seconds"), share(F.col("avg_green_seconds"), F.greatest(F.col("room"), F.lit(0.0))).alias("utilization_pct"))
 
 
+def green_detections(tables: Tables, x_minutes: int = 15, y_seconds: int = 2) -> DataFrame:
+    """Arrivals between a green and the yellow that ends it, both included, by bin of the green and seconds since it.
+
+    A green that another one follows counts for nothing, as in `green_time_utilization`.
+    """
+    w, code, t = along(PHASE), F.col("code"), F.col("t")
+    phase_code = F.when(code.isin(GREEN, YELLOW), code)
+    rows = tables.stream((GREEN, YELLOW)).withColumn("before", previous(phase_code, w)).withColumn("after", following(phase_code, PHASE))
+    rows = rows.withColumn("green", last(F.when(code == GREEN, t), w)).withColumn("ended", last(F.when((code == YELLOW) & (F.col("before") == GREEN), t), w))
+    open_green = (F.col("before") == GREEN) & (F.col("after") == YELLOW)
+    hits = rows.where((code == ON) & (open_green | ((F.col("before") == YELLOW) & (t == F.col("ended")))))
+    x, y = F.floor((F.col("green") - tables.start) / (x_minutes * MINUTE)), F.floor((t - F.col("green")) / (y_seconds * SECOND))
+    return hits.groupBy("signal_id", F.col("phase").alias("phase_number"), x.alias("x_bin"), y.alias("y_bin")).agg(F.count("*").alias("detections"))
+
+
 def link_pivot(tables: Tables, longest: float = 300.0) -> DataFrame:
     """Of each green of a signal along the route, the time to the next signal's first green at or after it.
 

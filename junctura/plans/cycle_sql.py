@@ -50,6 +50,10 @@ SQL = {
         f"b1 AS (SELECT signal_id, phase, (g - {START}) // {Q} AS x_bin, count(*) AS n, sum(e - g) / 1e6 / count(*) AS ag FROM gr GROUP BY ALL)",
         f"b2 AS (SELECT b1.*, CASE WHEN EXISTS (SELECT 1 FROM plans p WHERE p.signal_id = b1.signal_id AND p.begin <= {START} + x_bin * {Q}) THEN CAST(CASE phase WHEN 2 THEN 35 WHEN 4 THEN 25 WHEN 6 THEN 40 WHEN 8 THEN 20 ELSE 0 END AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS split FROM b1)",
     ),
+    "cycles_green_detections": sql(
+        f"SELECT c.signal_id, c.phase AS phase_number, (g - {START}) // {Q} AS x_bin, (d.t - g) // 2000000 AS y_bin, count(*) AS detections FROM c JOIN dev d ON d.code = 82 AND d.signal_id = c.signal_id AND d.phase = c.phase AND d.t BETWEEN c.g AND c.y GROUP BY ALL",
+        f"c AS (SELECT signal_id, phase, t AS g, y FROM (SELECT *, lead(code) OVER ({_PW}) AS following, lead(t) OVER ({_PW}) AS y FROM pev WHERE code IN (1, 8)) WHERE code = 1 AND following = 8)",
+    ),
     "report_link_pivot": sql(
         "SELECT a AS from_signal, b AS to_signal, round(avg((nx - t) / 1e6), 6) AS avg_offset, round(stddev_pop((nx - t) / 1e6), 6) AS stddev_offset, count(*) AS sample_count FROM m WHERE (nx - t) / 1e6 <= 300 GROUP BY a, b",
         "l AS (SELECT x.signal_id AS a, y.signal_id AS b FROM sig x JOIN sig y ON y.place = x.place + 1)",

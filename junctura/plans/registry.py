@@ -36,7 +36,7 @@ def queries() -> dict[str, Query]:
     found |= {f"watchdog_{c.__name__}": c for c in (*quality.CHECKS, quality.suppressed_alerts)}
     found |= {"quality_validation_summary": quality.validation_summary, "quality_latest_status": quality.latest_status}
     found |= {f"config_{c.__name__}": c for c in (config.approaches_as_of, config.signal_tree_flat, config.channels_for_phase)}
-    found |= {f"cycles_{c.__name__}": c for c in scans.ALL}
+    found |= {f"cycles_{c.__name__}": c for c in (*scans.ALL, cycles.green_detections)}
     found |= {f"lake_{c.__name__}": c for c in (lake.events_query, lake.clock_correction)}
     return {name: _over_tables(operator) for name, operator in found.items()}
 

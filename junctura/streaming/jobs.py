@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from junctura.sources.decoders import decode_files
 from junctura.sources.lake import EVENT_KEY, EVENT_SCHEMA, write_events
 
+MESSAGE = "signal_id: string, event_time: timestamp_ntz, event_code: int, event_param: int, device_id: smallint"
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -23,6 +24,23 @@ def landed_logs(spark: SparkSession, folder: str, kind: str = "auto", archive: s
     return decode_files(reader.load(folder), kind).where("error is null").select("signal_id", "event_time", "event_code", "event_param")
 
 
+def message_events(messages: DataFrame) -> DataFrame:
+    """Events of messages whose ``value`` is a JSON object of the event table's fields, or a list of such objects.
+
+    Objects without a signal, a time, a code or a parameter go, and so does what is not JSON.
+    """
+    value = F.col("value").cast("string")
+    parsed = F.when(F.ltrim(value).startswith("["), F.from_json(value, f"array<struct<{MESSAGE}>>")).otherwise(F.array(F.from_json(value, f"struct<{MESSAGE}>")))
+    rows = messages.select(F.inline(parsed))
+    return rows.dropna(subset=EVENT_KEY).withColumn("device_id", F.coalesce("device_id", F.lit(1)).cast("smallint")).select(*EVENT_KEY, "device_id")
+
+
+def broker_stream(spark: SparkSession, servers: str, topic: str, most: int = 1_000_000, **options: str) -> DataFrame:
+    """Events of a Kafka topic, at most ``most`` messages a batch; Spark's Kafka package must be on the session's class path."""
+    settings = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "maxOffsetsPerTrigger": str(most)} | options
+    return message_events(spark.readStream.format("kafka").options(**settings).load())
+
+
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENT_SCHEMA).parquet(folder)
 

@@ -195,3 +195,13 @@ def test_left_turn_volume_report_covers_the_whole_day(spark):
     assert len(whole) == 24 and {r.left_turn_volume for r in whole} == {24}
     part = leftturn.left_turn_volume(tables, opposing={2: 6, 6: 2}, first=1.0, final=11.0).collect()
     assert sorted(r.bin_start.hour for r in part) == list(range(1, 11)) and {r.left_turn_volume for r in part} == {10}
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("1/2@0, 82/5@0, 82/5@1.9, 82/6@2, 8/2@10, 82/5@10, 82/5@10.5", [(0, 2), (1, 1), (5, 1)]),
+    ("1/2@0, 82/5@3, 1/2@5, 82/5@6, 8/2@10, 8/2@12, 82/5@12", [(0, 1)]),
+    ("82/5@1, 8/2@2, 1/2@5, 82/5@6", []),
+    ("1/2@0, 8/2@0, 82/5@0, 1/2@20, 82/7@21, 8/2@30", [(0, 1)]),
+])
+def test_green_detections(spark, text, want):
+    assert sorted(got(cycles.green_detections(Sequence(spark, text)), "y_bin", "detections")) == want

@@ -39,3 +39,22 @@ def test_closed_plans(spark, tmp_path):
     found = jobs.run_once(jobs.closed_plans(jobs.event_stream(spark, str(tmp_path / "in"))), str(tmp_path / "cp"), "plans", "append").collect()
     assert [(r.plan_number, r.cycle_length, r.offset_seconds, r.splits) for r in found] == [(7, 90, None, {"2": 35})]
     assert found[0].effective_to == base + timedelta(minutes=3)
+
+
+def test_message_events(spark):
+    one = '{"signal_id": "S", "event_time": "2024-01-01T08:00:00.5", "event_code": 82, "event_param": %d%s}'
+    texts = [one % (5, ""), "[" + one % (6, ', "device_id": 3') + ", " + one % (7, ', "more": 1') + "]", "not json", "", None, "[]", '{"signal_id": "S", "event_code": 1}', "[1, 2]"]
+    messages = spark.createDataFrame([(None if t is None else t.encode(),) for t in texts], "value binary")
+    found = jobs.message_events(messages)
+    assert found.schema.simpleString() == spark.createDataFrame([], lake.EVENT_SCHEMA).schema.simpleString()
+    at = datetime(2024, 1, 1, 8, 0, 0, 500_000)
+    assert sorted(map(tuple, found.collect())) == [("S", at, 82, 5, 1), ("S", at, 82, 6, 3), ("S", at, 82, 7, 1)]
+
+
+def test_messages_as_a_stream(spark, tmp_path):
+    line = '{"signal_id": "S", "event_time": "2024-01-01T08:00:00", "event_code": 1, "event_param": 2}'
+    spark.createDataFrame([(line,), (line,)], "value string").coalesce(1).write.text(str(tmp_path / "in"))
+    path = str(tmp_path / "lake")
+    stream = jobs.message_events(spark.readStream.text(str(tmp_path / "in")))
+    stream.writeStream.foreachBatch(jobs.append_to_lake(path)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.read.parquet(path).count() == 1
