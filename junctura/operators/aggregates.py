@@ -131,6 +131,12 @@ def approach_speed_15min(tables: Tables) -> DataFrame:
     return _dated(tables.speeds.groupBy("signal_id", "approach_id", _bin(QUARTER)).agg(p(0.15).alias("p15"), p(0.5).alias("p50"), p(0.85).alias("p85"), F.count("*").alias("sample_count")))
 
 
+def approach_speed_15min_nearest(tables: Tables) -> DataFrame:
+    """The same with percentiles by nearest rank: the sample at place ceil(n * q), no interpolation."""
+    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY mph)").cast("double")
+    return _dated(tables.speeds.groupBy("signal_id", "approach_id", _bin(QUARTER)).agg(p(0.15).alias("p15"), p(0.5).alias("p50"), p(0.85).alias("p85"), F.count("*").alias("sample_count")))
+
+
 def phase_cycle_15min(tables: Tables) -> DataFrame:
     """Whole intervals from each green, yellow and red to the next of them, in the bin of their start; the open one is left out."""
     rows = tables.phase_events(GREEN, YELLOW, RED).withColumn("param", F.lit(0)).withColumn("d", F.lead("t").over(along(PHASE)) - F.col("t"))
@@ -206,7 +212,7 @@ def extract_signal_plans(tables: Tables) -> DataFrame:
 ALL = (
     detector_volume_hourly, detector_occupancy_hourly, split_failure_hourly, approach_delay_15min, arrival_on_red_hourly, coordination_quality_hourly, phase_termination_hourly, cycle_boundary,
     cycle_detector_arrival, cycle_summary_15min, approach_speed_15min, phase_cycle_15min, phase_left_turn_gap_15min, phase_pedestrian_15min, priority_15min, yellow_red_activation_15min,
-    preemption_15min, signal_event_count_15min, detector_volume_daily, extract_signal_plans,
+    preemption_15min, signal_event_count_15min, detector_volume_daily, extract_signal_plans, approach_speed_15min_nearest,
 )
 
 

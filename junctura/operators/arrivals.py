@@ -19,7 +19,9 @@ def approach_delay(tables: Tables, minutes: int = 15) -> DataFrame:
     return hits.groupBy("signal_id", "approach_id", "bin").agg((seconds(F.sum(F.col("t") - F.col("green"))) / F.count("*")).alias("avg_delay_seconds"), F.count("*").alias("volume")).select("signal_id", "approach_id", timestamp(F.col("bin")).alias("period"), "avg_delay_seconds", "volume")
 
 
-def arrival_on_red(tables: Tables, minutes: int = 15, yellow_as_red: bool = True) -> DataFrame:
+def arrival_on_red(tables: Tables, minutes: int = 15, yellow_as_red: bool = True, include_permissive: bool = False) -> DataFrame:
+    """Arrivals while the phase is not green; ``include_permissive`` takes detectors whose approach has a permissive phase only."""
+    tables = tables.with_permissive() if include_permissive else tables
     ends = (YELLOW, RED) if yellow_as_red else (RED,)
     state = last(F.when(F.col("code") == GREEN, 0).when(F.col("code").isin(*ends), 1), along(PHASE))
     hits = tables.stream((GREEN, YELLOW, RED)).withColumn("red", F.coalesce(state, F.lit(1))).where(F.col("code") == ON)

@@ -48,6 +48,10 @@ SQL = {
         f"SELECT signal_id, approach_id, {QB}, round(quantile_cont(mph, 0.15), 6) AS p15, round(quantile_cont(mph, 0.5), 6) AS p50, round(quantile_cont(mph, 0.85), 6) AS p85, count(*) AS sample_count FROM s GROUP BY ALL",
         "s AS (SELECT 'SIG-00' || sn AS signal_id, 'SIG-00' || sn || '-P' || (2 * (1 + event_id % 2)) AS approach_id, t, CAST(CAST(trunc(value) AS INT) % 70 + 10 AS DOUBLE) AS mph FROM ev0)",
     ),
+    "agg_approach_speed_15min_nearest": sql(
+        f"SELECT signal_id, approach_id, {QB}, m[greatest(1, CAST(ceil(n * 0.15) AS INT))] AS p15, m[greatest(1, CAST(ceil(n * 0.5) AS INT))] AS p50, m[greatest(1, CAST(ceil(n * 0.85) AS INT))] AS p85, n AS sample_count FROM (SELECT signal_id, approach_id, t // 900000000 * 900000000 AS t, list_sort(list(mph)) AS m, count(*) AS n FROM s GROUP BY ALL)",
+        "s AS (SELECT 'SIG-00' || sn AS signal_id, 'SIG-00' || sn || '-P' || (2 * (1 + event_id % 2)) AS approach_id, t, CAST(CAST(trunc(value) AS INT) % 70 + 10 AS DOUBLE) AS mph FROM ev0)",
+    ),
     "agg_phase_cycle_15min": sql(
         f"SELECT signal_id, phase, {QB}, coalesce(sum(d) FILTER (code = 1) / 1e6, 0.0) AS green_seconds, coalesce(sum(d) FILTER (code = 8) / 1e6, 0.0) AS yellow_seconds, coalesce(sum(d) FILTER (code = 9) / 1e6, 0.0) AS red_seconds, {_F.format(1)} AS cycle_count FROM s WHERE d IS NOT NULL GROUP BY ALL",
         f"s AS (SELECT *, lead(t) OVER ({_PW}) - t AS d FROM pev WHERE code IN (1, 8, 9))",

@@ -6,6 +6,7 @@ ids); intersections, detectors, plans and a route follow by arithmetic. `PRELUDE
 
 from __future__ import annotations
 
+from copy import copy
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -39,6 +40,13 @@ class Tables:
         """The same tables over another window (microseconds) or for some signals only."""
         return replace(self, start=self.start if start is None else start, end=self.end if end is None else end, chosen=tuple(signals) or self.chosen)
 
+    def with_permissive(self) -> Tables:
+        """The same tables, with detectors that have no protected phase at their permissive one."""
+        other = copy(self)
+        if "permissive_phase" in self.detectors.columns:
+            other.detectors = self.detectors.withColumn("phase", F.coalesce("phase", "permissive_phase"))
+        return other
+
     def of_chosen(self, rows: DataFrame) -> DataFrame:
         return rows.where(F.col("signal_id").isin(*self.chosen)) if self.chosen else rows
 

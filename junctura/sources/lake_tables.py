@@ -19,7 +19,7 @@ from junctura.sources.derived import Tables
 from junctura.sources.lake import EVENT_SCHEMA, existing, scan
 
 _APPROACH = "signal_id string, phase int, direction string, mph int, ped_phase int"
-_DETECTOR = "signal_id string, channel int, phase int, approach_id string, direction string, movement string, distance int, min_speed int, ped_phase int"
+_DETECTOR = "signal_id string, channel int, phase int, approach_id string, direction string, movement string, distance int, min_speed int, ped_phase int, permissive_phase int"
 
 
 def moment(t: int) -> datetime:
@@ -55,6 +55,8 @@ class LakeTables(Tables):
 
     def _then(self, name: str, entity: str, fields: str) -> DataFrame:
         live = self.read(f"{name}es" if name.endswith("ch") else f"{name}s")
+        if name == "detector" and "permissive_phase" not in live.columns:
+            live = live.withColumn("permissive_phase", F.lit(None).cast("int"))
         audit = existing(self.spark, f"{self.folder}/{name}_audit.parquet", None)
         found = live if audit is None else as_of(audit, live, entity, fields, timestamp(F.lit(self.start)))
         return self.of_chosen(found)

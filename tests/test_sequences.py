@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from junctura.functions import temporal
-from junctura.operators import analytics, arrivals, cycles, leftturn, preemption, volumes
+from junctura.operators import aggregates, analytics, arrivals, cycles, leftturn, preemption, volumes
 from junctura.sources.derived import Tables
 
 ZERO = datetime(2025, 6, 15, 8)
@@ -205,3 +205,19 @@ def test_left_turn_volume_report_covers_the_whole_day(spark):
 ])
 def test_green_detections(spark, text, want):
     assert sorted(got(cycles.green_detections(Sequence(spark, text)), "y_bin", "detections")) == want
+
+
+def test_permissive_phases(spark):
+    tables = Sequence(spark, "1/2@0, 82/5@1, 1/7@0, 9/7@2, 82/6@3")
+    mine = tables.detectors.withColumn("permissive_phase", F.lit(7)).withColumn("phase", F.when(F.col("channel") == 5, 2))
+    tables.detectors = mine
+    columns = "phase_number", "total_detections", "arrivals_on_red"
+    assert got(arrivals.arrival_on_red(tables), *columns) == [(2, 1, 0)]
+    assert sorted(got(arrivals.arrival_on_red(tables, include_permissive=True), *columns)) == [(2, 1, 0), (7, 1, 1)]
+
+
+def test_nearest_rank(spark):
+    tables = Sequence(spark, "1/2@0")
+    tables.speeds = spark.createDataFrame([("S", "A", T0, v) for v in (10, 20, 30, 40)] + [("S", "B", T0, 7)], "signal_id string, approach_id string, t long, mph int")
+    rows = aggregates.approach_speed_15min_nearest(tables)
+    assert sorted(got(rows, "approach_id", "p15", "p50", "p85", "sample_count")) == [("A", 10.0, 20.0, 40.0, 4), ("B", 7.0, 7.0, 7.0, 1)]
