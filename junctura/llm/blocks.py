@@ -125,6 +125,23 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((total[ends] - total[starts]) * _POWERS.down[starts] + (ends - starts).astype(np.uint64))
 
 
+def keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes of data[start:end], never empty, taken eight bytes at a time: cheaper than `hashes` where runs are short."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = ends - starts
+    key = left.astype(np.uint64) * _PRIME
+    live, at = slice(None), starts
+    while len(at):
+        spare = (np.maximum(8 - left, 0) * 8).astype(np.uint64)
+        key[live] = mix(key[live] ^ (eight[at] << spare >> spare))
+        more = np.flatnonzero(left > 8)
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    return key
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of every maximal run without ASCII white space."""
     starts, ends = runs(~SPACE[data], offsets)
