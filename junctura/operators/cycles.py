@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,33 +52,50 @@ def phase_termination(tables: Tables, minutes: int = 15) -> DataFrame:
     return out.select("signal_id", F.col("phase").alias("phase_number"), timestamp(F.col("bin")).alias("bin_start"), "gap_out_count", "max_out_count", "force_off_count", "total_cycles")
 
 
-def phase_skips(tables: Tables, minutes: int = 15) -> DataFrame:
-    """Skips by phase and bin.
+#: One green of a ring cycle as a step of its state: the phases seen, as bits.
+_BIT = "shiftleft(1L, {})"
+_STEP = "if(s & {b} = 0, s | {b}, {b})"
+#: The first place (from 1) where a phase comes again, 0 if none does.
+_REPEAT = "array_position(transform(phases, (p, i) -> array_position(phases, p) <= i), true)"
+
+
+def phase_skips(tables: Tables, minutes: int = 15, chunk_minutes: int = 60) -> DataFrame:
+    """Skips by phase and bin (phases 0 to 63).
 
     A green of a phase that already had one in this ring cycle ends the cycle; every phase known so far
-    that had none is then skipped (if more than one is known). The set of phases seen is state that
-    depends on all greens before, so a signal's greens are walked in time order, batch by batch.
+    that had none is then skipped. The phases seen depend on all greens before, but only until a cycle
+    ends: from there on they follow from the greens alone. So for each chunk of a signal's time it is enough to know at which of its first
+    greens a cycle can end (each phase's first one, up to the first that comes again) and what it then leaves behind. These short
+    tables are composed in order for each signal, and every chunk is walked once more from what it finds. All of it are
+    expressions; a signal's rows are spread over its chunks.
     """
-    greens = tables.phase_events(GREEN).withColumn("bin", bin_of_hour(F.col("t"), minutes)).select("signal_id", "t", "phase", "bin")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signal, seen, known = None, set(), set()
-        for batch in batches:
-            out = []
-            for s, p, b in zip(batch.signal_id, batch.phase, batch.bin, strict=True):
-                if s != signal:
-                    signal, seen, known = s, set(), set()
-                known.add(p)
-                if p in seen:
-                    if len(known) > 1:
-                        out += [(s, q, b) for q in sorted(known - seen)]
-                    seen = set()
-                seen.add(p)
-            yield pd.DataFrame(out, columns=["signal_id", "phase", "bin"])
-
-    ordered = greens.repartition("signal_id").sortWithinPartitions("signal_id", "t", "phase")
-    skips = ordered.mapInPandas(walk, "signal_id string, phase int, bin long")
-    return skips.groupBy("signal_id", F.col("phase").alias("phase_number"), timestamp(F.col("bin")).alias("bin_start")).agg(F.count("*").alias("skip_count"))
+    greens = tables.phase_events(GREEN).select("signal_id", F.floor(F.col("t") / (chunk_minutes * MINUTE)).alias("chunk"), F.struct("t", "phase").alias("green"))
+    chunks = greens.groupBy("signal_id", "chunk").agg(F.array_sort(F.collect_list("green")).alias("greens"))
+    chunks = chunks.withColumn("phases", F.expr("transform(greens, g -> g.phase)"))
+    bit = _BIT.format("p")
+    leaves = f"aggregate(slice(phases, j, size(phases)), 0L, (s, p) -> {_STEP.format(b=bit)})"
+    table = chunks.withColumn("again", F.expr(_REPEAT)).select(
+        "signal_id",
+        F.struct(
+            "chunk", F.expr(f"aggregate(phases, 0L, (s, p) -> s | {bit})").alias("mask"), (F.col("again") > 0).alias("ends"),
+            F.expr(f"transform(sequence(1, cast(if(again > 0, again, size(phases)) as int)), j -> named_struct('bit', {_BIT.format('phases[j - 1]')}, 'leaves', {leaves}))").alias("heads"),
+        ).alias("c"),
+    )
+    # A cycle ends at the first head whose phase was seen, or where the chunk repeats a phase; else the chunk's phases join those seen.
+    hit = "filter(c.heads, h -> h.bit & a.seen != 0)"
+    after = f"if(size({hit}) > 0, {hit}[0].leaves, if(c.ends, element_at(c.heads, -1).leaves, a.seen | c.mask))"
+    empty = "cast(array() as array<struct<chunk:bigint,seen:bigint,known:bigint>>)"
+    step = f"named_struct('seen', {after}, 'known', a.known | c.mask, 'out', concat(a.out, array(named_struct('chunk', c.chunk, 'seen', a.seen, 'known', a.known))))"
+    order = table.groupBy("signal_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    found = order.select("signal_id", F.expr(f"inline(aggregate(cs, named_struct('seen', 0L, 'known', 0L, 'out', {empty}), (a, c) -> {step}, a -> a.out))"))
+
+    b = _BIT.format("g.phase")
+    none = "cast(array() as array<struct<t:bigint,mask:bigint>>)"
+    end = f"named_struct('seen', {b}, 'known', a.known | {b}, 'out', concat(a.out, array(named_struct('t', g.t, 'mask', (a.known | {b}) & ~a.seen))))"
+    walk = f"aggregate(greens, named_struct('seen', seen, 'known', known, 'out', {none}), (a, g) -> if(a.seen & {b} = 0, named_struct('seen', a.seen | {b}, 'known', a.known | {b}, 'out', a.out), {end}), a -> a.out)"
+    ends = chunks.drop("phases").join(found, ["signal_id", "chunk"]).select("signal_id", F.expr(f"inline({walk})")).where("mask != 0")
+    skips = ends.select("signal_id", "t", F.expr("explode(filter(sequence(0, 63), p -> mask & shiftleft(1L, p) != 0))").alias("phase_number"))
+    return skips.groupBy("signal_id", "phase_number", timestamp(bin_of_hour(F.col("t"), minutes)).alias("bin_start")).agg(F.count("*").alias("skip_count"))
 
 
 def time_space_diagram(tables: Tables, phase: int = 2) -> DataFrame:

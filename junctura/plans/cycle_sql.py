@@ -15,7 +15,44 @@ def _plan(code: int, count: str) -> str:
     )
 
 
+#: Both machines row by row, a step of the recursion for each event of a signal or channel.
+_SKIPS = """
+gr AS MATERIALIZED (SELECT signal_id, param AS p, t, row_number() OVER (PARTITION BY signal_id ORDER BY t, param) AS k FROM win WHERE code = 1),
+walk AS (
+    SELECT signal_id, k, t, 1::BIGINT << p AS seen, 1::BIGINT << p AS known, 0::BIGINT AS gone FROM gr WHERE k = 1
+    UNION ALL
+    SELECT g.signal_id, g.k, g.t, CASE WHEN w.seen & (1::BIGINT << g.p) = 0 THEN w.seen ELSE 0 END | (1::BIGINT << g.p), w.known | (1::BIGINT << g.p),
+        CASE WHEN w.seen & (1::BIGINT << g.p) = 0 THEN 0 ELSE w.known - (w.known & w.seen) END
+    FROM walk w JOIN gr g ON g.signal_id = w.signal_id AND g.k = w.k + 1
+)"""
+_PREEMPTS = """
+pe AS MATERIALIZED (SELECT signal_id, param AS ch, t, code, row_number() OVER (PARTITION BY signal_id, param ORDER BY t, code) AS k FROM win WHERE code BETWEEN 102 AND 111),
+walk AS (
+    SELECT signal_id, ch, k, t, code, CASE code WHEN 105 THEN 2 WHEN 102 THEN 1 ELSE 0 END AS s, CASE WHEN code IN (102, 105) THEN 1 ELSE 0 END AS c, code AS opener FROM pe WHERE k = 1
+    UNION ALL
+    SELECT signal_id, ch, k, t, code, CASE WHEN code = 105 THEN 2 WHEN code = 102 AND b = 0 THEN 1 ELSE b END,
+        c + CASE WHEN code = 102 AND b = 0 OR code = 105 AND b != 1 THEN 1 ELSE 0 END, CASE WHEN code = 102 AND b = 0 OR code = 105 AND b != 1 THEN code ELSE opener END
+    FROM (SELECT e.*, w.c, w.opener, CASE WHEN w.code = 111 OR e.t - w.t > 1200000000 THEN 0 ELSE w.s END AS b FROM walk w JOIN pe e ON e.signal_id = w.signal_id AND e.ch = w.ch AND e.k = w.k + 1)
+),
+f AS (SELECT *, lead(t) OVER v AS nt, lead(c) OVER v AS nc, lead(code) OVER v AS ncode FROM walk WINDOW v AS (PARTITION BY signal_id, ch ORDER BY k)),
+o AS (
+    SELECT signal_id, ch, c, min(t) AS a, opener = 102 AS delayed, min(t) FILTER (code = 102) AS i, min(t) FILTER (code = 105) AS e, min(t) FILTER (code = 103) AS gd, min(t) FILTER (code = 104) AS io,
+        min(t) FILTER (code = 106) AS tc, min(t) FILTER (code = 107) AS dw, min(t) FILTER (code = 110) AS mp, count(*) FILTER (code = 102) AS calls,
+        arg_max(struct_pack(t := t, code := code, nt := nt, nc := nc, ncode := ncode), k) AS z
+    FROM f WHERE s > 0 GROUP BY signal_id, ch, c, opener
+),
+q AS (SELECT *, z.code != 111 AND coalesce(z.nc = c + 1 AND z.ncode = 105 AND z.nt - z.t <= 1200000000, false) AS again FROM o)"""
+
 SQL = {
+    "report_phase_skips": sql(
+        "SELECT signal_id, p AS phase_number, make_timestamp(t // 900000000 * 900000000) AS bin_start, count(*) AS skip_count FROM walk, range(63) r(p) WHERE gone & (1::BIGINT << p::INT) != 0 GROUP BY ALL", _SKIPS
+    ).replace("WITH", "WITH RECURSIVE", 1),
+    "report_preempt_detail": sql(
+        "SELECT signal_id, ch AS preempt_number, make_timestamp(a) AS cycle_start, make_timestamp(fin) AS cycle_end, make_timestamp(coalesce(i, e, a)) AS input_on, make_timestamp(io) AS input_off, make_timestamp(gd) AS gate_down, make_timestamp(e) AS entry_started, make_timestamp(tc) AS begin_track_clearance, make_timestamp(dw) AS begin_dwell_service, make_timestamp(mp) AS max_presence_exceeded, delayed AS has_delay, "
+        "CASE WHEN delayed THEN (e - a) / 1e6 ELSE 0.0 END::DOUBLE AS delay_seconds, ((CASE WHEN tc IS NULL OR dw > tc THEN dw ELSE tc END) - coalesce(CASE WHEN delayed THEN e END, a)) / 1e6 AS time_to_service_seconds, (fin - dw) / 1e6 AS dwell_time_seconds, (dw - tc) / 1e6 AS track_clear_seconds, (mp - a) / 1e6 AS call_max_out_seconds, "
+        "z.code != 111 AND NOT again AND z.nt IS NOT NULL AS terminated_by_timeout, calls FROM (SELECT *, CASE WHEN again THEN z.nt ELSE z.t END AS fin FROM q)",
+        _PREEMPTS,
+    ).replace("WITH", "WITH RECURSIVE", 1),
     "report_purdue_diagram": sql(
         "SELECT signal_id, phase AS phase_number, make_timestamp(g) AS green_start, make_timestamp(y) AS yellow_start, make_timestamp(r) AS red_start, make_timestamp(e) AS cycle_end, (y - g) / 1e6 AS green_duration, (r - y) / 1e6 AS yellow_duration, (e - r) / 1e6 AS red_duration, (e - g) / 1e6 AS cycle_duration FROM c",
         _CYC.format(codes="code IN (1, 8, 9, 10)"),

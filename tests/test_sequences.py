@@ -110,9 +110,12 @@ def test_ramp_metering(spark):
     ("102/1@0, 105/1@5, 106/1@10, 107/1@18, 111/1@60", [(5.0, 13.0, 42.0, 8.0, None, False)]),
     ("105/1@0, 106/1@3, 107/1@9, 111/1@50", [(0.0, 9.0, 41.0, 6.0, None, False)]),
     ("102/1@0, 105/1@5, 106/1@10, 107/1@18, 110/1@120, 111/1@180", [(5.0, 13.0, 162.0, 8.0, 120.0, False)]),
+    ("102/1@0, 105/1@5, 106/1@10, 111/1@60", [(5.0, 5.0, None, None, None, False)]),
+    ("102/1@0, 105/1@5, 107/1@10, 106/1@18, 111/1@60", [(5.0, 13.0, 50.0, -8.0, None, False)]),
+    ("102/1@0, 104/1@3, 111/1@60", [(None, None, None, None, None, False)]),
 ])
 def test_preempt_detail(spark, text, want):
-    assert got(preemption.preempt_detail(Sequence(spark, text)), "delay", "time_to_service", "dwell_time", "track_clear", "call_max_out", "terminated_by_timeout") == want
+    assert got(preemption.preempt_detail(Sequence(spark, text)), "delay_seconds", "time_to_service_seconds", "dwell_time_seconds", "track_clear_seconds", "call_max_out_seconds", "terminated_by_timeout") == want
 
 
 def test_preempt_detail_times_out(spark):
