@@ -1,16 +1,13 @@
-"""Streaming forms of ingestion, counters and the stateful extractors."""
+"""Streaming forms of ingestion and counters; the state machines stand in `ordered`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from junctura.sources.decoders import decode_files
 from junctura.sources.lake import EVENT_KEY, EVENT_SCHEMA, write_events
+from junctura.streaming.ordered import PLAN_SCHEMA, closed_plans, device_watch, preempts  # noqa: F401 - the stateful streams
 
 MESSAGE = "signal_id: string, event_time: timestamp_ntz, event_code: int, event_param: int, device_id: smallint"
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -58,47 +55,6 @@ def quarter_hour_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return rows.agg(F.count("*").alias("event_count"), of(82).alias("activations"), of(1).alias("greens")).select("signal_id", F.col("window.start").alias("bin_start"), "event_count", "activations", "greens")
 
 
-PLAN_SCHEMA = "signal_id string, effective_from timestamp, effective_to timestamp, plan_number int, cycle_length int, offset_seconds int, splits map<string,int>"
-
-
-class PlanProcessor(StatefulProcessor):
-    """A signal's open plan: 132 to 149 change it, the next 131 closes it and opens another. Closed plans come out."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getValueState("open", "begin timestamp, plan_number int, cycle_length int, offset_seconds int, splits map<string,int>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = pd.concat(list(rows)).sort_values(["event_time", "event_code", "event_param"])
-        now, out = self._open.get() if self._open.exists() else None, []
-        for t, code, param in zip(events.event_time, events.event_code, events.event_param, strict=True):
-            if code == 131:
-                if now is not None:
-                    out.append((key[0], now[0], t, *now[1:]))
-                now = (t, int(param), None, None, {})
-            elif now is not None:
-                begin, plan, length, offset, splits = now
-                if code == 132:
-                    length = int(param)
-                elif code == 133:
-                    offset = int(param)
-                elif 134 <= code <= 149:
-                    splits = dict(splits or {}) | {str(code - 133): int(param)}
-                now = (begin, plan, length, offset, splits)
-        if now is not None:
-            self._open.update(now)
-        names = [c.split()[0] for c in PLAN_SCHEMA.replace("map<string,int>", "map").split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({"plan_number": "Int32", "cycle_length": "Int32", "offset_seconds": "Int32"})
-
-    def close(self) -> None:
-        pass
-
-
-def closed_plans(events: DataFrame) -> DataFrame:
-    """Plans as they close (needs the RocksDB state store)."""
-    rows = events.where(F.col("event_code").between(131, 149)).withColumn("event_time", F.col("event_time").cast("timestamp")).select("signal_id", "event_time", "event_code", "event_param")
-    return rows.groupBy("signal_id").transformWithStateInPandas(statefulProcessor=PlanProcessor(), outputStructType=PLAN_SCHEMA, outputMode="Append", timeMode="None")
-
-
 def append_to_lake(path: str, device_id: int = 1):
     """A foreachBatch sink into an event lake: a micro-batch that is run again adds nothing."""
 

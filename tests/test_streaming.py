@@ -35,6 +35,7 @@ def test_landed_logs_and_lake(spark, tmp_path):
 def test_closed_plans(spark, tmp_path):
     base = datetime(2024, 1, 1)
     rows = [("S", base + timedelta(minutes=m), c, p, 1) for m, c, p in ((0, 131, 7), (1, 132, 90), (2, 135, 35), (3, 131, 8))]
+    rows.append(("Z", base + timedelta(minutes=30), 131, 1, 1))  # moves the watermark past the others
     spark.createDataFrame(rows, lake.EVENT_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
     found = jobs.run_once(jobs.closed_plans(jobs.event_stream(spark, str(tmp_path / "in"))), str(tmp_path / "cp"), "plans", "append").collect()
     assert [(r.plan_number, r.cycle_length, r.offset_seconds, r.splits) for r in found] == [(7, 90, None, {"2": 35})]
