@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from junctura.functions.temporal import MINUTE, SECOND, along, bin_of, following, last, seconds, settled, share, split_over_bins, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, OFF, ON, PED_CALL, PHASE_END, RED, WALK, YELLOW
 from junctura.operators.volumes import occupied_intervals
+from junctura.sources.commits import commit
 from junctura.sources.derived import Tables
 
 PHASE = ["signal_id", "phase"]
@@ -226,3 +227,8 @@ def refresh(fresh: DataFrame, path: str, as_of: int, lookback_hours: int = 2, wi
     rows = fresh.where(F.col("bin_start") >= timestamp(F.lit(cutoff)))
     dated = rows.withColumn("bin_date", F.to_date("bin_start")).withColumn("bin_hour", F.hour("bin_start"))
     dated.repartition("bin_date", "bin_hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bin_date", "bin_hour").parquet(path)
+
+
+def upsert(fresh: DataFrame, path: str, key: list[str], time: str = "bin_start", batch: str | None = None) -> bool:
+    """Commit rows to a table by date: rows with equal ``key`` give way to them, in one step that readers see whole or not at all."""
+    return commit(fresh.withColumn("bin_date", F.to_date(time)), path, key, ["bin_date"], batch, replace=True)

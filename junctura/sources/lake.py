@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from junctura.sources.commits import Store, commit, committed, remove
 from junctura.sources.derived import END, START, Tables
 
 EVENT_KEY = ["signal_id", "event_time", "event_code", "event_param"]
@@ -12,18 +13,22 @@ EVENT_SCHEMA = "signal_id string, event_time timestamp_ntz, event_code int, even
 LIMIT, MOST = 10_000, 100_000
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Append events in one folder a date, sorted by signal and time inside; keys that are there already stay as they are."""
-    new = events.dropDuplicates(EVENT_KEY).withColumn("event_date", F.to_date("event_time"))
-    old = existing(events.sparkSession, path)
-    if old is not None:
-        # Joined on the date too, so that only the folders of the new rows' dates are read.
-        new = new.join(old.select("event_date", *EVENT_KEY), ["event_date", *EVENT_KEY], "left_anti")
-    new.repartition("event_date", "signal_id").sortWithinPartitions("signal_id", "event_time").write.mode("append").partitionBy("event_date").parquet(path)
+_LAKE = EVENT_SCHEMA + ", event_date date"
 
 
-def existing(spark: SparkSession, path: str, schema: str | None = EVENT_SCHEMA + ", event_date date") -> DataFrame | None:
-    """A Parquet table, None where there is none."""
+def write_events(events: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Commit events in one folder a date, sorted by signal and time inside; keys that are there already stay as they are.
+
+    Only the folders of the new rows' dates are read. A named ``batch`` is taken once.
+    """
+    dated = events.withColumn("event_date", F.to_date("event_time"))
+    return commit(dated, path, EVENT_KEY, ["event_date"], batch, sort=["signal_id", "event_time"])
+
+
+def existing(spark: SparkSession, path: str, schema: str | None = _LAKE) -> DataFrame | None:
+    """A Parquet table (its committed rows, where it has commits), None where there is none."""
+    if schema and (rows := committed(spark, path, schema)) is not None:
+        return rows
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     reader = spark.read.schema(schema) if schema else spark.read
@@ -31,8 +36,10 @@ def existing(spark: SparkSession, path: str, schema: str | None = EVENT_SCHEMA +
 
 
 def scan(spark: SparkSession, path: str, start, end, codes: tuple[int, ...] = (), signals: tuple[str, ...] = ()) -> DataFrame:
-    """Events in [start, end]; the dates are asked for too, so other folders are not opened."""
-    rows = spark.read.schema(EVENT_SCHEMA + ", event_date date").parquet(path)
+    """Events in [start, end]; the dates choose the committed files and are asked for too, so other folders are not opened."""
+    first, final = (f"event_date={v:%Y-%m-%d}" for v in (start, end))
+    rows = committed(spark, path, _LAKE, lambda part: first <= part <= final)
+    rows = spark.read.schema(_LAKE).parquet(path) if rows is None else rows
     rows = rows.where(F.col("event_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))) & F.col("event_time").between(F.lit(start), F.lit(end)))
     rows = rows.where(F.col("event_code").isin(*codes)) if codes else rows
     return (rows.where(F.col("signal_id").isin(*signals)) if signals else rows).drop("event_date")
@@ -75,15 +82,13 @@ def clock_correction(tables: Tables) -> DataFrame:
 
 def drop_before(spark: SparkSession, path: str, keep_from: str) -> list[str]:
     """Delete the date folders older than ``keep_from`` (yyyy-mm-dd); returns their dates."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    gone = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("event_date=") and name.removeprefix("event_date=") < keep_from:
-            fs.delete(status.getPath(), True)
-            gone.append(name.removeprefix("event_date="))
-    return sorted(gone)
+    old = lambda part: part.startswith("event_date=") and part.removeprefix("event_date=") < keep_from
+    remove(spark, path, old)
+    store = Store(spark, path)
+    gone = [name for name in store.names("") if old(name)]
+    for name in gone:
+        store.delete(name)
+    return [name.removeprefix("event_date=") for name in gone]
 
 
 def export(report: DataFrame, path: str, kind: str) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from junctura.functions.history import as_of
 from junctura.functions.temporal import micros, timestamp
 from junctura.sources.derived import Tables
-from junctura.sources.lake import EVENT_SCHEMA, existing, scan
+from junctura.sources.lake import existing, scan
 
 _APPROACH = "signal_id string, phase int, direction string, mph int, ped_phase int"
 _DETECTOR = "signal_id string, channel int, phase int, approach_id string, direction string, movement string, distance int, min_speed int, ped_phase int, permissive_phase int"
@@ -51,7 +51,7 @@ class LakeTables(Tables):
     @cached_property
     def log(self) -> DataFrame:
         """The whole log of the chosen signals."""
-        return self._short(self.of_chosen(self.spark.read.schema(EVENT_SCHEMA + ", event_date date").parquet(self.lake)))
+        return self._short(self.of_chosen(existing(self.spark, self.lake)))
 
     def _then(self, name: str, entity: str, fields: str) -> DataFrame:
         live = self.read(f"{name}es" if name.endswith("ch") else f"{name}s")

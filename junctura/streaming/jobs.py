@@ -55,12 +55,16 @@ def quarter_hour_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return rows.agg(F.count("*").alias("event_count"), of(82).alias("activations"), of(1).alias("greens")).select("signal_id", F.col("window.start").alias("bin_start"), "event_count", "activations", "greens")
 
 
-def append_to_lake(path: str, device_id: int = 1):
-    """A foreachBatch sink into an event lake: a micro-batch that is run again adds nothing."""
+def append_to_lake(path: str, device_id: int = 1, stream: str | None = None):
+    """A foreachBatch sink into an event lake: a micro-batch is one commit.
 
-    def write(batch: DataFrame, _: int) -> None:
+    ``stream``, a name that stays with the stream's checkpoint, makes a batch that is run again a matter of looking it up; without
+    it such a batch adds nothing since its keys are there.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         rows = batch if "device_id" in batch.columns else batch.withColumn("device_id", F.lit(device_id).cast("smallint"))
-        write_events(rows, path)
+        write_events(rows, path, stream and f"{stream}-{number}")
 
     return write
 
