@@ -1,7 +1,7 @@
 """The engine's tables, derived from a folder's generic `events` table.
 
 A controller log comes from `events` by a fixed recipe (time runs sixtyfold, codes follow a hash of
-ids); intersections, detectors, plans and a route follow by arithmetic. `PRELUDE` is the recipe in SQL.
+ids), intersections from `supplier`; approaches, detectors, plans and a route follow by arithmetic. `PRELUDE` is the recipe in SQL.
 """
 
 from __future__ import annotations
@@ -77,7 +77,8 @@ class Tables:
 
     @cached_property
     def signals(self) -> DataFrame:
-        return self.of_chosen(self.spark.range(5).select(F.concat(F.lit("SIG-00"), F.col("id").cast("string")).alias("signal_id")))
+        """The intersections: suppliers stand for the crews that keep them, five to a round."""
+        return self.of_chosen(self.read("supplier").select(F.concat(F.lit("SIG-00"), (F.col("s_suppkey") % 5).cast("string")).alias("signal_id")).distinct())
 
     @cached_property
     def approaches(self) -> DataFrame:
@@ -142,7 +143,7 @@ PRELUDE = f"""ev0 AS (SELECT event_id, user_id % 5 AS sn, value, {START} + (epoc
 ev1 AS (SELECT 'SIG-00' || sn AS signal_id, t, k, CASE {_CASE} END AS code FROM ev0),
 cel AS (SELECT signal_id, t, code, CASE WHEN code IN (81, 82) THEN 1 + k % 8 WHEN code IN (102, 104, 105) THEN 1 + k % 2 WHEN code = 131 THEN 1 + k % 3 ELSE 2 + 2 * (k % 4) END AS param FROM ev1),
 win AS (SELECT * FROM cel WHERE t BETWEEN {START} AND {END}),
-sig AS (SELECT 'SIG-00' || i AS signal_id, i AS place FROM range(5) g(i)),
+sig AS (SELECT DISTINCT 'SIG-00' || (s_suppkey % 5) AS signal_id, s_suppkey % 5 AS place FROM supplier),
 app AS (SELECT signal_id, signal_id || '-P' || phase AS approach_id, phase, direction FROM sig, (VALUES (2, 'NB'), (4, 'EB'), (6, 'SB'), (8, 'WB')) v(phase, direction)),
 det AS (SELECT app.*, c AS channel, CASE WHEN c <= 4 THEN 'T' ELSE 'L' END AS movement, CASE WHEN c % 2 = 1 THEN 400 END AS distance FROM app JOIN range(1, 9) g(c) ON phase = 2 + 2 * ((c - 1) % 4)),
 pev AS (SELECT signal_id, param AS phase, t, code, 0 AS param, NULL AS approach_id FROM win WHERE code IN (1, 4, 5, 6, 7, 8, 9, 10)),
