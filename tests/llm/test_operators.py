@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -583,6 +584,40 @@ def test_warc_of_long_and_hostile_pages(spark):
     assert "WARC-Date" not in made[0].conversion_record
 
 
+@pytest.mark.parametrize("piece", ["<a", "<a ", "<br ", "<title>", "<head>", "<script ", "<a href='", "<p x=\"", "</script ", "<!--", "&#", "<a b='<a c=\"", "= <"])
+def test_warc_reads_a_page_once(piece):
+    """A megabyte of anything that never ends takes seconds, where going back would take hours."""
+    began = time.process_time()
+    warc.scanned(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 5
+
+
+def test_warc_counts_links_of_any_length():
+    for n in (1, 499, 501, 20_000):
+        assert warc.scanned("<a " + " ".join(f"d{k}=1" for k in range(n)) + " href='u'>x</a>") == ("  x ".replace("  ", " "), "", 1)
+    assert warc.scanned("before <a href='u' never ends")[::2] == ("before  ", 0)
+
+
+def test_warc_of_random_pages_equals_a_parser():
+    rng = random.Random(7)
+    quoted = lambda: rng.choice(["'", '"'])
+
+    def tag():
+        name, out = rng.choice(["a", "p", "div", "span", "b", "A"]), []
+        for _ in range(rng.choice([0, 1, 3, 600])):
+            q = quoted()
+            out.append(rng.choice([f" x={q}a>b{q}", " data-y=1", f" title = {q}<i>{q}", " checked", f" z{rng.randint(0, 9)}={q}{q}"]))
+        if rng.random() < 0.5:
+            out.insert(rng.randint(0, len(out)), f" {rng.choice(['href', 'HREF', 'data-href'])}='/u'")
+        return f"<{name}{''.join(out)}>"
+
+    for _ in range(60):
+        page = "".join(rng.choice([tag(), "word ", "1 < 2 ", "</p>", "<!-- <a href=x> -->", "<script>if (a<b) '<a href=x>'</script>", "<br>"]) for _ in range(40))
+        words_, _, links = parsed(page)
+        text, _, found = warc.scanned(page)
+        assert (text.split(), found) == (words_, links), page[:300]
+
+
 # 8 mixing
 
 
