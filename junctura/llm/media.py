@@ -3,17 +3,18 @@
 An Aho-Corasick automaton over magic bytes finds every place where a known format may begin; a
 validator of that format then reads its structure and lengths, so a chance occurrence of the magic
 does not count. A blob's type is that of the container at its first byte, whatever type was
-declared; valid containers further inside are carved out. WAV (8-bit PCM), PGM (8-bit), PNG, GIF,
-gzip and zip are known.
+declared; valid containers further inside are carved out. WAV, PGM, PNG, GIF, gzip and zip are known.
 
-Defined cases: a null or empty blob has no type and nothing embedded; a container whose declared
+Defined cases: a null or empty blob has nothing embedded, and of types only a declared one that is not known here; a container whose declared
 length exceeds the bytes present is not valid; containers inside a found one are reported too, as
-they have an offset of their own.
+they have an offset of their own; a null text counts as empty, repeated rows are stored one by one, very long texts are pieces of
+their own, and an empty table gives an empty one; extra columns pass through, but for those that bear an output's name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,7 +35,7 @@ def wav_of(payload: bytes, rate: int = 8000) -> bytes:
 
 
 def _wav(data: memoryview) -> int:
-    """Length of a valid 8-bit PCM file at the start of ``data``, 0 if there is none."""
+    """Length of a valid file at the start of ``data``, 0 if there is none: plain, float or extensible samples of 8 to 64 bits, whole frames."""
     if len(data) < 44 or data[8:12] != b"WAVE":
         return 0
     end = 8 + int.from_bytes(data[4:8], "little")
@@ -42,7 +43,8 @@ def _wav(data: memoryview) -> int:
     while at + 8 <= end <= len(data):
         size = int.from_bytes(data[at + 4 : at + 8], "little")
         if data[at : at + 4] == b"fmt ":
-            seen |= size >= 16 and data[at + 8 : at + 10] == b"\1\0" and data[at + 22 : at + 24] == b"\x08\0"
+            kind, channels, frame, bits = (int.from_bytes(data[at + a : at + a + 2], "little") for a in (8, 10, 20, 22))
+            seen |= size >= 16 and kind in (1, 3, 0xFFFE) and bits in (8, 16, 24, 32, 64) and frame == channels * bits // 8 > 0
         elif data[at : at + 4] == b"data":
             seen |= 2 * (at + 8 + size <= end)
         at += 8 + size + size % 2
@@ -58,22 +60,18 @@ def wav_samples(data: memoryview) -> memoryview:
     return data[at + 8 : at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")]
 
 
+#: Numbers of a header stand between white space and comments, which begin with "#" and end with their line.
+_PGM = re.compile(rb"P5" + rb"(?:\s|#[^\r\n]*+[\r\n])++([0-9]{1,9})" * 3 + rb"(?:#[^\r\n]*+)?\s")
+
+
 def _pgm(data: memoryview) -> int:
-    fields, at = [], 2
-    head = bytes(data[:64])
-    while len(fields) < 3:
-        while at < len(head) and head[at : at + 1].isspace():
-            at += 1
-        end = at
-        while end < len(head) and head[end : end + 1].isdigit():
-            end += 1
-        if end == at or end - at > 9:
-            return 0
-        fields.append(int(head[at:end]))
-        at = end
-    if not head[at : at + 1].isspace() or not (fields[0] and fields[1] and 0 < fields[2] < 256):
+    head = _PGM.match(data)
+    if not head:
+        return 0
+    width, height, most = map(int, head.groups())
+    if not (width and height and 0 < most < 65536):
         return 0
-    size = at + 1 + fields[0] * fields[1]
+    size = head.end() + width * height * (1 + (most > 255))
     return size if size <= len(data) else 0
 
 
@@ -124,18 +122,23 @@ def _gzip(data: memoryview) -> int:
 
 
 def _zip(data: memoryview) -> int:
-    at = 0
-    while data[at : at + 4] == b"PK\3\4" and at + 30 <= len(data):
-        flags, size, name, extra = int.from_bytes(data[at + 6 : at + 8], "little"), *(int.from_bytes(data[at + a : at + b], "little") for a, b in ((18, 22), (26, 28), (28, 30)))
-        if flags & 8:
-            return 0
-        at += 30 + name + extra + size
-    files = at
-    while data[at : at + 4] == b"PK\1\2" and at + 46 <= len(data):
-        at += 46 + sum(int.from_bytes(data[at + a : at + a + 2], "little") for a in (28, 30, 32))
-    if at == files or data[at : at + 4] != b"PK\5\6" or at + 22 > len(data):
-        return 0
-    return at + 22 + int.from_bytes(data[at + 20 : at + 22], "little")
+    """By the end record whose central directory lies where it says, so entries may have descriptors after their data."""
+    raw, at = bytes(data), 0
+    while (at := raw.find(b"PK\5\6", at)) >= 0 and at + 22 <= len(raw):
+        entries, size, begin, note = struct.unpack_from("<HIIH", raw, at + 10)
+        if begin + size == at and at + 22 + note <= len(raw):
+            place = begin
+            for _ in range(entries):
+                if raw[place : place + 4] != b"PK\1\2" or place + 46 > at:
+                    break
+                if raw[(local := int.from_bytes(raw[place + 42 : place + 46], "little")) : local + 4] != b"PK\3\4":
+                    break
+                place += 46 + sum(struct.unpack_from("<HHH", raw, place + 28))
+            else:
+                if place == at and (entries or at == 0):
+                    return at + 22 + note
+        at += 4
+    return 0
 
 
 #: Magic bytes of the formats.
@@ -143,6 +146,9 @@ MAGIC = {
     b"RIFF": "audio/wav",
     b"P5\n": "image/x-portable-graymap",
     b"P5 ": "image/x-portable-graymap",
+    b"P5\r": "image/x-portable-graymap",
+    b"P5\t": "image/x-portable-graymap",
+    b"P5#": "image/x-portable-graymap",
     b"\x89PNG\r\n\x1a\n": "image/png",
     b"GIF87a": "image/gif",
     b"GIF89a": "image/gif",
@@ -178,10 +184,11 @@ def sniff(blob: bytes | None, magics: ahocorasick.Automaton) -> list[tuple[int,
 
 
 def sniff_media(table: DataFrame, column: str = "media", declared: str | None = None) -> DataFrame:
-    """``table`` with `media_type` (of the container at byte 0, else null), `corrected` and `embedded`.
+    """``table`` with `media_type`, `corrected` and `embedded`.
 
-    `corrected`: a declared type is there and differs. `embedded`: (offset, length, type, content)
-    of every other container.
+    `media_type` is that of the valid container at byte 0. Where there is none, a declared type that is not known here stays, as
+    nothing speaks against it; one that is known does not hold, and the type is null. `corrected`: a declared type is there and
+    differs. `embedded`: (offset, length, type, content) of every other container.
     """
     added = [T.StructField("media_type", T.StringType()), T.StructField("corrected", T.BooleanType())]
     part = T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("type", T.StringType()), T.StructField("content", T.BinaryType())])
@@ -197,7 +204,8 @@ def sniff_media(table: DataFrame, column: str = "media", declared: str | None =
                 said = rows.column(declared).to_pylist() if declared else [None] * rows.num_rows
                 for blob, claim in zip(rows.column(column).to_pylist(), said, strict=True):
                     found = sniff(blob, magics)
-                    types.append(next((k for a, _, k in found if a == 0), None))
+                    at_first = next((k for a, _, k in found if a == 0), None)
+                    types.append(at_first or (None if claim in VALIDATORS else claim))
                     wrong.append(claim is not None and claim != types[-1])
                     inner.append([{"offset": a, "length": n, "type": k, "content": blob[a : a + n]} for a, n, k in found if a])
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(types, pa.string()), pa.array(wrong), pa.array(inner, arrow)], [*rows.schema.names, "media_type", "corrected", "embedded"])
