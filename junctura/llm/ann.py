@@ -18,8 +18,9 @@ the nearest.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do vectors of another length than the most frequent one; a query with fewer candidates than asked for
-returns all that were found; ties go to the smaller id; an id with several vectors is found at its
-nearest; extra columns are not carried.
+returns all that were found; ties go to the smaller id; an id with several vectors is one candidate, found at its
+nearest, and one query, that asks with each of them (only where vectors stand each for several ids in common can
+fewer than ``k`` ids come back); an empty table gives an empty one; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -49,12 +50,17 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def entries(rows: DataFrame, most_ids: int, salts: int = 64) -> DataFrame:
-    """(entry, v, ids): each distinct vector with its ``most_ids`` smallest ids; salted, so a frequent vector is no single task's."""
-    key = rows.withColumn("entry", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
-    first = Window.partitionBy("entry", "v", "salt").orderBy("vec_id")
-    few = key.dropDuplicates(["entry", "v", "vec_id"]).withColumn("k", F.row_number().over(first)).where(F.col("k") <= most_ids)
-    grouped = few.groupBy("entry", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return grouped.select("v", F.slice("ids", 1, most_ids).alias("ids")).withColumn("entry", F.col("ids")[0])
+    """(entry, first, alone, v, ids): each distinct vector with its ``most_ids`` smallest ids; salted, so a frequent vector is no single task's.
+
+    ``entry`` is a number of the vector's own, good once the rows are stored; an id with several vectors is in several entries.
+    ``first`` is the smallest id, ``alone`` says that there is no other.
+    """
+    key = rows.withColumn("hash", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
+    first = Window.partitionBy("hash", "v", "salt").orderBy("vec_id")
+    few = key.dropDuplicates(["hash", "v", "vec_id"]).withColumn("k", F.row_number().over(first)).where(F.col("k") <= most_ids)
+    grouped = few.groupBy("hash", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    kept = grouped.select("v", F.slice("ids", 1, most_ids).alias("ids"))
+    return kept.select(F.monotonically_increasing_id().alias("entry"), F.col("ids")[0].alias("first"), (F.size("ids") == 1).alias("alone"), "v", "ids")
 
 
 def _strings(planes: np.ndarray, centre: np.ndarray):
@@ -80,13 +86,16 @@ def _ranked(k: int):
 
     def run(table: pa.Table) -> pa.Table:
         asked = table.column("level").to_numpy() >= 0
-        entry, string, level = (table.column(c).to_numpy() for c in ("entry", "string", "level"))
+        entry, string, level, first = (table.column(c).to_numpy() for c in ("entry", "string", "level", "first"))
+        alone = table.column("alone").to_numpy(zero_copy_only=False)
         x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(entry), -1)
         held = np.flatnonzero(~asked)
         held = held[np.lexsort((entry[held], string[held]))]
+        # Further vectors of an id that has nothing else to offer only take the places of other ids.
+        shared = len(np.unique(first[held[alone[held]]])) < np.count_nonzero(alone[held])
         strings, vectors = string[held], x[held]
         squares = (vectors**2).sum(1)
-        out = ([], [], [])
+        out = ([], [], [], [], [])
         for q in np.flatnonzero(asked):
             free = BITS - int(level[q])
             low = string[q] >> free << free
@@ -95,15 +104,22 @@ def _ranked(k: int):
             if not len(rough):
                 continue
             near = np.arange(len(rough))
-            if len(rough) > k:
+            if len(rough) > k and not shared:
                 near = np.flatnonzero(rough <= np.partition(rough, k - 1)[k - 1] + 1e-9 * (1 + np.abs(rough).max()))
             score = np.sqrt(((vectors[part][near] - x[q]) ** 2).sum(1))
-            ids = entry[held[part]][near]
-            best = np.lexsort((ids, score))[:k]
-            for o, v in zip(out, (np.full(len(best), entry[q]), ids[best], score[best]), strict=True):
+            at = held[part][near]
+            order = np.lexsort((entry[at], first[at], score))
+            if shared:
+                one = np.where(alone[at[order]], first[at[order]], -1 - np.arange(len(order)))
+                named = alone[at[order]]
+                keep = ~named
+                keep[np.flatnonzero(named)[np.unique(one[named], return_index=True)[1]]] = True
+                order = order[keep]
+            best = order[:k]
+            for o, v in zip(out, (np.full(len(best), entry[q]), entry[at[best]], score[best], first[at[best]], alone[at[best]]), strict=True):
                 o.append(v)
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.table({"query": cat(out[0], np.int64), "entry": cat(out[1], np.int64), "score": cat(out[2], np.float64)})
+        return pa.table({"query": cat(out[0], np.int64), "entry": cat(out[1], np.int64), "score": cat(out[2], np.float64), "first": cat(out[3], np.int64), "alone": cat(out[4], bool)})
 
     return run
 
@@ -113,7 +129,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 24,
     rows = stored(usable(vectors, column), "vectors")
     asking = rows.where(F.col("vec_id") % every == 0).select("v", F.col("vec_id").alias("query_id")).distinct()
     index = stored(entries(rows, k + 1).join(asking.select("v").distinct().withColumn("query", F.lit(True)), "v", "left").withColumn("query", F.coalesce("query", F.lit(False))), "entries")
-    sample = index.orderBy(F.xxhash64("entry")).limit(2000).select("v").toArrow().column("v").combine_chunks()
+    sample = index.orderBy(F.xxhash64("v")).limit(2000).select("v").toArrow().column("v").combine_chunks()
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1)
@@ -139,10 +155,12 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 24,
     held = placed.select("tree", "cell", F.pmod(F.xxhash64("entry"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "entry", "string", F.lit(-1).alias("level"))
     ask_block = F.pmod(F.xxhash64("entry", F.lit(3)), "blocks").cast("int")
     asks = placed.where("query").join(stops, "entry").select("tree", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), ask_block.alias("block"), "entry", "string", "level")
-    met = held.unionByName(asks).join(index.select("entry", F.col("v").cast(vectors.schema[column].dataType).alias("v")), "entry")
-    found = met.groupBy("tree", "cell", "part", "block").applyInArrow(_ranked(k + 1), "query long, entry long, score double")
-    best = found.groupBy("query", "entry").agg(F.min("score").alias("score"))
-    near = Window.partitionBy("query").orderBy("score", "entry")
+    met = held.unionByName(asks).join(index.select("entry", "first", "alone", F.col("v").cast(vectors.schema[column].dataType).alias("v")), "entry")
+    found = met.groupBy("tree", "cell", "part", "block").applyInArrow(_ranked(k + 1), "query long, entry long, score double, first long, alone boolean")
+    # Of an id's vectors that stand for it alone the nearest, of the others each.
+    one = [F.when(F.col("alone"), F.col("first")).alias("id"), F.when(~F.col("alone"), F.col("entry")).alias("several")]
+    best = found.groupBy("query", *one).agg(F.min(F.struct("score", "first", "entry")).alias("b")).select("query", "b.score", "b.first", "b.entry")
+    near = Window.partitionBy("query").orderBy("score", "first", "entry")
     best = best.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)
     asked = index.where("query").select("v", F.col("entry").alias("query")).join(asking, "v").select("query", "query_id")
     pairs = best.join(asked, "query").join(index.select("entry", "ids"), "entry").select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id != vec_id")

@@ -351,6 +351,29 @@ def test_nearest_recall_and_scores(spark):
     assert [i for _, i in (got[0][k] for k in range(1, 11))] == list(range(5000, 5010))
 
 
+def test_nearest_of_ids_with_several_vectors(spark):
+    """Every id is one candidate at its nearest vector; scores are those of the vectors."""
+    near, far = [1.0, 0.0], [9.0, 1.0]
+    frame = spark.createDataFrame([(1, near), (1, far), (100, near), (7, far)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in ann.nearest(frame).collect()}
+    assert got == {1: 0.0, 7: math.dist(near, far)}
+    rng = np.random.default_rng(8)
+    data = [(int(i), rng.normal(size=6).tolist()) for i in [*range(0, 420), *rng.integers(0, 420, 500), *([33] * 300)]]
+    want = {}
+    for q, v in data:
+        if q % 100 == 0:
+            for i, w in data:
+                if i != q:
+                    want.setdefault(q, {})[i] = min(math.dist(v, w), want.get(q, {}).get(i, math.inf))
+    found = {}
+    for r in ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), part_rows=200).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+        assert abs(want[r.query_id][r.vec_id] - r.score) < 1e-9
+    assert {q: len(set(ids)) for q, ids in found.items()} == dict.fromkeys(want, 10)
+    best = {q: sorted(c, key=lambda i: (c[i], i))[:10] for q, c in want.items()}
+    assert sum(len(set(best[q]) & set(found[q])) for q in want) >= 0.9 * 10 * len(want)
+
+
 def test_nearest_of_odd_vectors(spark):
     data = [(0, [1.0, 0.0], 1), (1, [0.0, 0.0], 1), (2, None, 1), (3, [None, 1.0], 1), (4, [float("nan"), 1.0], 1), (5, [float("inf"), 1.0], 1), (6, [1.0, 1.0], 1), (6, [1.0, 1.0], 1), (7, [1.0], 1), (None, [1.0, 2.0], 1)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, rank int")
