@@ -7,6 +7,7 @@ next stage's docs. All but the last return the columns of docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from junctura.llm import bpe, mixing, neardup, quality, toxicity
 from junctura.llm.scratch import free, free_name, free_since, mark, stored
@@ -18,34 +19,36 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.3 go."""
+    """Documents that score below 0.3 go; null and empty texts are scored too, repeated rows alike, and without labels all stay."""
     trees, name = quality.fit(docs, _labels(ship(spark), sf_dir)), free_name(docs, "_score")
     return quality.with_score(docs, trees, name).where(f"{name} >= 0.3").drop(name)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go; null and empty texts are scored too, repeated rows alike; without labels all stay."""
     model, name = toxicity.fit(docs, _labels(ship(spark), sf_dir)), free_name(docs, "_score")
     return toxicity.with_score(docs, model, name).where(f"{name} < 0.5").drop(name)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8, the document with the smallest id stays."""
+    """Of each group linked by five-word shingles at 0.8, the document with the smallest id stays; texts without words are linked with nothing."""
     ship(spark)
     gone = neardup.near_duplicates(docs, width=5).where("not kept").selectExpr("doc_id as id").distinct()
     return neardup.without(docs, stored(gone, "gone"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix."""
+    """All documents, repeated ones too, in the order of the mix: of the files' numbers and of the rows in them; a null source is among the rest."""
     ship(spark)
     return mixing.ordered(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text."""
+    """doc_id, its position in the mix as it was written, n_tokens and the digests of ids and decoded text; null texts are empty, an empty table stays so."""
     ship(spark)
-    return bpe.encode_documents(docs, bpe.default_path())
+    placed = mixing.positions(docs, "_position").select(F.struct("doc_id", F.col("_position").alias("position")).alias("doc_id"), "text")
+    encoded = bpe.encode_documents(placed, bpe.default_path())
+    return encoded.select("doc_id.doc_id", "doc_id.position", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.llm.ranking import order_key, ranked
-from junctura.llm.scratch import free_name, stored
+from junctura.llm.scratch import free_name, small, stored
 
 REST = "rest"
 
@@ -72,7 +73,7 @@ def epochs(weights: dict[str, int], counts: dict[str, int], block_rows: int) ->
 _PLAN = "mix_group string, epochs array<struct<from_block: long, first_slot: long, first_position: long, period: long, weight: long, spots: array<long>, epoch: int>>"
 
 
-def _scheduled(rows: DataFrame, weights: dict[str, int], block_rows: int, bucket_rows: int) -> DataFrame:
+def _scheduled(rows: DataFrame, weights: dict[str, int], block_rows: int, bucket_rows: int, **ranks) -> DataFrame:
     """``rows`` (with `mix_group` and `_key`) with slot, position, epoch and in_mix."""
     if any(not isinstance(w, int) or w < 1 for w in weights.values()) or REST not in weights:
         raise ValueError(f"weights must be positive whole numbers, one of them for {REST!r}")
@@ -83,7 +84,7 @@ def _scheduled(rows: DataFrame, weights: dict[str, int], block_rows: int, bucket
         plan.setdefault(e["mix_group"], []).append(tuple(e[k] for k in ("from_block", "first_slot", "first_position", "period", "weight", "spots", "epoch")))
     # One row a group, with at most as many epochs as there are groups.
     table = spark.createDataFrame(list(plan.items()), _PLAN)
-    met = ranked(rows, "mix_group", "_rank", bucket_rows).join(F.broadcast(table), "mix_group")
+    met = ranked(rows, "mix_group", "_rank", bucket_rows, **ranks).join(F.broadcast(table), "mix_group")
     block = F.floor(F.col("_rank") / block_rows)
     own = F.element_at(F.filter("epochs", lambda e: e["from_block"] <= block), -1)
     met = met.withColumn("_block", block).withColumn("_own", own).drop("epochs")
@@ -110,22 +111,54 @@ def mix(documents: DataFrame, weights: dict[str, int], block_rows: int = 16, buc
 WEIGHTS = {f"src{k}": 3 if k == 0 else 1 for k in range(20)} | {REST: 1}
 
 
+def standing(documents: DataFrame) -> tuple[Column, Column] | None:
+    """File and row of each row of a table as it is read; None for rows that come from no files."""
+    try:
+        documents.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018 - resolves the names
+    except AnalysisException:
+        return None
+    return F.col("_metadata.file_path"), F.col("_metadata.row_index")
+
+
 def ordered(documents: DataFrame, weights: dict[str, int] = WEIGHTS, block_rows: int = 16, bucket_rows: int = 4_000, part_rows: int = 20_000) -> DataFrame:
     """``documents``, with no other columns, in the order of the mix: files and rows within them ascend.
 
     Whole rows move twice: to their bucket, where their rank is found, and to their place. Positions
     are gapless, so that place is known by arithmetic, without sampling. Rows equal in id and in all
-    columns are interchangeable. ``documents`` are read more than once and must be the same each time.
+    columns are interchangeable and told apart by where they stand, so many copies of a row are spread too. ``documents`` are read
+    more than once and must be the same each time. Once written, the order is that of the files' numbers and of the rows in
+    them, which `positions` reads; Spark itself reads files in any order.
     """
     names = documents.columns
-    row = free_name(documents, "_row")
-    tie = F.xxhash64(*names)
-    narrow = documents.select(F.struct(*names).alias(row), _group(F.col("source"), weights).alias("mix_group"), order_key(F.col("doc_id"), F.lit(0), tie).alias("_key"))
-    placed = _scheduled(narrow, weights, block_rows, bucket_rows)
+    row, place = free_name(documents, "_row"), standing(documents)
+    key = order_key(F.col("doc_id"), F.lit(0), F.xxhash64(*names))
+    if place:
+        key = F.concat(key, F.lpad(F.lower(F.hex(F.xxhash64(*place))), 16, "0"))
+    narrow = documents.select(F.struct(*names).alias(row), _group(F.col("source"), weights).alias("mix_group"), key.alias("_key"))
+    placed = _scheduled(narrow, weights, block_rows, bucket_rows, levels=(32, 40, 56) if place else (32, 40))
     parts = max(1, -(-documents.count() // part_rows))
     return placed.repartitionById(parts, F.floor(F.col("position") / part_rows).cast("int")).sortWithinPartitions("position").select(f"{row}.*")
 
 
+def positions(documents: DataFrame, name: str = "position") -> DataFrame:
+    """``documents`` with the place of each row, from 0, in the order in which the table was written.
+
+    That is the order of the numbers in the files' names, then of the rows in a file. Rows that come from no files have null.
+    """
+    place = standing(documents)
+    if not place:
+        return documents.withColumn(name, F.lit(None).cast("long"))
+    file, row = free_name(documents, "_file"), free_name(documents, "_at")
+    number = lambda mark: F.regexp_extract(F.element_at(F.split(file, "/"), -1), mark, 1).try_cast("long")
+    sizes = documents.select(place[0].alias(file)).groupBy(file).agg(F.count("*").alias("_size"))
+    before = Window.orderBy(number(r"part-(\d+)"), number(r"-c(\d+)"), file).rowsBetween(Window.unboundedPreceding, -1)
+    # One row a file.
+    first = stored(sizes.select(F.col(file).alias("_name"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first")), "files")
+    rows = documents.select("*", place[0].alias(file), place[1].alias(row))
+    met = rows.join(small(first), F.col(file) == F.col("_name"))
+    return met.withColumn(name, F.col("_first") + F.col(row)).drop(file, row, "_name", "_first")
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), WEIGHTS).drop("text_crc32")
 

@@ -23,19 +23,19 @@ def _digits(rows: int, bucket_rows: int) -> int:
     return min(8, max(0, math.ceil(math.log(max(1.0, rows / bucket_rows), 16))))
 
 
-def ranked(rows: DataFrame, group: str, name: str, bucket_rows: int = 4_000) -> DataFrame:
+def ranked(rows: DataFrame, group: str, name: str, bucket_rows: int = 4_000, levels: tuple[int, ...] = _LEVELS) -> DataFrame:
     """``rows`` with a long ``name``: 0, 1, 2, ... inside each value of ``group`` (never null), by the column ``_key``, which goes.
 
     A bucket is a prefix of the key. Hashes are even, so buckets of different ids have about
     ``bucket_rows`` rows. Where many rows share an id, and a bucket thus has over four times as many,
-    its rows are told apart by further digits: of the checksum, then of the tie. Only rows equal in all
-    three stay together. A bucket's first rank is the sum of the sizes before it, over the table of bucket
+    its rows are told apart by further digits, from the places in ``levels`` on: of the checksum, then of the tie. Only
+    rows equal in all of these stay together. A bucket's first rank is the sum of the sizes before it, over the table of bucket
     sizes; within a bucket rows are numbered. ``rows`` are read more than once and must be the same each time.
     """
     most = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     bucket: Column = F.substring("_key", 1, _digits(most, bucket_rows))
     cut = rows.withColumn("_bucket", bucket)
-    for level in (*_LEVELS, None):
+    for level in (*levels, None):
         sizes = stored(cut.groupBy(group, "_bucket").agg(F.count("*").alias("_size")), "sizes")
         hot = sizes.where(F.col("_size") > 4 * bucket_rows).select(F.col(group).alias("_hot_group"), F.col("_bucket").alias("_hot"), "_size")
         n_hot, largest = hot.agg(F.count("*"), F.max("_size")).first()

@@ -4,6 +4,7 @@
 import pytest
 
 import corpus_pipeline
+from junctura.llm import mixing
 from test_operators import brute_components
 
 FOLDER = "/root/testdata/sf0.01"
@@ -26,7 +27,7 @@ def ids(df):
 def test_columns_stay(stages):
     for before, after in stages[:-1]:
         assert after.columns == before.columns
-    assert stages[-1][1].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert stages[-1][1].columns == ["doc_id", "position", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 def test_filters_remove_the_marked_and_keep_the_clean(spark, stages):
@@ -50,6 +51,29 @@ def test_mixing_and_encoding_keep_all(stages):
         assert ids(after) == ids(before)
 
 
+def test_positions_outlive_writing_and_encoding(spark):
+    """In several files, which Spark reads in another order, every document has the place that the mix gave it."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    want = {r.doc_id: r.position for r in mixing.mix(docs, mixing.WEIGHTS).collect()}
+    written = corpus_pipeline.stored(mixing.ordered(docs, part_rows=150), "several")
+    assert len(written.inputFiles()) == 7
+    assert {r.doc_id: r.position for r in mixing.positions(written).collect()} == want
+    assert {r.doc_id: r.position for r in corpus_pipeline.encoding_stage(spark, written, FOLDER).collect()} == want
+
+
+def test_pipeline_positions_are_gapless(stages):
+    before, after = stages[3:][0][0], stages[-1][1]
+    assert sorted(r.position for r in after.select("position").collect()) == list(range(before.count()))
+
+
+def test_copies_of_a_row_are_spread(spark):
+    """Rows equal in all columns are told apart by where they stand, so none of the tasks gets all of them."""
+    rows = spark.range(3000).selectExpr("7L as doc_id", "'same' as text", "'src0' as source")
+    docs = corpus_pipeline.stored(rows.repartition(4), "copies")
+    written = corpus_pipeline.stored(mixing.ordered(docs, bucket_rows=50, part_rows=500), "mixed")
+    assert written.count() == 3000 and sorted(r.position for r in mixing.positions(written).collect()) == list(range(3000))
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     """Nulls in every column, an empty table and columns named like internal ones pass through every stage."""
     data = [(i, t, None, s, 3, "x", 1.0, 7, "k") for i, (t, s) in enumerate([("one two three four five six", "src0"), (None, None), ("", "src1"), ("One two three four five six", "src0"), ("é", None)])]
