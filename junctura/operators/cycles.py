@@ -20,13 +20,14 @@ def _phase_rows(tables: Tables, *codes: int) -> DataFrame:
 def purdue_diagram(tables: Tables) -> DataFrame:
     """Of each green the first yellow, red and phase end before the next green; the last cycle is open."""
     w = along(PHASE)
-    rows = _phase_rows(tables, GREEN, YELLOW, RED, PHASE_END).withColumn("cycle", cycle(F.col("code") == GREEN, w)).where("cycle > 0")
+    rows = _phase_rows(tables, GREEN, GAP_OUT, MAX_OUT, FORCE_OFF, YELLOW, RED, PHASE_END).withColumn("cycle", cycle(F.col("code") == GREEN, w)).where("cycle > 0")
     first = lambda c: F.min(F.when(F.col("code") == c, F.col("t")))
-    out = rows.groupBy(*PHASE, "cycle").agg(first(GREEN).alias("green"), first(YELLOW).alias("yellow"), first(RED).alias("red"), first(PHASE_END).alias("end"))
+    by = F.when(first(GAP_OUT).isNotNull(), "gap_out").when(first(MAX_OUT).isNotNull(), "max_out").when(first(FORCE_OFF).isNotNull(), "force_off")
+    out = rows.groupBy(*PHASE, "cycle").agg(first(GREEN).alias("green"), first(YELLOW).alias("yellow"), first(RED).alias("red"), first(PHASE_END).alias("end"), by.alias("termination_type"))
     gap = lambda a, b: seconds(F.col(b) - F.col(a))
     return out.select(
         "signal_id", F.col("phase").alias("phase_number"), timestamp(F.col("green")).alias("green_start"), timestamp(F.col("yellow")).alias("yellow_start"), timestamp(F.col("red")).alias("red_start"), timestamp(F.col("end")).alias("cycle_end"),
-        gap("green", "yellow").alias("green_duration"), gap("yellow", "red").alias("yellow_duration"), gap("red", "end").alias("red_duration"), gap("green", "end").alias("cycle_duration"),
+        gap("green", "yellow").alias("green_duration"), gap("yellow", "red").alias("yellow_duration"), gap("red", "end").alias("red_duration"), gap("green", "end").alias("cycle_duration"), "termination_type",
     )
 
 

@@ -36,7 +36,8 @@ def approach_speed(tables: Tables, slowest_limit: float = 150.0) -> DataFrame:
     by = along(["signal_id", "approach_id"], ("mph", "t", "channel"))
     placed = kept.withColumn("place", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     pick = lambda p: F.max(F.when(F.col("place") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col("mph")))
-    return placed.groupBy("signal_id", "approach_id", "direction").agg(settled(F.avg("mph")).alias("avg_speed"), pick(85).alias("p85_speed"), pick(15).alias("p15_speed"), F.count("*").alias("sample_count"))
+    out = placed.groupBy("signal_id", "approach_id", "direction").agg(settled(F.avg("mph")).alias("avg_speed"), pick(85).alias("p85_speed"), pick(15).alias("p15_speed"), F.count("*").alias("sample_count"))
+    return out.join(tables.approaches.select("signal_id", "approach_id", F.col("mph").alias("speed_limit")), ["signal_id", "approach_id"], "left")
 
 
 def timing_and_actuations(tables: Tables, phases: tuple[int, ...] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ SQL = {
     "report_turning_movement_counts": sql(f"SELECT signal_id, approach_id, direction, {HOUR_BIN} AS bin_start, count(*) AS volume FROM dev WHERE code = 82 GROUP BY ALL"),
     "report_bike_volume": sql(f"SELECT signal_id, {HOUR_BIN} AS bin_start, param AS channel, count(*) AS volume FROM win WHERE code = 82 AND param IN (1, 5) GROUP BY ALL"),
     "report_approach_speed": sql(
-        "SELECT signal_id, approach_id, direction, round(avg(mph), 6) AS avg_speed, max(CASE WHEN place = least(n * 85 // 100, n - 1) THEN mph END) AS p85_speed, max(CASE WHEN place = least(n * 15 // 100, n - 1) THEN mph END) AS p15_speed, count(*) AS sample_count FROM r GROUP BY ALL",
+        "SELECT signal_id, approach_id, direction, round(avg(mph), 6) AS avg_speed, max(CASE WHEN place = least(n * 85 // 100, n - 1) THEN mph END) AS p85_speed, max(CASE WHEN place = least(n * 15 // 100, n - 1) THEN mph END) AS p15_speed, count(*) AS sample_count, 35 AS speed_limit FROM r GROUP BY ALL",
         "p AS (SELECT *, lag(code) OVER w AS pc, lag(t) OVER w AS pt FROM dev WHERE distance > 0 WINDOW w AS (PARTITION BY signal_id, param ORDER BY t, code))",
         "m AS (SELECT *, distance / ((t - pt) / 1e6) / 1.467 AS mph FROM p WHERE code = 81 AND pc = 82 AND t > pt)",
         "r AS (SELECT *, row_number() OVER (PARTITION BY signal_id, approach_id ORDER BY mph, t) - 1 AS place, count(*) OVER (PARTITION BY signal_id, approach_id) AS n FROM m WHERE mph BETWEEN 5 AND 150)",

@@ -54,9 +54,9 @@ SQL = {
         _PREEMPTS,
     ).replace("WITH", "WITH RECURSIVE", 1),
     "report_purdue_diagram": sql(
-        "SELECT signal_id, phase AS phase_number, make_timestamp(g) AS green_start, make_timestamp(y) AS yellow_start, make_timestamp(r) AS red_start, make_timestamp(e) AS cycle_end, (y - g) / 1e6 AS green_duration, (r - y) / 1e6 AS yellow_duration, (e - r) / 1e6 AS red_duration, (e - g) / 1e6 AS cycle_duration FROM c",
-        _CYC.format(codes="code IN (1, 8, 9, 10)"),
-        "c AS (SELECT signal_id, phase, cycle, min(CASE WHEN code = 1 THEN t END) AS g, min(CASE WHEN code = 8 THEN t END) AS y, min(CASE WHEN code = 9 THEN t END) AS r, min(CASE WHEN code = 10 THEN t END) AS e FROM cyc GROUP BY ALL)",
+        "SELECT signal_id, phase AS phase_number, make_timestamp(g) AS green_start, make_timestamp(y) AS yellow_start, make_timestamp(r) AS red_start, make_timestamp(e) AS cycle_end, (y - g) / 1e6 AS green_duration, (r - y) / 1e6 AS yellow_duration, (e - r) / 1e6 AS red_duration, (e - g) / 1e6 AS cycle_duration, x AS termination_type FROM c",
+        _CYC.format(codes="code IN (1, 4, 5, 6, 8, 9, 10)"),
+        "c AS (SELECT signal_id, phase, cycle, min(CASE WHEN code = 1 THEN t END) AS g, min(CASE WHEN code = 8 THEN t END) AS y, min(CASE WHEN code = 9 THEN t END) AS r, min(CASE WHEN code = 10 THEN t END) AS e, CASE WHEN bool_or(code = 4) THEN 'gap_out' WHEN bool_or(code = 5) THEN 'max_out' WHEN bool_or(code = 6) THEN 'force_off' END AS x FROM cyc GROUP BY ALL)",
     ),
     "report_split_monitor": sql(
         "SELECT *, greatest(total_split - green_time - yellow_time, 0.0) AS red_clearance_time FROM o",

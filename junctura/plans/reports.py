@@ -8,7 +8,7 @@ import typing
 
 from pyspark.sql import DataFrame
 
-from junctura.operators import arrivals, cycles, leftturn, preemption, volumes
+from junctura.operators import arrivals, cycles, leftturn, preemption, stored, volumes
 from junctura.sources.derived import Tables
 from junctura.sources.lake import export
 
@@ -23,6 +23,9 @@ REPORTS = {
     "turning-movement-counts": volumes.turning_movement_counts, "wait-time": arrivals.wait_time, "yellow-red-actuations": arrivals.yellow_red_actuations,
 }
 
+#: Those that take stored rows first, where the tables have a store of them.
+STORED = {"arrivals-on-green": stored.arrivals_on_green, "purdue-diagram": stored.purdue_diagram}
+
 _JSON = {int: "integer", float: "number", bool: "boolean", str: "string", tuple: "array", dict: "object"}
 
 
@@ -65,7 +68,9 @@ def run(tables: Tables, name: str, parameters: dict | None = None, signals: tupl
         if not isinstance(value, kinds) or isinstance(value, bool) and bool not in kinds:
             raise ValueError(f"{key} of {name} must be {' or '.join(k.__name__ for k in kinds)}")
         values[key] = value
-    return REPORTS[name](tables.over(start, end, signals or ()), **values)
+    chosen = tables.over(start, end, signals or ())
+    store = getattr(tables, "store", "")
+    return STORED[name](chosen, store, **values) if store and name in STORED else REPORTS[name](chosen, **values)
 
 
 def run_and_export(tables: Tables, name: str, path: str, kind: str = "csv", parameters: dict | None = None, **window) -> None:

@@ -35,10 +35,12 @@ def plans_between(plans: DataFrame, start: int, end: int) -> DataFrame:
 class LakeTables(Tables):
     """``folder``: approaches, detectors, plans, route, speeds (Parquet) and, where they are kept, approach_audit and detector_audit; ``lake``: the events.
 
-    Configuration is that of the window's start: of entities with a history, the fields they had then.
+    Configuration is that of the window's start: of entities with a history, the fields they had then. ``store``, where one is kept, has
+    the cycle tables built so far, which some reports read first.
     """
 
     lake: str = ""
+    store: str = ""
 
     def between(self, *codes: int, start: int | None = None, end: int | None = None) -> DataFrame:
         rows = scan(self.spark, self.lake, moment(self.start if start is None else start), moment(self.end if end is None else end), codes, self.chosen)
