@@ -3,7 +3,7 @@
 from junctura.plans.arrival_sql import sql
 
 START, END = 1_704_067_200_000_000, 1_704_110_400_000_000
-Q = 900_000_000
+Q, HOUR, DAY = 900_000_000, 3_600_000_000, 86_400_000_000
 _CYC = "cyc AS (SELECT * FROM (SELECT *, sum(CASE WHEN code = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY signal_id, phase ORDER BY t, code ROWS UNBOUNDED PRECEDING) AS cycle FROM pev WHERE {codes}) WHERE cycle > 0)"
 _PW = "PARTITION BY signal_id, phase ORDER BY t, code"
 
@@ -78,6 +78,20 @@ SQL = {
         "z0 AS (SELECT *, b + plan_number * 10 * 1000000 - (g + y - 35000000) AS ref0 FROM m)",
         "z AS (SELECT *, ref0 - CAST(ceil((ref0 - b) / len) AS BIGINT) * len AS ref FROM z0)",
     ),
+    "report_time_space_average_week": sql(
+        "SELECT signal_id, 2 AS phase_number, k AS cycle_index, e AS event, make_timestamp(ref + k * len + a) AS event_time, place * 1000.0 AS distance_ft, (len + 500) // 1000 / 1000.0 AS cycle_length_seconds, (g + 500) // 1000 / 1000.0 AS median_green_seconds, (y + 500) // 1000 / 1000.0 AS median_yellow_seconds, (r + 500) // 1000 / 1000.0 AS median_red_seconds, split AS programmed_split_seconds, days AS days_included, 30.0 AS speed_limit_applied FROM (SELECT *, unnest(range((lim - ref) // len + 1)) AS k FROM z) JOIN LATERAL (VALUES ('green', 0), ('yellow', g), ('red', g + y)) s(e, a) ON true",
+        f"one AS (SELECT signal_id FROM sig ORDER BY place LIMIT 1), days AS (SELECT {START} + d * {DAY} + {2 * HOUR} AS b, {START} + d * {DAY} + {23 * HOUR // 2} AS f FROM range(5) g(d))",
+        "dp AS (SELECT d.*, (SELECT plan_number FROM plans JOIN one USING (signal_id) WHERE begin <= d.b ORDER BY begin DESC LIMIT 1) AS plan FROM days d)",
+        f"a AS (SELECT plan FROM dp WHERE b = {START + 2 * HOUR}), kept AS (SELECT b, f FROM dp WHERE (SELECT plan FROM a) IS NULL OR plan = (SELECT plan FROM a))",
+        "pe AS (SELECT c.signal_id, c.t, c.code, k.b FROM cel c JOIN kept k ON c.t BETWEEN k.b AND k.f WHERE c.code IN (1, 8, 9) AND c.param = 2)",
+        "c0 AS (SELECT signal_id, b, t AS s, lead(t) OVER (PARTITION BY signal_id, b ORDER BY t) AS nx FROM pe WHERE code = 1)",
+        "c1 AS (SELECT c0.*, (SELECT min(t) FROM pe WHERE pe.signal_id = c0.signal_id AND pe.b = c0.b AND code = 8 AND t > s AND t < nx) AS yt, (SELECT min(t) FROM pe WHERE pe.signal_id = c0.signal_id AND pe.b = c0.b AND code = 9 AND t > s AND t < nx) AS rt FROM c0)",
+        "c2 AS (SELECT signal_id, b, s, yt - s AS g, rt - yt AS y, nx - rt AS r FROM c1 WHERE yt > s AND rt > yt AND nx > rt)",
+        "c3 AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY g, s) - 1 AS i, count(*) OVER (PARTITION BY signal_id) AS n FROM c2)",
+        "m AS (SELECT c3.*, (SELECT count(DISTINCT b) FROM c2 WHERE c2.signal_id = c3.signal_id) AS days, place, (SELECT plan FROM a) AS plan FROM c3 JOIN sig USING (signal_id) WHERE i = n // 2)",
+        "z0 AS (SELECT *, CASE WHEN plan IS NULL THEN 0.0 ELSE 35.0 END AS split, greatest(CASE WHEN plan IS NULL THEN 0 ELSE 90000000 END, g + y + r) AS len, CASE WHEN plan IS NULL THEN -(g + y) ELSE plan * 10000000 - (g + y - 35000000) END AS off FROM m)",
+        f"z AS (SELECT *, {START + 2 * HOUR} + off - CASE WHEN off > 0 THEN (off + len - 1) // len ELSE 0 END * len AS ref, {START + 23 * HOUR // 2 + 120_000_000} AS lim FROM z0)",
+    ).replace("epoch_us(ts)", "epoch_us(ts + to_days(CAST(60 * (event_id % 7) AS INT)))"),
     "report_green_time_utilization": sql(
         f"SELECT b.signal_id, b.phase AS phase_number, x_bin, make_timestamp({START} + x_bin * {Q}) AS bin_start, n AS cycle_count, ag AS avg_green_seconds, split AS programmed_split_seconds, CASE WHEN split - coalesce(yr, 0.0) > 0 THEN ag * 100.0 / (split - coalesce(yr, 0.0)) ELSE 0.0 END AS utilization_pct FROM b2 b LEFT JOIN yr USING (signal_id, phase)",
         f"s AS (SELECT *, last_value(CASE WHEN code = 1 THEN t END IGNORE NULLS) OVER w AS g, last_value(CASE WHEN code = 8 THEN t END IGNORE NULLS) OVER w AS y FROM pev WHERE code IN (1, 8, 9) WINDOW w AS ({_PW} ROWS UNBOUNDED PRECEDING))",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.operators import aggregates, analytics, arrivals, config, cycles, leftturn, preemption, quality, scans, volumes
+from junctura.operators import aggregates, analytics, arrivals, config, corridor, cycles, leftturn, preemption, quality, scans, volumes
 from junctura.plans import aggregate_sql, analytics_sql, arrival_sql, cycle_sql, quality_sql, scan_sql
 from junctura.session import shipping
 from junctura.sources import lake
@@ -18,7 +18,7 @@ REPORTS = (
     volumes.approach_volume, volumes.turning_movement_counts, volumes.bike_volume, volumes.approach_speed, volumes.timing_and_actuations, volumes.ramp_metering,
     arrivals.approach_delay, arrivals.arrival_on_red, arrivals.arrivals_on_green, arrivals.yellow_red_actuations, arrivals.red_light_monitor, arrivals.wait_time, arrivals.split_failure,
     cycles.purdue_diagram, cycles.split_monitor, cycles.phase_termination, cycles.phase_skips, cycles.time_space_diagram, cycles.time_space_diagram_average,
-    cycles.green_time_utilization, cycles.link_pivot, cycles.transit_signal_priority, cycles.ped_delay,
+    cycles.green_time_utilization, cycles.link_pivot, cycles.transit_signal_priority, cycles.ped_delay, corridor.time_space_average_week,
     preemption.preempt_service, preemption.preempt_service_request, preemption.preemption, preemption.preempt_detail,
     leftturn.left_turn_gap, leftturn.left_turn_volume_report, leftturn.left_turn_gap_data_check_report,
 )

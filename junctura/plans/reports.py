@@ -8,7 +8,7 @@ import typing
 
 from pyspark.sql import DataFrame
 
-from junctura.operators import arrivals, cycles, leftturn, preemption, stored, volumes
+from junctura.operators import arrivals, corridor, cycles, leftturn, preemption, stored, volumes
 from junctura.sources.derived import Tables
 from junctura.sources.lake import export
 
@@ -19,7 +19,7 @@ REPORTS = {
     "phase-termination": cycles.phase_termination, "phase-skips": cycles.phase_skips, "preempt-detail": preemption.preempt_detail, "preempt-service": preemption.preempt_service,
     "preempt-service-request": preemption.preempt_service_request, "preemption": preemption.preemption, "purdue-diagram": cycles.purdue_diagram, "ramp-metering": volumes.ramp_metering,
     "red-light-monitor": arrivals.red_light_monitor, "split-failure": arrivals.split_failure, "split-monitor": cycles.split_monitor, "time-space-diagram": cycles.time_space_diagram,
-    "time-space-diagram-average": cycles.time_space_diagram_average, "timing-and-actuations": volumes.timing_and_actuations, "transit-signal-priority": cycles.transit_signal_priority,
+    "time-space-diagram-average": cycles.time_space_diagram_average, "time-space-diagram-average-days": corridor.time_space_average_days, "timing-and-actuations": volumes.timing_and_actuations, "transit-signal-priority": cycles.transit_signal_priority,
     "turning-movement-counts": volumes.turning_movement_counts, "wait-time": arrivals.wait_time, "yellow-red-actuations": arrivals.yellow_red_actuations,
 }
 

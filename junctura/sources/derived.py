@@ -18,6 +18,7 @@ from junctura.functions.vocabulary import DIRECTIONS, OFF, ON
 
 START = 1_704_067_200_000_000
 END = START + 12 * 3_600_000_000
+DAY = 24 * 3_600_000_000
 
 _CODES = ((12, 1), (24, 8), (36, 9), (44, 10), (48, 4), (51, 5), (54, 6), (74, 82), (88, 81), (90, 21), (92, 45), (93, 102), (94, 105), (95, 104), (96, 112), (97, 114), (98, 131), (100, 113))
 _PHASES = ((2, 1), (4, 3), (6, 2), (8, 4))
@@ -138,6 +139,17 @@ class Tables:
         return met.select("signal_id", phase.alias("phase"), "t", "code", F.when(hit, F.col("param")).otherwise(0).alias("param"), "approach_id").where("phase is not null")
 
 
+@dataclass
+class DayTables(Tables):
+    """The same log dealt out over a week by the events' numbers; each event keeps its time of day."""
+
+    end: int = START + 7 * DAY - 1
+
+    def read(self, name: str) -> DataFrame:
+        rows = super().read(name)
+        return rows.withColumn("ts", F.expr("ts + make_dt_interval(cast(60 * (event_id % 7) as int))")) if name == "events" else rows
+
+
 _CASE = " ".join(f"WHEN h < {m} THEN {v}" for m, v in _CODES)
 PRELUDE = f"""ev0 AS (SELECT event_id, user_id % 5 AS sn, value, {START} + (epoch_us(ts) - {START}) // 60 AS t, CAST(json_extract_string(props, '$.k') AS INT) AS k, (event_id * 7919 + user_id * 31) % 100 AS h FROM events),
 ev1 AS (SELECT 'SIG-00' || sn AS signal_id, t, k, CASE {_CASE} END AS code FROM ev0),

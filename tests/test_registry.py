@@ -17,7 +17,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_listing_and_schema():
-    assert len(reports.listing()) == 30
+    assert len(reports.listing()) == 31
     assert reports.schema("arrival-on-red")["properties"] == {"minutes": {"type": "integer", "default": 15}, "yellow_as_red": {"type": "boolean", "default": True}, "include_permissive": {"type": "boolean", "default": False}}
     with pytest.raises(KeyError):
         reports.schema("none")
