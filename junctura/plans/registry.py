@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.operators import aggregates, analytics, arrivals, config, corridor, cycles, leftturn, preemption, quality, scans, volumes
-from junctura.plans import aggregate_sql, analytics_sql, arrival_sql, cycle_sql, quality_sql, scan_sql
+from junctura.operators import aggregates, analytics, arrivals, config, corridor, cycles, leftturn, listings, preemption, quality, scans, volumes
+from junctura.plans import aggregate_sql, analytics_sql, arrival_sql, cycle_sql, listing_sql, quality_sql, scan_sql
 from junctura.session import shipping
 from junctura.sources import lake
 from junctura.sources.derived import Tables
@@ -36,10 +36,11 @@ def queries() -> dict[str, Query]:
     found |= {f"watchdog_{c.__name__}": c for c in (*quality.CHECKS, quality.suppressed_alerts)}
     found |= {"quality_validation_summary": quality.validation_summary, "quality_latest_status": quality.latest_status}
     found |= {f"config_{c.__name__}": c for c in (config.approaches_as_of, config.signal_tree_flat, config.channels_for_phase)}
+    found |= {f"config_{c.__name__.removesuffix('_query')}": c for c in listings.ALL}
     found |= {f"cycles_{c.__name__}": c for c in (*scans.ALL, cycles.green_detections)}
     found |= {f"lake_{c.__name__}": c for c in (lake.events_query, lake.clock_correction)}
     return {name: _over_tables(operator) for name, operator in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return arrival_sql.SQL | cycle_sql.SQL | analytics_sql.SQL | aggregate_sql.SQL | quality_sql.SQL | scan_sql.SQL
+    return arrival_sql.SQL | cycle_sql.SQL | analytics_sql.SQL | aggregate_sql.SQL | quality_sql.SQL | scan_sql.SQL | listing_sql.SQL

@@ -119,6 +119,33 @@ class Tables:
         rows = self.read("events").select(F.concat(F.lit("SIG-00"), (F.col("user_id") % 5).cast("string")).alias("signal_id"), F.expr(f"{START} + (unix_micros(cast(ts as timestamp)) - {START}) div 60").alias("t"), (1 + F.col("event_id") % 2).cast("int").alias("lane"), (F.col("value").cast("int") % 70 + 10).alias("mph"))
         return rows.withColumn("approach_id", F.concat("signal_id", F.lit("-P"), (2 * F.col("lane")).cast("string")))
 
+    @cached_property
+    def sites(self) -> DataFrame:
+        """signal_id, primary_street, region_id, corridor_id, jurisdiction_id, enabled: every supplier as an intersection of its nation and region."""
+        nations, regions = self.read("nation"), self.read("region")
+        rows = self.read("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        key = F.col("s_suppkey")
+        return rows.select(F.concat(F.lit("SITE-"), key.cast("string")).alias("signal_id"), F.col("s_name").alias("primary_street"), F.col("r_name").alias("region_id"), F.concat(F.lit("C-"), (key % 7).cast("string")).alias("corridor_id"), F.col("n_name").alias("jurisdiction_id"), (key % 9 != 0).alias("enabled"))
+
+    @cached_property
+    def site_audit(self) -> DataFrame:
+        """audit_id, signal_id, changed_at, changed_by, operation, old_values, new_values: every order as a change of an intersection."""
+        value = F.to_json(F.struct(F.substring("o_orderpriority", 1, 1).alias("priority"), F.col("o_totalprice").cast("long").cast("string").alias("cost")))
+        before = F.to_json(F.struct(F.lit("3").alias("priority"), F.lit(None).cast("string").alias("cost")))
+        operation = F.when(F.col("o_orderstatus") == "O", "INSERT").when(F.col("o_orderstatus") == "F", "UPDATE").otherwise("DELETE")
+        return self.read("orders").select(
+            F.col("o_orderkey").alias("audit_id"), F.concat(F.lit("SITE-"), (F.col("o_custkey") % 40).cast("string")).alias("signal_id"), F.col("o_orderdate").alias("changed_at"), F.concat(F.lit("user-"), (F.col("o_custkey") % 3).cast("string")).alias("changed_by"),
+            operation.alias("operation"), F.when(operation != "INSERT", before).alias("old_values"), F.when(operation != "DELETE", value).alias("new_values"),
+        )
+
+    @cached_property
+    def checkpoints(self) -> DataFrame:
+        """device_type, device_id, method, last_event_timestamp, events_ingested, consecutive_errors: each user as a device, each kind of event as a method."""
+        t = F.lit(START) + F.expr(f"(unix_micros(cast(ts as timestamp)) - {START}) div 60")
+        kind = F.when(F.col("user_id") % 3 == 0, "sensor").otherwise("controller")
+        rows = self.read("events").groupBy(kind.alias("device_type"), F.concat(F.lit("DEV-"), F.col("user_id").cast("string")).alias("device_id"), F.col("event_type").alias("method"))
+        return rows.agg(F.timestamp_micros(F.max(t)).cast("timestamp_ntz").alias("last_event_timestamp"), F.count("*").alias("events_ingested"), F.count(F.when(F.col("value") > 150, 1)).alias("consecutive_errors"))
+
     def phase_events(self, *codes: int, **window: int) -> DataFrame:
         return self.between(*codes, **window).withColumnRenamed("param", "phase")
 

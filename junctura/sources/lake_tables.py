@@ -33,7 +33,7 @@ def plans_between(plans: DataFrame, start: int, end: int) -> DataFrame:
 
 @dataclass
 class LakeTables(Tables):
-    """``folder``: approaches, detectors, plans, route, speeds (Parquet) and, where they are kept, approach_audit and detector_audit; ``lake``: the events.
+    """``folder``: approaches, detectors, plans, route, speeds (Parquet) and, where they are kept, approach_audit, detector_audit, sites, site_audit and checkpoints; ``lake``: the events.
 
     Configuration is that of the window's start: of entities with a history, the fields they had then. ``store``, where one is kept, has
     the cycle tables built so far, which some reports read first.
@@ -86,3 +86,15 @@ class LakeTables(Tables):
     @cached_property
     def speeds(self) -> DataFrame:
         return self.of_chosen(self.read("speeds").where(F.col("t").between(self.start, self.end)))
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return self.of_chosen(self.read("sites"))
+
+    @cached_property
+    def site_audit(self) -> DataFrame:
+        return self.of_chosen(self.read("site_audit"))
+
+    @cached_property
+    def checkpoints(self) -> DataFrame:
+        return self.read("checkpoints")

@@ -1,6 +1,7 @@
 """Decoders, the event lake and configuration history."""
 
 import gzip
+import random
 import struct
 import zlib
 from datetime import date, datetime, timedelta
@@ -175,3 +176,40 @@ def test_clock_correction_keeps_other_signals(spark):
     got = lake.clock_correction(SimpleNamespace(between=lambda: log)).collect()
     first = datetime(1970, 1, 1) + timedelta(microseconds=t // 900_000_000 * 900_000_000)
     assert {(r.signal_id, r.bin_start, r.n) for r in got} == {("SIG-001", first, 3), ("SIG-002", first, 2), ("SIG-002", first + timedelta(minutes=15), 1)}
+
+
+def test_layout_of_text_logs():
+    text = b"site 12\nmade today\nwhen;what;which;more\n15.01.2024 08-00-01;82;5;x\n15.01.2024 08-00-02;bad;5\n15.01.2024 08-00-03;81\n\n15.01.2024 08-00-04;1;2\n"
+    layout = decoders.Layout(time=0, code=1, param=2, time_format="%d.%m.%Y %H-%M-%S", skip_rows=2)
+    assert flat(decoders.delimited(text, layout)) == [((BASE + 1) * 10**6, 82, 5), ((BASE + 4) * 10**6, 1, 2)]
+    named = b"date_time,note,ec\n2024-01-15 08:00:00,7,82\n"
+    assert flat(decoders.decoded(named)) == [(BASE * 10**6, 82, 0)]
+    assert flat(decoders.delimited(named, decoders.Layout(param=1))) == [(BASE * 10**6, 82, 7)]
+    assert flat(decoders.delimited(named, decoders.Layout(code=1))) == [(BASE * 10**6, 7, 0)]
+    assert flat(decoders.delimited(named, decoders.Layout(delimiter=";"))) == [] == flat(decoders.delimited(b"", decoders.Layout(skip_rows=3)))
+    assert flat(decoders.delimited(b"ts::ec\n2024-01-15 08:00:00::4\n", decoders.Layout(delimiter="::"))) == [(BASE * 10**6, 4, 0)]
+
+
+def test_formats_by_extension(spark, tmp_path):
+    assert decoders.formats_of(".DAT") == ["asc3", "peek"] and decoders.formats_of(".pb") == ["openphase"] and decoders.formats_of(".none") == []
+    text = "ts,ec,ep\n2024-01-15 08:00:00,82,5\n"
+    for name in ("A_1.csv", "B_1.dat", "C_1", "D_1.tsv", "E_1.TXT"):
+        (tmp_path / name).write_text(text)
+    rows = {r.signal_id: r for r in decoders.read_logs(spark, str(tmp_path), "extension").collect()}
+    assert {s for s, r in rows.items() if r.event_code == 82 and r.error is None} == {"A", "D", "E"}
+    assert {s for s, r in rows.items() if "no decoder" in (r.error or "")} == {"B", "C"}
+
+
+def test_lines_equal_whole_files(spark, tmp_path):
+    rng = random.Random(5)
+    stamps = ["2024-01-15 08:00:0{}", "1/5/2024 8:00:0{}", "2024-01-15T08:00:0{}", "2024-01-15 08:00:0{}.25", "01/15/2024 08:00:0{}.123456", "15.01.2024 08:00:0{}", ""]
+    for name in "ABC":
+        rows = [f"{rng.choice(stamps).format(rng.randrange(10))}|{rng.choice([82, ' 81 ', 'x', ''])}|{rng.choice([5, 6, 'y'])}|z" for _ in range(300)]
+        (tmp_path / f"{name}_1.log").write_text("\n".join(["a free line", "when|what|which", *rows]) + "\n")
+    layout = decoders.Layout("|", 0, 1, 2)
+    key = lambda r: (r.path, r.signal_id, r.event_time, r.event_code, r.event_param)
+    lines = sorted(map(key, decoders.read_lines(spark, str(tmp_path), layout).collect()))
+    whole = sorted(map(key, decoders.read_logs(spark, str(tmp_path), layout=layout).collect()))
+    assert lines == whole and len(lines) > 200
+    with pytest.raises(ValueError, match="places"):
+        decoders.read_lines(spark, str(tmp_path), decoders.Layout("|"))
