@@ -101,15 +101,31 @@ def cycle_boundary(tables: Tables) -> DataFrame:
     )
 
 
+def _cycle_rows(tables: Tables) -> DataFrame:
+    """Phase and detector events of one scan: on a green (its first row) its cycle's yellow, red and finish, on an arrival in a cycle with yellow and red that cycle.
+
+    ``own`` is null on greens. Marks lie within 300 s of the green and before the next one; a cycle's arrivals lie before its finish, or within 300 s.
+    All windows lie inside (signal, phase), so there is one shuffle.
+    """
+    w, code, t = along(PHASE), F.col("code"), F.col("t")
+    rows = tables.stream((GREEN, YELLOW, RED, PHASE_END)).withColumn("green", last(F.when(code == GREEN, t), w)).where("green is not null")
+    of = Window.partitionBy(*PHASE, "green")
+    for name, c in (("yellow", YELLOW), ("red", RED), ("finish", PHASE_END)):
+        rows = rows.withColumn(name, F.min(F.when((code == c) & (t - F.col("green") <= REACH), t)).over(of))
+    cycle_of = F.struct("green", "yellow", "red", "finish")
+    whole = F.when((code == GREEN) & F.col("yellow").isNotNull() & F.col("red").isNotNull(), cycle_of)
+    rows = rows.withColumn("own", F.when(code == ON, last(whole, w))).withColumn("c", F.when(code == GREEN, cycle_of).otherwise(F.col("own")))
+    inside = (code == GREEN) | (t < F.coalesce(F.col("own.finish"), F.col("own.green") + REACH))
+    return rows.where(code.isin(GREEN, ON) & inside).select(*PHASE, "t", F.col("param").alias("channel"), F.col("own").isNotNull().alias("hit"), "c.*")
+
+
+def _state() -> Column:
+    return F.when(F.col("t") >= F.col("red"), "red").when(F.col("t") >= F.col("yellow"), "yellow").otherwise("green")
+
+
 def _arrivals(tables: Tables) -> DataFrame:
     """Arrivals at the phase's own detectors in [green, end of cycle or 300 s), for cycles with yellow and red."""
-    cycles = _boundaries(tables).where("yellow is not null and red is not null")
-    w = along(PHASE)
-    starts = cycles.select(*PHASE, F.col("green").alias("t"), F.lit(GREEN).alias("code"), F.lit(0).alias("param"), F.struct("green", "yellow", "red", "finish").alias("c"))
-    hits = tables.arrivals().select(*PHASE, "t", "code", F.col("channel").alias("param"), F.lit(None).cast(starts.schema["c"].dataType).alias("c"))
-    rows = starts.unionByName(hits).withColumn("c", last(F.col("c"), w)).where(F.col("code") == ON).select(*PHASE, "t", F.col("param").alias("channel"), "c.*")
-    state = F.when(F.col("t") >= F.col("red"), "red").when(F.col("t") >= F.col("yellow"), "yellow").otherwise("green")
-    return rows.where(F.col("t") < F.coalesce("finish", F.col("green") + REACH)).withColumn("phase_state", state)
+    return _cycle_rows(tables).where("hit").withColumn("phase_state", _state())
 
 
 def cycle_detector_arrival(tables: Tables) -> DataFrame:
@@ -118,9 +134,9 @@ def cycle_detector_arrival(tables: Tables) -> DataFrame:
 
 def cycle_summary_15min(tables: Tables) -> DataFrame:
     """Cycle lengths averaged over cycles, each counting once however many arrivals it has."""
-    of = lambda s: _n(F.col("phase_state") == s)
-    hits = _arrivals(tables).groupBy(*PHASE, "green").agg(F.count("*").alias("a"), of("green").alias("g"), of("yellow").alias("y"), of("red").alias("r"))
-    rows = _boundaries(tables).join(hits, [*PHASE, "green"], "left")
+    of = lambda s: _n(F.col("hit") & (_state() == s))
+    marks = (F.max(c).alias(c) for c in ("yellow", "red", "finish"))
+    rows = _cycle_rows(tables).groupBy(*PHASE, "green").agg(*marks, _n(F.col("hit")).alias("a"), of("green").alias("g"), of("yellow").alias("y"), of("red").alias("r"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     mean = lambda a, b: seconds(F.sum(F.col(b) - F.col(a))) / F.nullif(F.count(F.col(b)), F.lit(0))
     out = rows.groupBy(*PHASE, _bin(QUARTER, "green")).agg(F.count("*").alias("total_cycles"), mean("green", "finish").alias("avg_cycle_length_seconds"), mean("green", "yellow").alias("avg_green_seconds"), total("a").alias("total_arrivals"), total("g").alias("arrivals_on_green"), total("y").alias("arrivals_on_yellow"), total("r").alias("arrivals_on_red"))

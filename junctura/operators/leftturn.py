@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.functions.temporal import MINUTE, along, bin_of, cycle, last, seconds, settled, share, timestamp
+from junctura.functions.temporal import MINUTE, along, bin_of, cycle, last, previous, seconds, settled, share, timestamp
 from junctura.functions.vocabulary import FORCE_OFF, GAP_OUT, GREEN, MAX_OUT, OFF, ON, PED_CALL, YELLOW
 from junctura.operators.arrivals import split_failure
 from junctura.sources.derived import Tables
@@ -25,47 +25,49 @@ BOUNDARIES = {
 OPPOSING = {1: 2, 2: 1, 3: 4, 4: 3, 5: 6, 6: 5, 7: 8, 8: 7}
 
 
-def gaps(tables: Tables) -> DataFrame:
-    """signal_id, phase, cycle, gap (seconds) of the opposing stream inside green, and the cycles' own rows.
+def _gap_rows(tables: Tables) -> DataFrame:
+    """The rows of the phases' greens, yellows, pedestrian calls and detectors with their cycle, its last yellow (end) and, where one closes, a gap (seconds).
 
-    A gap opens when an OFF leaves no detector on and closes with the next ON. The number of detectors
+    A gap opens when an OFF leaves no detector on and closes with the next ON, inside [green, end]. The number of detectors
     on never falls below 0; that clamped count is the running sum less its lowest value so far, so it
-    stays a window expression.
+    stays a window expression. One scan and one shuffle serve all of it.
     """
-    w = along(PHASE)
-    rows = tables.stream((GREEN, YELLOW), (ON, OFF)).withColumn("cycle", cycle(F.col("code") == GREEN, w)).where("cycle > 0")
-    of = Window.partitionBy(*PHASE, "cycle")
-    rows = rows.withColumn("green", F.min(F.when(F.col("code") == GREEN, F.col("t"))).over(of)).withColumn("end", F.max(F.when(F.col("code") == YELLOW, F.col("t"))).over(of))
-    inside = rows.where(F.col("code").isin(ON, OFF) & F.col("end").isNotNull() & (F.col("t") <= F.col("end")))
+    code, t = F.col("code"), F.col("t")
+    rows = tables.stream((GREEN, YELLOW, PED_CALL), (ON, OFF)).withColumn("cycle", cycle(code == GREEN, along(PHASE)))
+    rows = rows.withColumn("end", F.when(F.col("cycle") > 0, F.max(F.when(code == YELLOW, t)).over(Window.partitionBy(*PHASE, "cycle"))))
     c = along([*PHASE, "cycle"])
-    run = c.rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.when(F.col("code") == ON, 1).otherwise(-1)).over(run)
-    counted = inside.withColumn("sum", total)
-    counted = counted.withColumn("on", F.col("sum") - F.least(F.lit(0), F.min("sum").over(run)))
-    opened = F.when((F.lag("code").over(c) == OFF) & (F.lag("on").over(c) == 0), F.lag("t").over(c))
-    return counted.withColumn("opened", opened).where((F.col("code") == ON) & (F.col("t") > F.col("opened"))).select(*PHASE, "cycle", seconds(F.col("t") - F.col("opened")).alias("gap"))
+    inside = code.isin(ON, OFF) & (t <= F.col("end"))
+    rows = rows.withColumn("inside", F.coalesce(inside, F.lit(False)))
+    step = F.when(~F.col("inside"), 0).when(code == ON, 1).otherwise(-1)
+    rows = rows.withColumn("sum", F.sum(step).over(c.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("on", F.col("sum") - F.least(F.lit(0), F.min("sum").over(c.rowsBetween(Window.unboundedPreceding, 0))))
+    before = previous(F.when(F.col("inside"), F.struct("t", "code", "on")), c)
+    opened = F.when((before["code"] == OFF) & (before["on"] == 0), before["t"])
+    rows = rows.withColumn("opened", opened)
+    return rows.withColumn("gap", F.when(F.col("inside") & (code == ON) & (t > F.col("opened")), seconds(t - F.col("opened")))).select(*PHASE, "t", "code", "cycle", "end", "gap")
+
+
+def gaps(tables: Tables) -> DataFrame:
+    """signal_id, phase, cycle, gap (seconds) of the opposing stream inside green."""
+    return _gap_rows(tables).where("gap is not null").select(*PHASE, "cycle", "gap")
 
 
 def left_turn_gap(tables: Tables, opposing_lanes: int | None = None, left_turn_phase: int | None = None, green_threshold: float = 0.79, red_threshold: float = 0.79) -> DataFrame:
     """Gaps of every green by size, with data quality, pedestrian, peak-hour and left-turn summaries on each row."""
-    w = along(PHASE)
-    calls = tables.phase_events(PED_CALL).select("signal_id", "phase", "t", "code", F.lit(-1).alias("param"), F.lit(None).cast("string").alias("approach_id"))
-    rows = tables.stream((GREEN, YELLOW)).unionByName(calls).withColumn("cycle", cycle(F.col("code") == GREEN, w))
-    at = lambda c, f: f(F.when(F.col("code") == c, F.col("t")))
-    of = Window.partitionBy(*PHASE, "cycle")
-    rows = rows.withColumn("end", F.when(F.col("cycle") > 0, at(YELLOW, F.max).over(of)))
-    base = rows.groupBy(*PHASE, "cycle").agg(at(GREEN, F.min).alias("green"), F.max("end").alias("end"), F.count(F.when((F.col("code") == PED_CALL) & (F.col("t") <= F.col("end")), 1)).alias("ped"), F.count(F.when(F.col("code") == ON, 1)).alias("hits"), F.count(F.when(F.col("code") == PED_CALL, 1)).alias("calls"))
     lanes = F.lit(opposing_lanes) if opposing_lanes is not None else F.coalesce("lanes", F.lit(0))
     through = tables.detectors.where("movement = 'T'").groupBy(*PHASE).agg(F.count("*").alias("lanes"))
     critical = F.when(lanes < MANY_LANES, CRITICAL_GAP_FEW).otherwise(CRITICAL_GAP_MANY)
-    sized = gaps(tables).join(through, PHASE, "left").withColumn("critical", critical)
+    rows = _gap_rows(tables).join(through, PHASE, "left").withColumn("critical", critical)
     n = lambda cond: F.count(F.when(cond, 1))
-    g, crit = F.col("gap"), F.col("critical")
-    per = sized.groupBy(*PHASE, "cycle").agg(F.count("*").alias("total"), n(g >= crit).alias("sufficient"), n((g >= crit - MARGINAL_BAND) & (g < crit)).alias("marginal"), n(g < crit - MARGINAL_BAND).alias("insufficient"), settled(F.avg("gap")).alias("avg"), F.max("gap").alias("max"))
+    g, crit, call = F.col("gap"), F.col("critical"), F.col("code") == PED_CALL
+    base = rows.groupBy(*PHASE, "cycle").agg(
+        F.min(F.when(F.col("code") == GREEN, F.col("t"))).alias("green"), F.max("end").alias("end"), n(call & (F.col("t") <= F.col("end"))).alias("ped"), n(F.col("code") == ON).alias("hits"), n(call).alias("calls"),
+        F.count("gap").alias("total"), n(g >= crit).alias("sufficient"), n((g >= crit - MARGINAL_BAND) & (g < crit)).alias("marginal"), n(g < crit - MARGINAL_BAND).alias("insufficient"), settled(F.avg("gap")).alias("avg"), F.max("gap").alias("max"),
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     phase = Window.partitionBy(*PHASE)
     base = base.withColumn("dq_total_detector_hits", F.sum(F.when(F.col("cycle") > 0, F.col("hits")).otherwise(0)).over(phase)).withColumn("ped_total_calls", F.sum("calls").over(phase))
-    cycles = base.where("end is not null").join(per, [*PHASE, "cycle"], "left").select(*PHASE, "green", "end", "ped", "dq_total_detector_hits", "ped_total_calls", *(zero(c).alias(c) for c in ("total", "sufficient", "marginal", "insufficient")), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg", "max")))
+    cycles = base.where("end is not null").select(*PHASE, "green", "end", "ped", "dq_total_detector_hits", "ped_total_calls", *(zero(c).alias(c) for c in ("total", "sufficient", "marginal", "insufficient")), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg", "max")))
     hours = tables.hours
     by_phase, by_hour = Window.partitionBy(*PHASE), Window.partitionBy(*PHASE, "hour")
     sizes = ("total", "sufficient", "marginal", "insufficient")

@@ -1,5 +1,6 @@
 """Operators on short event sequences with results known by hand (seconds from 08:00 on 2025-06-15)."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -224,3 +225,49 @@ def test_nearest_rank(spark):
     tables.speeds = spark.createDataFrame([("S", "A", T0, v) for v in (10, 20, 30, 40)] + [("S", "B", T0, 7)], "signal_id string, approach_id string, t long, mph int")
     rows = aggregates.approach_speed_15min_nearest(tables)
     assert sorted(got(rows, "approach_id", "p15", "p50", "p85", "sample_count")) == [("A", 10.0, 20.0, 40.0, 4), ("B", 7.0, 7.0, 7.0, 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_arrivals_of_random_logs_equal_a_walk(spark, seed):
+    rng = random.Random(seed)
+    events = sorted({(rng.randrange(0, 4000, 5), rng.choice((1, 8, 9, 10, 82, 82, 82))) for _ in range(500)})
+    tables = Sequence(spark, ", ".join(f"{c}/{5 if c == 82 else 2}@{t}" for t, c in events))
+    greens = [t for t, c in events if c == 1]
+    cycles = []
+    for a, b in zip(greens, [*greens[1:], 10**9]):
+        first = lambda code, a=a, b=b: next((t for t, c in events if c == code and a <= t < b and t - a <= 300), None)
+        cycles.append((a, first(8), first(9), first(10)))
+    want, counted = [], {a: [0, 0, 0] for a, *_ in cycles}
+    for t, _ in (e for e in events if e[1] == 82):
+        mine = [k for k in cycles if k[0] <= t and k[1] is not None and k[2] is not None]
+        if mine and t < (mine[-1][3] if mine[-1][3] is not None else mine[-1][0] + 300):
+            a, y, r, _ = mine[-1]
+            state = 2 if t >= r else 1 if t >= y else 0
+            want.append((a, t, ("green", "yellow", "red")[state]))
+            counted[a][state] += 1
+    rows = aggregates.cycle_detector_arrival(tables).collect()
+    assert sorted(((r.green_start - ZERO).total_seconds(), (r.arrival_time - ZERO).total_seconds(), r.phase_state) for r in rows) == want and want
+    out = aggregates.cycle_summary_15min(tables).collect()
+    sums = [sum(r[c] for r in out) for c in ("total_cycles", "arrivals_on_green", "arrivals_on_yellow", "arrivals_on_red")]
+    assert sums == [len(cycles), *(sum(v[k] for v in counted.values()) for k in range(3))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_gaps_of_random_logs_equal_a_walk(spark, seed):
+    rng = random.Random(seed)
+    events = sorted({(t, c, 2 if c in (1, 8, 45) else rng.choice((5, 6))) for t, c in ((rng.randrange(0, 900), rng.choice((1, 8, 8, 45, 81, 81, 82, 82, 82))) for _ in range(400))})
+    tables = Sequence(spark, ", ".join(f"{c}/{p}@{t}" for t, c, p in events))
+    greens = [k for k, e in enumerate(events) if e[1] == 1]
+    want = []
+    for a, b in zip(greens, [*greens[1:], len(events)]):
+        end = max((t for t, c, _ in events[a:b] if c == 8), default=-1)
+        on, opened = 0, None
+        for t, c, _ in (e for e in events[a:b] if e[1] in (81, 82) and e[0] <= end):
+            if c == 82:
+                if opened is not None and t > opened:
+                    want.append(float(t - opened))
+                on, opened = on + 1, None
+            else:
+                on = max(0, on - 1)
+                opened = t if on == 0 else None
+    assert sorted(r.gap for r in leftturn.gaps(tables).collect()) == sorted(want) and want
