@@ -48,6 +48,13 @@ def test_approach_speed(spark):
     assert not volumes.approach_speed(Sequence(spark, "82/5@0, 81/5@60", distance=400, min_speed=30)).collect()
 
 
+def test_yellow_red_activations_lie_strictly_inside(spark):
+    """A hit at the microsecond in which an interval starts or ends is in neither, as in the SQL."""
+    text = "8/2@30, 82/5@30, 82/5@31, 9/2@35, 82/5@35, 82/6@36, 82/5@37, 1/2@40, 82/5@40"
+    found = got(aggregates.yellow_red_activation_15min(Sequence(spark, text)), "yellow_activations", "red_activations", "red_duration_sum")
+    assert found == [(1, 2, 5.0)]
+
+
 def test_yellow_red_actuations(spark):
     text = "1/2@0, 82/5@5, 82/5@15, 8/2@30, 82/5@32, 9/2@35, 82/5@36, 10/2@37, 82/5@38, 1/2@60"
     found = got(arrivals.yellow_red_actuations(Sequence(spark, text)).orderBy("cycle_start"), "green_actuations", "yellow_actuations", "red_actuations", "total_actuations")
