@@ -3,11 +3,11 @@
 Terms are lower-cased letter runs and their first four bytes. A bounded sample of labelled rows are
 the examples, and the vocabulary holds every term of theirs; inverse document frequencies come from
 all documents. A query's terms that no example has take no part: they leave the order of the examples
-as it is, and only its length is that of its known terms. Of rare terms the index has postings, of the most
-frequent ones a matrix and the largest weight of each in every block of examples; examples that are
-nearest to the same one of some pivots share blocks. Many queries are searched at once: the rare terms'
+as it is, and only its length is that of its known terms. Examples that are nearest to the same one of some
+pivots share blocks, so that a block mostly has one language. Of the most frequent terms of a block the index has
+a matrix and the largest weight of each, of all its others postings. Many queries are searched at once: the postings'
 part of every similarity is summed, and a query's upper bound for a block is the largest such part in it and
-the sum, over the frequent terms, of its weight times the largest in the block. Only blocks whose bound
+the sum, over the block's frequent terms, of its weight times the largest in the block. Only blocks whose bound
 reaches the k-th best similarity found get their matrix part, and rows that may be nearest are summed in
 double precision, so the nearest examples are exact. Their votes, weighted by nearness and by how
 thinly their class was sampled, go through an isotonic fit of leave-one-out votes to become
@@ -21,7 +21,7 @@ unless they bear an output's name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,13 +40,19 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _STEM = np.uint64(0xA5A5A5A5DEADBEEF)
 #: Postings that one search of many rows looks at.
-_POSTINGS = 1 << 21
+_POSTINGS = 1 << 22
+#: Postings that are summed at once.
+_SUMMED = 1 << 16
+#: Rows whose dense terms' parts are summed at once, and rows of which only the largest similarity is looked at first.
+_ADDED, _GROUP = 256, 16
 #: Texts that one search takes at most.
 _QUERIES = 128
 #: Bytes of texts scored together: the more of them, the more alike are those that share a search.
 _SCORED_BYTES = 1 << 21
-#: More than the error of a similarity of unit vectors summed in single precision.
-_ROUGH = 1e-5
+#: More than the error of a similarity of unit vectors summed in single precision over a block's dense terms.
+_ROUGH = 1e-4
+#: The most frequent terms, by which rows find the pivot that they are nearest to.
+_PIVOT_TERMS = 768
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +78,17 @@ def term_counts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -
     return pairs // len(vocabulary), pairs % len(vocabulary), counts
 
 
+def term_counts_in_parts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of more texts than are cut into terms at once."""
+    out, at, n = [(np.zeros(0, np.int64),) * 3], 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + blocks.PIECE_BYTES, "right")) - 1)
+        rows, found, counts = term_counts(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], vocabulary)
+        out.append((rows + at, found, counts))
+        at = end
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of the ranges end to end, and the length of each range."""
     lengths = ends - starts
@@ -80,38 +97,69 @@ def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors: postings of the rare terms; a matrix of the ``dense`` most frequent ones, with the largest weight of each in every block."""
+    """Unit vectors in blocks of rows that are alike: of each block a matrix of its ``dense`` most frequent terms and the largest weight of each, postings of all its others.
+
+    ``weights`` may be a function that works out those at given places, so that not all need to be in memory while the index is made.
+    """
 
     rows: np.ndarray
     terms: np.ndarray
-    weights: np.ndarray
+    weights: np.ndarray | Callable[[np.ndarray], np.ndarray]
     n_rows: int
     n_terms: int
     block: int = 1024
-    dense: int = 768
+    dense: int = 1024
     place: np.ndarray = field(init=False)
     most: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
+        weigh = self.weights if callable(self.weights) else self.weights.__getitem__
         sizes = np.bincount(self.terms, minlength=self.n_terms)
-        head = np.argsort(-sizes, kind="stable")[: self.dense]
+        head = np.argsort(-sizes, kind="stable")[:_PIVOT_TERMS]
         self.place = np.full(self.n_terms, -1, np.int32)
         self.place[head] = np.arange(len(head))
-        self.rows, self.own = self._arranged(len(head))
-        inside = self.place[self.terms] >= 0
-        rows, at, weights = self.rows[inside], self.place[self.terms[inside]], self.weights[inside]
+        self.rows, self.own = self._arranged(len(head), weigh)
         self._blocks = -(-self.n_rows // self.block)
-        self._head = np.zeros((len(head), self._blocks * self.block), np.float32)
-        self._head[at, rows] = weights
-        self.most = self._head.reshape(len(head), self._blocks, self.block).max(2) if self.n_rows else np.zeros((len(head), 0), np.float32)
-        order = np.argsort(rows, kind="stable")
-        self._head_at, self._head_weights, self._head_part = at[order].astype(np.int16), weights[order], np.searchsorted(rows[order], np.arange(self.n_rows + 1))
-        rows, terms, weights = self.rows[~inside], self.terms[~inside], self.weights[~inside]
-        order = np.lexsort((rows, terms))
-        self.rows, self.weights, self.terms = rows[order].astype(np.int32), weights[order], terms[order].astype(np.int32)
-        self._starts = np.searchsorted(self.terms, np.arange(self.n_terms + 1))
-
-    def _arranged(self, n_head: int) -> tuple[np.ndarray, np.ndarray]:
+        block_of, n = (self.rows // self.block).astype(np.int16), len(self.terms)
+        heads, self._matrices = [], []
+        # Room for all of them in each: pages that are never written take no memory.
+        self._head_at, self._head_weights, in_rows, n_in = np.empty(n, np.int32), np.empty(n), np.zeros(self.n_rows, np.int64), 0
+        rows_out, terms_out, weights_out, n_out = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n), 0
+        for b in range(self._blocks):
+            these = np.flatnonzero(block_of == b)
+            rows, terms, weights = self.rows[these], self.terms[these], weigh(these)
+            sizes = np.bincount(terms, minlength=self.n_terms)
+            head = np.argpartition(-sizes, self.dense)[: self.dense] if self.dense < self.n_terms else np.arange(self.n_terms)
+            head = np.sort(head[sizes[head] > 0])
+            at = np.full(self.n_terms, -1, np.int32)
+            at[head] = np.arange(len(head))
+            at = at[terms]
+            inside, outside = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            inside = inside[np.argsort(rows[inside], kind="stable")]
+            matrix = np.zeros((len(head), self.block), np.float32)
+            matrix[at[inside], rows[inside] - b * self.block] = weights[inside]
+            heads.append(head)
+            self._matrices.append(matrix)
+            span = slice(n_in, n_in := n_in + len(inside))
+            self._head_at[span], self._head_weights[span] = terms[inside], weights[inside]
+            in_rows += np.bincount(rows[inside], minlength=self.n_rows)
+            span = slice(n_out, n_out := n_out + len(outside))
+            rows_out[span], terms_out[span], weights_out[span] = rows[outside], terms[outside], weights[outside]
+        del self.rows, block_of
+        held = np.unique(np.concatenate([np.zeros(0, np.int64), *heads]))
+        self._held = np.full(self.n_terms, -1, np.int32)
+        self._held[held] = np.arange(len(held))
+        self._heads = [self._held[h] for h in heads]
+        self.most = np.zeros((len(held), self._blocks), np.float32)
+        for b, (h, matrix) in enumerate(zip(self._heads, self._matrices, strict=True)):
+            self.most[h, b] = matrix.max(1)
+        self._head_at, self._head_weights = self._held[self._head_at[:n_in]], self._head_weights[:n_in]
+        self._head_part = np.concatenate([[0], np.cumsum(in_rows)])
+        order = np.argsort(terms_out[:n_out], kind="stable")
+        self._starts = np.searchsorted(terms_out[order], np.arange(self.n_terms + 1))
+        self.rows, self.weights, self.terms = rows_out[order], weights_out[order], None
+
+    def _arranged(self, n_head: int, weigh: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The rows renumbered so that those nearest to one of some pivots share blocks, and the old number of each: it makes bounds tighter."""
         if not self.n_rows:
             self._pivots = np.zeros((n_head, 1), np.float32)
@@ -120,14 +168,14 @@ class BlockMaxIndex:
         at, inside = self.place[self.terms], self.place[self.terms] >= 0
         pivot_of = np.full(self.n_rows, -1)
         pivot_of[pivots] = np.arange(len(pivots))
-        these = inside & (pivot_of[self.rows] >= 0)
+        these = np.flatnonzero(inside & (pivot_of[self.rows] >= 0))
         columns = np.zeros((n_head, len(pivots)), np.float32)
-        columns[at[these], pivot_of[self.rows[these]]] = self.weights[these]
+        columns[at[these], pivot_of[self.rows[these]]] = weigh(these)
         nearest = np.zeros(self.n_rows, np.int64)
         for start in range(0, self.n_rows, 1024):
-            some = inside & (self.rows >= start) & (self.rows < start + 1024)
+            some = np.flatnonzero(inside & (self.rows >= start) & (self.rows < start + 1024))
             dense = np.zeros((min(1024, self.n_rows - start), n_head), np.float32)
-            dense[self.rows[some] - start, at[some]] = self.weights[some]
+            dense[self.rows[some] - start, at[some]] = weigh(some)
             nearest[start : start + len(dense)] = (dense @ columns).argmax(1)
         # Pivots follow each other by likeness, so that neighbouring blocks are alike too.
         alike, chain = columns.T @ columns, [0]
@@ -140,7 +188,7 @@ class BlockMaxIndex:
         own = np.argsort(nearest, kind="stable")
         now = np.empty(self.n_rows, np.int64)
         now[own] = np.arange(self.n_rows)
-        return now[self.rows], own
+        return now.astype(np.int32)[self.rows], own
 
     def kin(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
         """The place of the pivot that each of ``n`` queries is nearest to: queries that are alike have near ones."""
@@ -149,11 +197,18 @@ class BlockMaxIndex:
         dense[rows[known], self.place[terms[known]]] = weights[known]
         return (dense @ self._pivots).argmax(1)
 
-    def _add_heads(self, queries: np.ndarray, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    def _add_heads(self, queries: np.ndarray, rows: np.ndarray, dense: np.ndarray, spot: np.ndarray) -> np.ndarray:
         """The dense terms' part of the similarity of each query and row, in double precision."""
-        at, lengths = _expanded(self._head_part[rows], self._head_part[rows + 1])
-        which = np.repeat(np.arange(len(rows)), lengths)
-        return np.bincount(which, dense[queries[which], self._head_at[at]] * self._head_weights[at], len(rows))
+        out = np.zeros(len(rows))
+        for start in range(0, len(rows), _ADDED):
+            q, row = queries[start : start + _ADDED], rows[start : start + _ADDED]
+            at, lengths = _expanded(self._head_part[row], self._head_part[row + 1])
+            cell = np.repeat(q * dense.shape[1], lengths)
+            cell += spot.take(self._head_at.take(at))
+            part = dense.reshape(-1).take(cell)
+            part *= self._head_weights.take(at)
+            out[start : start + _ADDED] = np.bincount(np.repeat(np.arange(len(row)), lengths), part, len(row))
+        return out
 
     def nearest_of(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, similarity) of the k nearest of each of ``n`` queries with any term in common, nearest first.
@@ -162,22 +217,29 @@ class BlockMaxIndex:
         """
         if not self.n_rows or not n or not len(terms):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        known, width = self.place[terms] >= 0, self._blocks * self.block
-        dense = np.zeros((n, len(self._head)))
-        dense[rows[known], self.place[terms[known]]] = weights[known]
-        used = np.flatnonzero(np.bincount(self.place[terms[known]], minlength=len(self._head)))  # queries that are alike use few of them
-        if 4 * len(used) < 3 * len(self._head):
-            single, head, most = dense[:, used].astype(np.float32), self._head[used], self.most[used]
-        else:  # a copy of most of the matrix costs more than the products that it saves
-            single, head, most = dense.astype(np.float32), self._head, self.most
-        rare = np.flatnonzero(~known)
-        rare = rare[np.argsort(terms[rare], kind="stable")]  # a term's postings are read for all its queries in a row
-        at, lengths = _expanded(self._starts[terms[rare]], self._starts[terms[rare] + 1])
-        cell, part = np.repeat(rows[rare] * width, lengths), np.repeat(weights[rare], lengths)
-        cell += self.rows[at]
-        part *= self.weights[at]
-        tail = np.bincount(cell, part, n * width).reshape(n, self._blocks, self.block)
-        bound = single @ most + tail.max(2) + _ROUGH
+        held, width = self._held[terms], self._blocks * self.block
+        known = np.flatnonzero(held >= 0)
+        used = np.flatnonzero(np.bincount(held[known], minlength=len(self.most)))  # queries that are alike use few of them
+        spot = np.full(len(self.most), len(used))  # terms that no query has share a last column without weight
+        spot[used] = np.arange(len(used))
+        dense = np.zeros((n, len(used) + 1))
+        dense[rows[known], spot[held[known]]] = weights[known]
+        single = dense.astype(np.float32)
+        tail, bound = np.empty((n, self._blocks, self.block)), single[:, :-1] @ self.most[used] + _ROUGH
+        by_row = np.argsort(rows, kind="stable")
+        part = blocks.counted(terms, rows, n)
+        work = np.concatenate([[0], np.cumsum(self.spread(terms[by_row]))])[part]
+        start = 0
+        while start < n:  # a few queries at a time, whose sums fit the processor's cache
+            end = min(max(start + 1, int(np.searchsorted(work, work[start] + _SUMMED, "right")) - 1), n)
+            these = by_row[part[start] : part[end]]
+            at, lengths = _expanded(self._starts[terms[these]], self._starts[terms[these] + 1])
+            cell, weight = np.repeat((rows[these] - start) * width, lengths), np.repeat(weights[these], lengths)
+            cell += self.rows.take(at, mode="clip")
+            weight *= self.weights.take(at, mode="clip")
+            tail[start:end] = np.bincount(cell, weight, (end - start) * width).reshape(-1, self._blocks, self.block)
+            bound[start:end] += tail[start:end].max(2)
+            start = end
         rough = np.zeros((n, self._blocks, self.block), np.float32)  # the dense terms' part, off by less than _ROUGH; put right at the end
         scored = np.zeros((n, self._blocks), bool)
         own = None
@@ -188,8 +250,11 @@ class BlockMaxIndex:
 
         def score(wanted: np.ndarray) -> None:
             for b in np.flatnonzero(wanted.any(0)):
-                which = np.flatnonzero(wanted[:, b])
-                rough[which, b] = single[which] @ head[:, b * self.block : (b + 1) * self.block]
+                which, columns, matrix = np.flatnonzero(wanted[:, b]), spot[self._heads[b]], self._matrices[b]
+                some = np.flatnonzero(columns < len(used))
+                if 4 * len(some) < 3 * len(columns):  # a copy of most of the matrix costs more than the products that it saves
+                    columns, matrix = columns[some], matrix[some]
+                rough[which, b] = single[which[:, None], columns] @ matrix
             scored[wanted] = True
 
         def rated(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +275,12 @@ class BlockMaxIndex:
         floor = (np.partition(total, -k, axis=1)[:, -k] if k <= self.block else np.zeros(n)) - 2 * _ROUGH
         score(~scored & (bound > _ROUGH) & (bound >= floor[:, None]))
         cells, total = rated(scored)
+        # The same of all blocks: the k-th best of the largest of some groups of rows is never above it either.
+        groups = self.block // _GROUP or 1
+        if self.block % groups == 0 and k <= self._blocks * groups:
+            largest = np.zeros((n * self._blocks, groups))
+            largest[cells] = total.reshape(len(cells), -1, groups).max(1)
+            floor = np.maximum(floor, np.partition(largest.reshape(n, -1), -k, axis=1)[:, -k] - 2 * _ROUGH)
         found, inside = np.nonzero(total >= np.maximum(floor, np.finfo(float).tiny)[cells // self._blocks, None])
         q, at, values = cells[found] // self._blocks, cells[found] % self._blocks * self.block + inside, total[found, inside]
         order = np.lexsort((-values, q))
@@ -219,7 +290,7 @@ class BlockMaxIndex:
         least = np.where(start + k <= np.searchsorted(q, q, "right"), values[np.minimum(start + k, len(q)) - 1], 0)
         may = values >= least - 2 * _ROUGH
         q, at = q[may], at[may]
-        near = np.round(tail.reshape(n, width)[q, at] + self._add_heads(q, at, dense), 12)
+        near = np.round(tail.reshape(n, width)[q, at] + self._add_heads(q, at, dense, spot), 12)
         old = self.own[at]
         order = np.lexsort((old, -near, q))
         order = order[near[order] > 0]
@@ -270,8 +341,16 @@ class Neighbours:
     def index(self) -> BlockMaxIndex:
         """The examples' index, made once in a process."""
         if not hasattr(self, "_index"):
-            rows = self.rows(0, len(self.ids))
-            self._index = BlockMaxIndex(rows, self.terms, self.vectors(rows, self.terms, self.counts, len(self.ids))[0], len(self.ids), len(self.vocabulary))
+            n = len(self.ids)
+            rows, norm = self.rows(0, n), np.zeros(n)
+            for start in range(0, n, 1024):
+                end = min(start + 1024, n)
+                span = slice(self.part[start], self.part[end])
+                norm[start:end] = self.norms(self.rows(start, end), self.weighed(self.terms[span], self.counts[span]), end - start)
+            weights = lambda at: self.weighed(self.terms[at], self.counts[at]) / norm[rows[at]]
+            self._index = BlockMaxIndex(rows, self.terms, weights, n, len(self.vocabulary))
+            del rows, weights
+            blocks.give_back()
         return self._index
 
     def rows(self, start: int, end: int) -> np.ndarray:
@@ -279,9 +358,14 @@ class Neighbours:
 
     def vectors(self, rows: np.ndarray, found: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Weights to unit length, and the offsets of each row's part."""
-        weights = (1 + np.log(counts)) * self.idf[found]
-        norm = np.sqrt(np.bincount(rows, weights**2, n))
-        return weights / norm[rows] if len(rows) else weights, blocks.counted(found, rows, n)
+        weights = self.weighed(found, counts)
+        return weights / self.norms(rows, weights, n)[rows] if len(rows) else weights, blocks.counted(found, rows, n)
+
+    def weighed(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.idf[found]
+
+    def norms(self, rows: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        return np.sqrt(np.bincount(rows, weights**2, n))
 
     def vote(self, queries: np.ndarray, at: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The queries that have neighbours, and the share of toxic ones among these, by nearness and class."""
@@ -322,7 +406,7 @@ class Neighbours:
     def judge(self, data: np.ndarray, offsets: np.ndarray, evidence: int) -> tuple[np.ndarray, pa.Array]:
         """Scores, and of each text its ``evidence`` nearest examples."""
         n = len(offsets) - 1
-        q, at, near = self.neighbours(*term_counts(data, offsets, self.vocabulary), n)
+        q, at, near = self.neighbours(*term_counts_in_parts(data, offsets, self.vocabulary), n)
         scores = np.full(n, self.without)
         which, votes = self.vote(q, at, near)
         scores[which] = self.calibrated(votes)

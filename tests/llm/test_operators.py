@@ -427,6 +427,24 @@ def test_nearest_examples_with_few_dense_terms_equal_brute_force():
         assert at.tolist() == want and np.allclose(near, sims[want])
 
 
+def test_each_block_has_dense_terms_of_its_own():
+    """Rows of four languages: none of their terms is left to postings, though a quarter of the terms is dense in a block, and searches stay exact."""
+    rng = np.random.default_rng(3)
+    dense = np.zeros((160, 80))
+    for g in range(4):
+        dense[g::4, 20 * g : 20 * g + 20] = 0.1 + rng.random((40, 20))
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    r, t = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(r, t, lambda at: dense[r[at], t[at]], 160, 80, block=40, dense=20)
+    assert index.spread(np.arange(80)).sum() == 0
+    queries = np.where(rng.random((50, 80)) < 0.3, rng.random((50, 80)), 0)
+    q, at, near = index.nearest_of(*np.nonzero(queries), queries[np.nonzero(queries)], 50, 7)
+    sims = np.round(queries @ dense.T, 12)
+    want = np.argsort(-sims, axis=1, kind="stable")[:, :7]
+    assert q.tolist() == np.repeat(np.arange(50), 7).tolist()
+    assert np.allclose(near.reshape(50, 7), np.take_along_axis(sims, want, 1)) and at.reshape(50, 7).tolist() == want.tolist()
+
+
 def test_terms_of_a_single_example_count(spark):
     """Each example has words of its own only; a copy of it must find it, though no word tells the classes apart."""
     words = ["zarn", "quib", "molt", "frez", "dwul", "hibb", "yost", "pelk", "vunt", "grax"]
