@@ -99,7 +99,7 @@ def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 class BlockMaxIndex:
     """Unit vectors in blocks of rows that are alike: of each block a matrix of its ``dense`` most frequent terms and the largest weight of each, postings of all its others.
 
-    ``weights`` may be a function that works out those at given places, so that not all need to be in memory while the index is made.
+    ``rows`` ascend. ``weights`` may be a function that works out those at given places, so that not all need to be in memory while the index is made.
     """
 
     rows: np.ndarray
@@ -118,16 +118,19 @@ class BlockMaxIndex:
         head = np.argsort(-sizes, kind="stable")[:_PIVOT_TERMS]
         self.place = np.full(self.n_terms, -1, np.int32)
         self.place[head] = np.arange(len(head))
-        self.rows, self.own = self._arranged(len(head), weigh)
+        part = np.searchsorted(self.rows, np.arange(self.n_rows + 1))
+        self.own = self._arranged(len(head), weigh, part)
         self._blocks = -(-self.n_rows // self.block)
-        block_of, n = (self.rows // self.block).astype(np.int16), len(self.terms)
+        n = len(self.terms)
         heads, self._matrices = [], []
+        these = rows = terms = weights = at = inside = outside = None
         # Room for all of them in each: pages that are never written take no memory.
         self._head_at, self._head_weights, in_rows, n_in = np.empty(n, np.int32), np.empty(n), np.zeros(self.n_rows, np.int64), 0
         rows_out, terms_out, weights_out, n_out = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n), 0
         for b in range(self._blocks):
-            these = np.flatnonzero(block_of == b)
-            rows, terms, weights = self.rows[these], self.terms[these], weigh(these)
+            own = self.own[b * self.block : (b + 1) * self.block]
+            these, lengths = _expanded(part[own], part[own + 1])
+            rows, terms, weights = np.repeat(np.arange(len(own), dtype=np.int32), lengths) + np.int32(b * self.block), self.terms[these], weigh(these)
             sizes = np.bincount(terms, minlength=self.n_terms)
             head = np.argpartition(-sizes, self.dense)[: self.dense] if self.dense < self.n_terms else np.arange(self.n_terms)
             head = np.sort(head[sizes[head] > 0])
@@ -135,7 +138,6 @@ class BlockMaxIndex:
             at[head] = np.arange(len(head))
             at = at[terms]
             inside, outside = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-            inside = inside[np.argsort(rows[inside], kind="stable")]
             matrix = np.zeros((len(head), self.block), np.float32)
             matrix[at[inside], rows[inside] - b * self.block] = weights[inside]
             heads.append(head)
@@ -145,7 +147,6 @@ class BlockMaxIndex:
             in_rows += np.bincount(rows[inside], minlength=self.n_rows)
             span = slice(n_out, n_out := n_out + len(outside))
             rows_out[span], terms_out[span], weights_out[span] = rows[outside], terms[outside], weights[outside]
-        del self.rows, block_of
         held = np.unique(np.concatenate([np.zeros(0, np.int64), *heads]))
         self._held = np.full(self.n_terms, -1, np.int32)
         self._held[held] = np.arange(len(held))
@@ -155,40 +156,39 @@ class BlockMaxIndex:
             self.most[h, b] = matrix.max(1)
         self._head_at, self._head_weights = self._held[self._head_at[:n_in]], self._head_weights[:n_in]
         self._head_part = np.concatenate([[0], np.cumsum(in_rows)])
+        del self.rows, these, rows, terms, weights, at, inside, outside
         order = np.argsort(terms_out[:n_out], kind="stable")
         self._starts = np.searchsorted(terms_out[order], np.arange(self.n_terms + 1))
-        self.rows, self.weights, self.terms = rows_out[order], weights_out[order], None
+        del terms_out
+        self.rows, self.terms = rows_out[order], None
+        del rows_out
+        self.weights = weights_out[order]
 
-    def _arranged(self, n_head: int, weigh: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows renumbered so that those nearest to one of some pivots share blocks, and the old number of each: it makes bounds tighter."""
+    def _arranged(self, n_head: int, weigh: Callable[[np.ndarray], np.ndarray], part: np.ndarray) -> np.ndarray:
+        """The number of the row at each new place: those nearest to one of some pivots share blocks, which makes bounds tighter."""
         if not self.n_rows:
             self._pivots = np.zeros((n_head, 1), np.float32)
-            return self.rows, np.zeros(0, np.int64)
-        pivots = np.arange(0, self.n_rows, max(1, self.n_rows // 96))
-        at, inside = self.place[self.terms], self.place[self.terms] >= 0
-        pivot_of = np.full(self.n_rows, -1)
-        pivot_of[pivots] = np.arange(len(pivots))
-        these = np.flatnonzero(inside & (pivot_of[self.rows] >= 0))
-        columns = np.zeros((n_head, len(pivots)), np.float32)
-        columns[at[these], pivot_of[self.rows[these]]] = weigh(these)
-        nearest = np.zeros(self.n_rows, np.int64)
-        for start in range(0, self.n_rows, 1024):
-            some = np.flatnonzero(inside & (self.rows >= start) & (self.rows < start + 1024))
-            dense = np.zeros((min(1024, self.n_rows - start), n_head), np.float32)
-            dense[self.rows[some] - start, at[some]] = weigh(some)
-            nearest[start : start + len(dense)] = (dense @ columns).argmax(1)
+            return np.zeros(0, np.int64)
+
+        def vectors(rows: np.ndarray) -> np.ndarray:
+            these, lengths = _expanded(part[rows], part[rows + 1])
+            at, which = self.place[self.terms[these]], np.repeat(np.arange(len(rows)), lengths)
+            known = np.flatnonzero(at >= 0)
+            dense = np.zeros((len(rows), n_head), np.float32)
+            dense[which[known], at[known]] = weigh(these[known])
+            return dense
+
+        columns = vectors(np.arange(0, self.n_rows, max(1, self.n_rows // 96))).T.copy()
+        nearest = np.concatenate([(vectors(np.arange(start, min(start + 1024, self.n_rows))) @ columns).argmax(1) for start in range(0, self.n_rows, 1024)])
         # Pivots follow each other by likeness, so that neighbouring blocks are alike too.
         alike, chain = columns.T @ columns, [0]
-        while len(chain) < len(pivots):
+        while len(chain) < columns.shape[1]:
             alike[:, chain[-1]] = -1
             chain.append(int(alike[chain[-1]].argmax()))
-        place = np.empty(len(pivots), np.int64)
-        place[chain] = np.arange(len(pivots))
+        place = np.empty(len(chain), np.int64)
+        place[chain] = np.arange(len(chain))
         nearest, self._pivots = place[nearest], columns[:, chain]
-        own = np.argsort(nearest, kind="stable")
-        now = np.empty(self.n_rows, np.int64)
-        now[own] = np.arange(self.n_rows)
-        return now.astype(np.int32)[self.rows], own
+        return np.argsort(nearest, kind="stable")
 
     def kin(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
         """The place of the pivot that each of ``n`` queries is nearest to: queries that are alike have near ones."""
@@ -362,7 +362,7 @@ class Neighbours:
         return weights / self.norms(rows, weights, n)[rows] if len(rows) else weights, blocks.counted(found, rows, n)
 
     def weighed(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.log(counts)) * self.idf[found]
+        return (1 + np.log(counts, dtype=float)) * self.idf[found]
 
     def norms(self, rows: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
         return np.sqrt(np.bincount(rows, weights**2, n))
@@ -494,6 +494,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most_per_
     ids, y = examples.column("doc_id").to_numpy(), examples.column("label").to_numpy().astype(np.int64)
     part = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(examples.column("terms")).to_numpy())]).astype(np.int64)
     found, counts = (pa.compute.list_flatten(examples.column(c)).to_numpy() for c in ("terms", "counts"))
+    counts = counts.astype(np.min_scalar_type(counts.max(initial=0)))
     real = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     weight = np.array([real.get(c, 0) / max((y == c).sum(), 1) for c in (0, 1)])
     weight = np.where(weight > 0, weight / max(weight.max(), 1e-9), 1.0)

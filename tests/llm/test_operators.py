@@ -5,9 +5,11 @@ import math
 import random
 import struct
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -445,6 +447,20 @@ def test_each_block_has_dense_terms_of_its_own():
     assert np.allclose(near.reshape(50, 7), np.take_along_axis(sims, want, 1)) and at.reshape(50, 7).tolist() == want.tolist()
 
 
+def test_memory_of_scoring_many_texts_is_bounded():
+    """Texts that share a search are cut into terms a part at a time."""
+    vocabulary = np.sort(toxicity.terms(*blocks.bytes_of(pa.array(["plain words"])))[1])
+    one = np.zeros(1, np.int64)
+    model = toxicity.Neighbours(vocabulary, np.ones(len(vocabulary)), one, one, np.ones(2), np.arange(len(vocabulary), dtype=np.int32), np.ones(len(vocabulary), np.int32), np.array([0, len(vocabulary)]), 15)
+    data, offsets = blocks.bytes_of(pa.array([" ".join(f"word{chr(97 + (i + k) % 26)}" for k in range(300)) + " plain" for i in range(1160)]))
+    model.index()
+    tracemalloc.start()
+    scores, _ = model.judge(data, offsets, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 2_000_000 and len(scores) == 1160 and peak < 60e6
+
+
 def test_terms_of_a_single_example_count(spark):
     """Each example has words of its own only; a copy of it must find it, though no word tells the classes apart."""
     words = ["zarn", "quib", "molt", "frez", "dwul", "hibb", "yost", "pelk", "vunt", "grax"]
