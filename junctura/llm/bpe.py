@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -87,13 +87,24 @@ def _kinds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of a few megabytes of texts at a time, counted piece by piece: arrays over all their bytes would take hundreds of megabytes."""
     for batch in batches:
-        for piece in blocks.pieces(batch, "text", 4 << 20):
-            data, _, starts, ends = split(*blocks.bytes_of(piece.column("text")))
-            at, counts = _kinds(blocks.hashes(data, starts, ends))
-            raw = data.tobytes()
-            words = pa.array([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(counts)], ["word", "n"])
+        for part in blocks.pieces(batch, "text", 4 << 20):
+            hashes, counts, words = zip(*map(_counted_words, blocks.pieces(part, "text")), strict=True)
+            codes, kinds = pd.factorize(np.concatenate(hashes))
+            first = np.unique(codes, return_index=True)[1]
+            n = np.zeros(len(kinds), np.int64)
+            np.add.at(n, codes, np.concatenate(counts))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(words).take(pa.array(first)).cast(pa.string()), pa.array(n)], ["word", "n"])
+
+
+def _counted_words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Hash, frequency and bytes of each distinct word of a piece."""
+    data, _, starts, ends = split(*blocks.bytes_of(piece.column("text")))
+    h = blocks.hashes(data, starts, ends)
+    at, counts = _kinds(h)
+    raw = data.tobytes()
+    return h[at], counts, pa.array([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary())
 
 
 def _tokenizer(content: str):
@@ -107,7 +118,8 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece) of every entry of the vocabulary file, added tokens too."""
     with open(path, encoding="utf-8") as file:
         entries = _tokenizer(file.read()).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame([(i, p) for p, i in entries.items()], "id int, piece string")
+    # An Arrow table needs no Python workers to become a DataFrame.
+    return spark.createDataFrame(pa.table({"id": pa.array(entries.values(), pa.int32()), "piece": pa.array(entries, pa.string())}))
 
 
 def _by_id(vocabulary: DataFrame) -> pa.Array:
@@ -227,13 +239,13 @@ class _Frequent:
         self.hashes = h[order]
         table = table.take(pa.array(order))
         self.size = table.column("size").to_numpy().astype(np.int32)
-        self.texts = tuple(self._packed(table.column(c).to_pylist()) for c in ("ids", "decoded"))
+        self.texts = tuple(self._packed(table.column(c)) for c in ("ids", "decoded"))
 
     @staticmethod
-    def _packed(words: Iterable[str]) -> tuple[bytes, np.ndarray]:
+    def _packed(words: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
         """All words end to end, and where each begins: far smaller than as many objects."""
-        parts = [w.encode() for w in words]
-        return b"".join(parts), np.concatenate([[0], np.cumsum([len(w) for w in parts], dtype=np.int64)]).astype(np.int64)
+        data, offsets = blocks.bytes_of(words)
+        return data.tobytes(), offsets
 
     def taken(self, at: np.ndarray, column: int) -> list[bytes]:
         """The ids (column 0) or pieces (1) of the words at these places."""
@@ -275,12 +287,15 @@ def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000)
     with open(path, encoding="utf-8") as file:
         content = spark.sparkContext.broadcast(file.read())
     table = vocabulary(spark, path)
+    blocks.give_back()
     # Stored in between, so that a task needs one Python worker at a time.
     encoded = stored(word_table(word_counts(texts).where("n > 1"), content), "encoded")
     words = stored(decoded_words(encoded, table), "words")
     free(encoded)
     known, others = _frequent_words(words, most_words)
     frequent = spark.sparkContext.broadcast(_Frequent(known))
+    del known
+    blocks.give_back()
     repeated = spark.sparkContext.broadcast(_repeated(others))
     pieces = spark.sparkContext.broadcast(_by_id(table))
 
@@ -310,7 +325,8 @@ def encode_documents(documents: DataFrame, path: str, most_words: int = 400_000)
     spots = texts.mapInArrow(blocks.released(rare), "block long, at int, word string")
     back = spots.join(others.select("word", "ids", "decoded"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "ids", "decoded")).alias("rare"))
     packs = texts.mapInArrow(blocks.released(packed), T.StructType([T.StructField("block", long), T.StructField("ids", T.ArrayType(ident)), T.StructField("sizes", T.ArrayType(long)), T.StructField("blob", T.BinaryType())]))
-    met = packs.join(back, "block", "left").select("ids", "sizes", "blob", "rare")
+    # Blocks are dealt out whether the join needs it or not: a task that both packs and finishes would take two Python workers, and executors keep each worker that they ever started.
+    met = packs.repartition("block").join(back, "block", "left").select("ids", "sizes", "blob", "rare")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, unpress = _encoder(content.value), zstandard.ZstdDecompressor()

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,7 +71,8 @@ def epochs(weights: dict[str, int], counts: dict[str, int], block_rows: int) ->
     return plan
 
 
-_PLAN = "mix_group string, epochs array<struct<from_block: long, first_slot: long, first_position: long, period: long, weight: long, spots: array<long>, epoch: int>>"
+_EPOCH = [(name, pa.int64()) for name in ("from_block", "first_slot", "first_position", "period", "weight")] + [("spots", pa.list_(pa.int64())), ("epoch", pa.int32())]
+_PLAN = pa.schema([("mix_group", pa.string()), ("epochs", pa.list_(pa.struct(_EPOCH)))])
 
 
 def _scheduled(rows: DataFrame, weights: dict[str, int], block_rows: int, bucket_rows: int, **ranks) -> DataFrame:
@@ -81,9 +83,9 @@ def _scheduled(rows: DataFrame, weights: dict[str, int], block_rows: int, bucket
     counts = {r["mix_group"]: r["n"] for r in rows.groupBy("mix_group").agg(F.count("*").alias("n")).collect()}
     plan: dict[str, list] = {}
     for e in epochs(weights, counts, block_rows):
-        plan.setdefault(e["mix_group"], []).append(tuple(e[k] for k in ("from_block", "first_slot", "first_position", "period", "weight", "spots", "epoch")))
-    # One row a group, with at most as many epochs as there are groups.
-    table = spark.createDataFrame(list(plan.items()), _PLAN)
+        plan.setdefault(e["mix_group"], []).append(e)
+    # One row a group, with at most as many epochs as there are groups. An Arrow table needs no Python workers to become a DataFrame.
+    table = spark.createDataFrame(pa.Table.from_pylist([{"mix_group": g, "epochs": e} for g, e in plan.items()], _PLAN))
     met = ranked(rows, "mix_group", "_rank", bucket_rows, **ranks).join(F.broadcast(table), "mix_group")
     block = F.floor(F.col("_rank") / block_rows)
     own = F.element_at(F.filter("epochs", lambda e: e["from_block"] <= block), -1)

@@ -126,7 +126,7 @@ class BlockMaxIndex:
         these = rows = terms = weights = at = inside = outside = None
         # Room for all of them in each: pages that are never written take no memory.
         self._head_at, self._head_weights, in_rows, n_in = np.empty(n, np.int32), np.empty(n), np.zeros(self.n_rows, np.int64), 0
-        rows_out, terms_out, weights_out, n_out = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n), 0
+        rows_out, places_out, n_out = np.empty(n, np.int32), np.empty(n, np.int32), 0
         for b in range(self._blocks):
             own = self.own[b * self.block : (b + 1) * self.block]
             these, lengths = _expanded(part[own], part[own + 1])
@@ -146,7 +146,7 @@ class BlockMaxIndex:
             self._head_at[span], self._head_weights[span] = terms[inside], weights[inside]
             in_rows += np.bincount(rows[inside], minlength=self.n_rows)
             span = slice(n_out, n_out := n_out + len(outside))
-            rows_out[span], terms_out[span], weights_out[span] = rows[outside], terms[outside], weights[outside]
+            rows_out[span], places_out[span] = rows[outside], these[outside]
         held = np.unique(np.concatenate([np.zeros(0, np.int64), *heads]))
         self._held = np.full(self.n_terms, -1, np.int32)
         self._held[held] = np.arange(len(held))
@@ -157,12 +157,18 @@ class BlockMaxIndex:
         self._head_at, self._head_weights = self._held[self._head_at[:n_in]], self._head_weights[:n_in]
         self._head_part = np.concatenate([[0], np.cumsum(in_rows)])
         del self.rows, these, rows, terms, weights, at, inside, outside
-        order = np.argsort(terms_out[:n_out], kind="stable")
-        self._starts = np.searchsorted(terms_out[order], np.arange(self.n_terms + 1))
-        del terms_out
+        terms = self.terms[places_out[:n_out]]
+        order = np.argsort(terms, kind="stable").astype(np.int32)
+        self._starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=self.n_terms))])
+        del terms
         self.rows, self.terms = rows_out[order], None
         del rows_out
-        self.weights = weights_out[order]
+        places_out = places_out[order]
+        del order
+        # Weights are worked out anew in their final order, some at a time: kept in the first order too, they would be in memory twice.
+        self.weights = np.empty(n_out)
+        for start in range(0, n_out, 1 << 18):
+            self.weights[start : start + (1 << 18)] = weigh(places_out[start : start + (1 << 18)])
 
     def _arranged(self, n_head: int, weigh: Callable[[np.ndarray], np.ndarray], part: np.ndarray) -> np.ndarray:
         """The number of the row at each new place: those nearest to one of some pivots share blocks, which makes bounds tighter."""
@@ -342,7 +348,7 @@ class Neighbours:
         """The examples' index, made once in a process."""
         if not hasattr(self, "_index"):
             n = len(self.ids)
-            rows, norm = self.rows(0, n), np.zeros(n)
+            rows, norm = np.repeat(np.arange(n, dtype=np.min_scalar_type(n)), np.diff(self.part)), np.zeros(n)
             for start in range(0, n, 1024):
                 end = min(start + 1024, n)
                 span = slice(self.part[start], self.part[end])
@@ -353,6 +359,12 @@ class Neighbours:
             blocks.give_back()
         return self._index
 
+    def searched(self) -> Neighbours:
+        """The model with its index and without what only the index and the examples' own votes are made from, for a process that scores."""
+        self.index()
+        self.terms = self.counts = None
+        return self
+
     def rows(self, start: int, end: int) -> np.ndarray:
         return np.repeat(np.arange(end - start, dtype=np.int32), np.diff(self.part[start : end + 1]))
 
@@ -521,7 +533,7 @@ def with_score(documents: DataFrame, model: Neighbours, name: str = "score", evi
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in blocks.pieces(batch, "text", _SCORED_BYTES):
-                scores, near = shared.value.judge(*blocks.bytes_of(piece.column("text")), shown if evidence else 0)
+                scores, near = shared.value.searched().judge(*blocks.bytes_of(piece.column("text")), shown if evidence else 0)
                 more = [(evidence, near)] if evidence else []
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores), *(v for _, v in more)], [*piece.schema.names, name, *(n for n, _ in more)])
 

@@ -1,10 +1,14 @@
 """The pipeline's stages, each judged on its own input."""
 
+import re
+import tracemalloc
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from junctura.llm import mixing
+from junctura.llm import blocks, bpe, mixing, toxicity
 from test_operators import brute_components
 
 FOLDER = "/root/testdata/sf0.01"
@@ -89,3 +93,48 @@ def test_stages_on_odd_rows(spark, tmp_path):
             if k >= 3:
                 assert after.count() == docs.count()
             docs = after
+
+
+def test_words_are_counted_in_little_memory():
+    """Several megabytes of texts are counted in small pieces, whose counts are put together."""
+    texts = [" ".join(f"Word{(i * k) % 977} né{k % 50}" for i in range(6000)) for k in range(60)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    assert 4 << 20 < batch.nbytes < 8 << 20
+    tracemalloc.start()
+    found = list(bpe._distinct_words(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert len(found) == 2  # four megabytes each
+    counts = Counter()
+    for part in found:
+        assert len(set(part.column("word").to_pylist())) == part.num_rows
+        counts.update(dict(zip(part.column("word").to_pylist(), part.column("n").to_pylist(), strict=True)))
+    want = Counter()
+    for text in texts:
+        for word in re.findall(r"[a-zé]+|\d+", (text or "").lower()):
+            want[word] += 1
+    assert counts == want
+
+
+def test_a_task_takes_one_python_worker(spark):
+    """Blocks are packed and finished in different stages: executors keep every worker that they ever started, with all that it holds."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    encoded = bpe.encode_documents(docs, bpe.default_path())
+    assert len(encoded.collect()) == docs.count()
+    final = encoded._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.split(r"Exchange \w", final)[0].count("MapInArrow") == 1
+    for table in (bpe.vocabulary(spark, bpe.default_path()), mixing.mix(docs, mixing.WEIGHTS)):  # nor do small tables take workers of another kind
+        assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_model_that_scores_holds_less(spark):
+    """Without its examples' terms a model gives the same scores."""
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    data, offsets = blocks.bytes_of(docs.limit(50).toArrow().column("text"))
+    scores, near = model.judge(data, offsets, 3)
+    slim = model.searched()
+    assert slim.terms is None and slim.counts is None
+    again, shown = slim.judge(data, offsets, 3)
+    assert (scores == again).all() and near.equals(shown)
